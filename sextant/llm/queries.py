@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_language_id, op5_toxicity, op8_mixing
+from . import op1_language_id, op3_cover_tree, op5_toxicity, op8_mixing, op10_hnsw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id.query,
+    "op3_cover_tree": op3_cover_tree.query,
     "op5_toxicity": op5_toxicity.query,
     "op8_mixing": op8_mixing.query,
+    "op10_hnsw": op10_hnsw.query,
 }
-ORACLES: dict[str, str] = {"op8_mixing": op8_mixing.ORACLE}
+ORACLES: dict[str, str] = {"op3_cover_tree": op3_cover_tree.ORACLE, "op8_mixing": op8_mixing.ORACLE}
