@@ -44,15 +44,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, key: Column, bound: int) -> DataFrame:
-    """About ``bound`` rows of ``df``, chosen by a hash of ``key``; all rows if there are fewer.
+def sampled(key: Column, n: int, bound: int) -> Column:
+    """True for about ``bound`` of ``n`` keys, chosen by a hash; for all if there are fewer.
 
     Only for fitting classifiers, where a documented bound is allowed.
     """
-    n = df.count()
     if n <= bound:
-        return df
-    return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * bound / n))
+        return F.lit(True)
+    return F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * bound / n)
 
 
 def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK) -> Iterator[pa.RecordBatch]:

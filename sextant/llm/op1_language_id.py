@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, chunks, held_out, table
+from .common import chunks, held_out, sampled, table
 
 TRAIN_DOCS = 20_000
 BITS = 16
@@ -77,7 +77,7 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def train(docs: DataFrame, bound: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages in code-point order and the trigram probabilities, one row per bucket."""
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    rows = bounded_sample(rows, F.col("doc_id"), bound)
+    rows = rows.where(sampled(F.col("doc_id"), rows.count(), bound))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
