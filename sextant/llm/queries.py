@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_language_id, op3_cover_tree, op5_toxicity, op8_mixing, op10_hnsw
+from . import op1_language_id, op3_cover_tree, op5_toxicity, op7_warc, op8_mixing, op10_hnsw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id.query,
     "op3_cover_tree": op3_cover_tree.query,
     "op5_toxicity": op5_toxicity.query,
+    "op7_warc": op7_warc.query,
     "op8_mixing": op8_mixing.query,
     "op10_hnsw": op10_hnsw.query,
 }
-ORACLES: dict[str, str] = {"op3_cover_tree": op3_cover_tree.ORACLE, "op8_mixing": op8_mixing.ORACLE}
+ORACLES: dict[str, str] = {"op3_cover_tree": op3_cover_tree.ORACLE, "op7_warc": op7_warc.ORACLE, "op8_mixing": op8_mixing.ORACLE}
