@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_language_id, op3_cover_tree, op5_toxicity, op6_pieces, op7_warc, op8_mixing, op10_hnsw
+from . import op1_language_id, op3_cover_tree, op4_licenses, op5_toxicity, op6_pieces, op7_warc, op8_mixing, op10_hnsw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id.query,
     "op3_cover_tree": op3_cover_tree.query,
+    "op4_licenses": op4_licenses.query,
     "op5_toxicity": op5_toxicity.query,
     "op6_pieces": op6_pieces.query,
     "op7_warc": op7_warc.query,
