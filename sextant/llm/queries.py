@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_language_id, op2_substring, op3_cover_tree, op4_licenses, op5_toxicity, op6_pieces, op7_warc, op8_mixing, op10_hnsw
+from . import op1_language_id, op2_substring, op3_cover_tree, op4_licenses, op5_toxicity, op6_pieces, op7_warc, op8_mixing, op9_jaccard, op10_hnsw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id.query,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pieces": op6_pieces.query,
     "op7_warc": op7_warc.query,
     "op8_mixing": op8_mixing.query,
+    "op9_jaccard": op9_jaccard.query,
     "op10_hnsw": op10_hnsw.query,
 }
 ORACLES: dict[str, str] = {"op2_substring": op2_substring.ORACLE, "op3_cover_tree": op3_cover_tree.ORACLE, "op7_warc": op7_warc.ORACLE, "op8_mixing": op8_mixing.ORACLE}
