@@ -285,8 +285,11 @@ def stuck_pairs(demand: DataFrame, comp: DataFrame, full: DataFrame) -> DataFram
     dense = rows.where(F.col("prefix") & (F.col("df") > HEAVY) & rich)
     mixed = dense.groupBy("tok").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("tok")
     dense = dense.join(mixed, "tok", "left_semi").drop("prefix", "df")
-    many = dense.join(dense.select("tok", F.col("s").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("h").alias("g")), "tok")
-    many = many.where(apart & (least <= F.least("h", "g"))).select("s", "v").distinct()
+    # A pair comes from its smallest common shingle only: every row knows its node's.
+    dense = stored(dense.join(dense.groupBy("s").agg(F.sort_array(F.collect_list("tok")).alias("toks")), "s"))
+    other = dense.select("tok", F.col("s").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("h").alias("g"), F.col("toks").alias("others"))
+    smallest = F.element_at(F.array_intersect("toks", "others"), 1) == F.col("tok")
+    many = dense.join(other, "tok").where(apart & (least <= F.least("h", "g")) & smallest).select("s", "v")
     return few.select("s", "v").unionByName(many)
 
 
