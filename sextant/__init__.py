@@ -1,0 +1 @@
+"""Sextant: retrieval over privacy-gated notes, its evaluation and its work queue, on Spark DataFrames."""
