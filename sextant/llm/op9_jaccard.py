@@ -51,7 +51,7 @@ PERCENT = 75
 REACH = 0.08  # longest l as a share of the set; partners are at least 0.75 as large
 HEAVY = 32
 TEXT_BYTES = 4 << 20
-#: Node keys of 16 bytes that may be broadcast (to pick texts); more are joined by shuffle.
+#: Node keys of 20 bytes that may be broadcast (to pick texts); more are joined by shuffle.
 BROADCAST_NODES = 1_000_000
 ROUNDS = 4
 
@@ -76,9 +76,12 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             more = count[few] > j
             short[more] = mix(short[more] * BASE + h[first[few[more]] + j] + np.uint64(j))
         text_of, value = np.concatenate((text_of, few)), np.concatenate((value, short))
-    order = np.lexsort((value, text_of))
-    text_of, value = text_of[order], value[order]
-    new = np.concatenate(([True], (text_of[1:] != text_of[:-1]) | (value[1:] != value[:-1]))) if len(order) else np.zeros(0, bool)
+        order = np.argsort(text_of, kind="stable")
+        text_of, value = text_of[order], value[order]
+    cut = np.searchsorted(text_of, np.arange(len(column) + 1)).tolist()
+    for a, b in zip(cut[:-1], cut[1:]):
+        value[a:b].sort()
+    new = np.concatenate(([True], (text_of[1:] != text_of[:-1]) | (value[1:] != value[:-1]))) if len(value) else np.zeros(0, bool)
     return text_of[new], value[new]
 
 
@@ -120,14 +123,18 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), s (node) of every row; s is null for an empty set."""
+    """doc_id, t (a hash of the text), n (set size), s (node) of every row; s is null for an empty set."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         sets = Sets(part.column("text"))
         empty = sets.n == 0
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets.n), pa.array(sets.s.view(np.int64), mask=empty)], names=["doc_id", "n", "s"])
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), pa.array(sets.n), pa.array(sets.s.view(np.int64), mask=empty)], names=["doc_id", "t", "n", "s"])
 
-    return stored(_map(docs.withColumn("doc_id", F.col("doc_id").cast("long")), run, "doc_id long, n long, s long", "doc_id"))
+    return stored(_map(_identified(docs), run, "doc_id long, t int, n long, s long", "doc_id", "t"))
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.hash("text").alias("t"), "text")
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
@@ -212,18 +219,19 @@ def demands(rows: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, "s long, l long, need long")
 
 
-def texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """s and the compressed text of every remaining node."""
-    keys = stored(rows.select("s").distinct())
+def texts(docs: DataFrame, node: DataFrame, rows: DataFrame) -> DataFrame:
+    """s and the compressed text of every remaining node, from one document that has it."""
+    keys = node.join(rows.select("s").distinct(), "s").groupBy("s").agg(F.min(F.struct("doc_id", "t")).alias("k"))
+    keys = stored(keys.select("s", F.col("k.doc_id").alias("_d"), F.col("k.t").alias("_t")))
     few = keys.count() <= BROADCAST_NODES
 
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        s = Sets(part.column("text")).s
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
-        return pa.RecordBatch.from_arrays([_signed(s), pa.array([z.compress((t or "").encode()) for t in part.column("text").to_pylist()], pa.binary())], names=["s", "z"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("s"), pa.array([z.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())], names=["s", "z"])
 
-    found = _map(docs, run, "s long, z binary").join(F.broadcast(keys) if few else keys, "s", "left_semi")
-    return stored(found.groupBy("s").agg(F.min("z").alias("z")))
+    found = _identified(docs).join(F.broadcast(keys) if few else keys, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")))
+    return stored(found.select("s", "text").mapInArrow(run, "s long, z binary").groupBy("s").agg(F.min("z").alias("z")))
 
 
 def verify(pairs: DataFrame, full: DataFrame) -> DataFrame:
@@ -293,10 +301,10 @@ def stuck_pairs(demand: DataFrame, comp: DataFrame, full: DataFrame) -> DataFram
     return few.select("s", "v").unionByName(many)
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """u, v: links between nodes that connect every component."""
+def links(docs: DataFrame, node: DataFrame) -> DataFrame:
+    """u, v: links between nodes (of the frame ``nodes``) that connect every component."""
     rows = remaining(docs)
-    full = texts(docs, rows)
+    full = texts(docs, node, rows)
     node = rows.select("s", "n").distinct()
     found = rows.select(F.col("s").alias("u"), F.col("s").alias("v")).limit(0)
     # How much of a node's prefix others hold, by the logarithm of how many.
@@ -350,7 +358,7 @@ def links(docs: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     node = nodes(docs)
-    root = components(links(docs)).select(F.col("node").alias("s"), "root")
+    root = components(links(docs, node)).select(F.col("node").alias("s"), "root")
     node = node.join(root, "s", "left").withColumn("c", F.coalesce("root", "s"))
     least = node.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))
     return node.join(least, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
