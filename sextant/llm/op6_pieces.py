@@ -34,7 +34,7 @@ from .common import chunks, table
 from .words import hashes
 
 #: Bytes of text encoded together, and bytes of distinct units indexed together.
-TEXT_BYTES, INDEX_BYTES = 8 << 20, 1 << 19
+TEXT_BYTES, INDEX_BYTES = 4 << 20, 1 << 18
 SPACE, CUT = 0xFF, 0xFE  # bytes that no UTF-8 text holds
 NONE = -1
 
@@ -293,15 +293,15 @@ def _pieces(path: str) -> Pieces:
 
 
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """The columns of ``docs`` other than text, and tokens (array of int)."""
-    keep = [c for c in docs.columns if c != "text"]
+    """The columns of ``docs`` other than text, and tokens (array of int; replaces a column of that name)."""
+    keep = [c for c in docs.columns if c not in ("text", "tokens")]
     return _apply(docs, keep, model, "tokens array<int>", lambda tokens, _: [pa.array(tokens, pa.list_(pa.int32()))], ["tokens"])
 
 
 def decode(tokens: DataFrame, model: str | None = None) -> DataFrame:
-    """The columns of ``tokens`` other than tokens, and text."""
+    """The columns of ``tokens`` other than tokens, and text (replaces a column of that name)."""
     path = model or default_model()
-    keep = [c for c in tokens.columns if c != "tokens"]
+    keep = [c for c in tokens.columns if c not in ("tokens", "text")]
     names = [f"_{i}" for i in range(len(keep))]
     kinds = dict(tokens.dtypes)
 

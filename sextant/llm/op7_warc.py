@@ -258,6 +258,9 @@ def read_warc(archives: DataFrame) -> DataFrame:
 def archive(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> tuple[str, DataFrame]:
     """Pages to ARC to WARC: the folder of the WARC files and their names."""
     spark, base = pages.sparkSession, work_dir(pages.sparkSession)
+    for part in ("arc", "warc"):  # tasks without rows write no file
+        fs, path = folder(f"{base}/{part}")
+        fs.create_dir(path)
     arcs = _archives(spark, f"{base}/arc", ".arc.gz", write_arc(pages, f"{base}/arc"))
     return f"{base}/warc", convert(arcs, revisits(stored(index_arc(arcs)), least_bytes), f"{base}/warc")
 

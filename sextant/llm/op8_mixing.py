@@ -99,16 +99,11 @@ def sizes_of(docs: DataFrame, *keys) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, a row per copy, range-sorted by position."""
-    columns = docs.columns
-    same = Window.partitionBy("doc_id").orderBy("_hash")
-    keyed = docs.withColumn("_hash", F.xxhash64(*columns)).withColumn("_row", F.row_number().over(same))
-    planned = plan(stored(sizes_of(keyed, "_row"))).where("copies > 0").select(
-        F.col("doc_id").alias("_doc"), F.col("_row").alias("_nth"), F.explode("positions").alias("_position")
-    )
-    return (
-        keyed.join(planned, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_row") == F.col("_nth")))
-        .orderBy("_position", "doc_id").select(*columns)
-    )
+    same = Window.partitionBy("doc_id").orderBy("h")
+    keyed = docs.select("doc_id", "source", "text", F.xxhash64(*docs.columns).alias("h"), F.struct(*docs.columns).alias("row")).withColumn("nth", F.row_number().over(same))
+    planned = plan(stored(sizes_of(keyed, "nth"))).where("copies > 0").select(F.col("doc_id").alias("id"), F.col("nth").alias("n"), F.explode("positions").alias("position"))
+    mixed = keyed.join(planned, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("nth") == F.col("n")))
+    return mixed.select("row", "position", "doc_id").orderBy("position", "doc_id").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

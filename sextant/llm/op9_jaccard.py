@@ -370,13 +370,13 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Of several rows with that id the first by a hash of the row stays; rows without
     shingles all stay.
     """
-    columns = docs.columns
-    found = stored(classes(docs))
-    keep = found.where("doc_id = component_id or n_shingles = 0 or doc_id is null").select(F.col("doc_id").alias("_d")).distinct()
-    rows = docs.withColumn("_h", F.xxhash64(*columns)).join(keep, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    same = Window.partitionBy("doc_id", F.when(F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", "")) == 0, F.col("_h")).otherwise(F.lit(0))).orderBy("_h")
-    empty = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", "")) == 0
-    return rows.withColumn("_n", F.row_number().over(same)).where((F.col("_n") == 1) | empty).select(*columns)
+    found = stored(classes(docs.select("doc_id", "text")))
+    keep = found.where("doc_id = component_id or n_shingles = 0 or doc_id is null").select(F.col("doc_id").alias("kept")).distinct()
+    blank = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", "")) == 0
+    rows = docs.select("doc_id", blank.alias("blank"), F.xxhash64(*docs.columns).alias("h"), F.struct(*docs.columns).alias("row"))
+    rows = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
+    same = Window.partitionBy("doc_id", "blank").orderBy("h")
+    return rows.withColumn("nth", F.row_number().over(same)).where("nth = 1 or blank").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
