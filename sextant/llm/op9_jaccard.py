@@ -50,9 +50,9 @@ SHINGLE = 5
 PERCENT = 75
 REACH = 0.08  # longest l as a share of the set; partners are at least 0.75 as large
 HEAVY = 32
-TEXT_BYTES = 4 << 20
-#: Node keys of 20 bytes that may be broadcast (to pick texts); more are joined by shuffle.
-BROADCAST_NODES = 1_000_000
+TEXT_BYTES = 2 << 20
+#: Nodes whose keys and components (at most 40 bytes each) may be broadcast; more are joined by shuffle.
+BROADCAST_NODES = 500_000
 ROUNDS = 4
 
 
@@ -310,10 +310,11 @@ def links(docs: DataFrame, node: DataFrame) -> DataFrame:
     # How much of a node's prefix others hold, by the logarithm of how many.
     centre = rows.groupBy("s").agg((F.sum(F.log2("df")) / F.first("n")).alias("centre"))
     comp = stored(node.join(centre, "s").select("s", "n", "centre", F.col("s").alias("c")))
+    few = F.broadcast if comp.count() <= BROADCAST_NODES else lambda frame: frame
     tried = None
     # Stars: tokens that lead to several components, each node's most frequent untried hub.
     for turn in range(ROUNDS):
-        live = rows.select("tok", "s").join(comp, "s")
+        live = rows.select("tok", "s").join(few(comp), "s")
         first = F.struct((-F.col("centre") if not turn else F.xxhash64("s", F.lit(turn))).alias("p"), "s", "n", "c")
         hubs = live.groupBy("tok").agg(F.min(first).alias("h"), F.min("c").alias("a"), F.max("c").alias("b"))
         hubs = hubs.where("a <> b").select("tok", F.col("h.s").alias("v"), F.col("h.n").alias("m"), F.col("h.c").alias("d"))
@@ -336,10 +337,10 @@ def links(docs: DataFrame, node: DataFrame) -> DataFrame:
         if n_new * 20 < asked:
             break
     # What is left: pairs across components.
-    demand = demands(rows)
-    live = rows.join(comp.select("s", "c"), "s")
+    demand = stored(demands(rows))
+    live = rows.join(few(comp.select("s", "c")), "s")
     mixed = live.groupBy("tok").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("tok")
-    live = stored(live.join(mixed, "tok", "left_semi").join(demand, "s"))
+    live = stored(live.join(mixed, "tok", "left_semi").join(few(demand), "s"))
     left = live.where((F.col("df") <= HEAVY) & (F.col("l") > 0) & (F.col("r") < F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + F.col("l")))
     other = live.select("tok", F.col("s").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"))
     light = (
