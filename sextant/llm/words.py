@@ -53,9 +53,9 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0
     if not n:
         return np.zeros(0, np.uint64)
     lengths, powers, out = ends - starts, _powers(base), np.empty(n, np.uint64)
-    step, total = 1 << 20, np.cumsum(lengths)
+    step, total = 1 << 19, np.cumsum(lengths)
     at = 0
-    while at < n:  # about a million bytes at once
+    while at < n:  # about half a million bytes at once
         to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + step)))
         ls, first = lengths[at:to], np.concatenate(([0], np.cumsum(lengths[at:to])[:-1]))
         place = np.arange(int(ls.sum())) - np.repeat(first, ls)

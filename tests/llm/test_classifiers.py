@@ -50,7 +50,7 @@ def test_language_without_training_rows(spark):
 
 def test_toxicity_learns_restores_and_handles_gaps(spark):
     clean = [(i, f"a kind and friendly note about gardens number{i}") for i in range(150)]
-    rude = [(i, f"you are an idiot and a scoundrel number{i}") for i in range(150, 220)]
+    rude = [(i, f"a kind and friendly idiot note about gardens number{i}") for i in range(150, 220)]
     docs = spark.createDataFrame([(*r, None, None, None) for r in [*clean, *rude, (900, None), (901, ""), (902, "you are an 1d10t"), (903, "what an i d i o t"), (904, "such an idiooot"), (905, "number42 and 7 gardens")]], DOCS)
     labels = spark.createDataFrame([(i, 1, int(i >= 150)) for i in range(220)] + [(3, 1, None)], "doc_id long, quality int, toxic int")
     model, weights, bias = tox.train(docs, labels)
