@@ -20,7 +20,7 @@ TOKEN_DOMAIN = "sextant-token-v1"
 POINT_BLOCK, QUERY_BLOCK = 4_096, 256
 #: Characters that are no token of their own: spaces, marks, full-width punctuation, bullets.
 IGNORED = (
-    "    ​‌‍　﻿"
+    "\u00a0\u2002\u2003\u2009\u200b\u200c\u200d\u3000\ufeff"
     "、。，．·；：？！…‥—―～－"
     "「」『』（）〈〉《》【】〔〕〖〗“”‘’"
     "•‣‧⁃・･‐‑‒–"
@@ -45,9 +45,9 @@ def bucket_counts(docs: DataFrame, key: str, text: str, dimension: int, exact: b
     return rows.groupBy(key, bucket(F.col("token"), dimension).alias("bucket")).agg(F.sum("c").alias("n"))
 
 
-def embed(text: Column, dimension: int, exact: bool = True) -> Column:
-    """Unit vector of bucket counts; null for text without a token."""
-    hashed = F.transform(tokens(text, exact), lambda t: bucket(t, dimension))
+def embed(text: Column, dimension: int) -> Column:
+    """Unit vector of bucket counts of a short composed text (see ``nfc``); null for text without a token."""
+    hashed = F.transform(tokens(text, exact=False), lambda t: bucket(t, dimension))
     counts = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(hashed, lambda b: b == i)).cast("double"))
     norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
     return F.when(norm > 0, F.transform(counts, lambda x: x / norm))
