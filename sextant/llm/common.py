@@ -18,7 +18,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK = 1 << 20
 
 
+#: Rows of text in an Arrow batch, unless the user sets another number than Spark's default.
+BATCH_ROWS, _SETTING = "2000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table by its folder. Texts are long, so Arrow batches get fewer rows than Spark's default of 10,000."""
+    if spark.conf.get(_SETTING) == "10000":
+        spark.conf.set(_SETTING, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
