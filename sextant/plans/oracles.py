@@ -97,6 +97,12 @@ s AS (SELECT *, CASE WHEN state = 'committed' OR state = 'leased' AND ts + INTER
 k AS (SELECT *, CASE WHEN code IS NULL THEN 'commit' WHEN code = 'base-moved' THEN CASE WHEN attempts >= 5 THEN 'quarantine' ELSE 'retry-transient' END WHEN code = 'leader-unavailable' THEN 'retry-free' WHEN code = 'path-conflict' THEN 'conflict' ELSE 'quarantine' END AS kind FROM s)
 SELECT event_type, step, CASE WHEN step = 'skip' THEN state WHEN step = 'expire' THEN 'expired' WHEN kind = 'commit' THEN 'committed' WHEN kind IN ('retry-transient', 'retry-free') THEN 'queued' WHEN kind = 'conflict' THEN 'conflict' ELSE 'quarantined' END AS new_state,
   CASE WHEN step = 'expire' THEN 'record-expired' WHEN step = 'replay' THEN code END AS new_code, count(*) AS n, sum(attempts + CASE WHEN step = 'replay' AND kind = 'retry-transient' THEN 1 ELSE 0 END)::BIGINT AS attempts FROM k GROUP BY 1, 2, 3, 4""",
+    "metadata_conversion": """WITH e AS (SELECT event_id AS k, event_id % 19 = 0 AS created, event_id % 13 = 0 OR event_id % 17 <> 0 AS stamped, event_id % 13 <> 0 AND event_id % 6 IN (0, 2, 4, 5) AS aware, event_id % 3 = 0 AS c1, event_id % 5 = 0 AS c2, event_id % 7 = 0 AS src, event_id % 4 = 0 AS gen FROM events),
+g AS (SELECT *, NOT created AND stamped AND aware AS good, c1 OR c2 AND k % 2 = 0 AS usable FROM e)
+SELECT CASE WHEN c1 AND c2 AND k % 2 = 1 THEN 'conflicting-citations' END AS error,
+  array_to_string(list_filter([CASE WHEN stamped AND NOT created AND NOT good THEN 'created_at' END, CASE WHEN NOT gen THEN 'generated' END], lambda v: v IS NOT NULL), ',') AS gaps,
+  array_to_string(list_filter([CASE WHEN c1 AND c2 THEN 'Citations' END, CASE WHEN (c1 OR c2) AND (src OR NOT usable) THEN CASE WHEN c1 THEN 'citations' ELSE 'Citations' END END, CASE WHEN stamped AND NOT good THEN 'timestamp' END], lambda v: v IS NOT NULL), ',') AS dropped,
+  count(*) AS n, count(*) FILTER (created OR good) AS with_created_at, count(*) FILTER (src OR usable) AS with_sources, count(*)::BIGINT AS unmapped FROM g GROUP BY 1, 2, 3""",
     "write_targets": """SELECT CASE WHEN page_id % 6 > 1 THEN 'target-denied' WHEN page_id % 4 = 3 THEN 'student-private-denied' WHEN NOT (page_id % 6 = 0 AND page_id % 4 IN (0, 1) OR page_id % 6 = 1 AND page_id % 4 = 2) THEN 'cross-zone-denied' END AS refusal,
   page_id % 6 AS shape, count(*) AS n FROM pages GROUP BY ALL""",
     "payload_markers": """SELECT CASE WHEN contains(text, 'BEGIN PRIVATE KEY') THEN 'BEGIN PRIVATE KEY' WHEN contains(text, 'AKIA') THEN 'AKIA' WHEN contains(text, 'password') THEN 'password' WHEN contains(text, 'secret') THEN 'secret' END AS marker, count(*) AS n FROM documents GROUP BY 1""",
