@@ -38,6 +38,7 @@ from .common import stored, table, work_dir
 
 LEAST_BYTES = 0
 FILE_BYTES = 16 << 20
+MOST_TASKS = 10_000
 ARCHIVED = "20240101000000"
 #: The fields of a header line by ARC version.
 FIELDS = {
@@ -209,22 +210,28 @@ def to_warc(name: str, data: bytes, again: dict[int, int]) -> Iterator[bytes]:
         yield warc_record(kind, fields["URL"], iso(fields["Archive-date"]), name, offset, block, base32_sha1(body), more)
 
 
-def convert(archives: DataFrame, again: DataFrame, path: str) -> DataFrame:
-    """Write one WARC file below ``path`` per ARC file; returns the file names."""
+def convert(names: DataFrame, again: DataFrame, source: str, path: str) -> DataFrame:
+    """Write one WARC file below ``path`` per ARC file below ``source``; returns the file names.
+
+    Only names and revisits are joined; a task opens the files that it is dealt.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = []
+        names, (fs, base) = [], folder(source)
         for batch in batches:
             for row in batch.to_pylist():
+                with fs.open_input_stream(f"{base}/{row['name']}", compression=None) as file:
+                    data = file.read()
                 files = _Files(path, ".warc.gz")
                 files.open()
-                for record in to_warc(row["name"], row["content"], {x["offset"]: x["first"] for x in row["again"] or []}):
+                for record in to_warc(row["name"], data, {x["offset"]: x["first"] for x in row["again"] or []}):
                     files.add(deflate(record))
                 files.close()
                 names += files.names
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
 
-    return stored(archives.join(again, "name", "left").mapInArrow(run, "name string"))
+    dealt = names.join(again, "name", "left").repartition(max(1, min(names.count(), MOST_TASKS)))
+    return stored(dealt.mapInArrow(run, "name string"))
 
 
 def read_warc(archives: DataFrame) -> DataFrame:
@@ -261,8 +268,9 @@ def archive(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> tuple[str, Data
     for part in ("arc", "warc"):  # tasks without rows write no file
         fs, path = folder(f"{base}/{part}")
         fs.create_dir(path)
-    arcs = _archives(spark, f"{base}/arc", ".arc.gz", write_arc(pages, f"{base}/arc"))
-    return f"{base}/warc", convert(arcs, revisits(stored(index_arc(arcs)), least_bytes), f"{base}/warc")
+    names = write_arc(pages, f"{base}/arc")
+    index = stored(index_arc(_archives(spark, f"{base}/arc", ".arc.gz", names)))
+    return f"{base}/warc", convert(names, revisits(index, least_bytes), f"{base}/arc", f"{base}/warc")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
