@@ -38,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, stored, table
@@ -130,11 +130,11 @@ def nodes(docs: DataFrame) -> DataFrame:
         empty = sets.n == 0
         return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), pa.array(sets.n), pa.array(sets.s.view(np.int64), mask=empty)], names=["doc_id", "t", "n", "s"])
 
-    return stored(_map(_identified(docs), run, "doc_id long, t int, n long, s long", "doc_id", "t"))
+    return stored(_map(_identified(docs), run, "doc_id long, t long, n long, s long", "doc_id", "t"))
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.hash("text").alias("t"), "text")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text")
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
@@ -356,11 +356,16 @@ def links(docs: DataFrame, node: DataFrame) -> DataFrame:
     return stored(found.unionByName(verify(rest, full)))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, t, n and c (a node that names the component; null for an empty set) of every row."""
     node = nodes(docs)
     root = components(links(docs, node)).select(F.col("node").alias("s"), "root")
-    node = node.join(root, "s", "left").withColumn("c", F.coalesce("root", "s"))
+    return node.join(root, "s", "left").select("doc_id", "t", "n", F.coalesce("root", "s").alias("c"))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    node = _grouped(docs)
     least = node.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))
     return node.join(least, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -368,16 +373,24 @@ def classes(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each component stays, that with the smallest doc_id; columns unchanged.
 
-    Of several rows with that id the first by a hash of the row stays; rows without
-    shingles all stay.
+    A null id comes after all others. Of several texts with that id the first by hash
+    stays, of several rows with that id and text the first by a hash of the row. Rows
+    without shingles all stay.
     """
-    found = stored(classes(docs.select("doc_id", "text")))
-    keep = found.where("doc_id = component_id or n_shingles = 0 or doc_id is null").select(F.col("doc_id").alias("kept")).distinct()
-    blank = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", "")) == 0
-    rows = docs.select("doc_id", blank.alias("blank"), F.xxhash64(*docs.columns).alias("h"), F.struct(*docs.columns).alias("row"))
-    rows = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
-    same = Window.partitionBy("doc_id", "blank").orderBy("h")
-    return rows.withColumn("nth", F.row_number().over(same)).where("nth = 1 or blank").select("row.*")
+    # Rows are told apart by id and text: unrelated texts may share an id, or have none.
+    rows = _grouped(docs.select("doc_id", "text")).where("c is not null").groupBy("c", "doc_id", "t").agg(F.count("*").alias("times"))
+    keep = rows.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "times")).alias("k"))
+    keep = stored(keep.select(F.col("k.doc_id").alias("_d"), F.col("k.t").alias("_t"), F.col("k.times").alias("times")))
+    size = keep.agg(F.count("*").alias("n"), F.coalesce(F.max("times"), F.lit(0)).alias("most")).first()
+    blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), blank.alias("blank"), F.struct(*docs.columns).alias("row"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t"))
+    found = read.join(F.broadcast(keep) if size.n <= BROADCAST_NODES else keep, same, "left")
+    out = found.where("blank or times = 1").select("row.*")
+    if size.most > 1:  # equal texts under one id: a partial aggregate, as they may be many
+        again = found.where("not blank and times > 1").withColumn("h", F.xxhash64("row.*"))
+        out = out.unionByName(again.groupBy("doc_id", "t").agg(F.min_by("row", "h").alias("row")).select("row.*"))
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from sextant.llm import op2_substring as sub
 from sextant.llm import op9_jaccard as jac
 
@@ -137,3 +139,18 @@ def test_deduplicating_keeps_one_of_each_group_and_every_blank(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [3, 11, 12, 12, 13]
     assert jac.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_deduplicating_drops_only_rows_near_one_that_stays(spark):
+    """Unrelated texts that share an id, or have none, all stay; a third of the rows may be one row."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(100)) for x in "abcd")
+    rows = [(9, a), (9, b), (3, c), (9, c), (None, a + " tail"), (None, d), (None, d), (None, d + " tail"), (None, "one text"), (None, "another text"), (None, None), (None, " \n")]
+    kept = sorted(((r.doc_id, r.text) for r in jac.deduplicate(_frame(spark, rows)).collect()), key=str)
+    texts = [t for _, t in kept if t not in (d, d + " tail")]
+    assert sorted(texts, key=str) == sorted([a, b, c, "one text", "another text", None, " \n"], key=str)
+    assert len(kept) == len(texts) + 1 and {(9, a), (9, b), (3, c), (None, "one text"), (None, "another text")} <= set(kept)
+
+
+def test_deduplicating_copies_under_one_id_keeps_one_row(spark):
+    docs = _frame(spark, [(1, "x y z")] * 3 + [(2, "other words")] * 2).withColumn("row", F.concat("row", F.monotonically_increasing_id()))
+    assert sorted((r.doc_id, r.text) for r in jac.deduplicate(docs).collect()) == [(1, "x y z"), (2, "other words")]
