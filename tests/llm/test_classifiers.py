@@ -93,3 +93,20 @@ def test_licenses_exact_variant_unconfirmed_and_none(spark):
     assert [g for g in got if g[0] == 7] == [(7, 0, "CC-BY-4.0", "exact"), (7, 1, "CC-BY-4.0", "exact")]
     assert any(g[0] == 8 and g[2] == "MIT" for g in got)
     assert lic.differences(["a", "b", "c"], ["x", "a", "q", "c"]) == (["b"], ["q"])
+
+
+def test_licenses_over_lines_beside_each_other_and_of_any_rank():
+    found = lambda text: [(n, k, "exact" if not lacking and not added else "variant") for n, k, _, _, lacking, added in lic.notices(text)]
+    for name, wording in lic.TEMPLATES.items():
+        own = wording.split(" ")
+        for width in (1, 3, 8):
+            text = "prose before\n" + "\n".join(" * " + " ".join(own[i : i + width]) for i in range(0, len(own), width)) + "\nprose after"
+            assert (1, name, "exact") in found(text), (name, width)
+    assert found("Licensed under the Apache License, Version 2.0. All rights reserved.") == [(0, "Apache-2.0", "exact"), (0, "Proprietary", "exact")]
+    every = " and so on. ".join(lic.TEMPLATES.values())
+    assert {k for _, k, _ in found(every)} == set(lic.TEMPLATES) and len(every) < lic.WINDOW
+    assert {k for _, k, _ in found("x " * 3_000 + every + " y" * 3_000)} == set(lic.TEMPLATES)
+    assert found("Licensed under CC BY 4.0 and CC BY-SA 4.0.") == [(0, "CC-BY-4.0", "exact"), (0, "CC-BY-SA-4.0", "variant")]
+    assert found("This work is licensed under the GNU Lesser General Public License, version 3.") == [(0, "LGPL-3.0", "exact")]
+    assert found("All rights are with those who reserved all of it") == []
+    assert found("this work is " + "a b " * 10 + "\n" + lic.TEMPLATES["GPL-3.0"]) == [(1, "GPL-3.0", "exact")]
