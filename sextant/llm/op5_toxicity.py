@@ -8,7 +8,10 @@ scored on their words and the restored ones by a logistic model over a small lex
 
 Training, all outside the held-out fold: at most about ``TRAIN_DOCS`` labelled rows
 (chosen by a hash of the id) give the lexicon (at most ``LEXICON`` words whose presence
-differs between the classes beyond chance), the character model and the weights.
+differs between the classes beyond chance) and the weights. The character model counts the
+trigrams of all rows outside the fold. Workers get the counts that can matter: in training
+those of the sample's lattices; in scoring those over the letters of the lexicon and of the
+channel, as a token with any other letter restores to no lexicon word.
 
 Defined results: a null or empty text scores as a text without lexicon words; without
 labelled rows every score is ``PRIOR``; of several labels of one id the largest counts;
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +34,6 @@ from .common import chunks, held_out, sampled, stored, table
 
 TRAIN_DOCS = 20_000
 LEXICON = 2_000
-#: Most frequent character trigrams that the character model keeps.
-GRAMS = 100_000
 #: Least chi-square of a lexicon word, and least training documents that hold it.
 CHI_SQUARE, LEAST_DOCS = 20.0, 5
 THRESHOLD = 0.3
@@ -48,16 +50,19 @@ SOFT_EDGE = ".,;:?\"'()[]{}-_/\\"
 _SPACED = re.compile(r"(?<!\S)\w(?:[ .\-_*]\w){2,}(?!\w)")
 _REPEATED = re.compile(r"(\w)\1\1")
 _MASKED = re.compile("[" + re.escape("".join(LEET)) + "]")
+_CONTEXT = "substring(gram, 1, 2) AS context"
 
 
 class CharModel:
     """Character trigrams with add-one backing; unseen contexts fall back to a uniform cost."""
 
-    def __init__(self, counts: dict[str, int]):
+    def __init__(self, counts: dict[str, int], context: dict[str, int] | None = None):
+        """``context``: counts of the first two characters, if ``counts`` lacks trigrams that begin with them."""
         self.counts = counts
-        self.context: dict[str, int] = {}
-        for gram, n in counts.items():
-            self.context[gram[:2]] = self.context.get(gram[:2], 0) + n
+        self.context: dict[str, int] = context or {}
+        if context is None:
+            for gram, n in counts.items():
+                self.context[gram[:2]] = self.context.get(gram[:2], 0) + n
 
     def cost(self, context: str, ch: str) -> float:
         return -math.log((self.counts.get(context + ch, 0) + 0.1) / (self.context.get(context, 0) + 4.0))
@@ -90,12 +95,38 @@ def restore(token: str, model: CharModel) -> str:
     return "".join(reversed(letters))
 
 
+def lattice_grams(token: str) -> set[str]:
+    """The trigrams whose costs ``restore`` asks for."""
+    states, previous, out = {"  "}, "", set()
+    for ch in token:
+        letters = ch + LEET.get(ch, "")
+        out.update(context + x for context in states for x in letters)
+        after = {context[1] + x for context in states for x in letters}
+        states, previous = after | states if ch == previous else after, ch
+    return out | {context + " " for context in states}
+
+
 def _segments(text: str) -> Iterator[str]:
     """Suspicious runs of a lower-case text: spaced-out letters, then masked or drawn-out tokens."""
     for found in _SPACED.findall(text):
         yield re.sub(r"[ .\-_*]", "", found)
 
 
+def _odd(low: str, tokens: set[str]) -> list[str]:
+    """Suspicious tokens of a lower-case text."""
+    odd: list[str] = []
+    if not low.isascii() or _MASKED.search(low):
+        odd = [t for t in {t.strip(SOFT_EDGE) for t in low.split() if _MASKED.search(t)} if sum(c.isalpha() for c in t) * 3 >= len(t) and _MASKED.search(t)]
+    if _REPEATED.search(low):
+        odd += [t for t in tokens if t.isalpha() and _REPEATED.search(t)]
+    odd += _segments(low)
+    return odd
+
+
+def _tokens(low: str) -> set[str]:
+    return {t.strip(EDGE) for t in low.split()}
+
+
 def words_of(text: str | None, model: CharModel | None, cache: dict[str, str], wanted: frozenset | None = None) -> set[str]:
     """Distinct lower-case words of a whole text with the restored forms of suspicious ones.
 
@@ -104,14 +135,8 @@ def words_of(text: str | None, model: CharModel | None, cache: dict[str, str], w
     if not text:
         return set()
     low = text.lower()
-    tokens = {t.strip(EDGE) for t in low.split()}
-    odd: list[str] = []
-    if model is not None:
-        if not low.isascii() or _MASKED.search(low):
-            odd = [t for t in {t.strip(SOFT_EDGE) for t in low.split() if _MASKED.search(t)} if sum(c.isalpha() for c in t) * 3 >= len(t) and _MASKED.search(t)]
-        if _REPEATED.search(low):
-            odd += [t for t in tokens if t.isalpha() and _REPEATED.search(t)]
-        odd += _segments(low)
+    tokens = _tokens(low)
+    odd = [] if model is None else _odd(low, tokens)
     out = tokens if wanted is None else tokens & wanted
     out.discard("")
     for t in odd:
@@ -135,32 +160,56 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -
     return stored(docs.where(picked).select("doc_id", "text").join(marks.where(picked), "doc_id").select("text", "toxic"))
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> tuple[CharModel, dict[str, float], float]:
-    """Character model, lexicon weights and bias."""
-    rows = training_rows(docs, labels, bound)
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """gram, n: character trigrams of the words of all rows outside the held-out fold, stored."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, int] = {}
+        seen: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
+            held: dict[str, int] = {}
+            for word, n in seen.items():
+                word = word.strip(EDGE)
+                if word.isalpha():
+                    padded = f"  {word} "
+                    for i in range(len(word) + 1):
+                        held[padded[i : i + 3]] = held.get(padded[i : i + 3], 0) + n
+            seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["gram", "n"])
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                for word in (text or "").lower().split():
-                    word = word.strip(EDGE)
-                    if word.isalpha():
-                        padded = f"  {word} "
-                        for i in range(len(word) + 1):
-                            held[padded[i : i + 3]] = held.get(padded[i : i + 3], 0) + 1
-                if len(held) > 100_000:
+                seen.update((text or "").lower().split())
+                if len(seen) > 100_000:
                     yield flush()
-                    held.clear()
         yield flush()
 
-    # Trigrams seen at least thrice; a bounded sample of rows has a bounded number of them.
-    counts = rows.select("text").mapInArrow(grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 2")
-    model = CharModel({r.gram: r.n for r in counts.orderBy(F.desc("n"), "gram").limit(GRAMS).collect()})
+    rows = docs.where(~held_out(F.col("doc_id"))).select("text").mapInArrow(grams, "gram string, n long")
+    return stored(rows.groupBy("gram").agg(F.sum("n").alias("n")))
+
+
+def _model(grams: DataFrame, counts: DataFrame, contexts: DataFrame) -> CharModel:
+    """The model of the given counts, with the whole counts of their contexts."""
+    return CharModel({r.gram: r.n for r in counts.collect()}, {r.context: r.n for r in grams.selectExpr(_CONTEXT, "n").groupBy("context").agg(F.sum("n").alias("n")).join(contexts, "context", "left_semi").collect()})
+
+
+def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> tuple[CharModel, dict[str, float], float]:
+    """Character model, lexicon weights and bias."""
+    rows = training_rows(docs, labels, bound)
+    totals = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
+    if not totals.t or totals.t == totals.n:
+        return CharModel({}), {}, math.log(PRIOR / (1 - PRIOR))  # no lexicon, nothing to restore
+    grams = gram_counts(docs)
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lows = [(text or "").lower() for text in batch.column("text").to_pylist()]
+            odd = {t for low in lows for t in _odd(low, _tokens(low))}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(set().union(*map(lattice_grams, odd))), pa.string())], names=["gram"])
+
+    # As many as the lattices of the bounded sample ask for.
+    needed = stored(rows.select("text").mapInArrow(asked, "gram string").distinct())
+    model = _model(grams, grams.join(needed, "gram", "left_semi"), needed.selectExpr(_CONTEXT).distinct())
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, str] = {}
@@ -172,9 +221,6 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> tuple[
                 out_toxic += [int(toxic)] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(out_word, pa.string()), pa.array(out_toxic, pa.int32())], names=["word", "toxic"])
 
-    totals = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
-    if not totals.t or totals.t == totals.n:
-        return model, {}, math.log(PRIOR / (1 - PRIOR))
     n, t = totals.n, totals.t
     seen = rows.mapInArrow(spread, "word string, toxic int")
     a, b = F.col("pos"), F.col("all")
@@ -193,7 +239,9 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> tuple[
     # One row per distinct combination of lexicon words: at most the bounded training rows.
     combos = rows.mapInArrow(features, "words string, toxic int").groupBy("words").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).orderBy("words").collect()
     weights, bias = _fit([(r.words.split(",") if r.words else [], r.n, r.t) for r in combos], words)
-    return model, weights, bias
+    letters = "".join(sorted(set(" ").union(*words, *LEET, *LEET.values())))
+    held, contexts = grams.where(F.translate("gram", letters, "") == ""), grams.selectExpr(_CONTEXT).where(F.translate("context", letters, "") == "")
+    return _model(grams, held, contexts.distinct()), weights, bias
 
 
 def _fit(combos: list[tuple[list[str], int, int]], words: list[str], rounds: int = 1000, ridge: float = 0.05) -> tuple[dict[str, float], float]:
@@ -215,7 +263,7 @@ def _fit(combos: list[tuple[list[str], int, int]], words: list[str], rounds: int
 
 def _scored(docs: DataFrame, model: CharModel, weights: dict[str, float], bias: float, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``docs`` under the names _0, _1, ... and toxic_score. Text travels once."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, weights, bias))  # bounded by LEXICON and the trigram limit
+    shared = docs.sparkSession.sparkContext.broadcast((model, weights, bias))  # bounded by LEXICON and the trigrams over its letters
     columns = keep if "text" in keep else [*keep, "text"]
     names, text_at = [f"_{i}" for i in range(len(columns))], columns.index("text")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from sextant.llm import op1_language_id as lid
 from sextant.llm import op4_licenses as lic
 from sextant.llm import op5_toxicity as tox
@@ -110,3 +112,28 @@ def test_licenses_over_lines_beside_each_other_and_of_any_rank():
     assert found("This work is licensed under the GNU Lesser General Public License, version 3.") == [(0, "LGPL-3.0", "exact")]
     assert found("All rights are with those who reserved all of it") == []
     assert found("this work is " + "a b " * 10 + "\n" + lic.TEMPLATES["GPL-3.0"]) == [(1, "GPL-3.0", "exact")]
+
+
+def test_character_counts_cover_all_rows_outside_the_fold(spark):
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    out, held = next(i for i in range(500, 600) if not fold(i)), next(i for i in range(500, 600) if fold(i))
+    clean = [(i, "a kind note about gardens") for i in range(60)]
+    docs = spark.createDataFrame([(*r, None, None, None) for r in [*clean, *((i, "a kind idiot note") for i in range(60, 90)), (out, "tidbit. Tidbits"), (None, "bottom"), (held, "gossip")]], DOCS)
+    labels = spark.createDataFrame([(i, 1, int(i >= 60)) for i in range(90)], "doc_id long, quality int, toxic int")
+    model, weights, _ = tox.train(docs, labels)
+    assert "idiot" in weights
+    n = sum(not fold(i) for i in range(60, 90))
+    assert (model.counts["dio"], model.counts["dbi"], model.counts["bit"], model.counts["bot"], model.counts.get("gos")) == (n, 2, 2, 1, None)
+    assert model.context["bi"] == 2 and model.context["ga"] == sum(not fold(i) for i in range(60)) and "gar" not in model.counts
+
+
+def test_lattices_name_every_trigram_they_ask_for():
+    class Asked(tox.CharModel):
+        def cost(self, context, ch):
+            seen.add(context + ch)
+            return 1.0
+
+    for token in ("1d10t", "$tup1d", "looooser", "***", "||a", ""):
+        seen = set()
+        tox.restore(token, Asked({}))
+        assert seen == tox.lattice_grams(token)
