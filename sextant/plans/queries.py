@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.digest import flat_revision, framed_sha256, tree_revision
+from ..functions.digest import flat_revision, framed_sha256, line_revisions, tree_revision
 from ..functions.text import byte_length, compact, snippet, snippet_lower, strip_frontmatter, word_count
 from ..operators import access, catalog, context, convert, evaluate, lexical, outbox, privacy, vector
 from .tables import classified, domain_of, spread, table
@@ -141,7 +141,7 @@ def bundle_revision(spark, sf):
 def source_revisions(spark, sf):
     """One flat revision per source of the catalog: a bundle's digest."""
     docs = table(spark, sf, "documents").select("source", F.format_string("%012d", "doc_id").alias("key"), F.sha2("text", 256).alias("content_sha256"))
-    return docs.groupBy("source").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "content_sha256"))), lambda x: F.concat(x["key"], F.lit(":"), x["content_sha256"])), "\n"), 256).alias("revision"))
+    return line_revisions(docs, "source")
 
 
 def framed_digests(spark, sf):
@@ -272,8 +272,10 @@ def zone_eligibility(spark, sf):
 
 
 def dedup_first_seen(spark, sf):
-    rows = table(spark, sf, "events").groupBy("user_id").agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"])), ",").alias("first_seen"))
-    return rows
+    # Nulls come last: the smallest event of each type first, then only the types are ordered.
+    first = F.min(F.struct(F.col("ts").isNull().alias("no_ts"), "ts", F.col("event_id").isNull().alias("no_id"), "event_id")).alias("first")
+    rows = table(spark, sf, "events").groupBy("user_id", "event_type").agg(first)
+    return rows.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "event_type"))), lambda x: x["event_type"]), ",").alias("first_seen"))
 
 
 def _requests(spark, sf):

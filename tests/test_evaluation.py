@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import importlib
 import subprocess
 import sys
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sextant.operators import convert, evaluate, outbox
+from sextant.plans import queries
 from sextant.streaming.queue import accepted, expired, note_verdicts
 
 
@@ -122,3 +124,25 @@ def test_every_oracle_has_a_query():
 def test_library_does_not_import_the_text_subpackage():
     code = "import sys; import sextant.plans.oracles, sextant.streaming.queue, sextant.sources.notes, sextant.operators.context; assert not [m for m in sys.modules if m.startswith('sextant.llm')]"
     assert subprocess.run([sys.executable, "-c", code], check=False).returncode == 0
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_source_revisions_hash_without_collecting_a_source(spark, tmp_path):
+    rows = [(3, "c", "a"), (1, "a", "a"), (2, "b", "a"), (2, "a", "a"), (4, "x", "b"), (5, None, "b"), (6, None, "n"), (7, "y", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = {s: (sum(r[2] == s for r in rows), sha("\n".join(f"{d:012d}:{h}" for d, h in sorted((r[0], sha(r[1])) for r in rows if r[2] == s and r[1] is not None)))) for s in ("a", "b", "n", None)}
+    got = queries.source_revisions(spark, str(tmp_path))
+    assert {r.source: (r.n, r.revision) for r in got.collect()} == want and got.columns == ["source", "n", "revision"]
+    assert "collect_list" not in _plan(got)
+
+
+def test_first_seen_types_collect_no_events(spark, tmp_path):
+    rows = [(1, 10, "2024-01-02", "view"), (1, 11, "2024-01-01", "click"), (1, 12, "2024-01-01", "view"), (1, 9, "2024-01-01", "error"), (1, 1, None, "signup"), (1, 2, "2024-01-03", None), (2, 5, None, "view"), (2, 6, "2024-01-01", "view"), (2, None, "2024-01-01", "click")]
+    spark.createDataFrame(rows, "user_id long, event_id long, ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
+    got = queries.dedup_first_seen(spark, str(tmp_path))
+    assert {r.user_id: r.first_seen for r in got.collect()} == {1: "error,click,view,signup", 2: "view,click"}
+    assert _plan(got).count("Aggregate [user_id") == 2
