@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of the scratch blocks that are open, the innermost last.
+_OPEN: ContextVar[tuple[str, ...]] = ContextVar("open", default=())
+
 
 def work_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``; where that is unset (tests), below the warehouse."""
@@ -15,8 +21,25 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` once and read it back: its lineage ends at a durable table that survives executors."""
-    path = work_dir(df.sparkSession)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside the block go when it ends, except those stored with ``keep``."""
+    folder = work_dir(spark)
+    token = _OPEN.set((*_OPEN.get(), folder))
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Write ``df`` once and read it back: its lineage ends at a durable table that survives executors.
+
+    ``keep``: the table outlives the innermost scratch block.
+    """
+    folders = _OPEN.get()[: -1 if keep else None]
+    path = f"{folders[-1]}/{uuid.uuid4().hex}" if folders else work_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
