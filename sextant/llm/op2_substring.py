@@ -11,10 +11,15 @@ with other blocks but which are not repeated themselves. At these factor boundar
 window is looked up on its own among the blocks of the anchor. Both steps together find
 every repeated window: equal windows have equal anchors.
 
+A plain greedy parse, which follows one reference at a time, would miss a window that is
+repeated elsewhere than in the reference it follows; the parse is therefore one against
+all references at once, by hashes, and its factors are the maximal runs of windows found.
+
 Scale: a document sends one row per block (about one per fifteen words); rows equal
 within a chunk of text are merged before the shuffle, so a passage that a third of all
 documents share sends one row per chunk. A repeated block is one index row however often
-it occurs; nothing lists the pairs of its occurrences. Texts travel compressed.
+it occurs; nothing lists the pairs of its occurrences, and no anchor's blocks meet in one
+task: that an anchor has several is a partial aggregate. Texts travel compressed.
 
 Defined results: null text has no words; documents shorter than a window keep all; equal
 rows are two occurrences; rows of one id with different texts are told apart; other
@@ -30,16 +35,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, stored, table
+from .common import chunks, scratch, stored, table
 from .words import BASE, hashes, mix, runs, spans, text_bytes
 
 WINDOW = 35
 ANCHOR = 8
 SPREAD = WINDOW - ANCHOR + 1  # anchors to choose from in a window, and most windows in a block
 TEXT_BYTES = 2 << 20
+#: Rows (of at most 40 bytes) that may be broadcast; more are joined by shuffle, where Spark may split hot keys.
+BROADCAST_ROWS = 500_000
+
+
+def _small(frame: DataFrame) -> DataFrame:
+    """A stored frame, with a broadcast hint if it has few rows."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
 
 
 class Words:
@@ -141,12 +153,13 @@ def reference_index(docs: DataFrame) -> DataFrame:
     """Blocks that matter: repeated, or sharing their anchor with another block.
 
     One row per anchor and block: occurrences n, one occurrence, and whether the anchor
-    has other blocks. All steps after the one shuffle by anchor stay in its partitions.
+    has other blocks.
     """
     rows = _identified(docs).mapInArrow(_over_chunks(lambda part: _block_rows(part, True)), BLOCK + ", n long")
-    blocks = rows.repartition("a").groupBy("a", "p").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "t", "at")).alias("one"))
-    blocks = blocks.withColumn("shared", F.count("*").over(Window.partitionBy("a")) > 1)
-    return stored(blocks.where("n > 1 or shared").select("a", "p", "n", "shared", "one.*"))
+    blocks = rows.groupBy("a", "p").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "t", "at")).alias("one"))
+    several = stored(blocks.groupBy("a").agg(F.min("p").alias("low"), F.max("p").alias("high")).where("low <> high").select("a", F.lit(True).alias("shared")))
+    found = blocks.join(_small(several), "a", "left").where("n > 1 or shared")
+    return stored(found.select("a", "p", "n", F.coalesce("shared", F.lit(False)).alias("shared"), "one.*"))
 
 
 def boundary_windows(docs: DataFrame, index: DataFrame) -> DataFrame:
@@ -173,18 +186,19 @@ def boundary_windows(docs: DataFrame, index: DataFrame) -> DataFrame:
 
     # Equal rows of documents give equal windows: a block counts once.
     windows = stored(both.select("z", "blocks").mapInArrow(run, "a long, p long, w long, j int, whole boolean"))
-    again = windows.groupBy("a", "w").agg(F.min("p").alias("low"), F.max("p").alias("high")).where("low <> high").select("a", "w")
+    again = stored(windows.groupBy("a", "w").agg(F.min("p").alias("low"), F.max("p").alias("high")).where("low <> high").select("a", "w"))
     single = windows.where("not whole")
-    return single.join(again, ["a", "w"]).groupBy("a", "p").agg(F.bit_or(F.expr("shiftleft(1, j)")).alias("mask"))
+    return single.join(_small(again), ["a", "w"]).groupBy("a", "p").agg(F.bit_or(F.expr("shiftleft(1, j)")).alias("mask"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, t and factors (at, mask): the windows of each document that are repeated."""
-    index = reference_index(docs)
-    whole = index.where("n > 1").select("a", "p", F.lit((1 << SPREAD) - 1).alias("mask"))
-    known = whole.unionByName(boundary_windows(docs, index))
+    with scratch(docs.sparkSession):
+        index = reference_index(docs)
+        whole = index.where("n > 1").select("a", "p", F.lit((1 << SPREAD) - 1).alias("mask"))
+        known = stored(whole.unionByName(boundary_windows(docs, index)), keep=True)
     rows = _identified(docs).mapInArrow(_over_chunks(lambda part: _block_rows(part, False)), BLOCK + ", n long").drop("n")
-    found = rows.join(known, ["a", "p"])
+    found = rows.join(_small(known), ["a", "p"])
     return found.groupBy("doc_id", "t").agg(F.collect_set(F.struct("at", "mask")).alias("factors"))
 
 
