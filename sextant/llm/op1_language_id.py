@@ -5,9 +5,10 @@ smoothed likelihood under each language; expectation-maximisation estimates the
 document's language proportions, and the set of languages is the one with the best
 penalised likelihood among the nested sets of the most probable ones.
 
-Training: trigram counts per language from at most ``TRAIN_DOCS`` rows (about that many,
-chosen by a hash of the id) with a non-null ``lang`` outside the held-out fold. The model
-has ``BUCKETS`` numbers per language, whatever the corpus.
+Training: trigram counts per language from at most ``LANGUAGE_DOCS`` rows of each (about
+that many, chosen by a hash of the id; all of a rarer language) with a non-null ``lang``
+outside the held-out fold. The model has ``BUCKETS`` numbers per language, whatever the
+corpus.
 
 Defined results: text null or without a letter gives ``und`` with score 0; without
 training rows everything is ``und``; repeated rows are scored each; columns other than
@@ -26,12 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import chunks, held_out, sampled, table
 
-TRAIN_DOCS = 20_000
+LANGUAGE_DOCS = 5_000
 BITS = 16
 BUCKETS = 1 << BITS
 SMOOTH = 0.5
 FULL_ROUNDS, SET_ROUNDS = 10, 8
-MAX_LANGUAGES = 4
 #: A further language must raise the log likelihood by this times log(trigrams).
 PENALTY = 2.0
 LEAST_SHARE = 0.03
@@ -74,10 +74,11 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return key[at] >> BITS, key[at] & (BUCKETS - 1), np.diff(np.append(at, len(key)))
 
 
-def train(docs: DataFrame, bound: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, bound: int = LANGUAGE_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages in code-point order and the trigram probabilities, one row per bucket."""
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    rows = rows.where(sampled(F.col("doc_id"), rows.count(), bound))
+    known = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("docs")))  # a row per language, as in the model
+    rows = rows.join(known, "lang").where(sampled(F.col("doc_id"), F.col("docs"), bound))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -138,7 +139,7 @@ def infer(texts: list[str | None], langs: list[str], model: np.ndarray) -> tuple
         starts2 = np.concatenate(([0], np.cumsum(sizes2)[:-1]))
         count = np.log(np.add.reduceat(n2, starts2) + 1)
         value = np.full(len(mixed), -np.inf)
-        for k in range(1, min(MAX_LANGUAGES, len(langs)) + 1):
+        for k in range(1, len(langs) + 1):  # until a further language helps no document
             start = np.zeros((len(mixed), len(langs)), np.float32)
             top = order[mixed, :k]
             np.put_along_axis(start, top, np.maximum(np.take_along_axis(pi[mixed], top, 1), 1e-6), 1)
@@ -146,6 +147,8 @@ def infer(texts: list[str | None], langs: list[str], model: np.ndarray) -> tuple
             found, ll = _em(p2, n2, starts2, sizes2, start, 0 if k == 1 else SET_ROUNDS)
             ll = ll - PENALTY * (k - 1) * count
             better = ll > value
+            if not better.any():
+                break
             value[better] = ll[better]
             best[mixed[better]] = found[better]
     top = best.argmax(axis=1)
