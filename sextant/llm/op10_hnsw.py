@@ -1,13 +1,16 @@
 """Approximate nearest neighbours: an HNSW graph per shard, shard results merged.
 
 Vectors are dealt to shards by a hash; a shard holds about ``SHARD_ROWS`` of them. Inside,
-equal vectors are one node. Nodes get geometric levels; on each level a node is joined to
-diverse near nodes (a candidate is kept if it is nearer to the node than to every kept
-one), with reverse edges where there is room. The graph is stored as flat arrays: one
-neighbour matrix a level, -1 for none. Nearness is the largest inner product; edges use
-the usual augmentation that turns it into Euclidean distance. Queries go down the levels
-and through the bottom one with a beam of ``BEAM``, many in step; scores are inner
-products in double precision on the original vectors. Every row is indexed.
+equal vectors are one node. Nodes get geometric levels. Each level is built by insertion:
+the first ``BATCH`` nodes find their neighbours among themselves, then batch after batch
+finds its candidates by a beam search in the graph so far and among the batch itself. A
+node is joined to diverse near ones (a candidate is kept if it is nearer to the node than
+to every kept one); a node that a new edge reaches chooses anew among its old and new
+neighbours. The graph is stored as flat arrays: one neighbour matrix a level, -1 for none.
+Nearness is the largest inner product; one more component gives all vectors the same
+length, so that it orders nodes as distance does. Queries go down the levels and through
+the bottom one with a beam of ``BEAM``, many in step; scores are inner products in double
+precision on the original vectors. Every row is indexed.
 
 Defined results: vectors null, zero, or with null or non-finite components take no part;
 missing trailing components count as 0; equal rows are one row; rows that share an id
@@ -30,53 +33,113 @@ from .vectors import dimension, finite, matrix
 
 K = 20
 QUERY_EVERY = 20
-SHARD_ROWS = 4_096
-LINKS, CANDIDATES, BEAM = 16, 64, 96
-QUERY_ROWS = 256
-
-
-def _select(distance: np.ndarray, nearest: np.ndarray, most: int) -> np.ndarray:
-    """Diverse neighbours of every node. distance: all pairs; nearest: candidates by distance."""
-    n = len(nearest)
-    kept, count, rows = np.full((n, most), -1, np.int32), np.zeros(n, np.int64), np.arange(n)
-    for j in range(nearest.shape[1]):
-        c = nearest[:, j]
-        d = distance[rows, c]
-        to_kept = np.where(kept >= 0, distance[c[:, None], kept], np.inf).min(axis=1)
-        good = (c != rows) & (count < most) & (d < to_kept)
-        kept[rows[good], count[good]] = c[good]
-        count += good
-    for j in range(nearest.shape[1]):  # then the nearest that were passed over
-        c = nearest[:, j]
-        good = (c != rows) & (count < most) & ~(kept == c[:, None]).any(axis=1)
-        kept[rows[good], count[good]] = c[good]
-        count += good
-    return kept
-
-
-def _both_ways(kept: np.ndarray, distance: np.ndarray, room: int) -> np.ndarray:
-    """Adds reverse edges, nearest first, as far as a node has room."""
-    n = len(kept)
-    a, j = np.nonzero(kept >= 0)
-    b = kept[a, j].astype(np.int64)
-    key = np.unique(np.concatenate((a * n + b, b * n + a)))
-    a, b = key // n, key % n
-    own = (kept[a] == b[:, None]).any(axis=1)
-    order = np.lexsort((distance[a, b], ~own, a))
-    a, b = a[order], b[order]
-    place = np.arange(len(a)) - np.searchsorted(a, a)
-    out = np.full((n, room), -1, np.int32)
-    fits = place < room
-    out[a[fits], place[fits]] = b[fits]
+SHARD_ROWS = 16_384
+LINKS, CANDIDATES, BEAM = 16, 48, 160
+BATCH, QUERY_ROWS = 1_024, 256
+#: Nodes of the beam that are opened in one step.
+OPENED = 4
+
+
+def _dots(vectors: np.ndarray, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner product of each row of q with the vectors its row of ``rows`` names."""
+    return np.einsum("ijk,ik->ij", vectors[rows], q)
+
+
+def diverse(vectors: np.ndarray, q: np.ndarray, cand: np.ndarray, most: int) -> np.ndarray:
+    """At most ``most`` diverse neighbours per row of q among its candidates (-1 for none), then the nearest passed over."""
+    out = np.full((len(q), most), -1, np.int32)
+    for at in range(0, len(q), 256):
+        c = cand[at : at + 256]
+        v = vectors[c]
+        near = np.where(c >= 0, np.einsum("ijk,ik->ij", v, q[at : at + 256]), -np.inf)
+        order = np.argsort(-near, axis=1, kind="stable")
+        c, near, v = np.take_along_axis(c, order, 1), np.take_along_axis(near, order, 1), np.take_along_axis(v, order[:, :, None], 1)
+        between = v @ v.transpose(0, 2, 1)
+        kept = np.zeros(c.shape, bool)
+        for j in range(c.shape[1]):
+            rival = np.where(kept, between[:, j], -np.inf).max(axis=1)
+            kept[:, j] = (near[:, j] > -np.inf) & (rival < near[:, j]) & (kept.sum(axis=1) < most)
+        rank = np.argsort(np.where(kept, 0, 1) + np.where(near > -np.inf, 0, 2), axis=1, kind="stable")[:, :most]
+        some = np.where(np.take_along_axis(near, rank, 1) > -np.inf, np.take_along_axis(c, rank, 1), -1)
+        out[at : at + 256, : some.shape[1]] = some
     return out
 
 
+def beam_search(vectors: np.ndarray, near: np.ndarray, q: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes found for every row of q, best first (-1 for none), and their inner products."""
+    rows, beam = np.arange(len(q)), max(1, min(beam, len(near)))
+    seen = np.zeros((len(q), len(near) + 1), bool)
+    seen[rows, start] = True
+    seen[:, -1] = True  # the place of -1
+    found, value, done = np.full((len(q), beam), -1, np.int64), np.full((len(q), beam), -np.inf, np.float32), np.ones((len(q), beam), bool)
+    found[:, 0], value[:, 0], done[:, 0] = start, np.einsum("ij,ij->i", vectors[start], q), False
+    moving, step = rows, min(OPENED, beam)
+    while len(moving):
+        todo = np.where(done[moving], -np.inf, value[moving])
+        j = np.argpartition(-todo, step - 1, axis=1)[:, :step]
+        open_ = np.take_along_axis(todo, j, 1) > -np.inf
+        some = open_.any(axis=1)
+        moving, j, open_ = moving[some], j[some], open_[some]
+        if not len(moving):
+            break
+        done[moving[:, None], j] = True
+        cand = np.where(open_[:, :, None], near[np.take_along_axis(found[moving], j, 1)], -1).reshape(len(moving), -1)
+        cand.sort(axis=1)
+        new = ~seen[moving[:, None], cand]
+        new[:, 1:] &= cand[:, 1:] != cand[:, :-1]
+        seen[moving[:, None], cand] = True
+        s = np.where(new, _dots(vectors, cand, q[moving]), -np.inf).astype(np.float32)
+        all_s = np.concatenate((value[moving], s), axis=1)
+        top = np.argpartition(-all_s, beam - 1, axis=1)[:, :beam]
+        value[moving] = np.take_along_axis(all_s, top, 1)
+        found[moving] = np.take_along_axis(np.concatenate((found[moving], cand), axis=1), top, 1)
+        done[moving] = np.take_along_axis(np.concatenate((done[moving], ~new), axis=1), top, 1)
+    order = np.argsort(-value, axis=1, kind="stable")
+    value = np.take_along_axis(value, order, 1)
+    return np.where(value > -np.inf, np.take_along_axis(found, order, 1), -1), value
+
+
+def level_graph(vectors: np.ndarray, room: int) -> np.ndarray:
+    """Neighbour matrix of a level whose nodes are the rows of ``vectors``, inserted in order."""
+    n = len(vectors)
+    near = np.full((n, room), -1, np.int32)
+    hubs = vectors[: min(n, 256)]
+    for at in range(0, n, BATCH):
+        q = vectors[at : at + BATCH]
+        own = q @ q.T
+        np.fill_diagonal(own, -np.inf)
+        m = min(CANDIDATES, len(q))
+        cand = np.argpartition(-own, m - 1, axis=1)[:, :m]
+        cand = np.where(np.take_along_axis(own, cand, 1) > -np.inf, cand + at, -1)
+        if at:
+            size = max(32, (1 << 25) // at)  # rows at once: what each has seen is a row of flags
+            older = [beam_search(vectors, near[:at], q[i : i + size], (q[i : i + size] @ hubs.T).argmax(axis=1), CANDIDATES)[0] for i in range(0, len(q), size)]
+            cand = np.concatenate((np.concatenate(older), cand[:, : CANDIDATES // 2]), axis=1)
+        near[at : at + len(q), :LINKS] = diverse(vectors, q, cand, LINKS)
+        # Reverse edges: nodes that new edges reach choose among old and new neighbours.
+        a, j = np.nonzero(near[at : at + len(q), :LINKS] >= 0)
+        b, a = near[at + a, j].astype(np.int64), a + at
+        order = np.lexsort((-np.einsum("ij,ij->i", vectors[a], vectors[b]), b))
+        a, b = a[order], b[order]
+        place = np.arange(len(b)) - np.searchsorted(b, b)
+        a, b, place = a[place < room], b[place < room], place[place < room]
+        reached = np.unique(b)
+        fresh = np.full((len(reached), room), -1, np.int64)
+        fresh[np.searchsorted(reached, b), place] = a
+        both = np.sort(np.concatenate((near[reached].astype(np.int64), fresh), axis=1), axis=1)
+        both[:, 1:] = np.where(both[:, 1:] == both[:, :-1], -1, both[:, 1:])
+        near[reached] = diverse(vectors, vectors[reached], both, room)
+    return near
+
+
 class Graph:
     """Unique vectors, the ids of each, and per level its nodes and neighbour matrix."""
 
     def __init__(self, x, first, ids, levels):
         self.x, self.first, self.ids, self.levels = x, first, ids, levels
-        self.fast = x.astype(np.float32)
+        square = (x**2).sum(axis=1)
+        extra = np.sqrt(np.maximum(square.max() - square, 0))
+        self.wide = np.concatenate((x, extra[:, None]), axis=1).astype(np.float32)
 
     @classmethod
     def build(cls, ids: np.ndarray, x: np.ndarray, seed: int) -> Graph:
@@ -84,23 +147,16 @@ class Graph:
         x, ids = x[order], ids[order]
         new = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]).any(axis=1))))
         first, x = np.append(new, len(ids)), x[new]
-        n = len(x)
-        level = np.floor(-np.log(1 - np.random.default_rng(seed).random(n)) / math.log(LINKS)).astype(int)
-        square = (x**2).sum(axis=1)
-        extra = np.sqrt(np.maximum(square.max() - square, 0))
-        wide = np.concatenate((x, extra[:, None]), axis=1).astype(np.float32)
-        levels = []
+        draw = np.random.default_rng(seed)
+        level = np.floor(-np.log(1 - draw.random(len(x))) / math.log(LINKS)).astype(int)
+        graph, turn = cls(x, first, ids, []), draw.permutation(len(x))
         for at in range(level.max() + 1):
-            nodes = np.flatnonzero(level >= at)
-            w = wide[nodes]
-            distance = np.maximum(2 * np.float32(square.max()) - 2 * w @ w.T, 0)
-            m = min(CANDIDATES + 1, len(nodes))
-            nearest = np.argpartition(distance, m - 1, axis=1)[:, :m]
-            nearest = np.take_along_axis(nearest, np.argsort(np.take_along_axis(distance, nearest, 1), axis=1, kind="stable"), 1)
-            room = 2 * LINKS if at == 0 else LINKS
-            near = _both_ways(_select(distance, nearest, LINKS), distance, room)
-            levels.append((nodes.astype(np.int32), np.where(near >= 0, nodes[near], -1).astype(np.int32)))
-        return cls(x, first, ids, levels)
+            nodes = turn[level[turn] >= at]
+            near = level_graph(graph.wide[nodes], 2 * LINKS if at == 0 else LINKS)
+            near = np.where(near >= 0, nodes[near], -1)
+            back = np.argsort(nodes)  # bottom level: rows in order of nodes
+            graph.levels.append((nodes[back].astype(np.int32), near[back].astype(np.int32)))
+        return graph
 
     def flat(self) -> dict[str, list]:
         return {
@@ -116,48 +172,23 @@ class Graph:
 
     def search(self, q: np.ndarray, beam: int) -> np.ndarray:
         """Nodes found for every row of q, best first, -1 for none."""
-        rows, fast = np.arange(len(q)), q.astype(np.float32)
+        fast = np.concatenate((q, np.zeros((len(q), 1))), axis=1).astype(np.float32)
         at = np.full(len(q), self.levels[-1][0][0], np.int64)
-        sim = np.einsum("ij,ij->i", self.fast[at], fast)
+        sim = np.einsum("ij,ij->i", self.wide[at], fast)
         for nodes, near in reversed(self.levels[1:]):
             where = np.full(len(self.x), -1, np.int64)
             where[nodes] = np.arange(len(nodes))
-            moving = rows
+            moving = np.arange(len(q))
             while len(moving):
                 cand = near[where[at[moving]]]
-                s = np.where(cand >= 0, np.einsum("ijk,ik->ij", self.fast[cand], fast[moving]), -np.inf)
+                s = np.where(cand >= 0, _dots(self.wide, cand, fast[moving]), -np.inf)
                 j = s.argmax(axis=1)
                 top = s[np.arange(len(moving)), j]
                 better = top > sim[moving]
                 moving, j, cand, top = moving[better], j[better], cand[better], top[better]
                 at[moving], sim[moving] = cand[np.arange(len(moving)), j], top
-        near = self.levels[0][1]
-        beam = min(beam, len(self.x))
-        seen = np.zeros((len(q), len(self.x) + 1), bool)
-        seen[rows, at] = True
-        seen[:, -1] = True  # the place of -1
-        found, value, done = np.full((len(q), beam), -1, np.int64), np.full((len(q), beam), -np.inf, np.float32), np.ones((len(q), beam), bool)
-        found[:, 0], value[:, 0], done[:, 0] = at, sim, False
-        moving = rows
-        while len(moving):
-            todo = np.where(done[moving], -np.inf, value[moving])
-            j = todo.argmax(axis=1)
-            open_ = todo[np.arange(len(moving)), j] > -np.inf
-            moving, j = moving[open_], j[open_]
-            if not len(moving):
-                break
-            done[moving, j] = True
-            cand = near[found[moving, j]]
-            new = ~seen[moving[:, None], cand]
-            seen[moving[:, None], cand] = True
-            s = np.where(new, np.einsum("ijk,ik->ij", self.fast[cand], fast[moving]), -np.inf).astype(np.float32)
-            all_s = np.concatenate((value[moving], s), axis=1)
-            top = np.argpartition(-all_s, beam - 1, axis=1)[:, :beam]
-            value[moving] = np.take_along_axis(all_s, top, 1)
-            found[moving] = np.take_along_axis(np.concatenate((found[moving], cand), axis=1), top, 1)
-            done[moving] = np.take_along_axis(np.concatenate((done[moving], ~new), axis=1), top, 1)
-        order = np.argsort(-value, axis=1, kind="stable")
-        return np.where(np.take_along_axis(value, order, 1) > -np.inf, np.take_along_axis(found, order, 1), -1)
+        size = max(16, (1 << 25) // len(self.x))
+        return np.concatenate([beam_search(self.wide, self.levels[0][1], fast[i : i + size], at[i : i + size], beam)[0] for i in range(0, len(q), size)]) if len(q) else np.zeros((0, beam), np.int64)
 
 
 FLAT = "x binary, first binary, ids binary, nodes array<binary>, near array<binary>"

@@ -1,27 +1,32 @@
 """Exact top-k inner products by dual-tree cover-tree search.
 
-Queries and data are indexed alike. The top of the tree is a net of pivots from a bounded
-sample; every vector belongs to its nearest pivot's cell, and a large cell is cut by hash
-into blocks, each of which is a cover tree of its own (every child covers its points
-within half of the parent's radius, children's centres are further apart than that).
-The largest inner product between a group of queries and a node is at most
+Queries and data are indexed alike. The upper two levels of the tree are nets of pivots
+from a bounded sample, as many as the data need (cells of about ``CELL_ROWS`` rows, at
+most ``MOST_CELLS``): a vector goes to its nearest pivot of the first net, then to the
+nearest of the second net below it, whose cell it joins. A cell is a block, or blocks cut
+by hash where it is too large; each block is a cover tree of its own (every child covers
+its points within half of the parent's radius, children's centres are further apart than
+that). The largest inner product between a group of queries and a node is at most
 ``<cq, cp> + rq |cp| + rp |cq| + rq rp``; a pair below the group's worst kth score is
-pruned. A first search in one near block gives every query group that score; then pairs
-of groups and cells, of groups and blocks, and of nodes inside blocks are pruned by it.
-
-Defined results: vectors null or with null or non-finite components, or with components
-whose floor leaves 32 bits, take no part; missing trailing components count as 0; equal
-rows (id and vector) are one row; rows that share an id never answer each other; ties go
-to the smaller id; an empty table gives no rows; other columns are ignored.
+pruned. A first search in the near block gives every query group that score; then pairs
+of groups and upper nodes, of groups and cells, of groups and blocks, and of nodes inside
+blocks are pruned by it.
+
+Defined results: vectors null or with null or non-finite components take no part; a
+component whose floor, or a score that, leaves 64 bits is an error; missing trailing
+components count as 0; equal rows (id and vector) are one row; rows that share an id
+never answer each other; ties go to the smaller id; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
@@ -30,8 +35,14 @@ from .vectors import dimension, finite, matrix
 K = 5
 QUERY_EVERY = 50
 SCALE = 256
-SAMPLE, CELLS = 2_048, 32
+CELL_ROWS, MOST_CELLS = 1_024, 4_096
+#: Vectors drawn per cell to choose pivots from; with MOST_CELLS this bounds the sample.
+SAMPLE_PER_CELL = 16
 BLOCK_ROWS, GROUP_ROWS, LEAF_ROWS, QUERY_LEAF = 4_096, 256, 128, 32
+#: Query groups that travel together to a block.
+CHUNK_GROUPS = 32
+#: Rounding of bounds, as a share of the product of the lengths.
+ROUNDING = 1e-11
 LOWEST = np.iinfo(np.int64).min
 
 Tree = dict[str, np.ndarray]
@@ -48,6 +59,31 @@ def pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[chosen]
 
 
+class Net:
+    """Two levels of pivots: ``upper`` and, for each, those below it."""
+
+    def __init__(self, sample: np.ndarray, cells: int):
+        self.fan = max(1, math.ceil(math.sqrt(cells)))
+        self.upper = pivots(sample, self.fan)
+        near = nearest(sample, self.upper)
+        self.lower = [pivots(sample[near == i], self.fan) for i in range(len(self.upper))]
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """Cell of every row of x: upper pivot times ``fan`` plus lower pivot."""
+        top = nearest(x, self.upper)
+        out = top * self.fan
+        for i in np.unique(top):
+            out[top == i] += nearest(x[top == i], self.lower[i])
+        return out
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of every row; 0 if there is none."""
+    if not len(x) or not len(centres):
+        return np.zeros(len(x), np.int64)
+    return ((centres**2).sum(axis=1)[None, :] - 2 * x @ centres.T).argmin(axis=1)
+
+
 def build(x: np.ndarray, leaf: int) -> Tree:
     """Cover tree over the rows of x as flat arrays.
 
@@ -107,18 +143,23 @@ class Side:
     """Rows in tree order with their nodes."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, tree: Tree):
-        self.ids, self.x, self.tree = ids[tree["order"]], x[tree["order"]].astype(np.float64), tree
+        self.ids, self.x, self.tree = ids[tree["order"]], x[tree["order"]], tree
         self.centres = x[tree["centre"]].astype(np.float64)
         self.norms, self.radius = np.sqrt((self.centres**2).sum(axis=1)), tree["radius"]
         self.leaf = tree["first"] == tree["last"]
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; through doubles while every partial sum is exact."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    """Exact integer inner products of integer rows; through doubles while every partial sum is exact."""
+    most = float(np.abs(a.astype(np.float64)).max(initial=0)) * float(np.abs(b.astype(np.float64)).max(initial=0)) * a.shape[1]
     if most < 2**53:
-        return (a @ b.T).astype(np.int64)
-    return np.einsum("ik,jk->ij", a.astype(np.int64), b.astype(np.int64))
+        return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
+    if most < 2**62:
+        return np.einsum("ik,jk->ij", a, b)
+    exact = a.astype(object) @ b.T.astype(object)  # Python's integers
+    if exact.size and max(abs(exact.max()), abs(exact.min())) >= 2**63:
+        raise OverflowError("a score leaves 64 bits")
+    return exact.astype(np.int64)
 
 
 class Best:
@@ -147,7 +188,7 @@ def search(q: Side, d: Side, best: Best, floor: np.ndarray) -> None:
     def bounds(node: int, nodes: np.ndarray) -> np.ndarray:
         rq, rp = q.radius[node], d.radius[nodes]
         top = d.centres[nodes] @ q.centres[node] + rq * d.norms[nodes] + rp * q.norms[node] + rq * rp
-        return top + 1e-9 * np.abs(top) + 1e-6
+        return top + ROUNDING * (d.norms[nodes] + rp) * (q.norms[node] + rq) + 1e-6
 
     todo = [(0, np.array([0]))]
     while todo:
@@ -185,10 +226,10 @@ def pack(keys: dict[str, int], ids: np.ndarray, x: np.ndarray, leaf: int) -> pa.
     root = x[t["centre"][0]].astype(np.float64)
     nodes = np.concatenate([t[f].astype(np.int32) for f in NODE_FIELDS])
     row = {k: [v] for k, v in keys.items()} | {
-        "ids": [ids.astype(np.int64).tobytes()], "x": [x.astype(np.int32).tobytes()], "radius": [t["radius"].tobytes()], "nodes": [nodes.tobytes()],
+        "ids": [ids.astype(np.int64).tobytes()], "x": [x.astype(np.int64).tobytes()], "radius": [t["radius"].tobytes()], "nodes": [nodes.tobytes()],
         "sizes": [[len(t[f]) for f in NODE_FIELDS]], "c": [root.tolist()], "r": [float(t["radius"][0])], "norm": [float(np.sqrt((root**2).sum()))],
     }
-    return pa.table({k: pa.array(v, pa.int32()) if k in keys else pa.array(v, pa.list_(pa.int32())) if k == "sizes" else pa.array(v) for k, v in row.items()})
+    return pa.table({k: pa.array(v, pa.int64()) if k in keys else pa.array(v, pa.list_(pa.int32())) if k == "sizes" else pa.array(v) for k, v in row.items()})
 
 
 def unpack(row: dict, dim: int) -> Side:
@@ -196,7 +237,7 @@ def unpack(row: dict, dim: int) -> Side:
     for name, n in zip(NODE_FIELDS, row["sizes"]):
         tree[name] = nodes[at : at + n]
         at += n
-    return Side(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["x"], np.int32).reshape(-1, dim), tree)
+    return Side(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["x"], np.int64).reshape(-1, dim), tree)
 
 
 def top_k(data: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -206,81 +247,91 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """
     spark = data.sparkSession
     dim = max(dimension(data, "v"), dimension(queries, "v"))
-    sample = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
-    net = spark.sparkContext.broadcast(pivots(matrix(sample.column("v"), dim, np.float64), CELLS))  # CELLS vectors
+    cells = max(1, min(MOST_CELLS, -(-data.count() // CELL_ROWS)))
+    sample = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_PER_CELL * cells).select("v").toArrow()
+    shared = Net(matrix(sample.column("v"), dim, np.float64), cells)
+    fan, net = shared.fan, spark.sparkContext.broadcast(shared)  # at most MOST_CELLS vectors and their upper pivots
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres = net.value
         for batch in batches:
-            x = matrix(batch.column("v"), dim, np.float64)
-            cell = ((centres**2).sum(axis=1)[None, :] - 2 * x @ centres.T).argmin(axis=1) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(cell.astype(np.int32))], names=["vec_id", "v", "cell"])
+            cell = net.value.cells(matrix(batch.column("v"), dim, np.float64))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(cell.astype(np.int64))], names=["vec_id", "v", "cell"])
 
     def packed(rows: DataFrame, name: str, most: int, leaf: int) -> DataFrame:
-        rows = rows.select("vec_id", "v").mapInArrow(assign, "vec_id long, v array<int>, cell int")
-        salts = {r.cell: -(-r["count"] // most) for r in rows.groupBy("cell").count().collect()}  # CELLS rows
-        n = F.coalesce(F.element_at(F.create_map(*(F.lit(y) for x in salts.items() for y in x)), F.col("cell")), F.lit(1)) if salts else F.lit(1)
-        rows = rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), n).cast("int"))
+        rows = stored(rows.select("vec_id", "v").mapInArrow(assign, "vec_id long, v array<long>, cell long"))
+        parts = rows.groupBy("cell").agg(F.ceil(F.count("*") / most).alias("parts"))  # a row per cell
+        rows = rows.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts"))
 
         def run(key: tuple, rows: pa.Table) -> pa.Table:
             cell, part = (x.as_py() for x in key)
-            return pack({"cell": cell, name: part * CELLS + cell}, rows.column("vec_id").to_numpy(), matrix(rows.column("v"), dim, np.int32), leaf)
+            return pack({"cell": cell, name: part * fan * fan + cell}, rows.column("vec_id").to_numpy(), matrix(rows.column("v"), dim, np.int64), leaf)
 
-        return stored(rows.groupBy("cell", "part").applyInArrow(run, f"cell int, {name} int, {PACKED}"))
+        return stored(rows.select("cell", "part", "vec_id", "v").groupBy("cell", "part").applyInArrow(run, f"cell long, {name} long, {PACKED}"))
 
     blocks, groups = packed(data, "block", BLOCK_ROWS, LEAF_ROWS), packed(queries, "grp", GROUP_ROWS, QUERY_LEAF)
-    found_schema = "grp int, query_id long, query_key long, vec_id long, score long"
+    chunks = max(1, -(-groups.count() // CHUNK_GROUPS))
+    found_schema = "grp long, query_id long, query_key long, vec_id long, score long"
 
     def evaluate(pairs: DataFrame) -> DataFrame:
-        """pairs: grp, block, floor. Data blocks are shuffled once, query groups to each of their blocks."""
-        own = groups.select("grp", *(F.col(c).alias(f"q_{c}") for c in ("ids", "x", "radius", "nodes", "sizes")))
-        both = pairs.join(own, "grp").join(blocks.select("block", "ids", "x", "radius", "nodes", "sizes"), "block")
+        """pairs: grp, block, floor. A block is read once for some ``CHUNK_GROUPS`` of its query groups."""
+        own = groups.select("grp", "ids", "x", "radius", "nodes", "sizes")
+        asked = pairs.join(own, "grp").groupBy("block", F.pmod(F.xxhash64("grp"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("grp", "floor", "ids", "x", "radius", "nodes", "sizes")).alias("asked"))
+        both = asked.join(blocks.select("block", "ids", "x", "radius", "nodes", "sizes"), "block")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for row in batch.to_pylist():
-                    q, d = unpack({c[2:]: v for c, v in row.items() if c.startswith("q_")}, dim), unpack(row, dim)
-                    best = Best(len(q.ids), k)
-                    search(q, d, best, np.full(len(q.ids), row["floor"], np.int64))
-                    keep = best.score > LOWEST
-                    at = np.repeat(np.arange(len(q.ids)), keep.sum(axis=1))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row["grp"], np.int32)), pa.array(q.ids[at]), pa.array(q.tree["order"][at]), pa.array(best.ids[keep]), pa.array(best.score[keep])], names=["grp", "query_id", "query_key", "vec_id", "score"])
-
-        return both.select("grp", "floor", "q_ids", "q_x", "q_radius", "q_nodes", "q_sizes", "ids", "x", "radius", "nodes", "sizes").mapInArrow(run, found_schema)
+                for i in range(batch.num_rows):
+                    (row,) = batch.slice(i, 1).to_pylist()
+                    d = unpack(row, dim)
+                    for head in row["asked"]:
+                        q = unpack(head, dim)
+                        best = Best(len(q.ids), k)
+                        search(q, d, best, np.full(len(q.ids), head["floor"], np.int64))
+                        keep = best.score > LOWEST
+                        at = np.repeat(np.arange(len(q.ids)), keep.sum(axis=1))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), head["grp"], np.int64)), pa.array(q.ids[at]), pa.array(q.tree["order"][at]), pa.array(best.ids[keep]), pa.array(best.score[keep])], names=["grp", "query_id", "query_key", "vec_id", "score"])
+
+        return both.select("asked", "ids", "x", "radius", "nodes", "sizes").mapInArrow(run, found_schema)
 
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     heads = groups.select("grp", "cell", F.col("c").alias("qc"), F.col("r").alias("qr"), F.col("norm").alias("qn"))
-    tails = blocks.select("block", "cell", "c", "r", "norm")
+    tails = blocks.select("block", "cell", F.floor(F.col("cell") / fan).alias("top"), "c", "r", "norm")
     home = heads.join(tails, "cell").groupBy("grp").agg(F.max_by("block", F.struct(dot("qc", "c"), "block")).alias("block"))
     first = stored(evaluate(home.select("grp", "block", F.lit(LOWEST).alias("floor"))))
     kth = first.groupBy("grp", "query_id", "query_key").agg(F.count("*").alias("n"), F.min("score").alias("s"))
     kth = kth.groupBy("grp").agg(F.min(F.when(F.col("n") >= k, F.col("s")).otherwise(F.lit(LOWEST))).alias("kth"))
     kth = heads.select("grp").join(kth, "grp", "left").select("grp", F.coalesce("kth", F.lit(LOWEST)).alias("floor"))
     bound = dot("qc", "c") + F.col("qr") * F.col("norm") + F.col("r") * F.col("qn") + F.col("qr") * F.col("r")
-    reach = bound + F.abs(bound) * 1e-9 + 1e-6 >= F.col("floor")
-    # A cell's node: the centre of its first block, with a radius over the nodes of all its blocks.
-    lead = tails.groupBy("cell").agg(F.min_by(F.struct("c", "norm"), "block").alias("lead"))
-    far = F.sqrt(F.aggregate(F.zip_with("c", F.col("lead.c"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    cells = tails.join(lead, "cell").groupBy("cell").agg(F.first("lead.c").alias("c"), F.first("lead.norm").alias("norm"), F.max(F.col("r") + far).alias("r"))
-    near = (
-        heads.drop("cell").join(kth, "grp").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))))
-        .join(F.broadcast(cells), "cell").where(reach).drop("c", "norm", "r")  # CELLS rows
-    )
-    pairs = (
-        near.join(tails, "cell").where(reach).join(home.withColumnRenamed("block", "home"), "grp")
-        .where(F.col("block") != F.col("home")).select("grp", "block", "floor")
-    )
-    found = first.unionByName(evaluate(pairs))
+    reach = bound + ROUNDING * (F.col("qn") + F.col("qr")) * (F.col("norm") + F.col("r")) + 1e-6 >= F.col("floor")
+
+    def above(nodes: DataFrame, key: str, *more: str) -> DataFrame:
+        """The node over all ``nodes`` of a key: the centre of one of them, with a radius over all."""
+        lead = nodes.groupBy(key).agg(F.min_by(F.struct("c", "norm"), F.struct("norm", "c")).alias("lead"))
+        far = F.sqrt(F.aggregate(F.zip_with("c", F.col("lead.c"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+        joined = nodes.join(lead, key).groupBy(key, *more)
+        return joined.agg(F.first("lead.c").alias("c"), F.first("lead.norm").alias("norm"), (F.max(F.col("r") + far) * (1 + 1e-9)).alias("r"))
+
+    lower = stored(above(tails, "cell", "top"))
+    upper = stored(above(lower, "top"))
+    none = ("c", "norm", "r")
+    near = heads.drop("cell").join(kth, "grp").withColumn("top", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(fan - 1).cast("long"))))
+    near = near.join(F.broadcast(upper), "top").where(reach).drop(*none)  # fan rows
+    near = near.join(F.broadcast(lower), "top").where(reach).drop("top", *none)  # MOST_CELLS rows
+    pairs = near.join(tails.drop("top"), "cell").where(reach).join(home.withColumnRenamed("block", "home"), "grp", "left").where(~F.col("block").eqNullSafe(F.col("home")))
+    found = first.unionByName(evaluate(pairs.select("grp", "block", "floor")))
     order = Window.partitionBy("grp", "query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def integer_vectors(rows: DataFrame) -> DataFrame:
     """vec_id and v = floor(256 x) of the rows that take part, equal rows once."""
-    v = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE))
-    fits = F.forall(F.col("embedding"), lambda x: F.abs(x.cast("double") * SCALE) < 2.0**31 - 1)
-    good = rows.where(F.col("vec_id").isNotNull() & finite(F.col("embedding")) & fits)
-    return good.select(F.col("vec_id").cast("long"), F.transform(v, lambda x: x.cast("int")).alias("v")).distinct()
+
+    def whole(x: Column) -> Column:
+        scaled = x.cast("double") * SCALE
+        return F.when(F.abs(scaled) < 2.0**63, F.floor(scaled)).otherwise(F.raise_error(F.lit("a component leaves 64 bits")).cast("long"))
+
+    good = rows.where(F.col("vec_id").isNotNull() & finite(F.col("embedding")))
+    return good.select(F.col("vec_id").cast("long"), F.transform("embedding", whole).alias("v")).distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

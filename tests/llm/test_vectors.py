@@ -42,6 +42,36 @@ def test_cover_tree_small_and_empty_tables(spark):
     assert cover.top_k(none, none).count() == 0
 
 
+def test_cover_tree_keeps_large_components_and_refuses_overflow(spark):
+    import pytest
+
+    far = cover.integer_vectors(spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [1e7, 0.0], 0), (2, [0.5, 0.0], 0), (3, [-3e12, 3e12], 0)], "vec_id long, embedding array<double>, label int"))
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in cover.top_k(far, far.where("vec_id = 0")).collect())
+    assert got == [(0, 1, 1, 256 * 2_560_000_000), (0, 2, 2, 256 * 128), (0, 3, 3, 256 * -768_000_000_000_000)]
+    a, b = np.array([[2**40, 2**40 + 1]]), np.array([[2**22, -(2**22)], [1, 1]])
+    assert cover.products(a, b).tolist() == [[-(2**22), 2**41 + 1]]
+    with pytest.raises(OverflowError):
+        cover.products(np.array([[2**40]]), np.array([[2**40]]))
+
+
+def test_cover_tree_with_many_cells_and_far_queries(spark, monkeypatch):
+    monkeypatch.setattr(cover, "CELL_ROWS", 32)
+    monkeypatch.setattr(cover, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 6)) * 20
+    x = (centres[rng.integers(0, 12, 900)] + rng.normal(size=(900, 6)) * 0.3).astype(np.float32)
+    data = cover.integer_vectors(spark.createDataFrame([(i, [float(v) for v in row], 0) for i, row in enumerate(x)], SCHEMA))
+    asked = cover.integer_vectors(spark.createDataFrame([(5_000 + i, [float(v) for v in 50 * row], 0) for i, row in enumerate(centres)], SCHEMA))
+    got = {}
+    for r in cover.top_k(data, asked).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    v, w = np.floor(256 * x.astype(np.float64)).astype(np.int64), np.floor(256 * (50 * centres).astype(np.float32).astype(np.float64)).astype(np.int64)
+    for i in range(12):
+        s = v @ w[i]
+        top = np.lexsort((np.arange(900), -s))[:5]
+        assert sorted(got[5_000 + i]) == [(k + 1, int(j), int(s[j])) for k, j in enumerate(top)]
+
+
 def test_cover_tree_covers_and_prunes_soundly():
     x = np.random.default_rng(1).normal(size=(3_000, 6)) * 100
     t = cover.build(x, 32)
