@@ -23,6 +23,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,9 @@ from .words import hashes
 
 #: Bytes of text encoded together, and bytes of distinct units indexed together.
 TEXT_BYTES, INDEX_BYTES = 4 << 20, 1 << 18
+#: Bytes of a unit that is relaxed on its own, and its characters that are indexed together.
+LONG_BYTES, LONG_WINDOW = 4_096, 1 << 16
+KNOWN_PAIRS = 300_000  # neighbours whose stability one unit keeps in mind
 SPACE, CUT = 0xFF, 0xFE  # bytes that no UTF-8 text holds
 NONE = -1
 
@@ -166,18 +170,14 @@ class Pieces:
             rows, a, b, limit = rows[keep], a[keep], b[keep], limit[keep]
         return out
 
-    def encode_units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all units, one after another, and the number of ids of each."""
-        text = np.frombuffer(bytes([CUT]).join(units) + bytes([CUT]) * (self.width + 1), np.uint8).copy()
-        text[text == 0x20] = SPACE
+    def edges(self, text: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Byte place of every character; first character, piece and characters of every occurrence of a piece.
+
+        ``text`` ends with more cut bytes than the longest piece has. A character without a piece is an edge of its own.
+        """
         lead = (text & 0xC0) != 0x80
         lead[text == CUT] = False
-        place = np.flatnonzero(lead)  # byte offset of every character
-        cuts = np.flatnonzero(text == CUT)[: len(units)]
-        first = np.concatenate(([0], np.searchsorted(place, cuts)))  # first character of every unit
-        size = np.diff(first)
-        unit = np.repeat(np.arange(len(units)), size)
-        depth = np.arange(len(place)) - np.repeat(first[:-1], size)
+        place = np.flatnonzero(lead)
         windows = np.lib.stride_tricks.sliding_window_view(text, self.width)[place]
         suffix = np.ascontiguousarray(windows).view(f"S{self.width}").ravel()
         order = np.argsort(suffix, kind="stable")
@@ -189,11 +189,67 @@ class Pieces:
         single = np.zeros(len(place), bool)
         single[start[chars == 1]] = True
         unknown = np.flatnonzero(~single)
-        start, piece, chars = np.concatenate((start, unknown)), np.concatenate((piece, np.full(len(unknown), self.n))), np.concatenate((chars, np.ones(len(unknown), np.int64)))
+        return place, np.concatenate((start, unknown)), np.concatenate((piece, np.full(len(unknown), self.n))), np.concatenate((chars, np.ones(len(unknown), np.int64)))
+
+    def encode_long(self, unit: bytes) -> np.ndarray:
+        """Ids of one unit: edges of a window at a time, relaxed by their first character."""
+        text = np.frombuffer(unit + bytes([CUT]) * (self.width + 1), np.uint8).copy()
+        text[text == 0x20] = SPACE
+        place = np.flatnonzero(((text & 0xC0) != 0x80) & (text != CUT))
+        n, known = len(place), {}
+        kept, back = array("i", [NONE]) * n, array("i", [0]) * n
+        for a in range(0, n, LONG_WINDOW):
+            b, ahead = min(a + LONG_WINDOW, n), min(a + LONG_WINDOW + self.width, n)
+            end = place[ahead] if ahead < n else len(unit)
+            _, start, piece, chars = self.edges(np.concatenate((text[place[a] : end], np.full(self.width + 1, CUT, np.uint8))))
+            order = np.argsort(start, kind="stable")
+            order = order[: np.searchsorted(start[order], b - a)]
+            first = np.searchsorted(start[order], np.arange(b - a + 1)).tolist()
+            piece, chars = piece[order].tolist(), chars[order].tolist()
+            for i in range(b - a):
+                s = a + i
+                before = kept[s - 1] if s else NONE
+                if s and before == NONE:
+                    continue
+                for e in range(first[i], first[i + 1]):
+                    p, to = piece[e], s + chars[e] - 1
+                    if s:
+                        if (good := known.get((before, p))) is None:
+                            if len(known) >= KNOWN_PAIRS:
+                                known.clear()
+                            good = known[before, p] = bool(self.stable(np.array([before]), np.array([p]))[0])
+                        if not good:
+                            continue
+                    if to < n:
+                        kept[to], back[to] = p, chars[e]
+        out, at = [], n - 1
+        while at >= 0:
+            p, width = kept[at], back[at]
+            if p == self.n:
+                out += self.byte_ids[list(unit[place[at] : place[at + 1] if at + 1 < n else len(unit)][::-1])].tolist()
+            else:
+                out.append(p)
+            at -= width
+        return np.array(out[::-1], np.int32)
+
+    def encode_units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units, one after another, and the number of ids of each."""
+        text = np.frombuffer(bytes([CUT]).join(units) + bytes([CUT]) * (self.width + 1), np.uint8).copy()
+        text[text == 0x20] = SPACE
+        place, start, piece, chars = self.edges(text)
+        cuts = np.flatnonzero(text == CUT)[: len(units)]
+        size = np.diff(np.concatenate(([0], np.searchsorted(place, cuts))))
+        unit = np.repeat(np.arange(len(units)), size)
+        # Parts: characters between positions that no edge crosses, the edges of units among them.
+        wide = chars > 1
+        inside = np.bincount(start[wide] + 1, minlength=len(place) + 1) - np.bincount(start[wide] + chars[wide], minlength=len(place) + 1)
+        begins = np.cumsum(inside)[: len(place)] == 0
+        first = np.append(np.flatnonzero(begins), len(place))
+        depth = np.arange(len(place)) - first[np.cumsum(begins) - 1]
         end_depth = depth[start] + chars
         by_end = np.argsort(end_depth, kind="stable")
         start, piece, chars, end_depth = start[by_end], piece[by_end], chars[by_end], end_depth[by_end]
-        # kept[p]: last piece, and its characters, of the segmentation that ends before character p + 1 of its unit.
+        # kept[p]: last piece, and its characters, of the segmentation that ends before character p + 1 of its part.
         kept, back = np.full(len(place), NONE, np.int64), np.zeros(len(place), np.int64)
         for a, b in _slices(end_depth):
             s, p, c = start[a:b], piece[a:b], chars[a:b]
@@ -206,19 +262,19 @@ class Pieces:
             good[inner] = self.stable(before[ok], p[inner])
             s, p, c = s[good], p[good], c[good]
             kept[s + c - 1], back[s + c - 1] = p, c
-        # Walk back from every unit's end.
-        at, rows, found = first[1:] - 1, np.flatnonzero(size > 0), []
-        at = at[rows]
-        while len(rows):
-            found.append((rows, kept[at], at))
+        # Walk back from every part's end.
+        at, low, found = first[1:] - 1, first[:-1], []
+        while len(at):
+            found.append((kept[at], at))
             at = at - back[at]
-            more = at >= first[rows]
-            rows, at = rows[more], at[more]
+            more = at >= low
+            at, low = at[more], low[more]
         if not found:
             return np.zeros(0, np.int32), np.zeros(len(units), np.int64)
-        rows, ids, at = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((at, rows))
-        rows, ids, at = rows[order], ids[order], at[order]
+        ids, at = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(at)
+        ids, at = ids[order], at[order]
+        rows = unit[at]
         odd = np.flatnonzero(ids == self.n)
         if len(odd):  # unknown characters: their bytes
             ends = np.append(place[1:], len(text))
@@ -252,7 +308,8 @@ class Pieces:
         units = [joined[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist())]
         ids, counts = [], np.zeros(len(units), np.int64)
         spaced = np.array([u[:2] == b"  " for u in units])
-        plain = np.flatnonzero(~spaced)
+        long = np.array([len(u) > LONG_BYTES for u in units]) & ~spaced
+        plain = np.flatnonzero(~spaced & ~long)
         weight = np.cumsum([len(units[i]) + 1 for i in plain]) // INDEX_BYTES
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for a, b in _slices(weight):
@@ -260,8 +317,8 @@ class Pieces:
             got, n = self.encode_units([units[i] for i in some.tolist()])
             counts[some] = n
             parts.append((some, got, n))
-        for i in np.flatnonzero(spaced):
-            got = np.array(self.merge(units[i].decode().replace(" ", "▁")), np.int32)
+        for i in np.flatnonzero(spaced | long):
+            got = self.encode_long(units[i]) if long[i] else np.array(self.merge(units[i].decode().replace(" ", "▁")), np.int32)
             counts[i] = len(got)
             parts.append((np.array([i]), got, np.array([len(got)])))
         offset = np.cumsum(counts) - counts
