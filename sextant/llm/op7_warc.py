@@ -7,16 +7,22 @@ gives the version and whose third names the fields of every header line; a recor
 header line of those fields, the last of which declares the length, and that many bytes.
 Conversion synthesises what ARC lacks: record ids (name-based on file and offset), ISO
 timestamps, record types (response for HTTP documents, resource for others, revisit for
-payloads archived before), block and payload digests.
+payloads archived before), block and payload digests. A revisit refers to the record id
+of the response that has its payload.
 
-Files live below the shared work folder. A task names its files uniquely and returns the
-names; later steps read only files named by tasks that ended, so a task that is run again
-leaves no doubles. A file holds about ``FILE_BYTES`` of payload, or one larger record.
+Archives know nothing of page ids: a table beside them says which page each ARC record
+(file and offset) came from, and every WARC record names its ARC record as its source.
+
+Files live below the shared work folder, in subfolders by the first digits of their
+names. A task names its files uniquely and returns the names; later steps open, inside
+tasks, only files named by tasks that ended, so a task that is run again leaves no
+doubles and no folder is listed. A file holds about ``FILE_BYTES`` of payload, or one
+larger record.
 
 Defined results: null html is an empty payload; a null url is written as ``unknown:``;
 of equal payloads of at least ``least_bytes``, rows with the smallest page_id are
-responses and the others revisit it (null ids come last); other columns are ignored; an
-empty table gives no records.
+responses and the others revisit the first of them (null ids come last; if all are null,
+all are responses); other columns are ignored; an empty table gives no records.
 """
 
 from __future__ import annotations
@@ -39,6 +45,9 @@ from .common import stored, table, work_dir
 LEAST_BYTES = 0
 FILE_BYTES = 16 << 20
 MOST_TASKS = 10_000
+PREFIX = 3  # digits of a file's name that name its folder
+#: Payloads that occur more than once, and responses that others revisit, up to which they are broadcast.
+BROADCAST_ROWS = 500_000
 ARCHIVED = "20240101000000"
 #: The fields of a header line by ARC version.
 FIELDS = {
@@ -76,11 +85,10 @@ def folder(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 class _Files:
-    """Writes records to files of a bounded size and keeps their names."""
+    """Writes records to files of a bounded size, in subfolders by their names."""
 
     def __init__(self, path: str, ending: str):
         self.fs, self.path = folder(path)
-        self.fs.create_dir(self.path)
         self.ending, self.names, self.parts, self.held, self.name = ending, [], [], 0, ""
 
     def open(self) -> str:
@@ -99,19 +107,21 @@ class _Files:
 
     def close(self) -> None:
         if self.parts:
-            with self.fs.open_output_stream(f"{self.path}/{self.name}", compression=None) as out:
+            self.fs.create_dir(f"{self.path}/{self.name[:PREFIX]}")
+            with self.fs.open_output_stream(f"{self.path}/{self.name[:PREFIX]}/{self.name}", compression=None) as out:
                 for part in self.parts:
                     out.write(part)
         self.parts = []
 
 
 def write_arc(pages: DataFrame, path: str) -> DataFrame:
-    """Write page_id, url, html as ARC files below ``path``; returns the file names."""
+    """Write page_id, url, html as ARC files below ``path``; name, offset and page_id of every record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, raw, version = _Files(path, ".arc.gz"), FILE_BYTES, 2
+        files, raw, version, name = _Files(path, ".arc.gz"), FILE_BYTES, 2, ""
         for batch in batches:
-            for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
+            at: list[tuple[str, int]] = []
+            for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
                 if raw >= FILE_BYTES:
                     files.close()
                     version, raw = 3 - version, 0
@@ -120,16 +130,17 @@ def write_arc(pages: DataFrame, path: str) -> DataFrame:
                     rest = [str(len(block))] if version == 1 else ["200", "-", "-", "0", name, str(len(block))]
                     files.add(deflate(" ".join([f"filedesc://{name}", "0.0.0.0", ARCHIVED, "text/plain", *rest]).encode() + b"\n" + block))
                 body = (html or "").encode()
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if page_id is None else page_id}\r\nContent-Length: {len(body)}\r\n\r\n".encode()
+                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
                 size = len(head) + len(body)
+                at.append((name, files.offset))
                 rest = [str(size)] if version == 1 else ["200", base32_sha1(body), "-", str(files.offset), name, str(size)]
                 line = " ".join([quote(url or "unknown:", safe="%/:=&?~#+!$,;'@()*[]"), "0.0.0.0", ARCHIVED, "text/html", *rest])
                 files.add(deflate(line.encode() + b"\n" + head + body + b"\n"))
                 raw += size
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in at], pa.string()), pa.array([o for _, o in at], pa.int64()), batch.column("page_id")], names=["name", "offset", "page_id"])
         files.close()
-        yield pa.RecordBatch.from_arrays([pa.array(files.names, pa.string())], names=["name"])
 
-    return stored(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "name string"))
+    return stored(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "name string, offset long, page_id long"))
 
 
 def arc_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -158,37 +169,55 @@ def http_parts(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return {k.strip().lower(): v.strip() for k, _, v in lines}, head, body
 
 
-def _archives(spark: SparkSession, path: str, ending: str, names: DataFrame) -> DataFrame:
-    """name and content of the files in ``path`` that ``names`` lists."""
-    found = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", f"*{ending}").load(path)
-    return found.select(F.substring_index("path", "/", -1).alias("name"), "content").join(names, "name", "left_semi")
+def _opened(path: str, name: str) -> bytes:
+    fs, base = folder(path)
+    with fs.open_input_stream(f"{base}/{name[:PREFIX]}/{name}", compression=None) as file:
+        return file.read()
+
+
+def _dealt(names: DataFrame) -> DataFrame:
+    return names.repartition(max(1, min(names.count(), MOST_TASKS)))
 
 
-def index_arc(archives: DataFrame) -> DataFrame:
-    """name, offset, page_id, digest and payload length of every ARC record."""
+def index_arc(names: DataFrame, path: str) -> DataFrame:
+    """name, offset, digest and payload length of every record of the ARC files ``names`` below ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+            for name in batch.column("name").to_pylist():
                 rows = []
-                for offset, _, content in arc_records(data):
-                    http, _, body = http_parts(content)
-                    rows.append({"name": name, "offset": offset, "page_id": int(http["x-page-id"]) if http.get("x-page-id") else None, "digest": base32_sha1(body), "bytes": len(body)})
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("name", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("digest", pa.string()), ("bytes", pa.int64())]))
+                for offset, _, content in arc_records(_opened(path, name)):
+                    _, _, body = http_parts(content)
+                    rows.append({"name": name, "offset": offset, "digest": base32_sha1(body), "bytes": len(body)})
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("name", pa.string()), ("offset", pa.int64()), ("digest", pa.string()), ("bytes", pa.int64())]))
 
-    return archives.mapInArrow(run, "name string, offset long, page_id long, digest string, bytes long")
+    return _dealt(names).mapInArrow(run, "name string, offset long, digest string, bytes long")
+
+
+def _small(frame: DataFrame) -> DataFrame:
+    """With a broadcast hint, if the (stored) frame has few rows; else a join may split its hot keys."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
 
 
 def revisits(index: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """Per file the offsets of records that revisit an earlier page, with its id."""
-    same = index.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    again = index.join(same, ["digest", "bytes"]).where(F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))
-    return again.groupBy("name").agg(F.collect_list(F.struct("offset", "first")).alias("again"))
+    """Per file the offsets of records that revisit an earlier page, with the file and offset of that page's record.
+
+    index: name, offset, page_id, digest, bytes.
+    """
+    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "name", "offset")).alias("first")
+    same = index.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(first, F.count("*").alias("n"))
+    same = stored(same.where("n > 1 and not first.none").select("digest", "bytes", F.col("first.page_id").alias("least"), F.col("first.name").alias("of"), F.col("first.offset").alias("place")))
+    again = index.join(_small(same), ["digest", "bytes"]).where(F.col("page_id").isNull() | (F.col("page_id") > F.col("least")))
+    return again.groupBy("name").agg(F.collect_list(F.struct("offset", "of", "place")).alias("again"))
+
+
+def record_id(name: str, offset: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{name}#{offset}')}>"
 
 
 def warc_record(kind: str, url: str, date: str, name: str, offset: int, block: bytes, payload_digest: str, more: dict[str, str]) -> bytes:
     fields = {
-        "WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{name}#{offset}')}>", "WARC-Target-URI": url, "WARC-Date": date,
+        "WARC-Type": kind, "WARC-Record-ID": record_id(name, offset), "WARC-Target-URI": url, "WARC-Date": date,
         "WARC-Payload-Digest": f"sha1:{payload_digest}", "WARC-Block-Digest": f"sha1:{base32_sha1(block)}", **more, "Content-Length": str(len(block)),
     }
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items() if v).encode() + b"\r\n" + block + b"\r\n\r\n"
@@ -199,13 +228,13 @@ def iso(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def to_warc(name: str, data: bytes, again: dict[int, int]) -> Iterator[bytes]:
-    """WARC records equivalent to an ARC file's. again: by offset, the page a record revisits."""
+def to_warc(name: str, data: bytes, again: dict[int, tuple[str, int]]) -> Iterator[bytes]:
+    """WARC records equivalent to an ARC file's. again: by offset, file and offset of the record that one revisits."""
     for offset, fields, content in arc_records(data):
         http, head, body = http_parts(content)
         kind, block, more = ("response", content, {}) if head else ("resource", content, {})
         if offset in again:
-            kind, block, more = "revisit", head, {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<urn:page:{again[offset]}>"}
+            kind, block, more = "revisit", head, {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(*again[offset])}
         more |= {"Content-Type": "application/http;msgtype=response" if head else fields["Content-type"], "WARC-IP-Address": fields["IP-address"], "WARC-Source-URI": f"filedesc://{name}#{offset}"}
         yield warc_record(kind, fields["URL"], iso(fields["Archive-date"]), name, offset, block, base32_sha1(body), more)
 
@@ -217,65 +246,68 @@ def convert(names: DataFrame, again: DataFrame, source: str, path: str) -> DataF
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, (fs, base) = [], folder(source)
         for batch in batches:
+            written = []
             for row in batch.to_pylist():
-                with fs.open_input_stream(f"{base}/{row['name']}", compression=None) as file:
-                    data = file.read()
                 files = _Files(path, ".warc.gz")
-                files.open()
-                for record in to_warc(row["name"], data, {x["offset"]: x["first"] for x in row["again"] or []}):
+                written.append(files.open())
+                for record in to_warc(row["name"], _opened(source, row["name"]), {x["offset"]: (x["of"], x["place"]) for x in row["again"] or []}):
                     files.add(deflate(record))
                 files.close()
-                names += files.names
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
+            yield pa.RecordBatch.from_arrays([pa.array(written, pa.string())], names=["name"])
 
-    dealt = names.join(again, "name", "left").repartition(max(1, min(names.count(), MOST_TASKS)))
-    return stored(dealt.mapInArrow(run, "name string"))
+    return stored(_dealt(names.join(again, "name", "left")).mapInArrow(run, "name string"))
 
 
-def read_warc(archives: DataFrame) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to of every WARC record.
+def read_warc(names: DataFrame, path: str) -> DataFrame:
+    """record_id, url, payload_bytes, payload_digest, record_type, refers_to (a record id), name and offset (of the ARC record) of every WARC record.
 
     A response's payload is hashed again and must agree with its digest field.
     """
+    schema = pa.schema([("record_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("name", pa.string()), ("offset", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
         for batch in batches:
-            for data in batch.column("content").to_pylist():
+            for file in batch.column("name").to_pylist():
                 rows = []
-                for offset, record in members(data):
+                for offset, record in members(_opened(path, file)):
                     head, _, rest = record.partition(b"\r\n\r\n")
                     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
                     http, _, body = http_parts(rest[: int(fields["Content-Length"])])
                     kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     if kind != "revisit" and base32_sha1(body) != digest:
                         raise ValueError(f"payload of the record at {offset} does not match its digest")
+                    name, _, place = fields["WARC-Source-URI"].removeprefix("filedesc://").rpartition("#")
                     rows.append({
-                        "page_id": int(http["x-page-id"]) if http.get("x-page-id") else None, "url": fields["WARC-Target-URI"],
-                        "payload_bytes": int(http["content-length"]) if kind == "revisit" else len(body), "payload_digest": digest, "record_type": kind,
-                        "refers_to": int(fields["WARC-Refers-To"][10:-1]) if kind == "revisit" else None,
+                        "record_id": fields["WARC-Record-ID"], "url": fields["WARC-Target-URI"], "payload_bytes": int(http["content-length"]) if kind == "revisit" else len(body),
+                        "payload_digest": digest, "record_type": kind, "refers_to": fields.get("WARC-Refers-To"), "name": name, "offset": int(place),
                     })
-                yield pa.RecordBatch.from_pylist(rows, kinds)
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    kinds = "record_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, name string, offset long"
+    return _dealt(names).mapInArrow(run, kinds)
+
 
-    return archives.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+def archive(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> tuple[str, DataFrame, DataFrame]:
+    """Pages to ARC to WARC: the folder of the WARC files, their names, and the page of every ARC record."""
+    base = work_dir(pages.sparkSession)
+    origin = write_arc(pages, f"{base}/arc")
+    names = stored(origin.select("name").distinct())
+    index = stored(index_arc(names, f"{base}/arc").join(origin, ["name", "offset"]))
+    return f"{base}/warc", convert(names, revisits(index, least_bytes), f"{base}/arc", f"{base}/warc"), origin
 
 
-def archive(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> tuple[str, DataFrame]:
-    """Pages to ARC to WARC: the folder of the WARC files and their names."""
-    spark, base = pages.sparkSession, work_dir(pages.sparkSession)
-    for part in ("arc", "warc"):  # tasks without rows write no file
-        fs, path = folder(f"{base}/{part}")
-        fs.create_dir(path)
-    names = write_arc(pages, f"{base}/arc")
-    index = stored(index_arc(_archives(spark, f"{base}/arc", ".arc.gz", names)))
-    return f"{base}/warc", convert(names, revisits(index, least_bytes), f"{base}/arc", f"{base}/warc")
+def identified(records: DataFrame, origin: DataFrame) -> DataFrame:
+    """WARC records with the page_id of each, and that of the response as refers_to instead of its record id."""
+    rows = stored(records.join(origin, ["name", "offset"]))
+    asked = rows.where("refers_to is not null").select(F.col("refers_to").alias("record_id")).distinct()
+    found = stored(rows.select("record_id", F.col("page_id").alias("response")).join(asked, "record_id"))
+    return rows.join(_small(found.withColumnRenamed("record_id", "refers_to")), "refers_to", "left").drop("refers_to", "name", "offset").withColumnRenamed("response", "refers_to")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, names = archive(table(spark, sf_dir, "pages"))
-    return read_warc(_archives(spark, path, ".warc.gz", names)).drop("url")
+    path, names, origin = archive(table(spark, sf_dir, "pages"))
+    return identified(read_warc(names, path), origin).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """
