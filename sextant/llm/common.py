@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import stored, work_dir  # noqa: F401  the operators take them from here
+from ..sources.tables import scratch, stored, work_dir  # noqa: F401  the operators take them from here
 
 #: Java pattern of a word in the contracts: a run of bytes other than space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,14 +34,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sampled(key: Column, n: int, bound: int) -> Column:
+def sampled(key: Column, n: int | Column, bound: int) -> Column:
     """True for about ``bound`` of ``n`` keys, chosen by a hash; for all if there are fewer.
 
     Only for fitting classifiers, where a documented bound is allowed.
     """
-    if n <= bound:
-        return F.lit(True)
-    return F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * bound / n)
+    place = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
+    return place * n < bound
 
 
 def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK) -> Iterator[pa.RecordBatch]:
@@ -55,3 +54,9 @@ def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK) -> Iterator[pa
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+
+
+def row_hash(df: DataFrame, row: str | None = None) -> Column:
+    """A hash of all columns of ``df`` (or of those in its struct column ``row``); maps count by their JSON."""
+    at = (lambda c: F.col(row)[c]) if row else (lambda c: F.col(f"`{c}`"))
+    return F.xxhash64(*(F.to_json(F.struct(at(c).alias("x"))) if "map<" in kind else at(c) for c, kind in df.dtypes))

@@ -8,15 +8,16 @@ the integral reaches q. The mix is range-sorted by that position.
 
 Defined results: a null or empty text has size 0 and takes 0 words; a null source is a
 source of its own, ranked last; repeated rows are separate documents; an empty table
-gives an empty mix; other columns, whatever their names, are carried through ``mix``.
+gives an empty mix; other columns, whatever their names and kinds, are carried through
+``mix``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, table
+from .common import WORD, row_hash, scratch, stored, table
 
 WEIGHTS = (5, 2, 1)
 SLOPES = (-0.5, 0.0, 0.5)
@@ -24,46 +25,61 @@ LIMIT = 3
 #: Hex digits of the order key that split a source into ranges: 4096 of them, so that a
 #: source with a third of all documents is summed by many tasks.
 RANGE_DIGITS = 3
+#: Rows of sources (about 100 bytes each) that may be broadcast; more are joined by shuffle.
+BROADCAST_SOURCES = 100_000
+
+
+def running(rows: DataFrame, order: list, **sums: str) -> DataFrame:
+    """``rows`` with, per name in ``sums``, the sum of that column over the rows before in a total order.
+
+    Rows are dealt by ranges of the order; a sum is that of the earlier ranges (a row per
+    range, as many as there are shuffle partitions) plus that inside the range.
+    """
+    dealt = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("_part").agg(*(F.sum(c).alias(f"_all_{name}") for name, c in sums.items()))
+    parts = parts.select("_part", *(F.coalesce(F.sum(f"_all_{name}").over(earlier), F.lit(0)).alias(f"_base_{name}") for name in sums))
+    added = {name: F.col(f"_base_{name}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for name, c in sums.items()}
+    return dealt.join(F.broadcast(parts), "_part").withColumns(added).drop("_part", *(f"_base_{name}" for name in sums))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataFrame:
-    """One row per source: rank, source_size, weight and target.
+    """One row per source: rank, source_size, weight and target; stored.
 
     Targets share the total by weight; one above ``limit`` times its source stops there
     and its excess goes to the others by weight. Sorted by limit per weight, the sources
-    that stop are a prefix, so the water level is found with running sums. Only this
-    frame, a row per source, passes through one task.
+    that stop are a prefix, so the water level is found with running sums. Sources may be
+    as many as web hosts: ranks and sums are taken by ranges.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = by_source.select(
-        "source", "source_size", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).alias("src_no")
-    ).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("src_no") - 1) % len(weights) + 1).cast("int")))
-    order = Window.orderBy(F.col("source_size") * limit / F.col("weight"), "src_no")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = ranked.withColumn(
-        "level",
-        (F.sum("source_size").over(every) - F.coalesce(F.sum(F.col("source_size") * limit).over(before), F.lit(0)))
-        / F.sum("weight").over(after),
-    ).withColumn("open", F.col("source_size") * limit / F.col("weight") >= F.col("level"))
-    lam = F.min(F.when(F.col("open"), F.struct(F.col("source_size") * limit / F.col("weight"), "src_no", "level"))).over(every)["level"]
-    return level.select(
-        "source", "src_no", "source_size", "weight",
-        F.least((F.col("source_size") * limit).cast("double"), lam * F.col("weight")).alias("target"),
-    )
+    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1).cast("long"))
+    ranked = running(by_source, [F.col("source").asc_nulls_last()], src_no="one").withColumn("src_no", F.col("src_no") + 1).drop("one")
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("src_no") - 1) % len(weights) + 1).cast("int"))
+    ranked = ranked.withColumn("weight", weight.cast("long")).withColumn("cap", F.col("source_size") * limit)
+    ranked = ranked.withColumn("ratio", F.col("cap") / F.col("weight"))
+    level = stored(running(ranked, [F.col("ratio"), F.col("src_no")], caps="cap", weights="weight"))
+    total = level.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).first()
+    height = (F.lit(total.size) - F.col("caps")) / (F.lit(total.weight) - F.col("weights"))
+    water = level.select("ratio", "src_no", height.alias("level")).where("ratio >= level").agg(F.min(F.struct("ratio", "src_no", "level")).alias("w")).first().w
+    share = F.lit(water.level if water else None).cast("double") * F.col("weight")
+    return stored(level.select("source", "src_no", "source_size", "weight", F.least(F.col("cap").cast("double"), share).alias("target")), keep=True)
 
 
 def plan(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, limit: int = LIMIT) -> DataFrame:
-    """Per row of ``sizes`` (doc_id, source, size, any keys): copies, taken and positions.
+    """Per row of ``sizes`` (doc_id, source, h, size): copies, taken and positions.
 
     A source is passed over ``floor(target / source_size)`` times in a hashed order; in
     the last, partial pass a document is taken when more than half of it lies within the
     remainder. The running sum over a source is two sums: over its hash ranges, then
     inside each range.
     """
-    sources = F.broadcast(source_targets(sizes, weights, limit))
+    with scratch(sizes.sparkSession):
+        sources = source_targets(sizes, weights, limit)
+    if sources.count() <= BROADCAST_SOURCES:
+        sources = F.broadcast(sources)
+    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.col("h").cast("string")))  # rows without an id: by their text
     rows = (
-        sizes.withColumn("_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+        sizes.withColumn("_key", F.md5(named.cast("binary")))
         .withColumn("_range", F.substring("_key", 1, RANGE_DIGITS))
         .join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
         .drop("_source")
@@ -73,7 +89,7 @@ def plan(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, limit: int = LIMIT) -
         rows.groupBy("src_no", "_range").agg(F.sum("size").alias("_in"))
         .select("src_no", "_range", F.coalesce(F.sum("_in").over(by_range), F.lit(0)).alias("_before"))
     )
-    inside = Window.partitionBy("src_no", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("src_no", "_range").orderBy("_key", "doc_id", "size", "h").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(ranges, ["src_no", "_range"]).withColumn(
         "_at", F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     )
@@ -91,19 +107,21 @@ def plan(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, limit: int = LIMIT) -
     ).drop("_key", "_range", "_before", "_in", "_at", "_whole", "src_no", "weight")
 
 
-def sizes_of(docs: DataFrame, *keys) -> DataFrame:
-    return docs.select(
-        "doc_id", "source", *keys, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
-    )
+def sizes_of(docs: DataFrame, h: Column | None = None) -> DataFrame:
+    """doc_id, source, h (a hash that tells rows of one id apart; by default of the text) and size."""
+    h = F.xxhash64("text") if h is None else h
+    return docs.select("doc_id", "source", h.alias("h"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mixed corpus: the columns of ``docs``, a row per copy, range-sorted by position."""
-    same = Window.partitionBy("doc_id").orderBy("h")
-    keyed = docs.select("doc_id", "source", "text", F.xxhash64(*docs.columns).alias("h"), F.struct(*docs.columns).alias("row")).withColumn("nth", F.row_number().over(same))
-    planned = plan(stored(sizes_of(keyed, "nth"))).where("copies > 0").select(F.col("doc_id").alias("id"), F.col("nth").alias("n"), F.explode("positions").alias("position"))
-    mixed = keyed.join(planned, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("nth") == F.col("n")))
-    return mixed.select("row", "position", "doc_id").orderBy("position", "doc_id").select("row.*")
+    """The mixed corpus: the columns of ``docs``, a row per copy, range-sorted by position.
+
+    Equal rows are planned one by one and travel as one: any of them may stand for another.
+    """
+    keyed = docs.select(F.col("doc_id").alias("id"), row_hash(docs).alias("h"), F.struct(*docs.columns).alias("row")).groupBy("id", "h").agg(F.first("row").alias("row"))
+    planned = plan(stored(sizes_of(docs, row_hash(docs)))).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.explode("positions").alias("position"))
+    mixed = keyed.join(planned, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
+    return mixed.select("row", "position", "id").orderBy("position", "id").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
