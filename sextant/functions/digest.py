@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,43 +39,26 @@ def flat_revision(members: DataFrame, domain: str, key: str = "key", content: st
     return members.groupBy().agg(F.when(F.count("*") > 0, F.concat(F.lit(PREFIX), _ordered(domain, key, content))).alias("revision"))
 
 
-def line_revisions(members: DataFrame, group: str, key: str = "key", content: str = "content_sha256") -> DataFrame:
-    """group, n, revision: per group the SHA-256 of its lines ``key:content`` in order.
+#: Members that a range of a tree digest may hold on average.
+RANGE_MEMBERS = 4_096
 
-    A digest over bytes in order is one task's work for each group, but no group is held:
-    rows are sorted outside of memory and hashed as they pass. Lines with a null are left out.
-    """
-    line = F.concat(F.col(key), F.lit(":"), F.col(content))
-    rows = members.select(F.col(group).cast("string").alias("g"), F.col(key).alias("k"), F.col(content).alias("h"), line.alias("line"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([last], pa.string()), pa.array([n], pa.int64()), pa.array([digest.hexdigest()])], names=["g", "n", "revision"])
-
-        last, n, lines, digest = None, 0, 0, hashlib.sha256()
-        for batch in batches:
-            for g, text in zip(batch.column("g").to_pylist(), batch.column("line").to_pylist()):
-                if n and g != last:
-                    yield row()
-                    n, lines, digest = 0, 0, hashlib.sha256()
-                last, n = g, n + 1
-                if text is not None:
-                    digest.update(("\n" + text if lines else text).encode())
-                    lines += 1
-        if n:
-            yield row()
-
-    found = rows.repartition("g").sortWithinPartitions("g", "k", "h").select("g", "line").mapInArrow(run, "g string, n long, revision string")
-    return found.withColumnRenamed("g", group)
-
-
-def tree_revision(members: DataFrame, domain: str, key: str = "key", content: str = "content_sha256", digits: int = 3) -> DataFrame:
-    """revision: a digest over the digests of ranges, cut by the first hex digits of the key's hash.
-
-    Ranges are digested by many tasks; the root sees at most ``16 ** digits`` of them.
+
+def tree_revision(members: DataFrame, domain: str, key: str = "key", content: str = "content_sha256", by: tuple[str, ...] = ()) -> DataFrame:
+    """revision and n of all members (of each group ``by``): digests over the digests of ranges.
+
+    Ranges are cut by the leading hex digits of the key's hash: two, and two more for every
+    256 times ``RANGE_MEMBERS`` members. Each level digests at most 256 of the level below
+    on average, so no task orders more than a few thousand rows, whichever group is hot.
     """
-    ranges = members.withColumn("range", F.substring(F.sha2(F.col(key), 256), 1, digits)).groupBy("range").agg(_ordered(domain, key, content).alias("digest"))
-    return flat_revision(ranges, domain, "range", "digest")
+    total, digits = members.count(), 2
+    while total > RANGE_MEMBERS * 256 ** (digits // 2):
+        digits += 2
+    level = members.withColumn("range", F.substring(F.sha2(F.col(key), 256), 1, digits)).groupBy(*by, "range").agg(_ordered(domain, key, content).alias("digest"), F.count("*").alias("n"))
+    while digits > 2:
+        digits -= 2
+        upper = level.groupBy(*by, F.substring("range", 1, digits).alias("upper"))
+        level = upper.agg(_ordered(domain, "range", "digest").alias("digest"), F.sum("n").alias("n")).withColumnRenamed("upper", "range")
+    return level.groupBy(*by).agg(F.when(F.count("*") > 0, F.concat(F.lit(PREFIX), _ordered(domain, "range", "digest"))).alias("revision"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 def composed_revision(bundle: str, embedding: str, schema: str, domain: str) -> str:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import math
 import struct
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType
 
-from ..functions.digest import PREFIX, point_id
+from ..functions.digest import PREFIX, composed_revision, frame, framed_sha256_of, point_id, tree_revision
+from ..sources.tables import stored
 from ..functions.text import nfc
 
 TOKEN_DOMAIN = "sextant-token-v1"
+REVISION_DOMAIN = "sextant-provider-v1"
 POINT_BLOCK, QUERY_BLOCK = 4_096, 256
 #: Characters that are no token of their own: spaces, marks, full-width punctuation, bullets.
 IGNORED = (
@@ -104,9 +106,11 @@ def search(points: DataFrame, key: str, vector: str, queries: DataFrame, query_k
     return found.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < top_k).select(query_key, "rank", key, "score")
 
 
-def rerank(candidates: DataFrame, query_key: str, key: str, vector: str, query_vector: str, top_k: int) -> DataFrame:
-    """query_key, rank, key, score of candidates that come with their query's vector."""
-    scored = candidates.select(query_key, key, dot(F.col(vector), F.col(query_vector)).alias("score"))
+def rerank(candidates: DataFrame, query_key: str, key: str, vector: str, query_vector: str, top_k: int, cosine: bool = False) -> DataFrame:
+    """query_key, rank, key, score of candidates that come with their query's vector; ``cosine``: by angle alone, 0 for a zero vector."""
+    a, b = F.col(vector), F.col(query_vector)
+    score = dot(a, b) if not cosine else F.coalesce(dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0)), F.lit(0.0))
+    scored = candidates.select(query_key, key, score.alias("score"))
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < top_k)
 
@@ -131,6 +135,34 @@ class Descriptor:
     network: bool = False
     normalised: bool = True
     semantic: bool = False
+    contract: str = "embedding-v1"
+    kind: str = "embedding"
+
+    def revision(self, domain: str = REVISION_DOMAIN) -> str:
+        """Digest over every field: providers that could give different vectors have different revisions."""
+        return framed_sha256_of(domain.encode(), *(f"{f.name}={getattr(self, f.name)}".encode() for f in sorted(fields(self), key=lambda f: f.name)))
+
+
+@dataclass(frozen=True)
+class Stack:
+    """An embedding and a reranker chosen by name, of one dimension and metric."""
+
+    embedding: Descriptor
+    embed: Callable[[Column, int], Column]
+    reranker: Descriptor
+
+    def __post_init__(self) -> None:
+        if self.embedding.kind != "embedding" or self.reranker.kind != "reranker":
+            raise ValueError("a stack has one embedding and one reranker")
+        if self.embedding.metric != self.reranker.metric:
+            raise ValueError("embedding and reranker differ in metric")
+
+    @property
+    def revision(self) -> str:
+        return self.embedding.revision()
+
+    def vectors(self, docs: DataFrame, key: str, text: str) -> DataFrame:
+        return docs.select(key, self.embed(nfc(F.col(text)), self.embedding.dimension).alias("vector"))
 
 
 class ProviderRegistry:
@@ -163,12 +195,20 @@ def points(notes: DataFrame, vectors: DataFrame, domain: str) -> DataFrame:
     return rows.select(point_id(F.col("digest_key"), domain).alias("point_id"), "digest_key", "path", "content_sha256", "vector")
 
 
-def payload_digest(rows: DataFrame, digits: int = 3) -> DataFrame:
+def payload_digest(rows: DataFrame) -> DataFrame:
     """revision: tree digest over every stored field of every point, vectors bit by bit."""
-    from ..functions.digest import frame, tree_revision
-
     content = F.sha2(F.concat(*(frame(F.col(c)) for c in ("point_id", "digest_key", "path", "content_sha256")), frame(_packed(F.col("vector")))), 256)
-    return tree_revision(rows.select(F.col("point_id").alias("key"), content.alias("content_sha256")), "payload", digits=digits)
+    return tree_revision(rows.select(F.col("point_id").alias("key"), content.alias("content_sha256")), "payload")
+
+
+def differing(held: DataFrame, plan: DataFrame) -> DataFrame:
+    """point_id, s and p: digests of the vectors of points that are not equal, bit by bit, in both frames."""
+    digest = lambda rows, name: rows.select("point_id", F.sha2(_packed(F.col("vector")), 256).alias(name))
+    return digest(held, "s").join(digest(plan, "p"), "point_id", "full_outer").where(~F.col("s").eqNullSafe(F.col("p")))
+
+
+#: What a snapshot states of its points.
+SEAL = ("payload", "bundle", "embedding", "schema", "composed", "indexed")
 
 
 class ParquetIndex:
@@ -189,16 +229,48 @@ class ParquetIndex:
     def points(self) -> DataFrame:
         return self.spark.read.parquet(self.path)
 
+    def snapshot(self, path: str, bundle: str, embedding: str, schema: str, domain: str) -> None:
+        """Write the points and, beside them, what they were built from; ``reopen`` reads both."""
+        if self.revision is None:
+            raise RuntimeError("the index is not built")
+        sealed = (self.revision, bundle, embedding, schema, composed_revision(bundle, embedding, schema, domain), self.points().count())
+        self.points().write.parquet(f"{path}/points")
+        self.spark.createDataFrame([sealed], f"{', '.join(f'{c} string' for c in SEAL[:-1])}, {SEAL[-1]} long").coalesce(1).write.json(f"{path}/seal")
+
+    @classmethod
+    def reopen(cls, spark: SparkSession, path: str, domain: str, point_domain: str) -> ParquetIndex:
+        """The index of a snapshot; an error if its points or what it states of them were changed."""
+        seal = spark.read.schema(f"{', '.join(f'{c} string' for c in SEAL[:-1])}, {SEAL[-1]} long").json(f"{path}/seal").collect()
+        index = cls(spark, f"{path}/points")
+        rows = index.points()
+        bad = rows.agg(
+            F.count("*").alias("n"), F.count_if(F.col("point_id") != point_id(F.col("digest_key"), point_domain)).alias("ids"), F.count_distinct(F.size("vector")).alias("widths"),
+            F.count_if(~F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))).alias("odd"),
+        ).first()
+        if len(seal) != 1 or bad.n != seal[0].indexed or bad.ids or bad.odd or bad.widths > 1:
+            raise ValueError("the snapshot is damaged")
+        (s,) = seal
+        if (payload_digest(rows).first().revision or PREFIX) != s.payload or composed_revision(s.bundle, s.embedding, s.schema, domain) != s.composed:
+            raise ValueError("the snapshot was changed")
+        index.revision = s.payload
+        return index
+
+    def restore(self, other: ParquetIndex) -> str:
+        """Replace the points by those of another index."""
+        return self.rebuild(stored(other.points()))
+
     def search(self, queries: DataFrame, query_key: str, query_vector: str, top_k: int) -> DataFrame:
         if self.revision is None:
             raise RuntimeError("the index is not built")
+        width = self.points().select(F.size("vector").alias("n")).limit(1).collect()
+        good = F.forall(query_vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size(query_vector) == (width[0].n if width else F.size(query_vector)))
+        if queries.where(~F.coalesce(good, F.lit(False))).limit(1).count():
+            raise ValueError("a query vector is not finite or of another width")
         return search(self.points(), "path", "vector", queries, query_key, query_vector, top_k)
 
     def differences(self, plan: DataFrame) -> DataFrame:
         """Points of the plan and of the store that are not equal: empty if the store holds the plan."""
-        stored = self.points().select("point_id", F.sha2(_packed(F.col("vector")), 256).alias("s"))
-        planned = plan.select("point_id", F.sha2(_packed(F.col("vector")), 256).alias("p"))
-        return stored.join(planned, "point_id", "full_outer").where(~F.col("s").eqNullSafe(F.col("p")))
+        return differing(self.points(), plan)
 
     def wipe(self) -> None:
         self.spark.createDataFrame([], self.points().schema).write.mode("overwrite").parquet(self.path)
