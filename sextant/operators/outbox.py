@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.digest import framed_sha256
+from ..sources.tables import stored
 
 #: Fixed values.
 TERMINAL = ("committed", "conflict", "quarantined", "expired")
@@ -30,21 +33,43 @@ def rebound(records: DataFrame, domain: str) -> DataFrame:
     return records.withColumn("intact", F.col("binding_hash").eqNullSafe(binding_hash(domain)))
 
 
-def enqueue(requests: DataFrame, order: str = "created_at") -> DataFrame:
-    """``requests`` with ``outcome``: accepted (first of its operation), duplicate (same identity) or conflict.
+def enqueue(requests: DataFrame, order: str = "created_at", held: DataFrame | None = None) -> DataFrame:
+    """``requests`` with ``outcome``: accepted, duplicate (of an accepted one, in every identity column) or conflict.
+
+    As if one after another in ``order`` (which tells all requests apart): a request is
+    accepted if no accepted one before has its operation or its key; a refused one binds
+    nothing. ``held``: the records accepted earlier, with the identity columns.
 
-    A later request with the same operation or idempotency key as an accepted one must
-    agree with it in every identity column.
+    Each round accepts the requests that come first of the undecided both by operation and
+    by key, then decides all that meet an accepted one; a round more for each refusal in a
+    chain of crossing operations and keys. Every round ends in a stored table.
     """
-    by_operation = Window.partitionBy("operation_id").orderBy(order)
-    by_key = Window.partitionBy("idempotency_hash").orderBy(order)
-    identity = F.struct(*IDENTITY)
-    rows = requests.withColumns({"_op": F.first(identity).over(by_operation), "_key": F.first(identity).over(by_key), "_n": F.row_number().over(by_operation), "_m": F.row_number().over(by_key)})
-    outcome = (
-        F.when((F.col("_n") == 1) & (F.col("_m") == 1), "accepted")
-        .when(identity.eqNullSafe(F.col("_op")) & identity.eqNullSafe(F.col("_key")), "duplicate").otherwise("conflict")
-    )
-    return rows.withColumn("outcome", outcome).drop("_op", "_key", "_n", "_m")
+    identity = [c for c in IDENTITY if c not in ("operation_id", "idempotency_hash")]
+    same = F.struct(*IDENTITY)
+    of = lambda rows, key, name: rows.groupBy(key).agg(F.min(same).alias(name))  # noqa: E731  one accepted record a key
+    left, decided = stored(requests.select(*IDENTITY, F.col(order).alias("_at"))), []
+    record = held.select(*IDENTITY) if held is not None else None
+    while True:
+        if record is not None:
+            met = left.join(of(record, "operation_id", "_op"), "operation_id", "left").join(of(record, "idempotency_hash", "_key"), "idempotency_hash", "left")
+            known = F.col("_op").isNotNull() | F.col("_key").isNotNull()
+            outcome = F.when(same.eqNullSafe(F.col("_op")), "duplicate").otherwise("conflict")
+            met = stored(met.select("_at", *IDENTITY, F.when(known, outcome).alias("outcome")))
+            decided.append(met.where("outcome is not null").select("_at", "outcome"))
+            left = met.where("outcome is null").drop("outcome")
+        first = F.min("_at")
+        ahead = left.groupBy("operation_id").agg(first.alias("_a")), left.groupBy("idempotency_hash").agg(first.alias("_b"))
+        new = left.join(ahead[0], "operation_id").join(ahead[1], "idempotency_hash").where((F.col("_at") == F.col("_a")) & (F.col("_at") == F.col("_b")))
+        new = stored(new.select("_at", "operation_id", "idempotency_hash", *identity))
+        if not new.limit(1).count():
+            break
+        decided.append(new.select("_at", F.lit("accepted").alias("outcome")))
+        left = left.join(new.select("_at"), "_at", "left_anti")
+        record = new  # what earlier records decide is decided
+    if not decided:
+        return requests.withColumn("outcome", F.lit(None).cast("string"))
+    every = reduce(DataFrame.unionByName, decided)
+    return requests.join(every.withColumnRenamed("_at", "_o"), F.col(order) == F.col("_o")).drop("_o")
 
 
 def due(records: DataFrame, now: Column) -> Column:
@@ -85,3 +110,59 @@ def orphans(index: DataFrame, records: DataFrame) -> DataFrame:
 def holders(records: DataFrame, idempotency_hash: str) -> DataFrame:
     """Live records that hold a key."""
     return records.where((F.col("idempotency_hash") == idempotency_hash) & ~F.col("state").isin(*TERMINAL))
+
+
+#: Refusals of the writer that an enqueue may pass on; any other is an internal error.
+ADMISSION = (
+    "request-invalid", "identity-missing", "actor-denied", "model-identity-missing", "provenance-forbidden", "privacy-unclassified", "privacy-denied", "student-private-denied",
+    "secret-detected", "target-denied", "cross-zone-denied", "symlink-denied", "profile-validation-failed", "lint-failed", "privacy-scan-failed",
+)
+
+
+def admission_code(code: Column) -> Column:
+    return F.when(code.isin(*ADMISSION), code).when(code.isNotNull(), "internal-error")
+
+
+def fault(version: int, contract: str, domain: str) -> Column:
+    """Why a stored record is not to be trusted: another version, or columns that its binding hash does not cover."""
+    known = F.col("record_version").eqNullSafe(F.lit(version)) & F.col("writer_contract").eqNullSafe(F.lit(contract))
+    whole = F.forall(F.array(*(F.col(c).isNotNull() for c in BOUND)), lambda x: x) & F.col("binding_hash").eqNullSafe(binding_hash(domain))
+    return F.when(~known, "version-unknown").when(~whole, "record-corrupt")
+
+
+class StoredQueue:
+    """Records as an append-only table of versions; the last version of an operation is its record.
+
+    A version is appended by one Spark write, so that a failed job leaves none of its rows.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path, schema
+        spark.createDataFrame([], f"{schema}, version long").write.mode("append").parquet(path)
+
+    def records(self) -> DataFrame:
+        rows = self.spark.read.schema(f"{self.schema}, version long").parquet(self.path)
+        whole = F.struct("version", *[c for c in rows.columns if c != "version"])
+        return rows.groupBy("operation_id").agg(F.max_by(whole, "version").alias("r")).select("r.*")
+
+    def enqueue(self, requests: DataFrame, order: str = "created_at") -> DataFrame:
+        """``requests`` with their outcome against the stored records; accepted ones are appended as queued."""
+        judged = stored(enqueue(requests, order, held=self.records()))
+        new = judged.where("outcome = 'accepted'").withColumns({"state": F.lit("queued"), "attempts": F.lit(0), "version": F.lit(0).cast("long")})
+        kinds = self.spark.createDataFrame([], self.schema).dtypes
+        new.select(*((F.col(c) if c in new.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds), "version").write.mode("append").parquet(self.path)
+        return judged
+
+    def rewrite(self, changed: DataFrame) -> None:
+        """Append the next version of stored records; an operation that is not stored is an error."""
+        known = self.records().select("operation_id", F.col("version").alias("_v"))
+        rows = stored(changed.drop("version").join(known, "operation_id", "left").withColumn("version", F.col("_v") + 1).drop("_v"))
+        if rows.where("version is null").limit(1).count():
+            raise ValueError("an operation is not stored")
+        rows.select(*[f.name for f in self.spark.createDataFrame([], self.schema).schema], "version").write.mode("append").parquet(self.path)
+
+    def find(self, operation_id: str, idempotency_hash: str) -> DataFrame:
+        """The record of an operation, with ``outcome``: conflict if its key differs or another operation holds the key."""
+        mine = (F.col("operation_id") == operation_id) & (F.col("idempotency_hash") == idempotency_hash)
+        either = (F.col("operation_id") == operation_id) | (F.col("idempotency_hash") == idempotency_hash)
+        return self.records().where(either).withColumn("outcome", F.when(mine, "found").otherwise("conflict"))
