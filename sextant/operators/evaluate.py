@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACE, frontmatter
+
 
 def rate(hits: Column, of: Column, digits: int = 4) -> Column:
     """Null, not zero, where nothing was scored."""
@@ -24,7 +26,7 @@ def hit_rates(questions: DataFrame, by: str) -> DataFrame:
 
 
 def nearest_rank(value: str, share: float) -> Column:
-    """A measured value, never an interpolation; 0 without values."""
+    """A measured value of a column or SQL expression, never an interpolation; 0 without values."""
     return F.coalesce(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {value})"), F.lit(0.0))
 
 
@@ -107,9 +109,50 @@ def zones(path: Column, status: Column, candidate: Column, library_id: Column, p
 
 
 def plain_path(path: Column) -> Column:
-    """For matching only: without a leading ``./``, doubled slashes and ``.`` segments."""
-    p = F.regexp_replace(F.trim(path), r"\A\./", "")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(p, "/+", "/"), r"(?<=/)\./", ""), r"(?<=.)/\z", "")
+    """For matching only: without outer space, doubled slashes, ``.`` segments, and with ``..`` taken back.
+
+    ``..`` beyond the beginning stays in a relative path; a path that ends where it began is ``.``.
+    """
+    p = F.regexp_replace(F.regexp_replace(path, f"^{SPACE}+|{SPACE}+\\z", ""), r"\A\./", "")
+    root = F.regexp_extract(p, r"\A(//(?!/)|/)?", 1)
+    start = F.array().cast("array<string>")
+
+    def add(done: Column, step: Column) -> Column:
+        back = F.coalesce(F.try_element_at(done, F.lit(-1)) != "..", F.lit(False))
+        up = F.when(back, F.slice(done, F.lit(1), F.size(done) - 1)).when(root != "", done).otherwise(F.array_append(done, step))
+        return F.when(step.isin("", "."), done).when(step == "..", up).otherwise(F.array_append(done, step))
+
+    joined = F.concat(root, F.array_join(F.aggregate(F.split(p, "/"), start, add), "/"))
+    return F.when(p == "", p).when(joined == "", ".").otherwise(joined)
+
+
+def note_facts(text: Column) -> Column:
+    """status, candidate, library_id and privacy as a note's frontmatter states them (the last of equal keys)."""
+    line = r"^([A-Za-z0-9_]+):[ \t]*(.*)$"
+    trimmed = F.transform(F.coalesce(frontmatter(text)["lines"], F.array().cast("array<string>")), lambda x: F.regexp_replace(x, f"^{SPACE}+|{SPACE}+\\z", ""))
+    pairs = F.transform(F.filter(trimmed, lambda x: F.regexp_like(x, F.lit(line))), lambda x: F.struct(F.regexp_extract(x, line, 1).alias("k"), F.regexp_extract(x, line, 2).alias("v")))
+    plain = lambda v: F.regexp_replace(F.regexp_replace(v, f"{SPACE}+\\z", ""), r"^['\"]+|['\"]+\z", "")
+    of = lambda k: plain(F.try_element_at(F.filter(pairs, lambda p: p["k"] == k), F.lit(-1))["v"])
+    return F.struct(
+        of("status").alias("status"), (F.lower(F.coalesce(of("development_candidate"), F.lit(""))) == "true").alias("candidate"),
+        F.nullif(of("library_id"), F.lit("")).alias("library_id"), of("privacy").alias("privacy"),
+    )
+
+
+def pilot_catalog(notes: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Catalog rows for ``export_diff`` of bound notes (path, text, title, status, candidate_status) and fresh (path, verdict)."""
+    facts = note_facts(F.col("text"))
+    rows = notes.withColumn("_f", facts).join(fresh.select("path", F.col("verdict").alias("fresh")), "path", "left")
+    eligible = zones(F.col("path"), F.col("_f.status"), F.col("_f.candidate"), F.col("_f.library_id"), F.col("_f.privacy"))
+    return rows.select("path", "title", "status", "candidate_status", eligible.alias("eligible"), F.coalesce("fresh", F.lit("unknown")).alias("fresh"))
+
+
+def compare_export(catalog: DataFrame, export: DataFrame | None) -> tuple[bool, DataFrame | None, DataFrame | None]:
+    """Whether there was an export to compare with, and the differences and their counts: none, rather than no rows, without one."""
+    if export is None:
+        return False, None, None
+    diff = export_diff(catalog, export)
+    return True, diff, diff_counts(diff)
 
 
 def freshness(export_commit: Column, last_touch: Column, export_first: Column, note_first: Column) -> Column:
