@@ -25,7 +25,7 @@ def _within(inner: Column, outer: Column) -> Column:
 def validate(grants: DataFrame, matrix: DataFrame, trusted_issuer: str) -> DataFrame:
     """``grants`` with ``refusal``: the first rule that a grant breaks, null if it is valid."""
     grid = matrix.groupBy("actor").agg(F.map_from_entries(F.collect_list(F.struct("domain", "capabilities"))).alias("_grid"))
-    rows = grants.join(F.broadcast(grid), "actor", "left")  # one row per actor
+    rows = grants.join(grid, "actor", "left")
     allowed = lambda d: F.coalesce(F.try_element_at(F.col("_grid"), d), F.array().cast("array<string>"))
     served = F.array(*map(F.lit, SERVED))
     bounds = F.col("max_items").between(*ITEM_BOUNDS) & F.col("max_bytes").between(*BYTE_BOUNDS) & (F.col("issued_at") < F.col("expires_at"))
@@ -82,3 +82,30 @@ def in_domain(entries: DataFrame, bindings: DataFrame, domain: str, key: str = "
 def repeated(rows: DataFrame, *keys: str) -> DataFrame:
     """Keys that occur more than once."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+#: The shape of request and task ids, and of model ids.
+RUNTIME_ID, MODEL_ID = r"\A[A-Za-z0-9][A-Za-z0-9._:-]{0,127}\z", r"\A[A-Za-z0-9][A-Za-z0-9._:/-]{0,127}\z"
+
+
+def writers(requests: DataFrame, actors: DataFrame) -> DataFrame:
+    """``requests`` with ``refusal`` (null if the writer is known and may) and ``rendered``, the actor as a record names it.
+
+    requests: credential, request_id, task_id, mode (generated or captured), model_id.
+    actors: credential_sha256, actor, generated, captured (booleans). A person writes
+    without a model; anyone else generates with a named one, which becomes part of the name.
+    """
+    rows = requests.withColumn("_c", F.concat(F.lit("sha256:"), F.sha2("credential", 256)))
+    held = actors.select(F.col("credential_sha256").alias("_c"), F.col("actor").alias("_actor"), F.col("generated").alias("_gen"), F.col("captured").alias("_cap"))
+    rows = rows.join(held, "_c", "left")
+    like = lambda c, p: F.coalesce(F.regexp_like(F.col(c), F.lit(p)), F.lit(False))
+    present = (F.coalesce("credential", F.lit("")) != "") & like("request_id", RUNTIME_ID) & like("task_id", RUNTIME_ID)
+    made, person = F.col("mode") == "generated", F.col("_actor").startswith("human:")
+    model = like("model_id", MODEL_ID) & (F.col("model_id") != "unknown")
+    refusal = (
+        F.when(~present, "identity-missing").when(F.col("_actor").isNull(), "actor-denied").when(~F.coalesce(F.col("mode").isin("generated", "captured"), F.lit(False)), "identity-missing")
+        .when(~F.when(made, F.col("_gen")).otherwise(F.col("_cap")), "actor-denied").when((~made | person) & F.col("model_id").isNotNull(), "actor-denied")
+        .when(made & ~person & ~model, "model-identity-missing")
+    )
+    rendered = F.when(made & ~person, F.concat_ws("/", "_actor", "model_id")).otherwise(F.col("_actor"))
+    return rows.withColumn("refusal", refusal).withColumn("rendered", F.when(F.col("refusal").isNull(), rendered)).drop("_c", "_actor", "_gen", "_cap")

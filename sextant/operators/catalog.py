@@ -17,7 +17,7 @@ SCALARS = ("id", "title", "type", "description", "status", "content_category", "
 _META = StructType([*(StructField(s, StringType()) for s in SCALARS), StructField("tags", ArrayType(StringType())), StructField("ok", BooleanType())])
 
 
-def _loader():
+def strict_loader():
     import yaml
 
     class Unique(yaml.SafeLoader):
@@ -39,7 +39,7 @@ def _loader():
 @F.pandas_udf(_META)
 def metadata(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Fields of a frontmatter given as lines; a wrongly typed value is null, an unreadable map is not ok."""
-    yaml, loader = _loader()
+    yaml, loader = strict_loader()
     for series in batches:
         rows = []
         for lines in series:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.digest import tree_revision
+from ..functions.text import frontmatter
 from .notes import probe, read_notes
 from .tables import stored
 
@@ -80,3 +81,42 @@ def bind(manifest: DataFrame, notes: DataFrame) -> DataFrame:
     if bad:
         raise ValueError(f"the manifest does not hold for {', '.join(bad)}")
     return rows.drop("sha256", "wanted")
+
+
+def enforce_allowlist(manifest: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
+    """The manifest, if it lists exactly the allowed paths in their order; else an error."""
+    found = tuple(r.path for r in manifest.select("path").limit(len(allowed) + 1).collect())
+    if found != tuple(allowed):
+        raise ValueError("the manifest lists other paths than are allowed")
+    return manifest
+
+
+#: Fixed value: note types that no manifest may bind.
+FORBIDDEN_TYPES = ("Student Reference",)
+
+
+def forbidden(notes: DataFrame) -> DataFrame:
+    """Notes (path, text) whose frontmatter declares a forbidden type, whatever their privacy class."""
+    lines = F.coalesce(frontmatter(F.col("text"))["lines"], F.array().cast("array<string>"))
+    value = lambda x: F.regexp_replace(F.regexp_extract(x, r"^type:\s*(.*?)\s*$", 1), r"^(['\"])(.*)\1$", "$2")
+    return notes.where(F.exists(lines, lambda x: value(x).isin(*FORBIDDEN_TYPES)))
+
+
+def read_descriptor(text: str | None) -> dict:
+    """The bundle's descriptor in TOML; empty if there is none or it cannot be read."""
+    try:
+        return tomllib.loads(text) if text is not None else {}
+    except tomllib.TOMLDecodeError:
+        return {}
+
+
+def revision_row(spark: SparkSession, cache: SnapshotCache, api: str, expected_profile: str | None, descriptor: dict) -> DataFrame:
+    """profile_version, api_version, index_revision and where each comes from; a folder that keeps changing has unknown ones."""
+    try:
+        revision = cache.get()[1]
+    except RuntimeError:
+        revision, descriptor = None, {}
+    stated = descriptor.get("profile_version")
+    profile, source = (str(stated), "bundle") if stated else (expected_profile, "config") if expected_profile else (None, "unknown")
+    row = (profile, source, api, "code", revision, "computed" if revision else "unknown")
+    return spark.createDataFrame([row], "profile_version string, profile_source string, api_version string, api_source string, index_revision string, index_source string")
