@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise, occurrences, query_tokens
+from ..sources.tables import stored
 
 #: Fixed values of the scorer: field weights in order, saturation, least coverage, cutoff ratios.
 WEIGHTS = (4.0, 2.0, 2.0, 1.0)
@@ -60,8 +61,10 @@ def scores(scored_fields: DataFrame, key: str, queries: Iterable[tuple[str, str]
 def cutoff(scored: DataFrame) -> DataFrame:
     """Rows that reach the query's share of its top score, with ``total``, the survivors of the query.
 
-    Per query a count and a maximum are partial aggregates; the few rows they leave are joined back.
+    The scored rows (without texts) are stored first, as they are read three times. Per query
+    a count and a maximum are partial aggregates; the few rows they leave are joined back.
     """
+    scored = stored(scored)
     top = scored.groupBy("qid").agg(F.count("*").alias("_n"), F.max("score").alias("_top"))
     sparse = F.col("_n") <= SPARSE
     num, den = (F.when(sparse, SPARSE_RATIO[i]).otherwise(CROWDED_RATIO[i]) for i in range(2))

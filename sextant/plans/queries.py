@@ -11,14 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.digest import flat_revision, framed_sha256, line_revisions, tree_revision
+from ..functions.digest import framed_sha256, tree_revision
 from ..functions.text import byte_length, compact, snippet, snippet_lower, strip_frontmatter, word_count
-from ..operators import access, catalog, context, convert, evaluate, lexical, outbox, privacy, vector
-from .tables import classified, domain_of, spread, table
+from ..operators import access, catalog, context, convert, evaluate, lexical, outbox, privacy, shadow, vector
+from .tables import classified, dealt, domain_of, table
 
 #: The stated lexical requests.
 REQUESTS = (("q1", "apache license version"), ("q2", "pathetic moron"), ("q3", "released under the MIT license"), ("q4", "keit schach der"), ("q5", "idiot"))
 DIMENSION = 64
+REVISION_DOMAIN = "sextant-index-v1"
 GATED = """
 gated AS (
   SELECT d.doc_id, split_part(d.text, chr(10), 1) AS title, d.source AS description, d.lang AS metadata, d.text AS body, l.toxic,
@@ -28,13 +29,14 @@ gated AS (
 )"""
 
 
-def _values() -> str:
-    return ", ".join(f"('{q}', [{', '.join(repr(t) for t in dict.fromkeys(text.lower().split()))}])" for q, text in REQUESTS)
+def _values(requests) -> str:
+    return ", ".join(f"('{q}', [{', '.join(repr(t) for t in dict.fromkeys(text.lower().split()))}])" for q, text in requests)
 
 
 #: The scorer in SQL over a relation ``f`` (doc_id and the four fields, lower-case).
-SCORER = f"""
-q AS (SELECT * FROM (VALUES {_values()}) t(qid, tokens)),
+def scorer(requests=REQUESTS) -> str:
+    return f"""
+q AS (SELECT * FROM (VALUES {_values(requests)}) t(qid, tokens)),
 a AS (SELECT coalesce(avg(length(title)), 0) AS a1, coalesce(avg(length(description)), 0) AS a2, coalesce(avg(length(metadata)), 0) AS a3, coalesce(avg(length(body)), 0) AS a4 FROM f),
 t AS (
   SELECT qid, len(tokens) AS n, doc_id,
@@ -53,6 +55,9 @@ kept AS (
   SELECT s.*, count(*) OVER (PARTITION BY qid) AS total FROM scored s JOIN top USING (qid)
   WHERE CASE WHEN c <= 2 THEN 3 * score >= m ELSE 4 * score >= 3 * m END
 )"""
+
+
+SCORER = scorer()
 PUBLIC_FIELDS = GATED + ", f AS (SELECT doc_id, lower(title) AS title, lower(description) AS description, lower(metadata) AS metadata, lower(body) AS body FROM gated WHERE privacy = 'public')"
 
 
@@ -61,7 +66,7 @@ def _public(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fields(spark: SparkSession, sf: str, exact: bool = False) -> DataFrame:
-    rows = spread(spark, _public(spark, sf))
+    rows = _public(spark, sf)
     return lexical.fields(rows, "doc_id", tuple(F.col(c) for c in ("title", "description", "metadata", "body")), exact)
 
 
@@ -135,13 +140,13 @@ def context_pack(spark, sf):
 
 def bundle_revision(spark, sf):
     docs = table(spark, sf, "documents").select(F.format_string("%012d", "doc_id").alias("key"), F.sha2("text", 256).alias("content_sha256"))
-    return tree_revision(docs, "sextant-index-v1", digits=2)
+    return tree_revision(docs, REVISION_DOMAIN).select("revision")
 
 
 def source_revisions(spark, sf):
-    """One flat revision per source of the catalog: a bundle's digest."""
+    """One revision per source of the catalog."""
     docs = table(spark, sf, "documents").select("source", F.format_string("%012d", "doc_id").alias("key"), F.sha2("text", 256).alias("content_sha256"))
-    return line_revisions(docs, "source")
+    return tree_revision(docs, REVISION_DOMAIN, by=("source",)).select("source", "n", "revision")
 
 
 def framed_digests(spark, sf):
@@ -149,7 +154,7 @@ def framed_digests(spark, sf):
 
 
 def token_cost(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", word_count(strip_frontmatter(F.col("text"))).cast("long").alias("tokens")).where(F.pmod("doc_id", F.lit(17)) != 3)  # unmeasured rows
+    docs = table(spark, sf, "documents").select("doc_id", word_count(strip_frontmatter(F.col("text"))).cast("long").alias("tokens"))
     ranked = lexical.search(_fields(spark, sf), "doc_id", REQUESTS, 10, exact=False)
     return evaluate.token_cost(ranked.select("qid", "doc_id"), docs, "qid", "doc_id")
 
@@ -159,12 +164,12 @@ def text_sizes(spark, sf):
 
 
 def hash_embedding_buckets(spark, sf):
-    rows = spread(spark, table(spark, sf, "documents"))
+    rows = dealt(spark, sf, "documents")
     return vector.bucket_counts(rows, "doc_id", "text", DIMENSION, exact=False)
 
 
 def hash_embedding_rows(spark, sf):
-    rows = vector.embed_rows(spread(spark, table(spark, sf, "documents")), "doc_id", "text", DIMENSION, exact=False)
+    rows = vector.embed_rows(dealt(spark, sf, "documents"), "doc_id", "text", DIMENSION, exact=False)
     return rows.select("doc_id", F.round(F.array_max("vector"), 9).alias("largest"), F.size(F.filter("vector", lambda x: x > 0)).alias("used"))
 
 
@@ -175,11 +180,12 @@ def vector_topk(spark, sf):
 
 
 def rerank_topk(spark, sf):
-    """Candidates are the vectors with the query's label."""
-    points = table(spark, sf, "embeddings")
-    asked = points.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
-    found = points.join(asked, "label").where("vec_id <> query_id")
-    return vector.rerank(found, "query_id", "vec_id", "embedding", "q", 5).withColumn("score", F.round("score", 9))
+    """The 50 nearest of each query, except itself, reranked by cosine among those with its label."""
+    points = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    asked = points.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("asked_label"))
+    near = vector.search(points, "vec_id", "embedding", asked, "query_id", "q", 50).where("vec_id <> query_id").select("query_id", "vec_id")
+    found = near.join(points, "vec_id").join(asked, "query_id").where("label = asked_label")
+    return vector.rerank(found, "query_id", "vec_id", "embedding", "q", 5, cosine=True).withColumn("score", F.round("score", 9))
 
 
 def domain_scope(spark, sf):
@@ -199,11 +205,13 @@ def grant_resolution(spark, sf):
 
 
 def hit_rate_grouping_sets(spark, sf):
-    """A toxic document is a question; it is hit if the lexical request q2 or q5 matches its text."""
+    """A toxic document is a question; it is hit if the lexical requests q2 or q5 return it from the ungated entries."""
     rows = classified(spark, sf).where("privacy is not null")
+    served = lexical.fields(rows, "doc_id", tuple(F.col(c) for c in ("title", "description", "metadata", "body")), False)
+    found = lexical.cutoff(lexical.scores(served, "doc_id", [r for r in REQUESTS if r[0] in ("q2", "q5")], exact=False)).groupBy("doc_id").agg(F.array("doc_id").alias("found"))
     expected = F.when(F.col("toxic") == 1, F.array("doc_id")).otherwise(F.array().cast("array<bigint>"))
-    found = F.when(F.regexp_like(F.lower("body"), F.lit("moron|idiot|pathetic")), F.array("doc_id")).otherwise(F.array().cast("array<bigint>"))
-    return evaluate.hit_rates(rows.select("metadata", evaluate.hit(expected, found).alias("hit")), "metadata")
+    asked = rows.join(found, "doc_id", "left").withColumn("hit", evaluate.hit(expected, F.coalesce("found", F.array().cast("array<bigint>"))))
+    return evaluate.hit_rates(asked.select("metadata", "hit"), "metadata")
 
 
 def latency_percentiles(spark, sf):
@@ -213,7 +221,7 @@ def latency_percentiles(spark, sf):
 def leak_and_false_positive(spark, sf):
     """Requests served without the gate leak; public documents that the index (even ids' texts) lacks are false positives."""
     every = classified(spark, sf)
-    served = lexical.scores(lexical.fields(spread(spark, every), "doc_id", tuple(F.col(c) for c in ("title", "description", "metadata", "body")), False), "doc_id", REQUESTS, exact=False)
+    served = lexical.scores(lexical.fields(every, "doc_id", tuple(F.col(c) for c in ("title", "description", "metadata", "body")), False), "doc_id", REQUESTS, exact=False)
     public = privacy.admitted(every)
     leaked = evaluate.leaks(served.select("qid", "doc_id"), public, "doc_id").groupBy(F.col("qid").alias("what")).agg(F.count("*").alias("n"))
     indexed = every.where("metadata <> 'fr'")
@@ -229,15 +237,16 @@ def stale_exclusion(spark, sf):
 
 
 def _summary(spark, sf):
+    """Events as the counts of an evaluation: signups are the baseline's questions, purchases the candidate's."""
     events = table(spark, sf, "events")
-    lat = evaluate.nearest_rank("value", 0.95)
-    rows = events.agg(
-        F.count_if(F.col("event_type") != "error").alias("citation_correct"), F.count("*").alias("total_questions"), F.lit(0).alias("false_negatives"), F.lit(True).alias("compared"),
-        F.lit(True).alias("scope_overlap"), evaluate.rate(F.count_if(F.col("event_type") == "purchase"), F.count("*")).alias("lexical_rate"), evaluate.rate(F.count_if(F.col("event_type") == "signup"), F.count("*")).alias("baseline_rate"),
-        F.count("*").alias("baseline_scored"), F.count_if(F.col("event_type") == "signup").alias("baseline_hits"), F.count_if(F.col("value") > 50).alias("lexical_tokens"), F.count_if(F.col("value") > 40).alias("baseline_tokens"),
-        F.lit(0).alias("tokens_unmeasured"), lat.alias("lexical_p95"), lat.alias("baseline_p95"),
+    share = lambda kind: evaluate.rate(F.count_if((F.col("event_type") == kind) & (F.col("value") > 20)), F.count_if(F.col("event_type") == kind))
+    late = lambda kind: evaluate.nearest_rank(f"CASE WHEN event_type = '{kind}' THEN value END", 0.95)
+    return events.agg(
+        F.count_if(F.col("event_type") != "error").alias("citation_correct"), F.count("*").alias("total_questions"), F.count_if((F.col("event_type") == "error") & (F.col("value") < 0)).alias("false_negatives"),
+        (F.count_if(F.col("event_type") == "signup") > 0).alias("compared"), (F.count_if((F.col("event_type") == "signup") & (F.col("value") > 20)) > 0).alias("scope_overlap"),
+        share("purchase").alias("lexical_rate"), share("signup").alias("baseline_rate"), F.count_if(F.col("event_type") == "signup").alias("baseline_scored"), F.count_if((F.col("event_type") == "signup") & (F.col("value") > 20)).alias("baseline_hits"),
+        F.count_if(F.col("value") > 50).alias("lexical_tokens"), F.count_if(F.col("value") > 40).alias("baseline_tokens"), F.count_if(F.col("value").isNull()).alias("tokens_unmeasured"), late("purchase").alias("lexical_p95"), late("signup").alias("baseline_p95"),
     )
-    return rows
 
 
 def gate_items(spark, sf):
@@ -248,6 +257,51 @@ def gate_verdict(spark, sf):
     return evaluate.verdict(gate_items(spark, sf))
 
 
+#: Questions of the shadow evaluation: provenance, and words of which the smallest public document that holds both is expected.
+QUESTIONS = (
+    ("q1", "apache license version", "real", ("apache", "license")), ("q2", "pathetic moron", "synthetic", ("pathetic", "moron")), ("q3", "released under the MIT license", "real", ("released", "mit")),
+    ("q4", "keit schach der", "real", ("keit", "schach")), ("n1", "zyzzyva quagga", "synthetic", ("zyzzyva", "quagga")),
+)
+ENGINES = ("lexical", "vector")
+
+
+def _shadow(spark, sf):
+    """The report of both engines over the public documents: the same index, questions and tokens for both."""
+    public = _public(spark, sf).select("doc_id", "title", "description", "metadata", "body")
+    path = F.concat(F.col("doc_id"), F.lit(".md"))
+    low = F.lower("body")
+    least = public.agg(*(F.min(F.when(F.contains(low, F.lit(a)) & F.contains(low, F.lit(b)), F.col("doc_id"))).alias(q) for q, _, _, (a, b) in QUESTIONS))
+    row = lambda q, p: F.struct(F.lit(q).alias("qid"), F.lit(p).alias("provenance"), F.when(F.col(q).isNull(), shadow.NO_ANSWER).otherwise("lookup").alias("category"), F.when(F.col(q).isNotNull(), F.array(F.concat(F.col(q), F.lit(".md")))).otherwise(F.array().cast("array<string>")).alias("expected"))
+    questions = least.select(F.inline(F.array(*(row(q, p) for q, _, p, _ in QUESTIONS))))
+    requests = [(q, text) for q, text, _, _ in QUESTIONS]
+    fields = lexical.fields(public, "doc_id", tuple(F.col(c) for c in ("title", "description", "metadata", "body")), False)
+    lex = lexical.search(fields, "doc_id", requests, 10, exact=False).select("qid", F.lit("lexical").alias("engine"), "doc_id")
+    asked = least.select(F.inline(F.array(*(F.struct(F.lit(q).alias("qid"), F.lit(text).alias("text")) for q, text in requests))))
+    asked = asked.select("qid", vector.embed(F.col("text"), DIMENSION).alias("q"))
+    vec = vector.search(vector.embed_rows(public, "doc_id", "body", DIMENSION, exact=False), "doc_id", "vector", asked, "qid", "q", 10).select("qid", F.lit("vector").alias("engine"), "doc_id")
+    returned = lex.unionByName(vec).select("qid", "engine", F.col("doc_id").cast("string").alias("concept"), path.alias("path"), F.lit("r1").alias("revision"), F.lit("r1").alias("searched"))
+    returned = returned.withColumn("cited", shadow.cited("concept", "path", "revision", "searched"))
+    docs = table(spark, sf, "documents")
+    first = docs.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("first"))
+    old = docs.select("doc_id", F.sha2("text", 256).alias("h")).join(first, "h").where("doc_id <> first")
+    tokens = dealt(spark, sf, "documents").select(path.alias("path"), word_count(strip_frontmatter(F.col("text"))).cast("long").alias("tokens"))
+    return shadow.report(questions, returned, ENGINES, public.select(path.alias("path")), tokens, old.select(path.alias("path")))
+
+
+def shadow_report(spark, sf):
+    return _shadow(spark, sf)
+
+
+def shadow_summary(spark, sf):
+    return shadow.summary(_shadow(spark, sf), ("real", "synthetic", "imported"))
+
+
+def gate_from_report(spark, sf):
+    """The shadow report before the gate; latencies are the values of view and click events."""
+    late = table(spark, sf, "events").where("event_type IN ('view', 'click')").select(F.when(F.col("event_type") == "view", "lexical").otherwise("vector").alias("engine"), "value")
+    return evaluate.gate(shadow.gate_summary(_shadow(spark, sf), "lexical", "vector", "real", late))
+
+
 def export_diff(spark, sf):
     """Orders are the catalog; line items that name them are the export, some under other spellings."""
     orders, items = table(spark, sf, "orders"), table(spark, sf, "lineitem")
@@ -255,7 +309,7 @@ def export_diff(spark, sf):
         F.concat(F.lit("Core/"), F.col("o_orderkey")).alias("path"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("status"), F.lit(None).cast("string").alias("candidate_status"),
         F.when(F.pmod("o_orderkey", F.lit(3)) == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("topics"))).alias("eligible"), F.when(F.pmod("o_orderkey", F.lit(2)) == 0, "stale").otherwise("current").alias("fresh"),
     )
-    shown = items.where("l_linenumber <= 2 AND l_quantity > 25").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", "o_orderstatus"), "l_orderkey").select(
+    shown = items.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", "o_orderstatus"), "l_orderkey").select(
         F.when(F.col("l_linenumber") == 1, "projects").otherwise("topics").alias("zone"), F.col("l_linenumber").alias("zone_no"),
         F.concat(F.when(F.col("l_returnflag") == "R", "./Core/").otherwise("Core/"), F.col("l_orderkey")).alias("path"),
         F.when(F.col("l_returnflag") == "A", F.lit("old")).otherwise(F.col("o_orderpriority")).alias("title"), F.when(F.col("l_quantity") > 45, F.lit("")).otherwise(F.col("o_orderstatus")).alias("status"),
@@ -263,6 +317,81 @@ def export_diff(spark, sf):
     return evaluate.diff_counts(evaluate.export_diff(cat, shown))
 
 
+def _notes(spark, sf):
+    """path, text: documents as notes, whose frontmatter states what their row and labels say."""
+    rows = dealt(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    library = F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("\nlibrary_id: '"), "source", F.lit("'"))).otherwise(F.lit(""))
+    candidate = F.when(F.col("toxic") == 1, F.lit("\ndevelopment_candidate: True")).otherwise(F.lit(""))
+    front = F.concat(F.lit("---\nprivacy: "), F.when(F.col("quality") == 1, "public").otherwise("internal"), F.lit("\nstatus: "), F.when(F.col("lang") == "en", "active").otherwise("done"), library, candidate, F.lit("\n---\n"))
+    path = F.when(F.col("toxic") == 1, F.concat(F.lit("Core/_inbox/"), "doc_id", F.lit(".md"))).otherwise(F.concat(F.lit("Core/project-"), "doc_id", F.lit(".md")))
+    return rows.select("doc_id", path.alias("path"), F.concat(front, F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def pilot_zones(spark, sf):
+    """Zones of notes by the facts that their frontmatter states."""
+    notes = _notes(spark, sf).select("path", "text", *(F.lit(None).cast("string").alias(c) for c in ("title", "status", "candidate_status")))
+    rows = evaluate.pilot_catalog(notes, notes.select("path", F.lit("current").alias("verdict")))
+    return rows.groupBy(F.array_join("eligible", ",").alias("zones"), "fresh").agg(F.count("*").alias("n"))
+
+
+def plain_paths(spark, sf):
+    """Page addresses without their scheme, with detours, in plain form."""
+    pages = table(spark, sf, "pages")
+    raw = F.concat(F.when(F.col("page_id") % 2 == 0, " ./").otherwise("/"), F.regexp_replace("url", "^[a-z]+://", ""), F.when(F.col("page_id") % 3 == 0, "/../x//./y").when(F.col("page_id") % 5 == 0, "/../../../../z").otherwise("/"))
+    return pages.select("page_id", evaluate.plain_path(raw).alias("plain"))
+
+
+def grant_validation(spark, sf):
+    """Orders as grants of their customers, against a matrix of the customers' nations."""
+    customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("actor"), "c_nationkey")
+    matrix = customers.select("actor", F.explode(F.slice(F.array(*map(F.lit, access.DOMAINS)), F.lit(1), F.pmod("c_nationkey", F.lit(6)).cast("int") + 1)).alias("domain"), F.when(F.col("c_nationkey") % 2 == 0, F.array(F.lit("read"), F.lit("report-generation"))).otherwise(F.array(F.lit("read"))).alias("capabilities"))
+    o = F.col("o_orderkey")
+    grants = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("actor"), F.array(domain_of(o)).alias("domains"), F.when(F.col("o_orderstatus") == "P", F.array(F.lit("report-generation"))).when(F.col("o_orderstatus") == "F", F.array(F.lit("read"), F.lit("report-generation"))).otherwise(F.array(F.lit("read"))).alias("capabilities"),
+        F.array(F.element_at(F.array(*map(F.lit, privacy.CLASSES)), (F.pmod(F.floor(o / 4), F.lit(4)) + 1).cast("int"))).alias("privacy_classes"), F.when(F.col("o_orderpriority").startswith("5"), "someone").otherwise("owner").alias("issued_by"),
+        F.col("o_orderdate").alias("issued_at"), (F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("expires_at"), F.pmod(o, F.lit(23)).cast("int").alias("max_items"), F.lit(512).alias("max_bytes"),
+    )
+    return access.validate(grants, matrix, "owner").groupBy("refusal").agg(F.count("*").alias("n"))
+
+
+def domain_entries(spark, sf):
+    """Public documents of one domain by their bindings; a document without a binding is in none."""
+    entries = _public(spark, sf).select(F.col("doc_id").cast("string").alias("id"), "metadata")
+    bound = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("note_id"), domain_of(F.col("doc_id")).alias("domain"))
+    return access.in_domain(entries, bound, "finance").groupBy("metadata").agg(F.count("*").alias("n"), F.min(F.col("id").cast("long")).alias("first"))
+
+
+def writer_actors(spark, sf):
+    """Events as writer requests of users, who are people, generating or capturing actors."""
+    u = F.col("user_id")
+    name = F.concat(F.when(u % 5 == 0, "human:").otherwise("agent:"), u.cast("string"))
+    actors = table(spark, sf, "events").select("user_id").distinct().where(u % 7 != 0).select(F.concat(F.lit("sha256:"), F.sha2(u.cast("string"), 256)).alias("credential_sha256"), name.alias("actor"), (u % 3 != 0).alias("generated"), (u % 2 == 0).alias("captured"))
+    e = table(spark, sf, "events")
+    asked = e.select(
+        F.when(F.col("event_type") != "error", u.cast("string")).alias("credential"), F.concat(F.lit("r"), "event_id").alias("request_id"), F.when(F.col("event_id") % 31 == 0, "").otherwise("t1").alias("task_id"),
+        F.when(F.col("event_type") == "click", "captured").when(F.col("event_type") == "signup", "other").otherwise("generated").alias("mode"), F.when(F.col("value") > 50, "model-1").when(F.col("value") > 45, "unknown").alias("model_id"),
+    )
+    return access.writers(asked, actors).groupBy("refusal", F.contains("rendered", F.lit("/")).alias("with_model")).agg(F.count("*").alias("n"))
+
+
+def create_targets(spark, sf):
+    """Pages as new files below folders that their hosts have, are links, files or missing."""
+    host = F.regexp_extract("url", r"://([^/]+)", 1)
+    pages = table(spark, sf, "pages").select("page_id", host.alias("host"))
+    tree = pages.groupBy("host").agg(F.min("page_id").alias("low")).where("low % 7 <> 0").select(F.concat(F.lit("Core/"), "host").alias("path"), F.when(F.col("low") % 5 == 0, "link").when(F.col("low") % 3 == 0, "file").otherwise("folder").alias("kind"))
+    taken = pages.where("page_id % 4 = 0").select(F.concat(F.lit("Core/"), "host", F.lit("/"), "page_id", F.lit(".md")).alias("path"), F.lit("file").alias("kind"))
+    core = tree.agg(F.lit("Core").alias("path"), F.lit("folder").alias("kind"))
+    targets = pages.select(F.concat(F.lit("Core/"), "host", F.lit("/"), "page_id", F.lit(".md")).alias("path"))
+    return convert.create_targets(targets, core.unionByName(tree).unionByName(taken)).groupBy("refusal").agg(F.count("*").alias("n"))
+
+
+def index_differences(spark, sf):
+    """Points of a plan against those of an index that lacks some vectors and holds older ones."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("point_id"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    held = v.where("vec_id % 10 <> 3").withColumn("vector", F.when(F.col("vec_id") % 10 == 4, F.transform("vector", lambda x: x + 1)).otherwise(F.col("vector")))
+    return vector.differing(held, v.where("vec_id % 10 <> 5")).select("point_id")
+
+
 def zone_eligibility(spark, sf):
     pages = table(spark, sf, "pages")
     key = F.col("page_id")
@@ -290,6 +419,16 @@ def outbox_enqueue(spark, sf):
     return rows.groupBy("outcome", "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
 
 
+def outbox_crossing(spark, sf):
+    """Requests of a user whose operations and keys cross: what a refused request names stays free."""
+    e = table(spark, sf, "events")
+    rows = e.select(
+        F.concat("user_id", F.lit("-"), F.pmod("event_id", F.lit(3))).alias("operation_id"), F.concat("user_id", F.lit("-"), F.pmod(F.floor(F.col("event_id") / 3), F.lit(4))).alias("idempotency_hash"), F.col("event_type").alias("actor"),
+        *(F.lit("-").alias(c) for c in ("task_hash", "target_path", "request_hash")), F.struct("ts", "event_id").alias("created_at"), "user_id", "event_id",
+    )
+    return outbox.enqueue(rows).groupBy("user_id").agg(F.count_if(F.col("outcome") == "accepted").alias("accepted"), F.count_if(F.col("outcome") == "duplicate").alias("duplicates"), F.count_if(F.col("outcome") == "conflict").alias("conflicts"), F.sum(F.when(F.col("outcome") == "accepted", F.col("event_id"))).alias("accepted_ids"))
+
+
 def outbox_replay(spark, sf):
     """Event types stand for states and refusals; the clock is the end of the tenth day."""
     kind = F.create_map(*(F.lit(x) for x in ("view", "queued", "click", "leased", "signup", "committed", "purchase", "queued", "error", "queued")))
@@ -329,7 +468,7 @@ def write_targets(spark, sf):
 
 def payload_markers(spark, sf):
     markers = ["BEGIN PRIVATE KEY", "AKIA", "password", "secret"]
-    rows = spread(spark, table(spark, sf, "documents"))
+    rows = dealt(spark, sf, "documents")
     return rows.groupBy(convert.first_marker(F.col("text"), markers).alias("marker")).agg(F.count("*").alias("n"))
 
 
@@ -347,6 +486,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         gate_partition, strictness_histogram, note_classification, catalog_page, catalog_facets, corpus_field_averages, lexical_scores, lexical_topk, lexical_totals, lexical_topk_folded,
         snippet_window, snippet_window_folded, context_pack, bundle_revision, source_revisions, framed_digests, token_cost, text_sizes, hash_embedding_buckets, hash_embedding_rows, vector_topk, rerank_topk,
         domain_scope, grant_resolution, hit_rate_grouping_sets, latency_percentiles, leak_and_false_positive, stale_exclusion, gate_items, gate_verdict, export_diff, zone_eligibility, dedup_first_seen,
-        outbox_enqueue, outbox_replay, metadata_conversion, write_targets, payload_markers, revision_changes,
+        shadow_report, shadow_summary, gate_from_report, pilot_zones, plain_paths, grant_validation, domain_entries, writer_actors, create_targets, index_differences, outbox_crossing, outbox_enqueue, outbox_replay, metadata_conversion, write_targets, payload_markers, revision_changes,
     )
 }

@@ -12,9 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Rows dealt to all cores: text functions cost more than the move of a single-block file."""
-    return df.repartition(max(8, spark.sparkContext.defaultParallelism)) if df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism else df
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose text functions cost more than its move: dealt to all cores if its files give fewer splits.
+
+    Only the bare scan is asked for its splits, which runs nothing.
+    """
+    rows, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def privacy_of(quality: Column, toxic: Column) -> Column:
@@ -26,7 +30,7 @@ def privacy_of(quality: Column, toxic: Column) -> Column:
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, title, description, metadata, body, privacy: documents with a class where labels give one."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = dealt(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return docs.join(labels, "doc_id", "left").select(
         "doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("source").alias("description"), F.col("lang").alias("metadata"),
         F.col("text").alias("body"), privacy_of(F.col("quality"), F.col("toxic")).alias("privacy"), F.lit(None).cast("string").alias("reason"), "toxic",
