@@ -130,14 +130,32 @@ def _plan(frame):
     return frame._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_source_revisions_hash_without_collecting_a_source(spark, tmp_path):
+def test_source_revisions_are_trees_of_hash_ranges(spark, tmp_path, monkeypatch):
+    from sextant.functions import digest
+
     rows = [(3, "c", "a"), (1, "a", "a"), (2, "b", "a"), (2, "a", "a"), (4, "x", "b"), (5, None, "b"), (6, None, "n"), (7, "y", None)]
     spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    want = {s: (sum(r[2] == s for r in rows), sha("\n".join(f"{d:012d}:{h}" for d, h in sorted((r[0], sha(r[1])) for r in rows if r[2] == s and r[1] is not None)))) for s in ("a", "b", "n", None)}
-    got = queries.source_revisions(spark, str(tmp_path))
-    assert {r.source: (r.n, r.revision) for r in got.collect()} == want and got.columns == ["source", "n", "revision"]
-    assert "collect_list" not in _plan(got)
+    head = queries.REVISION_DOMAIN + "\n"
+
+    def tree(members, digits):
+        level = {}
+        for key, content in sorted(members, key=str):
+            level.setdefault(sha(key)[:digits], []).append("" if content is None else f"{key}\0{content}\n")
+        level = {k: sha(head + "".join(v)) for k, v in level.items()}
+        while digits:
+            digits = digits - 2 if digits > 2 else 0
+            upper = {}
+            for k in sorted(level):
+                upper.setdefault(k[:digits], []).append(f"{k}\0{level[k]}\n")
+            level = {k: sha(head + "".join(v)) for k, v in upper.items()}
+        return "sha256:" + level[""]
+
+    members = lambda s: [(f"{r[0]:012d}", None if r[1] is None else sha(r[1])) for r in rows if r[2] == s]
+    for most, digits in ((4_096, 2), (0.01, 4)):  # a second level, as a larger table has it
+        monkeypatch.setattr(digest, "RANGE_MEMBERS", most)
+        got = queries.source_revisions(spark, str(tmp_path))
+        assert {r.source: (r.n, r.revision) for r in got.collect()} == {s: (len(members(s)), tree(members(s), digits)) for s in ("a", "b", "n", None)} and got.columns == ["source", "n", "revision"]
 
 
 def test_first_seen_types_collect_no_events(spark, tmp_path):

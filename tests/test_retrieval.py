@@ -107,6 +107,10 @@ def test_digests(spark):
     want = hashlib.sha256(b"v1\n" + b"".join(k.encode() + b"\0" + h.encode() + b"\n" for k, h in sorted(members))).hexdigest()
     assert flat_revision(rows, "v1").first().revision == f"sha256:{want}" and flat_revision(rows.limit(0), "v1").first().revision is None
     assert tree_revision(rows, "v1").first().revision == tree_revision(rows.orderBy("key"), "v1").first().revision != tree_revision(rows.where("key <> 'a.md'"), "v1").first().revision
+    many = spark.range(20).selectExpr("cast(id as string) AS key", "sha2(cast(id as string), 256) AS content_sha256", "id % 2 AS g")
+    apart = {r.g: (r.n, r.revision) for r in tree_revision(many, "v1", by=("g",)).collect()}
+    assert apart == {g: (10, tree_revision(many.where(f"g = {g}"), "v1").first().revision) for g in range(2)}
+    assert tree_revision(many.limit(0), "v1").first() == (None, 0)
     one = spark.range(1).select(framed_sha256(F.lit("a"), F.lit("é")).alias("x")).first().x
     assert one == framed_sha256_of(b"a", "é".encode())
     good = "sha256:" + "0" * 64
