@@ -1,21 +1,30 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A suspicious token (leetspeak, a letter thrice in a row, letters spaced out) is a noisy
-form of a word. Its character lattice offers for every character the character itself,
-the letters it may stand for, and, for a repeated one, nothing; Viterbi finds the path
-with the best channel cost plus character-trigram language-model cost. Documents are
-scored on their words and the restored ones by a logistic model over a small lexicon.
+A disguised word is a noisy form of a word: leetspeak, drawn-out letters, letters spaced
+out. Its character lattice offers for every character the character itself, the letters
+it may stand for, and, for a repeated one, nothing; a separator ends a word or is dropped.
+Viterbi finds the path with the best channel cost plus character-trigram language-model
+cost. Documents are scored on their words and the restored ones by a logistic model over a
+lexicon.
+
+What is decoded: while learning, every distinct token that has a symbol which may stand
+for a letter, a doubled letter or an inner separator; while scoring, every token that can
+be a noisy form of a lexicon word at all (its skeleton, in which characters that may
+stand for each other are one and repeats are merged, is that of a lexicon word). Runs of
+three and more pieces of at most two characters are decoded as a whole, separators included.
 
 Training, all outside the held-out fold: at most about ``TRAIN_DOCS`` labelled rows
-(chosen by a hash of the id) give the lexicon (at most ``LEXICON`` words whose presence
-differs between the classes beyond chance) and the weights. The character model counts the
-trigrams of all rows outside the fold. Workers get the counts that can matter: in training
-those of the sample's lattices; in scoring those over the letters of the lexicon and of the
-channel, as a token with any other letter restores to no lexicon word.
+(chosen by a hash of the id) give the lexicon (every word whose presence differs between
+the classes beyond chance, by the likelihood ratio ``RATIO``) and the weights. The
+character model counts the trigrams of all rows outside the fold. Workers get the counts
+that can matter: in training those of the sample's lattices; in scoring those over the
+letters of the lexicon and of the channel, as a token with any other letter restores to no
+lexicon word.
 
 Defined results: a null or empty text scores as a text without lexicon words; without
 labelled rows every score is ``PRIOR``; of several labels of one id the largest counts;
-repeated rows are scored each; columns other than doc_id and text are ignored.
+of equally cheap paths the first in order of letters is taken; repeated rows are scored
+each; columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +32,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +42,8 @@ from pyspark.sql import functions as F
 from .common import chunks, held_out, sampled, stored, table
 
 TRAIN_DOCS = 20_000
-LEXICON = 2_000
-#: Least chi-square of a lexicon word, and least training documents that hold it.
-CHI_SQUARE, LEAST_DOCS = 20.0, 5
+#: Least likelihood ratio (G squared) of a lexicon word; three training documents at the usual rates.
+RATIO = 20.0
 THRESHOLD = 0.3
 PRIOR = 0.05
 #: The letters that a character may stand for.
@@ -43,13 +51,17 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "&": "e", "*": "aeiou", "#": "h",
 }
-#: Channel costs in nats: a substituted character, a dropped repeat, a kept symbol.
+#: Channel costs in nats: a substituted character, a dropped repeat or separator, a kept symbol.
 SUBSTITUTED, DROPPED, KEPT = 1.0, 0.3, 8.0
 EDGE = " .,;:!?\"'()[]{}<>-_*|&%#$+/\\"
 SOFT_EDGE = ".,;:?\"'()[]{}-_/\\"
-_SPACED = re.compile(r"(?<!\S)\w(?:[ .\-_*]\w){2,}(?!\w)")
-_REPEATED = re.compile(r"(\w)\1\1")
+SEPARATORS = frozenset(" \t\n\r\v\f.-_*")
+_RUN = re.compile(r"(?<!\S)[^\s.\-_*]{1,2}(?:[\s.\-_*]{1,4}[^\s.\-_*]{1,2}){2,}(?!\S)")
+_INNER = re.compile(r"(?<=[^.\-_*])[.\-_*](?=[^.\-_*])")
+_DOUBLED = re.compile(r"([^\W\d])\1")
 _MASKED = re.compile("[" + re.escape("".join(LEET)) + "]")
+_AGAIN = re.compile(r"(.)\1+", re.DOTALL)
+CACHE = 100_000
 _CONTEXT = "substring(gram, 1, 2) AS context"
 
 
@@ -68,85 +80,122 @@ class CharModel:
         return -math.log((self.counts.get(context + ch, 0) + 0.1) / (self.context.get(context, 0) + 4.0))
 
 
+def _options(ch: str) -> list[tuple[str, float]]:
+    """What may have been written as ``ch``, with its channel cost; a word's end is a space, nothing an empty string."""
+    out = [(x, SUBSTITUTED) for x in LEET.get(ch, "")]
+    if ch in SEPARATORS:
+        return [*out, (" ", 0.0), ("", DROPPED)]
+    return [(ch, 0.0 if ch.isalpha() else KEPT), *out]
+
+
+def _next(context: str, letter: str) -> str:
+    return context if not letter else "  " if letter == " " else context[1] + letter
+
+
 def restore(token: str, model: CharModel) -> str:
-    """The most probable letters behind a token: Viterbi over its character lattice.
+    """The most probable words behind a token or run, with spaces between: Viterbi over its character lattice.
 
     A state is the last two letters written; edges write the character, write a letter it
-    may stand for, or write nothing for a repeat of the previous character.
+    may stand for, end the word, or write nothing for a separator or a repeat of the
+    previous character.
     """
     states: dict[str, tuple[float, tuple]] = {"  ": (0.0, ())}
     previous = ""
     for ch in token:
-        options = [(ch, 0.0 if ch.isalpha() else KEPT)] + [(x, SUBSTITUTED) for x in LEET.get(ch, "")]
+        options = _options(ch) + ([("", DROPPED)] if ch == previous and ch not in SEPARATORS else [])
         after: dict[str, tuple[float, tuple]] = {}
         for context, (cost, path) in states.items():
             for letter, extra in options:
-                total, key = cost + extra + model.cost(context, letter), context[1] + letter
+                if letter == " " and context == "  ":
+                    letter, extra = "", 0.0  # no word has begun
+                total, key = cost + extra + (model.cost(context, letter) if letter else 0.0), _next(context, letter)
                 if key not in after or total < after[key][0]:
-                    after[key] = (total, (path, letter))
-            if ch == previous and (context not in after or cost + DROPPED < after[context][0]):
-                after[context] = (cost + DROPPED, path)
+                    after[key] = (total, (path, letter) if letter else path)
         states, previous = after, ch
-    _, path = min((cost + model.cost(context, " "), path) for context, (cost, path) in states.items())
+    _, path = min((cost + (model.cost(context, " ") if context != "  " else 0.0), path) for context, (cost, path) in states.items())
     letters = []
     while path:
         path, letter = path
         letters.append(letter)
-    return "".join(reversed(letters))
+    return "".join(reversed(letters)).strip()
 
 
 def lattice_grams(token: str) -> set[str]:
     """The trigrams whose costs ``restore`` asks for."""
     states, previous, out = {"  "}, "", set()
     for ch in token:
-        letters = ch + LEET.get(ch, "")
-        out.update(context + x for context in states for x in letters)
-        after = {context[1] + x for context in states for x in letters}
-        states, previous = after | states if ch == previous else after, ch
-    return out | {context + " " for context in states}
+        letters = [x for x, _ in _options(ch)] + ([""] if ch == previous else [])
+        out.update(context + x for context in states for x in letters if x and (x != " " or context != "  "))
+        states, previous = {_next(context, x) for context in states for x in letters}, ch
+    return out | {context + " " for context in states if context != "  "}
 
 
-def _segments(text: str) -> Iterator[str]:
-    """Suspicious runs of a lower-case text: spaced-out letters, then masked or drawn-out tokens."""
-    for found in _SPACED.findall(text):
-        yield re.sub(r"[ .\-_*]", "", found)
+def _classes() -> dict[int, str]:
+    """Characters that may stand for each other, by one of them."""
+    of: dict[str, str] = {}
+    for ch, letters in LEET.items():
+        joined = {of.get(x, x) for x in ch + letters}
+        low = min(joined)
+        of.update({x: low for x in [*of, ch, *letters] if of.get(x, x) in joined})
+    return {ord(x): y for x, y in of.items()}
 
 
-def _odd(low: str, tokens: set[str]) -> list[str]:
-    """Suspicious tokens of a lower-case text."""
-    odd: list[str] = []
-    if not low.isascii() or _MASKED.search(low):
-        odd = [t for t in {t.strip(SOFT_EDGE) for t in low.split() if _MASKED.search(t)} if sum(c.isalpha() for c in t) * 3 >= len(t) and _MASKED.search(t)]
-    if _REPEATED.search(low):
-        odd += [t for t in tokens if t.isalpha() and _REPEATED.search(t)]
-    odd += _segments(low)
-    return odd
+_CLASS = _classes()
 
 
-def _tokens(low: str) -> set[str]:
-    return {t.strip(EDGE) for t in low.split()}
+def skeleton(word: str) -> str:
+    """What all noisy forms of a word share."""
+    return _AGAIN.sub(r"\1", word.translate(_CLASS))
 
 
-def words_of(text: str | None, model: CharModel | None, cache: dict[str, str], wanted: frozenset | None = None) -> set[str]:
-    """Distinct lower-case words of a whole text with the restored forms of suspicious ones.
+def _forms(token: str) -> set[str]:
+    """A token without the punctuation around it, which may also belong to it."""
+    return {form for left in (SOFT_EDGE, EDGE) for right in (SOFT_EDGE, EDGE) if (form := token.lstrip(left).rstrip(right))}
 
-    ``wanted`` keeps only lexicon words.
-    """
-    if not text:
-        return set()
-    low = text.lower()
-    tokens = _tokens(low)
-    odd = [] if model is None else _odd(low, tokens)
-    out = tokens if wanted is None else tokens & wanted
-    out.discard("")
-    for t in odd:
-        if (word := cache.get(t)) is None:
-            if len(cache) > 20_000:
-                cache.clear()
-            word = cache[t] = restore(t, model)
-        if wanted is None or word in wanted:
-            out.add(word)
-    return out
+
+class Reader:
+    """Distinct lexicon words of texts, plain or disguised."""
+
+    def __init__(self, model: CharModel, lexicon: Iterable[str]):
+        self.model, self.lexicon = model, frozenset(lexicon)
+        self.skeletons = frozenset(map(skeleton, self.lexicon))
+        self.anywhere = re.compile("|".join(map(re.escape, sorted(self.skeletons)))) if self.skeletons else None
+        self.cache: dict[str, tuple[str, ...]] = {}
+
+    def _token(self, token: str) -> Iterator[str]:
+        for form in _forms(token):
+            if form in self.lexicon:
+                yield form
+            elif skeleton(form) in self.skeletons or _INNER.search(form) and skeleton(_INNER.sub("", form)) in self.skeletons:
+                yield from restore(form, self.model).split()
+
+    def _run(self, run: str) -> Iterator[str]:
+        if self.anywhere.search(skeleton("".join(ch for ch in run if ch not in SEPARATORS or ch == "*"))) or "*" in run:
+            yield from restore(run, self.model).split()
+
+    def words(self, text: str | None) -> set[str]:
+        if not text or not self.lexicon:
+            return set()
+        out: set[str] = set()
+        low = text.lower()
+        for read, pieces in ((self._token, set(low.split())), (self._run, _RUN.findall(low))):
+            for piece in pieces:
+                if (found := self.cache.get(piece)) is None:
+                    if len(self.cache) >= CACHE:
+                        self.cache.clear()
+                    found = tuple(w for w in read(piece) if w in self.lexicon)
+                    if len(piece) <= 64:
+                        self.cache[piece] = found
+                out.update(found)
+        return out
+
+
+def pieces(text: str | None) -> tuple[set[str], set[str]]:
+    """Distinct plain words of a text, and what in it may be disguised."""
+    low = (text or "").lower()
+    tokens = set(low.split())
+    odd = {form for t in tokens if _MASKED.search(t) or _DOUBLED.search(t) or _INNER.search(t) for form in _forms(t)}
+    return {t.strip(EDGE) for t in tokens} - {""}, odd | set(_RUN.findall(low))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> DataFrame:
@@ -156,7 +205,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -
     only sampled texts are shuffled.
     """
     marks = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    picked = sampled(F.col("doc_id"), marks.count(), bound)
+    picked = sampled(F.col("doc_id"), F.lit(marks.count()), bound)
     return stored(docs.where(picked).select("doc_id", "text").join(marks.where(picked), "doc_id").select("text", "toxic"))
 
 
@@ -201,45 +250,61 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> tuple[
         return CharModel({}), {}, math.log(PRIOR / (1 - PRIOR))  # no lexicon, nothing to restore
     grams = gram_counts(docs)
 
+    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(set().union(*(pieces(text)[1] for text in batch.column("text").to_pylist()))), pa.string())], names=["word"])
+
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lows = [(text or "").lower() for text in batch.column("text").to_pylist()]
-            odd = {t for low in lows for t in _odd(low, _tokens(low))}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(set().union(*map(lattice_grams, odd))), pa.string())], names=["gram"])
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(set().union(*map(lattice_grams, batch.column("word").to_pylist()))), pa.string())], names=["gram"])
 
+    odd = stored(rows.select("text").mapInArrow(suspects, "word string").distinct())
     # As many as the lattices of the bounded sample ask for.
-    needed = stored(rows.select("text").mapInArrow(asked, "gram string").distinct())
+    needed = stored(odd.mapInArrow(asked, "gram string").distinct())
     model = _model(grams, grams.join(needed, "gram", "left_semi"), needed.selectExpr(_CONTEXT).distinct())
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, str] = {}
+    def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(t, w) for t in batch.column("word").to_pylist() for w in restore(t, model).split() if w != t]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in range(2)], names=["word", "restored"])
+
+    known: dict[str, list[str]] = {}
+    for r in odd.mapInArrow(restored, "word string, restored string").collect():  # distinct suspects of the bounded sample
+        known.setdefault(r.word, []).append(r.restored)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def words(text: str | None) -> set[str]:
+        plain, odd = pieces(text)
+        return plain.union(*(shared.value.get(t, ()) for t in odd))
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_word, out_toxic = [], []
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                found = words_of(text, model, cache)
-                out_word += found
-                out_toxic += [int(toxic)] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(out_word, pa.string()), pa.array(out_toxic, pa.int32())], names=["word", "toxic"])
-
-    n, t = totals.n, totals.t
-    seen = rows.mapInArrow(spread, "word string, toxic int")
+            every: Counter[str] = Counter()
+            toxic: Counter[str] = Counter()
+            for mark, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
+                found = words(text)
+                every.update(found)
+                if mark:
+                    toxic.update(found)
+            yield pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array([toxic[w] for w in every], pa.int64()), pa.array(list(every.values()), pa.int64())], names=["word", "pos", "n"])
+
+    held = rows.mapInArrow(counts, "word string, pos long, n long").groupBy("word").agg(F.sum("pos").cast("double").alias("pos"), F.sum("n").cast("double").alias("all"))
+    n, t = float(totals.n), float(totals.t)
     a, b = F.col("pos"), F.col("all")
-    table_ = seen.groupBy("word").agg(F.sum("toxic").cast("double").alias("pos"), F.count("*").cast("double").alias("all")).where(F.col("all") >= LEAST_DOCS)
-    expected = b * t / n
-    chi = (a - expected) * (a - expected) * n / (expected * (n - b) * (n - t) / n + 1e-9)
-    words = [r.word for r in table_.withColumn("chi", chi).where((F.col("chi") >= CHI_SQUARE) & (a > expected)).orderBy(F.desc("chi"), "word").limit(LEXICON).collect()]
-    wanted = frozenset(words)
+    cells = ((a, b * t / n), (b - a, b * (n - t) / n), (t - a, (n - b) * t / n), (n - b - t + a, (n - b) * (n - t) / n))
+    ratio = 2 * sum((F.when(x > 0, x * F.log(x / expected)).otherwise(0.0) for x, expected in cells), F.lit(0.0))
+    lexicon = sorted(r.word for r in held.where((ratio >= RATIO) & (a * n > b * t)).select("word").collect())
+    wanted = frozenset(lexicon)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, str] = {}
         for batch in batches:
-            found = [sorted(words_of(text, model, cache, wanted)) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([",".join(x) for x in found]), batch.column("toxic")], names=["words", "toxic"])
+            found = [sorted(words(text) & wanted) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column("toxic")], names=["words", "toxic"])
 
     # One row per distinct combination of lexicon words: at most the bounded training rows.
-    combos = rows.mapInArrow(features, "words string, toxic int").groupBy("words").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).orderBy("words").collect()
-    weights, bias = _fit([(r.words.split(",") if r.words else [], r.n, r.t) for r in combos], words)
-    letters = "".join(sorted(set(" ").union(*words, *LEET, *LEET.values())))
+    combos = rows.select("text", "toxic").mapInArrow(features, "words array<string>, toxic int").groupBy("words").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()
+    weights, bias = _fit(sorted((r.words, r.n, r.t) for r in combos), lexicon)
+    letters = "".join(sorted(set(" ").union(*lexicon, *LEET, *LEET.values())))
     held, contexts = grams.where(F.translate("gram", letters, "") == ""), grams.selectExpr(_CONTEXT).where(F.translate("context", letters, "") == "")
     return _model(grams, held, contexts.distinct()), weights, bias
 
@@ -263,16 +328,16 @@ def _fit(combos: list[tuple[list[str], int, int]], words: list[str], rounds: int
 
 def _scored(docs: DataFrame, model: CharModel, weights: dict[str, float], bias: float, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``docs`` under the names _0, _1, ... and toxic_score. Text travels once."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, weights, bias))  # bounded by LEXICON and the trigrams over its letters
+    shared = docs.sparkSession.sparkContext.broadcast((model, weights, bias))  # bounded by the training rows and the trigrams over the lexicon's letters
     columns = keep if "text" in keep else [*keep, "text"]
     names, text_at = [f"_{i}" for i in range(len(columns))], columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, weights, bias = shared.value
-        wanted, cache = frozenset(weights), {}
+        reader = Reader(model, weights)
         for batch in batches:
             for part in chunks(batch, names[text_at]):
-                z = [bias + sum(weights[w] for w in words_of(text, model, cache, wanted)) for text in part.column(text_at).to_pylist()]
+                z = [bias + math.fsum(weights[w] for w in reader.words(text)) for text in part.column(text_at).to_pylist()]
                 score = pa.array(1 / (1 + np.exp(-np.array(z, dtype=float))), pa.float64())
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), score], names=[*names[: len(keep)], "toxic_score"])
 

@@ -43,6 +43,25 @@ def test_language_proportions_of_a_mixture():
     assert pred == ["en", "en"] and chosen[0] == "de,en" and 0.6 < score[0] < 0.9 and score[1] > 0.95
 
 
+def test_rare_languages_ties_and_many_languages(spark):
+    """A language of a few rows beside a hot one is learned; a mixture may hold more than four."""
+    import numpy as np
+
+    rows = [(i, "the thing with the other thing there", "en", None, None) for i in range(300)] + [(1_000 + i, "ĝuste ĉiuj ŝatas manĝi ĵaŭde", "eo", None, None) for i in range(3)]
+    docs = spark.createDataFrame(rows, DOCS)
+    langs, _ = lid.train(docs, 20)
+    assert langs == ["en", "eo"]
+    words = ["aaab", "cccd", "eeef", "gggh", "iiij", "kkkl"]
+    names, model = list("uvwxyz"), np.full((lid.BUCKETS, 6), 0.5)
+    row, bucket, n = lid.trigrams([f"{w} " * 50 for w in words])
+    model[bucket, row] += n
+    model = (model / model.sum(axis=0)).astype(np.float32)
+    _, score, chosen = lid.infer([" ".join(words * 20)], names, model)
+    assert chosen == ["u,v,w,x,y,z"] and score[0] < 0.25
+    same = np.repeat(model[:, :1], 2, axis=1)
+    assert lid.infer(["aaab aaab"], ["p", "q"], same)[0] == ["p"]
+
+
 def test_language_without_training_rows(spark):
     docs = spark.createDataFrame([(1, "some text", None, None, None)], DOCS)
     langs, model = lid.train(docs)
@@ -103,15 +122,56 @@ def test_licenses_over_lines_beside_each_other_and_of_any_rank():
         own = wording.split(" ")
         for width in (1, 3, 8):
             text = "prose before\n" + "\n".join(" * " + " ".join(own[i : i + width]) for i in range(0, len(own), width)) + "\nprose after"
-            assert (1, name, "exact") in found(text), (name, width)
+            assert (1, lic.license_of(name), "exact") in found(text), (name, width)
     assert found("Licensed under the Apache License, Version 2.0. All rights reserved.") == [(0, "Apache-2.0", "exact"), (0, "Proprietary", "exact")]
     every = " and so on. ".join(lic.TEMPLATES.values())
-    assert {k for _, k, _ in found(every)} == set(lic.TEMPLATES) and len(every) < lic.WINDOW
-    assert {k for _, k, _ in found("x " * 3_000 + every + " y" * 3_000)} == set(lic.TEMPLATES)
+    all_licenses = {lic.license_of(k) for k in lic.TEMPLATES}
+    assert {k for _, k, _ in found(every)} == all_licenses
+    assert {k for _, k, _ in found("x " * 3_000 + every + " y" * 3_000)} == all_licenses
     assert found("Licensed under CC BY 4.0 and CC BY-SA 4.0.") == [(0, "CC-BY-4.0", "exact"), (0, "CC-BY-SA-4.0", "variant")]
     assert found("This work is licensed under the GNU Lesser General Public License, version 3.") == [(0, "LGPL-3.0", "exact")]
     assert found("All rights are with those who reserved all of it") == []
-    assert found("this work is " + "a b " * 10 + "\n" + lic.TEMPLATES["GPL-3.0"]) == [(1, "GPL-3.0", "exact")]
+    assert found("this work is " + "a b " * 10 + "\nThis work is licensed under the GNU General Public License, version 3.") == [(1, "GPL-3.0", "exact")]
+
+
+def test_licenses_by_name_tag_and_version():
+    confirmed = lambda text: [k for _, k, *_ in lic.notices(text) if k]
+    for text, want in [
+        ("Licensed under the MIT License", ["MIT"]), ("Distributed under the MIT License.", ["MIT"]), ("// SPDX-License-Identifier: Apache-2.0", ["Apache-2.0"]), ("code under the BSD 3-Clause License", ["BSD-3-Clause"]), ("released under the BSD 3-Clause License", ["BSD-3-Clause"]),
+        ("licensed under the GNU General Public License, version 4", []), ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]), ("SPDX-License-Identifier: GPL-9.9", []), ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0"]),
+        ("you may redistribute this under the terms of the\n * Mozilla Public License, v. 2.0", ["MPL-2.0"]), ("Available under CC BY-SA 4.0", ["CC-BY-SA-4.0"]), ("All rights reserved.", ["Proprietary"]),
+    ]:
+        assert confirmed(text) == want, text
+    rows = [n for n in lic.notices("All rights reserved.\nAll rights reserved.")]
+    assert len(rows) == 2
+
+
+def test_licenses_equal_brute_force():
+    """Every template against every stretch of words: a text has a notice if and only if one fits, and only those that fit are named."""
+    import random
+
+    rng = random.Random(6)
+    names = sorted(lic.TEMPLATES)
+    for _ in range(60):
+        own = lic.words(lic.TEMPLATES[rng.choice(names)])[:20]
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(own))
+            own[at : at + rng.randint(0, 1)] = [rng.choice(["word", "license", "2", "under", "version"])][: rng.randint(0, 1)]
+            own = own or ["license"]
+        text = " ".join(["some", "prose", *own, "more", "prose"])
+        block = lic.words(text)
+        fits = {
+            lic.license_of(k) for k, wording in lic.TEMPLATES.items() if len(template := lic.words(wording)) <= len(block) + 2
+            for i in range(len(block)) if (held := lic._fit(template, block, i, min(len(block), i + 2 * len(template) + 10))) and lic.WIDE_CUE.search(" ".join(block[held[0] : held[-1] + 1]))
+        }
+        found = {k for _, k, *_ in lic.notices(text) if k}
+        assert found <= fits and bool(found) == bool(fits), text
+
+
+def test_licenses_of_empty_tables_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "SPDX-License-Identifier: MIT", None, None, None)] * 2, DOCS)
+    assert [(r.doc_id, r.license) for r in lic.scan(docs.withColumnRenamed("extra", "license")).collect()] == [(1, "MIT")] * 2
+    assert lic.scan(docs.limit(0)).count() == 0
 
 
 def test_character_counts_cover_all_rows_outside_the_fold(spark):
@@ -137,3 +197,57 @@ def test_lattices_name_every_trigram_they_ask_for():
         seen = set()
         tox.restore(token, Asked({}))
         assert seen == tox.lattice_grams(token)
+
+
+def _model(words):
+    counts = {}
+    for word in words:
+        for i in range(len(word) + 1):
+            g = f"  {word} "[i : i + 3]
+            counts[g] = counts.get(g, 0) + 1
+    return tox.CharModel(counts)
+
+
+def _every_path(token, model):
+    """Cost and words of each way through the lattice."""
+    paths = [("  ", 0.0, "")]
+    for i, ch in enumerate(token):
+        options = tox._options(ch) + ([("", tox.DROPPED)] if i and ch == token[i - 1] and ch not in tox.SEPARATORS else [])
+        after = []
+        for context, cost, out in paths:
+            for letter, extra in options:
+                if letter == " " and context == "  ":
+                    letter, extra = "", 0.0
+                after.append((tox._next(context, letter), cost + extra + (model.cost(context, letter) if letter else 0.0), out + letter))
+        paths = after
+    return {(cost + (model.cost(c, " ") if c != "  " else 0.0), out.strip()) for c, cost, out in paths}
+
+
+def test_restoring_equals_exhaustive_search():
+    model = _model(["idiot", "stupid", "a", "moron", "letter"] * 5)
+    for token in ("1d10t", "$tup1d", "m0r0n", "i d i o t", "a i d", "m.o-r o n", "iidioott", "|d|*t", "@ $ $", "letter", "x", "7 7 7"):
+        best = min(cost for cost, _ in _every_path(token, model))
+        assert tox.restore(token, model) in {out for cost, out in _every_path(token, model) if cost < best + 1e-9}, token
+        assert {c + x for c, x in ((g[:2], g[2:]) for g in model.counts)} and tox.lattice_grams(token)
+    assert tox.restore("a i d i o t", model) == "a idiot" and tox.restore("iidioott", model) == "idiot"
+
+
+def test_every_noisy_form_of_a_lexicon_word_is_decoded():
+    reader = tox.Reader(_model(["idiot", "asshole", "moron", "note"] * 9), ["idiot", "asshole", "moron"])
+    for text, word in [("@$$h0l3", "asshole"), ("455h0l3!", "asshole"), ("a $ $ h o l e", "asshole"), ("you iidioott", "idiot"), ("an (1d10t)", "idiot"), ("i-d-i-o-t", "idiot"), ("m  o  r  o  n", "moron"), ("i\nd\ni\no\nt", "idiot"), ("id-iot", "idiot"), ("a m o r o n", "moron"), ("!d!ot?", "idiot"), ("m0r0n 1d10t", "moron")]:
+        assert word in reader.words(text), text
+    assert reader.words("m o r o n i d i o t") == {"moron", "idiot"}
+    assert not reader.words("a note on 1 2 3 4 letters 100 % of idio") and not reader.words(None) and not reader.words("")
+    assert reader.words("x " * 200_000 + "1d10t") == {"idiot"} and not reader.words("1" * 500_000)
+
+
+def test_toxicity_with_commas_ties_and_no_documents(spark):
+    rows = [(i, "plain words here") for i in range(100)] + [(i, "plain foo,bar here") for i in range(100, 170)]
+    docs = spark.createDataFrame([(*r, None, None, None) for r in [*rows, (500, "plain foo,bar here"), (500, "plain foo,bar here"), (501, None)]], DOCS)
+    labels = spark.createDataFrame([(i, 1, int(i >= 100)) for i in range(170)] * 2 + [(0, 1, None)], "doc_id long, quality int, toxic int")
+    model, weights, bias = tox.train(docs, labels)
+    assert "foo,bar" in weights and all("," in w for w in weights)
+    got = [(r.doc_id, r.toxic_score) for r in tox.score(docs, model, weights, bias).collect()]
+    assert len({s for d, s in got if d < 100}) == 1 and len([s for d, s in got if d == 500 and s > tox.THRESHOLD]) == 2
+    none = docs.limit(0)
+    assert tox.score(none, *tox.train(none, labels)).count() == 0 and tox.reject_toxic(none, labels.limit(0)).count() == 0
