@@ -6,6 +6,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sextant.llm import op6_pieces as pieces
 from sextant.llm import op7_warc as warc
@@ -30,7 +31,23 @@ def test_no_pages(spark, tmp_path):
 
 def test_least_bytes_leaves_small_payloads_alone(spark):
     index = spark.createDataFrame([("f", 10, 1, "d", 3), ("f", 20, 2, "d", 3), ("f", 30, 3, "e", 9), ("g", 5, 4, "e", 9)], "name string, offset long, page_id long, digest string, bytes long")
-    assert [(r.name, [tuple(x) for x in r.again]) for r in warc.revisits(index, 5).collect()] == [("g", [(5, 3)])]
+    assert [(r.name, [tuple(x) for x in r.again]) for r in warc.revisits(index, 5).collect()] == [("g", [(5, "f", 30)])]
+
+
+def test_archives_refer_to_real_records_and_know_no_page_ids(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 5_000)
+    pages = [(i, f"http://x.example/{i}", "same" if i % 3 else "large " * 2_000, "clash", i) for i in range(30)]
+    docs = spark.createDataFrame(pages, "page_id long, url string, html string, name string, offset long")
+    path, names, origin = warc.archive(docs)
+    records = [r.asDict() for r in warc.read_warc(names, path).collect()]
+    known = {r["record_id"]: r for r in records}
+    assert len(known) == 30 and origin.count() == 30 and names.count() > 1
+    for r in records:
+        assert (r["record_type"] == "revisit") == (r["refers_to"] is not None)
+        if r["refers_to"]:
+            assert known[r["refers_to"]]["record_type"] == "response" and known[r["refers_to"]]["payload_digest"] == r["payload_digest"]
+    data = b"".join(x for n in names.collect() for _, x in warc.members(warc._opened(path, n.name)))
+    assert b"Page-Id" not in data and data.count(b"WARC-Refers-To: <urn:uuid:") == 28
 
 
 @pytest.mark.parametrize("version", [1, 2])
@@ -96,6 +113,19 @@ def test_encoding_equals_the_library_and_decodes(spark):
     assert pieces.encode(docs.limit(0)).count() == 0
 
 
+def test_encoding_long_unbroken_texts():
+    import sentencepiece
+
+    path = pieces.default_model()
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Pieces(path)
+    rng = random.Random(4)
+    base64 = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(200_000))
+    texts = [base64, "a" * 30_000, "abc" * 30_000, "日本語é" * 20_000, "x" * 4_095, "x" * 4_096, "\x01é" * 9_000, "word " + base64[:70_000] + " tail"]
+    assert [ids.tolist() for ids in own.encode(texts)] == [library.encode(t) for t in texts]
+    large = base64 * 25  # 5 MB without a space
+    assert own.decode(own.encode([large])[0]) == large
+
+
 def test_word_kernels():
     column = pa.array(["a bb\tccc", None, "", " x  y\n", "z"])
     data, offsets = text_bytes(column)
@@ -119,3 +149,28 @@ def test_pipeline_on_small_tables(spark, tmp_path):
     ids = {r.doc_id for r in out}
     assert out and not any(i < 200 and i % 5 == 0 for i in ids) and len(ids & set(range(300, 305))) <= 1
     assert all(len(r.tokens) > 0 for r in out)
+
+
+def test_pipeline_on_empty_tables_and_extra_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text, "en", "s", 1, 7, {"k": 1}), (1, text, "en", "s", 1, 7, {"k": 1}), (2, text + " x", "en", "s", 1, 8, None), (None, "no id", None, None, None, None, None), (3, None, None, None, None, 1, None), (4, "other words here", "en", None, 2, 3, {})]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, tokens int, position map<string,int>"
+    for name, some in (("full", rows), ("none", [])):
+        spark.createDataFrame(some, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
+    assert {r.doc_id for r in out} <= {1, None, 4} and {r.doc_id for r in out} & {1, 4} and all(r.tokens for r in out)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_mixing_without_ids_and_with_many_sources(spark):
+    rows = [(None, f"w{i} " * (i % 5 + 1), f"host{i % 50}", "r", 0.0) for i in range(400)] + [(7, "a b c", "host1", "r", 0.0)] * 3
+    docs = spark.createDataFrame(rows, DOCS).withColumn("extra", F.create_map(F.lit("a"), F.lit(1)))
+    plan = mixing.plan(mixing.sizes_of(docs)).collect()
+    targets = {r.source: (r.source_size, r.target) for r in plan}
+    assert len(plan) == 403 and abs(sum(t for _, t in targets.values()) - sum(s for s, _ in targets.values())) < 1e-6
+    ranks = {r.source: r.src_no for r in mixing.source_targets(mixing.sizes_of(docs)).collect()}
+    assert ranks == {s: i + 1 for i, s in enumerate(sorted(targets))}
+    assert mixing.mix(docs).count() == sum(r.copies for r in plan)
