@@ -8,7 +8,8 @@ cost. Documents are scored on their words and the restored ones by a logistic mo
 lexicon.
 
 What is decoded: while learning, every distinct token that has a symbol which may stand
-for a letter, a doubled letter or an inner separator; while scoring, every token that can
+for a letter, a doubled letter or an inner separator, unless all words of its skeleton (see
+below) together are in too few toxic documents for a lexicon word; while scoring, every token that can
 be a noisy form of a lexicon word at all (its skeleton, in which characters that may
 stand for each other are one and repeats are merged, is that of a lexicon word). Runs of
 three and more pieces of at most two characters are decoded as a whole, separators included.
@@ -242,6 +243,12 @@ def _model(grams: DataFrame, counts: DataFrame, contexts: DataFrame) -> CharMode
     return CharModel({r.gram: r.n for r in counts.collect()}, {r.context: r.n for r in grams.selectExpr(_CONTEXT, "n").groupBy("context").agg(F.sum("n").alias("n")).join(contexts, "context", "left_semi").collect()})
 
 
+def _ratio(a: float, b: float, t: float, n: float) -> float:
+    """Likelihood ratio of a word that a of t toxic and b of n documents hold."""
+    cells = ((a, b * t / n), (b - a, b * (n - t) / n), (t - a, (n - b) * t / n), (n - b - t + a, (n - b) * (n - t) / n))
+    return 2 * sum(x * math.log(x / expected) for x, expected in cells if x > 0)
+
+
 def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> tuple[CharModel, dict[str, float], float]:
     """Character model, lexicon weights and bias."""
     rows = training_rows(docs, labels, bound)
@@ -250,15 +257,30 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> tuple[
         return CharModel({}), {}, math.log(PRIOR / (1 - PRIOR))  # no lexicon, nothing to restore
     grams = gram_counts(docs)
 
+    n, t = float(totals.n), float(totals.t)
+
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(set().union(*(pieces(text)[1] for text in batch.column("text").to_pylist()))), pa.string())], names=["word"])
+            plain_count: Counter[str] = Counter()
+            odd_count: Counter[str] = Counter()
+            for mark, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
+                for count, found in zip((plain_count, odd_count), pieces(text)):
+                    count.update(dict.fromkeys(found, mark))
+            shared = [skeleton(x) for x in plain_count] + [None if _RUN.fullmatch(x) else skeleton(_INNER.sub("", x)) for x in odd_count]
+            marks = [False] * len(plain_count) + [True] * len(odd_count)
+            yield pa.RecordBatch.from_arrays([pa.array([*plain_count, *odd_count], pa.string()), pa.array(marks, pa.bool_()), pa.array(shared, pa.string()), pa.array([*plain_count.values(), *odd_count.values()], pa.int64())], names=["word", "odd", "skeleton", "pos"])
+
+    # A lexicon word needs so many toxic documents, with all words and disguises of its skeleton together.
+    least = next((a for a in range(1, int(t) + 1) if _ratio(a, a, t, n) >= RATIO), int(t) + 1)
+    seen = stored(rows.mapInArrow(suspects, "word string, odd boolean, skeleton string, pos long").groupBy("word", "odd", "skeleton").agg(F.sum("pos").alias("pos")))
+    able = seen.groupBy("skeleton").agg(F.sum("pos").alias("pos")).where(F.col("pos") >= least).select("skeleton")
+    odd = seen.where("odd and skeleton is null").select("word").unionByName(seen.where("odd").join(able, "skeleton", "left_semi").select("word"))
+    odd = stored(odd.distinct())
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(sorted(set().union(*map(lattice_grams, batch.column("word").to_pylist()))), pa.string())], names=["gram"])
 
-    odd = stored(rows.select("text").mapInArrow(suspects, "word string").distinct())
     # As many as the lattices of the bounded sample ask for.
     needed = stored(odd.mapInArrow(asked, "gram string").distinct())
     model = _model(grams, grams.join(needed, "gram", "left_semi"), needed.selectExpr(_CONTEXT).distinct())
@@ -289,7 +311,6 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> tuple[
             yield pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array([toxic[w] for w in every], pa.int64()), pa.array(list(every.values()), pa.int64())], names=["word", "pos", "n"])
 
     held = rows.mapInArrow(counts, "word string, pos long, n long").groupBy("word").agg(F.sum("pos").cast("double").alias("pos"), F.sum("n").cast("double").alias("all"))
-    n, t = float(totals.n), float(totals.t)
     a, b = F.col("pos"), F.col("all")
     cells = ((a, b * t / n), (b - a, b * (n - t) / n), (t - a, (n - b) * t / n), (n - b - t + a, (n - b) * (n - t) / n))
     ratio = 2 * sum((F.when(x > 0, x * F.log(x / expected)).otherwise(0.0) for x, expected in cells), F.lit(0.0))
