@@ -16,10 +16,13 @@ the prefix of its longest l, ``REACH`` of its size.
    most frequent) that most of its shingles lead to, so that groups of near copies become
    components without their pairs. Rounds with other hubs repeat while they join nodes;
    afterwards only pairs in different components are generated and verified.
-4. These come from light shingles as in 2. Between two nodes for which every l has too
-   many heavy shingles, whole sets decide: they share at most as many heavy shingles as
-   the poorer one has, and must share the rest of the overlap they need in light ones.
-   Only where heavy shingles alone could suffice for both, a pair is formed from them.
+4. These come from light shingles as in 2. Nodes for which every l has too many heavy
+   shingles among hashes in order take their prefix over the whole set instead, rarest
+   shingle first: a node whose shared shingles are fewer than t drops out, one with h heavy
+   ones must share t - h light ones with a partner, so that it looks up all but t - h of
+   its light ones, lengthened by l for l matches, whichever l costs least. Only nodes whose
+   heavy shingles could suffice (h >= t) meet through heavy ones, the rarest first; among
+   these, pairs of different components are verified one by one.
 
 So no pair of different components that could link stays unverified, and no group is
 listed pair by pair once it hangs together. Verification counts the exact intersection.
@@ -41,7 +44,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, stored, table
+from .common import chunks, row_hash, scratch, stored, table
 from .graph import components
 from .words import BASE, hashes, mix, runs, spans, text_bytes
 
@@ -54,6 +57,7 @@ TEXT_BYTES = 2 << 20
 #: Nodes whose keys and components (at most 40 bytes each) may be broadcast; more are joined by shuffle.
 BROADCAST_NODES = 500_000
 ROUNDS = 4
+SHORT = 256  # shingles of a prefix that travels whole
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,17 +90,16 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Sets:
-    """The shingle sets of a batch: size and two set hashes per text, rank per shingle."""
+    """The shingle sets of a batch: size and set hash per text, rank per shingle."""
 
     def __init__(self, column: pa.Array):
         self.text, self.value = shingles(column)
         self.n = np.bincount(self.text, minlength=len(column)).astype(np.int64)
         self.first = np.cumsum(self.n) - self.n
         held = np.flatnonzero(self.n)
-        self.s, self.s2 = np.zeros(len(column), np.uint64), np.zeros(len(column), np.uint64)
+        self.s = np.zeros(len(column), np.uint64)
         if len(held):
             self.s[held] = mix(np.add.reduceat(mix(self.value + BASE), self.first[held]) + self.n[held].astype(np.uint64))
-            self.s2[held] = np.bitwise_xor.reduceat(mix(self.value * BASE), self.first[held])
         self.rank = np.arange(len(self.value)) - self.first[self.text]
 
 
@@ -181,7 +184,7 @@ def remaining(docs: DataFrame) -> DataFrame:
     """tok, s, n, r of the nodes that step 1 leaves, df (remaining nodes with tok) above 1."""
     rows = prefixes(docs)
     # Equal sets in different chunks come several times: min and max tell two nodes from one.
-    twice = rows.groupBy("tok").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a <> b").select("tok")
+    twice = stored(rows.groupBy("tok").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a <> b").select("tok"))
     alive = stored(_enough(_lists(rows.join(twice, "tok"))))
     for _ in range(2):  # counted again among those left
         rows = alive.select("s", "n", F.inline("held"))
@@ -264,49 +267,118 @@ def _comparable(a: str, b: str):
     return (F.col(a) * 100 >= F.col(b) * PERCENT) & (F.col(b) * 100 >= F.col(a) * PERCENT)
 
 
-def stuck_pairs(demand: DataFrame, comp: DataFrame, full: DataFrame) -> DataFrame:
-    """s, v: pairs in different components of nodes whose prefixes are too heavy (step 4)."""
+def _token_rows(full: DataFrame) -> DataFrame:
+    """s, tok: the whole sets of compressed texts, about ``TEXT_BYTES`` of text at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
+
+        def rows(keys: list[int], texts: list[str]) -> pa.RecordBatch:
+            row, tok = shingles(pa.array(texts, pa.string()))
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()).take(pa.array(row)), _signed(tok)], names=["s", "tok"])
+
+        for batch in batches:
+            keys, texts, size = [], [], 0
+            for s, packed in zip(batch.column("s").to_pylist(), batch.column("z").to_pylist()):
+                keys.append(s)
+                texts.append(z.decompress(packed).decode())
+                size += len(texts[-1])
+                if size >= TEXT_BYTES:
+                    yield rows(keys, texts)
+                    keys, texts, size = [], [], 0
+            yield rows(keys, texts)
+
+    return full.mapInArrow(run, "s long, tok long")
+
+
+def whole_demands(rows: DataFrame) -> DataFrame:
+    """Per node of rows (s, n, c, tok, df) its shared shingles, rarest first, and its prefix of them.
+
+    toks: all of them; light: how many have ``HEAVY`` holders at most; width and need: the
+    prefix and the matches in it that a partner must reach. Heavy shingles cannot supply
+    the whole overlap unless they are 0.75 of the set, so that ``ceil(0.75 n) - heavy``
+    light ones are shared and the prefix may be all but so many of them, plus ``need``.
+    need = 0: a rich node, whose heavy shingles could suffice; its prefix is over all shingles.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                row, tok = shingles(pa.array([z.decompress(x).decode() for x in part.column("z").to_pylist()], pa.string()))
-                n = np.bincount(row, minlength=part.num_rows)
-                rank = np.arange(len(row)) - (np.cumsum(n) - n)[row]
-                yield pa.RecordBatch.from_arrays([part.column("s").take(pa.array(row)), _signed(tok), pa.array(rank <= spare(n)[row])], names=["s", "tok", "prefix"])
-
-    stuck = full.join(demand.where("l = 0").select("s"), "s", "left_semi")
-    rows = stored(stuck.mapInArrow(run, "s long, tok long, prefix boolean"))
+            n, held = batch.column("n").to_numpy(), batch.column("held")
+            df, tok = (held.flatten().field(f) for f in range(2))
+            d = df.to_numpy()
+            cut = np.concatenate(([0], np.cumsum(held.value_lengths().to_numpy())))
+            least = -(-n * PERCENT // 100)
+            out = np.zeros((3, len(n)), np.int64)
+            for i in range(len(n)):
+                mine = d[cut[i] : cut[i + 1]]
+                light = int(np.searchsorted(mine, HEAVY, "right"))
+                k = int(least[i]) - (len(mine) - light)
+                if k < 1:
+                    out[:, i] = light, len(mine) - least[i] + 1, 0
+                    continue
+                if k > light:  # too few shared shingles for any partner
+                    out[:, i] = light, 0, 1
+                    continue
+                steps = np.arange(1, k + 1)
+                end = light - k + steps
+                cost = np.concatenate(([0], np.cumsum(mine[:light] - 1)))[end] / steps
+                best = int(cost.argmin())
+                out[:, i] = light, end[best], steps[best]
+            toks = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), tok)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("s", "n", "c")), toks, *map(pa.array, out)], names=["s", "n", "c", "toks", "light", "width", "need"])
+
+    lists = rows.groupBy("s").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("held"))
+    return lists.mapInArrow(run, "s long, n long, c long, toks array<long>, light long, width long, need long")
+
+
+def stuck_pairs(demand: DataFrame, comp: DataFrame, full: DataFrame) -> DataFrame:
+    """s, v: pairs in different components of nodes whose prefixes are too heavy (step 4)."""
+    stuck = demand.where("l = 0").join(comp.select("s", "n", "c"), "s").select("s", "n", "c")
+    rows = stored(_token_rows(full.join(stuck, "s", "left_semi")))
+    # What one node alone holds matches nothing; who lacks too much drops out, and no longer counts.
+    shared = rows.join(rows.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1"), "tok")
+    alive = shared.groupBy("s").agg(F.count("*").alias("k")).join(stuck, "s").where(F.col("k") * 100 >= F.col("n") * PERCENT)
+    rows = stored(shared.select("s", "tok").join(alive.select("s", "n", "c"), "s"))
     df = rows.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
-    rows = rows.join(df, "tok")
-    heavy = rows.groupBy("s").agg(F.count_if(F.col("df") > HEAVY).alias("h")).join(comp.select("s", "n", "c"), "s")
-    rows = stored(rows.join(heavy, "s"))
-    least = F.ceil((F.col("n") + F.col("m")) * PERCENT / (100 + PERCENT))  # overlap that the two need
-    other = rows.select("tok", "prefix", F.col("s").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("h").alias("g"))
-    apart = (F.col("c") < F.col("d")) & _comparable("n", "m")
-    few = rows.where(F.col("df") <= HEAVY).drop("prefix").join(other.drop("prefix"), "tok").where(apart)
-    few = few.groupBy("s", "v").agg(F.count("*").alias("k"), F.first(least - F.least("h", "g")).alias("need")).where("k >= need")
-    # Both rich in heavy shingles: one shared shingle within n - t + 1 is certain.
-    rich = F.col("h") * 100 >= F.col("n") * PERCENT
-    dense = rows.where(F.col("prefix") & (F.col("df") > HEAVY) & rich)
+    node = stored(whole_demands(rows.join(df, "tok")).where(F.size("toks") * 100 >= F.col("n") * PERCENT))
+    node = node.withColumn("most", F.size("toks"))
+    least = F.ceil((F.col("n") + F.col("m")) * PERCENT / (100 + PERCENT))  # the overlap that the two need
+    alike = _comparable("n", "m") & (F.least("most", "most2") >= least)
+    second = (F.col("s").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("most").alias("most2"))
+    # Poor nodes: enough matches in the prefix. Two poor ones meet once. The first matches
+    # come before all but so many of the light shingles as both must share.
+    light = lambda width: F.posexplode(F.slice("toks", F.lit(1), F.col(width).cast("int")))
+    left = node.where("need > 0").select("s", "n", "c", "most", "light", "need", light("width").alias("q", "tok"))
+    other = node.select(*second, (F.col("need") > 0).alias("poor"), F.col("light").alias("light2"), light("light").alias("q2", "tok"))
+    common = least - F.least(F.col("most") - F.col("light"), F.col("most2") - F.col("light2"))
+    early = (F.col("q") < F.col("light") - common + F.col("need")) & (F.col("q2") < F.col("light2") - common + F.col("need"))
+    meets = (F.col("c") != F.col("d")) & (~F.col("poor") | (F.col("c") < F.col("d")))
+    poor = left.join(other, "tok").where(meets & alike & early)
+    poor = poor.groupBy("s", "v").agg(F.count("*").alias("k"), F.first("need").alias("need")).where("k >= need").select("s", "v")
+    # Rich nodes: the rarest common shingle comes early in both. A pair comes from it only,
+    # unless a prefix is too long to travel with each of its shingles.
+    short = F.when(F.col("width") <= SHORT, F.slice("toks", F.lit(1), F.col("width").cast("int"))).otherwise(F.array().cast("array<long>"))
+    dense = node.where("need = 0").select("s", "n", "c", "most", short.alias("toks"), light("width").alias("q", "tok"))
     mixed = dense.groupBy("tok").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("tok")
-    dense = dense.join(mixed, "tok", "left_semi").drop("prefix", "df")
-    # A pair comes from its smallest common shingle only: every row knows its node's.
-    dense = stored(dense.join(dense.groupBy("s").agg(F.sort_array(F.collect_list("tok")).alias("toks")), "s"))
-    other = dense.select("tok", F.col("s").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("h").alias("g"), F.col("toks").alias("others"))
-    smallest = F.element_at(F.array_intersect("toks", "others"), 1) == F.col("tok")
-    many = dense.join(other, "tok").where(apart & (least <= F.least("h", "g")) & smallest).select("s", "v")
-    return few.select("s", "v").unionByName(many)
+    dense = stored(dense.join(mixed, "tok", "left_semi"))
+    other = dense.select("tok", *second, F.col("q").alias("q2"), F.col("toks").alias("others"))
+    rarest = (F.size("toks") == 0) | (F.size("others") == 0) | (F.element_at(F.array_intersect("toks", "others"), 1) == F.col("tok"))
+    early = (F.col("q") <= F.col("most") - least) & (F.col("q2") <= F.col("most2") - least)
+    rich = dense.join(other, "tok").where((F.col("c") < F.col("d")) & alike & early & rarest).select("s", "v")
+    return poor.unionByName(rich)
 
 
 def links(docs: DataFrame, node: DataFrame) -> DataFrame:
-    """u, v: links between nodes (of the frame ``nodes``) that connect every component."""
+    """u, v: links between nodes (of the frame ``nodes``) that connect every component; stored."""
+    with scratch(docs.sparkSession):
+        return stored(_links(docs, node), keep=True)
+
+
+def _links(docs: DataFrame, node: DataFrame) -> DataFrame:
     rows = remaining(docs)
     full = texts(docs, node, rows)
     node = rows.select("s", "n").distinct()
-    found = rows.select(F.col("s").alias("u"), F.col("s").alias("v")).limit(0)
+    found = rows.sparkSession.createDataFrame([], "u long, v long")
     # How much of a node's prefix others hold, by the logarithm of how many.
     centre = rows.groupBy("s").agg((F.sum(F.log2("df")) / F.first("n")).alias("centre"))
     comp = stored(node.join(centre, "s").select("s", "n", "centre", F.col("s").alias("c")))
@@ -327,9 +399,9 @@ def links(docs: DataFrame, node: DataFrame) -> DataFrame:
         if not asked:
             break
         new = stored(verify(best, full))
-        found, n_new = stored(found.unionByName(new)), new.count()
+        found, n_new = found.unionByName(new), new.count()
         fresh = best.select("u", F.col("v").alias("w"))
-        tried = fresh if tried is None else stored(tried.unionByName(fresh))
+        tried = fresh if tried is None else tried.unionByName(fresh)
         log.info("star round %d: %d verified, %d links", turn, asked, n_new)
         if n_new:
             root = components(found)
@@ -353,21 +425,30 @@ def links(docs: DataFrame, node: DataFrame) -> DataFrame:
     if tried is not None:
         again = tried.select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("v")).distinct()
         rest = rest.join(again, ["u", "v"], "left_anti")
-    return stored(found.unionByName(verify(rest, full)))
+    return found.unionByName(verify(rest, full))
 
 
-def _grouped(docs: DataFrame) -> DataFrame:
-    """doc_id, t, n and c (a node that names the component; null for an empty set) of every row."""
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, t, n and s (node; null for an empty set) of every row; s and root of the linked nodes."""
     node = nodes(docs)
-    root = components(links(docs, node)).select(F.col("node").alias("s"), "root")
-    return node.join(root, "s", "left").select("doc_id", "t", "n", F.coalesce("root", "s").alias("c"))
+    return node, components(links(docs, node)).select(F.col("node").alias("s"), "root")
+
+
+def _small(frame: DataFrame) -> DataFrame:
+    """With a broadcast hint, if the (stored) frame has few rows."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_NODES else frame
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    node = _grouped(docs)
-    least = node.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    return node.join(least, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    node, root = _grouped(docs)
+    # A node first, then its component; a row alone needs neither, and a stored side of a
+    # join lets Spark split the other where a third of the rows have one key.
+    sets = node.where("s is not null").groupBy("s").agg(F.min("doc_id").alias("least"), F.count("*").alias("times"))
+    least = stored(sets.join(_small(root), "s").groupBy("root").agg(F.min("least").alias("lowest")))
+    known = sets.join(_small(root), "s", "left").where("times > 1 or root is not null").join(_small(least), "root", "left")
+    known = stored(known.select("s", F.coalesce("lowest", "least").alias("component_id")))
+    return node.join(_small(known), "s", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -378,7 +459,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     without shingles all stay.
     """
     # Rows are told apart by id and text: unrelated texts may share an id, or have none.
-    rows = _grouped(docs.select("doc_id", "text")).where("c is not null").groupBy("c", "doc_id", "t").agg(F.count("*").alias("times"))
+    node, root = _grouped(docs.select("doc_id", "text"))
+    rows = node.where("s is not null").join(_small(root), "s", "left").groupBy(F.coalesce("root", "s").alias("c"), "doc_id", "t").agg(F.count("*").alias("times"))
     keep = rows.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "times")).alias("k"))
     keep = stored(keep.select(F.col("k.doc_id").alias("_d"), F.col("k.t").alias("_t"), F.col("k.times").alias("times")))
     size = keep.agg(F.count("*").alias("n"), F.coalesce(F.max("times"), F.lit(0)).alias("most")).first()
@@ -388,10 +470,25 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     found = read.join(F.broadcast(keep) if size.n <= BROADCAST_NODES else keep, same, "left")
     out = found.where("blank or times = 1").select("row.*")
     if size.most > 1:  # equal texts under one id: a partial aggregate, as they may be many
-        again = found.where("not blank and times > 1").withColumn("h", F.xxhash64("row.*"))
+        again = found.where("not blank and times > 1").withColumn("h", row_hash(docs, "row"))
         out = out.unionByName(again.groupBy("doc_id", "t").agg(F.min_by("row", "h").alias("row")).select("row.*"))
     return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+), s AS (
+  SELECT DISTINCT r, array_to_string(words[i:i + 4], ' ') AS s FROM (SELECT r, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)
+), n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+pairs AS (SELECT a.r AS u, b.r AS v, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+links AS (SELECT u, v FROM pairs JOIN n a ON a.r = u JOIN n b ON b.r = v WHERE 100 * k >= 75 * (a.n + b.n - k)),
+both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT r, r AS x FROM w UNION SELECT reach.r, v FROM reach JOIN both_ways ON u = x),
+least_id AS (SELECT reach.r, min(w.doc_id) AS component_id FROM reach JOIN w ON w.r = reach.x GROUP BY reach.r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM w LEFT JOIN n USING (r) JOIN least_id USING (r)
+"""

@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard": op9_jaccard.query,
     "op10_hnsw": op10_hnsw.query,
 }
-ORACLES: dict[str, str] = {"op2_substring": op2_substring.ORACLE, "op3_cover_tree": op3_cover_tree.ORACLE, "op7_warc": op7_warc.ORACLE, "op8_mixing": op8_mixing.ORACLE}
+ORACLES: dict[str, str] = {"op2_substring": op2_substring.ORACLE, "op3_cover_tree": op3_cover_tree.ORACLE, "op7_warc": op7_warc.ORACLE, "op8_mixing": op8_mixing.ORACLE, "op9_jaccard": op9_jaccard.ORACLE}

@@ -154,3 +154,34 @@ def test_deduplicating_drops_only_rows_near_one_that_stays(spark):
 def test_deduplicating_copies_under_one_id_keeps_one_row(spark):
     docs = _frame(spark, [(1, "x y z")] * 3 + [(2, "other words")] * 2).withColumn("row", F.concat("row", F.monotonically_increasing_id()))
     assert sorted((r.doc_id, r.text) for r in jac.deduplicate(docs).collect()) == [(1, "x y z"), (2, "other words")]
+
+
+def test_documents_around_one_template(spark, monkeypatch):
+    """500 documents at 60 to 74 % similarity to one another, a few near copies among them: what is verified is counted."""
+    rng = random.Random(8)
+    base = [f"t{i}" for i in range(400)]
+    rows = []
+    for i in range(500):
+        words = list(base)
+        for at in rng.sample(range(400), 14):  # each edit takes five shingles
+            words[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, rows[i][1] + f" tail{i}") for i in range(20)]
+    verified, real = [], jac.verify
+
+    def counted(pairs, full):
+        verified.append(pairs.count())
+        return real(pairs, full)
+
+    monkeypatch.setattr(jac, "verify", counted)
+    got = {r.doc_id: r.component_id for r in jac.classes(_frame(spark, rows)).collect()}
+    assert all(got[i] == i for i in range(500)) and all(got[1000 + i] == i for i in range(20))
+    assert sum(verified) <= 40 * len(rows)
+
+
+def test_map_columns_and_one_third_of_all_rows_in_one_component(spark):
+    base = " ".join(f"b{i}" for i in range(100))
+    docs = _frame(spark, [(i, f"{base} t{i % 3}") for i in range(60)] + [(100 + i, f"text number {i} alone") for i in range(60)])
+    docs = docs.withColumn("extra", F.create_map(F.lit("a"), F.col("doc_id")))
+    kept = jac.deduplicate(docs.unionByName(docs.where("doc_id = 100")))
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, *range(100, 160)]
