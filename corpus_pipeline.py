@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
 the columns of documents. The tables of ``sf_dir`` other than documents are labels, from
 which the first stage learns.
+
+Defined results: a document with a null or empty text passes the first three stages and
+takes no part in the mix, as it has no words; null ids, ids that several documents share
+and repeated rows are handled row by row (near copies, equal rows among them, become one);
+columns beside those of documents, whatever their names and kinds, are carried up to the
+last stage, which replaces text (and a column of that name) by tokens; empty tables give
+an empty result; without labels no document is toxic.
 """
 
 from __future__ import annotations
