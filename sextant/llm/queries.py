@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_language_id, op2_substring, op3_cover_tree, op4_licenses, op5_toxicity, op6_pieces, op7_warc, op8_mixing, op9_jaccard, op10_hnsw
+from . import op11_variants, op1_language_id, op2_substring, op3_cover_tree, op4_licenses, op5_toxicity, op6_pieces, op7_warc, op8_mixing, op9_jaccard, op10_hnsw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id.query,
@@ -19,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing.query,
     "op9_jaccard": op9_jaccard.query,
     "op10_hnsw": op10_hnsw.query,
+    "op11_variants": op11_variants.query,
 }
 ORACLES: dict[str, str] = {"op2_substring": op2_substring.ORACLE, "op3_cover_tree": op3_cover_tree.ORACLE, "op7_warc": op7_warc.ORACLE, "op8_mixing": op8_mixing.ORACLE, "op9_jaccard": op9_jaccard.ORACLE}
