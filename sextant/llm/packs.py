@@ -86,16 +86,14 @@ def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(at, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(at, minlength=buckets))))
 
 
-def frequent(packs: DataFrame, keys: Callable[[Pack], tuple[np.ndarray, np.ndarray]], least: int, buckets: int) -> DataFrame:
-    """pack, marks (bucket, bits), n: of every key of a pack, whether it occurs ``least`` times over all packs (255 at most), and how many do.
-
-    ``keys`` gives a pack's distinct keys in order and how often each occurs.
-    """
+def _answers(packs: DataFrame, keys: Callable[[Pack], tuple[np.ndarray, np.ndarray]], least: int, buckets: int, totals: bool) -> DataFrame:
+    """What the buckets answer; with ``totals``, also a row a partition without a pack: its frequent keys and how often each occurs."""
+    count = np.dtype("<u4") if totals else np.dtype("u1")
 
     def send(row: dict) -> Iterator[pa.RecordBatch]:
         own, n = keys(Pack(row))
         order, bounds = by_bucket(own, buckets)
-        own, n = own[order], np.minimum(n[order], least).astype(np.uint8)
+        own, n = own[order], (n[order] if totals else np.minimum(n[order], least)).astype(count)
         full = np.flatnonzero(np.diff(bounds))
         bodies = [own[bounds[b] : bounds[b + 1]].tobytes() + n[bounds[b] : bounds[b + 1]].tobytes() for b in full]
         yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), row["pack"])), pa.array(bodies, pa.binary())], names=["bucket", "pack", "body"])
@@ -105,23 +103,49 @@ def frequent(packs: DataFrame, keys: Callable[[Pack], tuple[np.ndarray, np.ndarr
         if not got:
             return
         bodies = [np.frombuffer(x.as_py(), np.uint8) for b in got for x in b.column("body")]
-        sizes = np.array([len(x) // 9 for x in bodies])
+        sizes = np.array([len(x) // (8 + count.itemsize) for x in bodies])
         own = np.concatenate([x[: 8 * k].view(np.uint64) for x, k in zip(bodies, sizes)])
-        n = np.concatenate([x[8 * k :] for x, k in zip(bodies, sizes)])
+        n = np.concatenate([x[8 * k :].view(count) for x, k in zip(bodies, sizes)])
         del bodies
         order = np.argsort(own)
         own, n = own[order], n[order]
         head = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        often = np.empty(len(own), bool)
-        often[order] = np.repeat(np.add.reduceat(n, head, dtype=np.int64) >= least, np.diff(np.append(head, len(own))))
+        often, total = np.empty(len(own), bool), np.add.reduceat(n, head, dtype=np.int64)
+        often[order] = np.repeat(total >= least, np.diff(np.append(head, len(own))))
         ends = np.cumsum(sizes)
         bits = pa.array([np.packbits(often[e - k : e]).tobytes() for e, k in zip(ends, sizes)], pa.binary())
         whole = pa.Table.from_batches([b.select(["bucket", "pack"]) for b in got]).combine_chunks().to_batches()[0]
         hits = pa.array([int(often[e - k : e].sum()) for e, k in zip(ends, sizes)], pa.int64())
-        yield pa.RecordBatch.from_arrays([*whole.columns, bits, hits], names=["bucket", "pack", "bits", "n"])
+        yield pa.RecordBatch.from_arrays([*whole.columns, bits, hits, pa.nulls(len(sizes), pa.binary())], names=["bucket", "pack", "bits", "n", "totals"])
+        if totals:
+            found = own[head][total >= least].tobytes() + total[total >= least].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([found], pa.binary())], names=["bucket", "pack", "bits", "n", "totals"])
 
     rows = packs.mapInArrow(each(send), "bucket int, pack long, body binary").repartition(buckets, "bucket")
-    return rows.mapInArrow(answer, "bucket int, pack long, bits binary, n long").groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits")).alias("marks"), F.sum("n").alias("n"))
+    return rows.mapInArrow(answer, "bucket int, pack long, bits binary, n long, totals binary")
+
+
+def _by_pack(answers: DataFrame) -> DataFrame:
+    return answers.groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits")).alias("marks"), F.sum("n").alias("n"))
+
+
+def frequent(packs: DataFrame, keys: Callable[[Pack], tuple[np.ndarray, np.ndarray]], least: int, buckets: int) -> DataFrame:
+    """pack, marks (bucket, bits), n: of every key of a pack, whether it occurs ``least`` times over all packs (255 at most), and how many do.
+
+    ``keys`` gives a pack's distinct keys in order and how often each occurs.
+    """
+    return _by_pack(_answers(packs, keys, least, buckets, False))
+
+
+def frequent_totals(packs: DataFrame, keys: Callable[[Pack], tuple[np.ndarray, np.ndarray]], least: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """What ``frequent`` gives, and key, f of all frequent keys; both read a stored table."""
+    answers = stored(_answers(packs, keys, least, buckets, True))
+
+    def split(row: dict) -> Iterator[pa.RecordBatch]:
+        k = len(row["totals"]) // 16
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(part, np.int64)) for part in (row["totals"][: 8 * k], row["totals"][8 * k :])], names=["key", "f"])
+
+    return _by_pack(answers.where("pack IS NOT NULL")), answers.where("pack IS NULL").select("totals").mapInArrow(each(split), "key long, f long")
 
 
 def marked(keys: np.ndarray, marks: list[dict] | None, buckets: int) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op11_variants, op13_suffix_dedup, op1_language_id, op2_substring, op3_cover_tree, op4_licenses, op5_toxicity, op6_pieces, op7_warc, op8_mixing, op9_jaccard, op10_hnsw
+from . import op1_language_id, op2_substring, op3_cover_tree, op4_licenses, op5_toxicity, op6_pieces, op7_warc, op8_mixing, op9_jaccard, op10_hnsw, op11_variants, op12_collocations, op13_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id.query,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard": op9_jaccard.query,
     "op10_hnsw": op10_hnsw.query,
     "op11_variants": op11_variants.query,
+    "op12_collocations": op12_collocations.query,
     "op13_suffix_dedup": op13_suffix_dedup.query,
 }
-ORACLES: dict[str, str] = {"op2_substring": op2_substring.ORACLE, "op3_cover_tree": op3_cover_tree.ORACLE, "op7_warc": op7_warc.ORACLE, "op8_mixing": op8_mixing.ORACLE, "op9_jaccard": op9_jaccard.ORACLE, "op13_suffix_dedup": op13_suffix_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op2_substring": op2_substring.ORACLE, "op3_cover_tree": op3_cover_tree.ORACLE, "op7_warc": op7_warc.ORACLE, "op8_mixing": op8_mixing.ORACLE, "op9_jaccard": op9_jaccard.ORACLE, "op12_collocations": op12_collocations.ORACLE, "op13_suffix_dedup": op13_suffix_dedup.ORACLE}
