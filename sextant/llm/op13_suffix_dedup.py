@@ -36,7 +36,8 @@ from .packs import Pack, buckets_for, each, frequent, marked, packed
 from .words import BASE, mix
 
 LENGTH = 100
-GRAM = 16
+#: Bytes of an anchor; shorter ones occur by chance in texts that share nothing.
+GRAM = 32
 SPREAD = LENGTH - GRAM + 1  # anchors to choose from in a string, and most strings in a block
 MASK_BYTES = -(-SPREAD // 8)
 SHARD_BYTES = 4 << 20
@@ -44,10 +45,13 @@ _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
-    """A hash of every run of GRAM = 16 bytes."""
+    """A hash of every run of GRAM bytes, eight at a time."""
     n = len(data) - GRAM + 1
-    eight = np.ndarray((n + 8,), "<u8", np.ascontiguousarray(data), strides=(1,))
-    return mix(mix(eight[:n] * BASE) + eight[8:])
+    eight = np.ndarray((n + GRAM - 8,), "<u8", np.ascontiguousarray(data), strides=(1,))
+    h = np.zeros(n, np.uint64)
+    for i in range(0, GRAM, 8):
+        h = mix(h * BASE + eight[i : i + n])
+    return h
 
 
 def blocks(pack: Pack) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
