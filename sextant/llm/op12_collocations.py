@@ -35,6 +35,8 @@ from .packs import Pack, buckets_for, each, frequent_totals, marked, packed
 from .words import BASE, hashes, mix
 
 LONGEST, LEAST, TOP, NESTED = 4, 30, 2000, 80
+#: Smaller than elsewhere: nearly every word and pair is a key.
+PACK_BYTES, BUCKET_BYTES = 1 << 20, 8 << 20
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BLANK, _END = np.zeros(256, bool), np.zeros(256, bool)
 _BLANK[[0x20, 0x09]] = True
@@ -176,8 +178,8 @@ def _batch(lang: list, words: list, key: list, n: list) -> pa.RecordBatch:
 
 def phrase_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stored tables of the innermost scratch block: lang, words, f of every phrase that may be scored and of its words; and lang, n."""
-    packs = packed(docs)
-    buckets = buckets_for(packs)
+    packs = packed(docs, PACK_BYTES)
+    buckets = buckets_for(packs, BUCKET_BYTES)
     marks, totals = frequent_totals(packs, lambda pack: Pointers(pack).keys(), LEAST, buckets)
     both = packs.join(marks, "pack", "left")
     words = [f"w{d}" for d in range(LONGEST)]

@@ -38,14 +38,14 @@ class Pack:
         self.data = np.frombuffer(self.bytes, np.uint8)
 
 
-def packed(docs: DataFrame) -> DataFrame:
+def packed(docs: DataFrame, size: int = PACK_BYTES) -> DataFrame:
     """A stored table of packs of ``docs``: doc_id long, lang string (if there is one), text; null texts are empty."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId() << 32, 0
         z = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for part in chunks(batch, "text", PACK_BYTES):
+            for part in chunks(batch, "text", size):
                 order = pc.sort_indices(pa.table([part.column("doc_id"), part.column("t")], names=["doc_id", "t"]), sort_keys=[("doc_id", "ascending"), ("t", "ascending")], null_placement="at_start")
                 part = part.take(order)
                 texts = [(t or "").encode() for t in part.column("text").to_pylist()]
@@ -74,10 +74,10 @@ def each(f: Callable[[dict], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa
     return run
 
 
-def buckets_for(packs: DataFrame) -> int:
+def buckets_for(packs: DataFrame, each: int = BUCKET_BYTES) -> int:
     """A number of buckets by the bytes of text, the session's number of shuffle partitions at least."""
     size = packs.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    return max(int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    return max(int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
 def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +107,7 @@ def _answers(packs: DataFrame, keys: Callable[[Pack], tuple[np.ndarray, np.ndarr
         own = np.concatenate([x[: 8 * k].view(np.uint64) for x, k in zip(bodies, sizes)])
         n = np.concatenate([x[8 * k :].view(count) for x, k in zip(bodies, sizes)])
         del bodies
-        order = np.argsort(own)
+        order = np.argsort(own).astype(np.int32 if len(own) < 1 << 31 else np.int64)
         own, n = own[order], n[order]
         head = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
         often, total = np.empty(len(own), bool), np.add.reduceat(n, head, dtype=np.int64)
