@@ -170,18 +170,18 @@ def export_diff(catalog: DataFrame, export: DataFrame) -> DataFrame:
     zone_no, path, title, status. Several rows of one path are several representations;
     the one in the first zone is compared.
     """
-    shown = export.withColumn("_p", plain_path(F.col("path"))).groupBy("_p").agg(F.array_sort(F.collect_list(F.struct("zone_no", "path", "zone", "title", "status"))).alias("shown"))
+    shown = export.withColumn("_p", plain_path(F.col("path"))).groupBy("_p").agg(F.count("*").alias("_n"), F.min(F.struct("zone_no", "path", "zone", "title", "status")).alias("_first"))
     rows = catalog.withColumn("_p", plain_path(F.col("path"))).join(shown, "_p", "left")
-    first = F.element_at("shown", 1)
+    first = F.col("_first")
     none_if_empty = lambda c: F.nullif(c, F.lit(""))
     reference = F.when(first["zone"] == "development_candidates", F.col("candidate_status")).otherwise(F.col("status"))
     fields = F.array_compact(F.array(
         F.when(first["title"].isNotNull() & ~first["title"].eqNullSafe(F.col("title")), "title"),
         F.when(first["status"].isNotNull() & ~none_if_empty(first["status"]).eqNullSafe(none_if_empty(reference)), "status"),
     ))
-    missing = F.col("shown").isNull()
+    missing = F.col("_n").isNull()
     reason = F.when(missing, F.when(F.size("eligible") == 0, "structural").when(F.col("fresh") == "stale", "freshness").otherwise("unknown"))
-    found = F.array_compact(F.array(F.when(F.size("shown") > 1, "extra_in_export"), F.when(first["path"] != F.col("path"), "path_mismatch"), F.when(F.size(fields) > 0, "metadata_mismatch")))
+    found = F.array_compact(F.array(F.when(F.col("_n") > 1, "extra_in_export"), F.when(first["path"] != F.col("path"), "path_mismatch"), F.when(F.size(fields) > 0, "metadata_mismatch")))
     categories = F.when(missing, F.array(F.lit("missing_from_export"))).when(F.size(found) == 0, F.array(F.lit("matched_clean"))).otherwise(found)
     return rows.select("path", categories.alias("categories"), reason.alias("reason"), F.when(missing, F.array().cast("array<string>")).otherwise(fields).alias("fields"))
 

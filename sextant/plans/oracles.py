@@ -7,6 +7,12 @@ from ..operators.vector import IGNORED, LOWER, TOKEN_DOMAIN, UPPER
 from .queries import DIMENSION, GATED, PUBLIC_FIELDS, QUESTIONS, SCORER, scorer
 
 _DOMAINS = "[" + ", ".join(f"'{d}'" for d in DOMAINS) + "]"
+#: Pages as members v (page_id, path, shown) and their spellings s (spelling, path, refused).
+_MEMBERS = r"""WITH u AS (SELECT page_id, string_split(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/') AS p FROM pages),
+v AS (SELECT page_id, 'Core/' || CASE WHEN page_id % 3 = 0 THEN '_' ELSE '' END || p[2] || '/' || left(p[3], 2) || '.md' AS path, 'Core/' || p[2] || '/' || left(p[3], 2) || '.md' AS shown FROM u),
+x AS (SELECT path AS spelling, path FROM v UNION SELECT shown, path FROM v),
+b AS (SELECT path FROM x WHERE spelling IN (SELECT spelling FROM x GROUP BY spelling HAVING count(DISTINCT path) > 1)),
+s AS (SELECT spelling, path, path IN (SELECT path FROM b) AS refused FROM x)"""
 _FLAT = r"trim(regexp_replace(body, '\s+', ' ', 'g'))"
 _TOKENS = f"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[a-z0-9]+|[^\\x00-\\x7f{IGNORED}]')"
 _BUCKETS = f"""
@@ -236,6 +242,30 @@ SELECT CASE WHEN kind IS NULL THEN 'target-denied' WHEN kind = 'link' THEN 'syml
     "dedup_first_seen": """WITH f AS (SELECT user_id, event_type, min((ts, event_id)) AS first FROM events GROUP BY ALL) SELECT user_id, string_agg(event_type, ',' ORDER BY first) AS first_seen FROM f GROUP BY user_id""",
     "outbox_enqueue": """WITH r AS (SELECT event_id, event_type, event_id % 997 AS op, user_id % 2 AS actor, row_number() OVER w AS n, first_value(user_id % 2) OVER w AS first_actor FROM events WINDOW w AS (PARTITION BY event_id % 997 ORDER BY ts, event_id))
 SELECT CASE WHEN n = 1 THEN 'accepted' WHEN actor = first_actor THEN 'duplicate' ELSE 'conflict' END AS outcome, event_type, count(*) AS n, min(event_id) AS first FROM r GROUP BY 1, 2""",
+    # The commits that each named commit reaches, followed parent by parent.
+    "history_freshness": """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events),
+p AS (SELECT event_id, before AS parent FROM e WHERE before IS NOT NULL UNION SELECT event_id, event_id - 7 FROM e WHERE event_type = 'signup' AND event_id % 3 = 0 AND event_id >= 7),
+u AS (SELECT user_id, max(event_id) FILTER (event_type = 'view') AS x, max(event_id) FILTER (event_type = 'click') AS t FROM e GROUP BY user_id),
+n AS (SELECT user_id || '-own' AS path, x, t FROM u UNION ALL SELECT u.user_id || '-next', b.x, u.t FROM u JOIN u b ON b.user_id + 1 = u.user_id),
+r AS (SELECT x AS source, x AS node FROM n WHERE x IS NOT NULL UNION SELECT t, t FROM n WHERE t IS NOT NULL UNION SELECT source, parent FROM r JOIN p ON p.event_id = r.node)
+SELECT path, CASE WHEN x IS NULL OR t IS NULL THEN 'unknown' WHEN x = t THEN 'current' WHEN EXISTS (SELECT 1 FROM r WHERE source = t AND node = x) THEN 'stale' WHEN EXISTS (SELECT 1 FROM r WHERE source = x AND node = t) THEN 'current' ELSE 'unknown' END AS verdict FROM n""",
+    "request_hashes": """SELECT doc_id, 'sha256:' || sha256('{"body":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"frontmatter":{"lang":' || coalesce(to_json(lang)::VARCHAR, 'null') || ',"source":' || coalesce(to_json(source)::VARCHAR, 'null')
+  || '},"operation_id":"op' || doc_id || '","provenance_mode":"generated","target_path":"Core/_inbox/' || doc_id || '.md"}') AS request_hash FROM documents""",
+    "json_faults": """SELECT event_type, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'not-json' WHEN 2 THEN 'not-finite' WHEN 3 THEN CASE WHEN event_id % 5 + 2 > 4 THEN 'too-deep' END WHEN 4 THEN 'not-json' WHEN 5 THEN NULL WHEN 6 THEN 'not-json' END AS fault,
+  count(*) AS n, sum(event_id)::BIGINT AS ids FROM events WHERE json_valid(props) GROUP BY ALL""",
+    "spelling_refusals": rf"""{_MEMBERS} SELECT refused, count(*) AS spellings, count(DISTINCT path) AS members FROM s GROUP BY refused""",
+    "spelled_hits": rf"""{_MEMBERS}, h AS (SELECT page_id, string_split(path, '/')[2] AS query, CASE page_id % 4 WHEN 0 THEN path WHEN 1 THEN shown WHEN 2 THEN path ELSE 'other://none' END AS spelling FROM v)
+SELECT query, path, min(page_id) AS rank FROM h JOIN s USING (spelling) WHERE NOT refused GROUP BY query, path""",
+    "receipt_faults": """WITH e AS (SELECT event_type, event_id % 11 AS mode, ts::DATE AS day FROM events),
+f AS (SELECT *, [NULL, 'path', 'status', 'keys', 'mode', 'line', 'key', 'repeated', 'contract', 'id', NULL][mode + 1] AS fault FROM e)
+SELECT event_type, fault, CASE WHEN mode = 10 THEN '3' END AS contract, count(*) AS n, count(DISTINCT CASE WHEN fault IS NULL THEN day END) AS paths FROM f GROUP BY ALL""",
+    "index_recovery": """WITH r AS (SELECT sha256(o_orderkey::VARCHAR) AS name, o_custkey || '-' || left(o_orderpriority, 1) AS key FROM orders WHERE o_orderstatus <> 'P'),
+f AS (SELECT o_custkey || '-' || left(o_orderpriority, 1) AS key, max(o_orderkey) AS k FROM orders GROUP BY 1),
+i AS (SELECT key, CASE WHEN k % 5 = 0 THEN left(sha256(k::VARCHAR), 40) ELSE sha256(k::VARCHAR) END AS name FROM f WHERE k % 7 <> 0),
+e AS (SELECT *, CASE WHEN length(name) <> 64 THEN 'torn' WHEN name NOT IN (SELECT name FROM r) THEN 'lost' ELSE 'kept' END AS action FROM i),
+a AS (SELECT * FROM e UNION ALL SELECT key, min(name), 'rebuilt' FROM r WHERE key NOT IN (SELECT key FROM e WHERE action = 'kept') GROUP BY key)
+SELECT action, count(*) AS n, min(key) AS first, max(name) AS last FROM a GROUP BY action""",
+    "record_order": "SELECT o_orderkey, row_number() OVER (ORDER BY sha256(o_orderkey::VARCHAR)) AS place FROM orders WHERE o_orderkey % 9 <> 0",
     "outbox_replay": """WITH r AS (SELECT event_type, ts, (event_id % 7)::INTEGER AS attempts, CASE event_type WHEN 'click' THEN 'leased' WHEN 'signup' THEN 'committed' ELSE 'queued' END AS state,
   CASE event_type WHEN 'purchase' THEN 'base-moved' WHEN 'error' THEN 'path-conflict' WHEN 'click' THEN 'leader-unavailable' END AS code FROM events),
 s AS (SELECT *, CASE WHEN state = 'committed' OR state = 'leased' AND ts + INTERVAL 1 DAY > TIMESTAMP '2024-01-11' THEN 'skip' WHEN TIMESTAMP '2024-01-11' >= ts + INTERVAL 7 DAYS THEN 'expire' ELSE 'replay' END AS step FROM r),

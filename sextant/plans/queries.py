@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.digest import framed_sha256, tree_revision
+from ..functions import receipt, values
 from ..functions.text import byte_length, compact, snippet, snippet_lower, strip_frontmatter, word_count
-from ..operators import access, catalog, context, convert, evaluate, lexical, outbox, privacy, shadow, vector
+from ..operators import access, catalog, context, convert, evaluate, history, lexical, outbox, privacy, shadow, spelling, vector, writer
+from ..sources.tables import scratch, stored
 from .tables import classified, dealt, domain_of, table
 
 #: The stated lexical requests.
@@ -267,10 +269,11 @@ ENGINES = ("lexical", "vector")
 
 def _shadow(spark, sf):
     """The report of both engines over the public documents: the same index, questions and tokens for both."""
-    public = _public(spark, sf).select("doc_id", "title", "description", "metadata", "body")
+    public = stored(_public(spark, sf).select("doc_id", "title", "description", "metadata", "body"))
     path = F.concat(F.col("doc_id"), F.lit(".md"))
     low = F.lower("body")
     least = public.agg(*(F.min(F.when(F.contains(low, F.lit(a)) & F.contains(low, F.lit(b)), F.col("doc_id"))).alias(q) for q, _, _, (a, b) in QUESTIONS))
+    least = stored(least)
     row = lambda q, p: F.struct(F.lit(q).alias("qid"), F.lit(p).alias("provenance"), F.when(F.col(q).isNull(), shadow.NO_ANSWER).otherwise("lookup").alias("category"), F.when(F.col(q).isNotNull(), F.array(F.concat(F.col(q), F.lit(".md")))).otherwise(F.array().cast("array<string>")).alias("expected"))
     questions = least.select(F.inline(F.array(*(row(q, p) for q, _, p, _ in QUESTIONS))))
     requests = [(q, text) for q, text, _, _ in QUESTIONS]
@@ -281,25 +284,30 @@ def _shadow(spark, sf):
     vec = vector.search(vector.embed_rows(public, "doc_id", "body", DIMENSION, exact=False), "doc_id", "vector", asked, "qid", "q", 10).select("qid", F.lit("vector").alias("engine"), "doc_id")
     returned = lex.unionByName(vec).select("qid", "engine", F.col("doc_id").cast("string").alias("concept"), path.alias("path"), F.lit("r1").alias("revision"), F.lit("r1").alias("searched"))
     returned = returned.withColumn("cited", shadow.cited("concept", "path", "revision", "searched"))
-    docs = table(spark, sf, "documents")
-    first = docs.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("first"))
-    old = docs.select("doc_id", F.sha2("text", 256).alias("h")).join(first, "h").where("doc_id <> first")
-    tokens = dealt(spark, sf, "documents").select(path.alias("path"), word_count(strip_frontmatter(F.col("text"))).cast("long").alias("tokens"))
+    # What is measured of every document, by one scan.
+    docs = stored(dealt(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h"), word_count(strip_frontmatter(F.col("text"))).cast("long").alias("tokens")))
+    old = docs.join(docs.groupBy("h").agg(F.min("doc_id").alias("first")), "h").where("doc_id <> first")
+    tokens = docs.select(path.alias("path"), "tokens")
     return shadow.report(questions, returned, ENGINES, public.select(path.alias("path")), tokens, old.select(path.alias("path")))
 
 
+def _stored_shadow(spark, sf):
+    with scratch(spark):
+        return stored(_shadow(spark, sf), keep=True)
+
+
 def shadow_report(spark, sf):
-    return _shadow(spark, sf)
+    return _stored_shadow(spark, sf)
 
 
 def shadow_summary(spark, sf):
-    return shadow.summary(_shadow(spark, sf), ("real", "synthetic", "imported"))
+    return shadow.summary(_stored_shadow(spark, sf), ("real", "synthetic", "imported"))
 
 
 def gate_from_report(spark, sf):
     """The shadow report before the gate; latencies are the values of view and click events."""
     late = table(spark, sf, "events").where("event_type IN ('view', 'click')").select(F.when(F.col("event_type") == "view", "lexical").otherwise("vector").alias("engine"), "value")
-    return evaluate.gate(shadow.gate_summary(_shadow(spark, sf), "lexical", "vector", "real", late))
+    return evaluate.gate(shadow.gate_summary(_stored_shadow(spark, sf), "lexical", "vector", "real", late))
 
 
 def export_diff(spark, sf):
@@ -429,6 +437,94 @@ def outbox_crossing(spark, sf):
     return outbox.enqueue(rows).groupBy("user_id").agg(F.count_if(F.col("outcome") == "accepted").alias("accepted"), F.count_if(F.col("outcome") == "duplicate").alias("duplicates"), F.count_if(F.col("outcome") == "conflict").alias("conflicts"), F.sum(F.when(F.col("outcome") == "accepted", F.col("event_id"))).alias("accepted_ids"))
 
 
+def history_freshness(spark, sf):
+    """Events as commits: each user's line, with a merge of another event at every third sign-up.
+
+    A user's last view stands for the export of the user's note and of the next user's; the
+    last click, named by a prefix, for the note's last change.
+    """
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.sha1(F.col("event_id").cast("string").cast("binary")).alias("id"))
+    before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
+    merged = F.when((F.col("event_type") == "signup") & (F.pmod("event_id", F.lit(3)) == 0) & (F.col("event_id") >= 7), F.col("event_id") - 7)
+    parents = e.select("id", before.alias("before"), merged.alias("merged")).select("id", F.posexplode(F.array("before", F.nullif("merged", "before"))).alias("n", "p"))
+    known = e.select(F.col("event_id").alias("p"), F.col("id").alias("parent"))
+    # A commit without a first parent has one row with none.
+    commits = stored(parents.join(known, "p", "left").where("n = 0 OR parent IS NOT NULL").select("id", "n", "parent"))
+    last = lambda kind: F.max(F.when(F.col("event_type") == kind, F.struct("event_id", "id")))["id"]
+    per = e.groupBy("user_id").agg(last("view").alias("export_commit"), F.substring(last("click"), 1, 12).alias("last_touch"))
+    own = per.select(F.concat("user_id", F.lit("-own")).alias("path"), "export_commit", "last_touch")
+    following = per.select((F.col("user_id") + 1).alias("user_id"), "export_commit").join(per.select("user_id", "last_touch"), "user_id").select(F.concat("user_id", F.lit("-next")).alias("path"), "export_commit", "last_touch")
+    return history.freshness_of(stored(own.unionByName(following)), commits)
+
+
+def request_hashes(spark, sf):
+    """Documents as write requests: the digest of what each asks for, whatever order its fields came in."""
+    front = F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang"))
+    rows = dealt(spark, sf, "documents")
+    return rows.select("doc_id", writer.request_hash(F.concat(F.lit("op"), "doc_id"), F.concat(F.lit("Core/_inbox/"), "doc_id", F.lit(".md")), front, F.col("text"), F.lit("generated")).alias("request_hash"))
+
+
+def json_faults(spark, sf):
+    """Properties of events, some broken: cut off, followed by more, beyond doubles, nested too deep."""
+    k, p = F.col("event_id"), F.col("props")
+    forms = (p, F.concat(p, F.lit("]")), F.concat(F.lit('{"a":'), p, F.lit(',"x":1e999}')), F.concat(F.repeat(F.lit("["), (F.pmod(k, F.lit(5)) + 1).cast("int")), p, F.repeat(F.lit("]"), (F.pmod(k, F.lit(5)) + 1).cast("int"))), F.expr("left(props, length(props) - 1)"), F.concat(F.lit('["[[[[[[", '), p, F.lit("]")), F.concat(p, F.lit(" "), p))
+    text = F.element_at(F.array(*forms), (F.pmod(k, F.lit(len(forms))) + 1).cast("int"))
+    return table(spark, sf, "events").groupBy("event_type", values.json_fault(text, 4).alias("fault")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+def _pages_as_members(spark, sf):
+    parts = F.split(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", ""), "/")
+    under = F.when(F.pmod("page_id", F.lit(3)) == 0, F.lit("_")).otherwise(F.lit(""))
+    path = F.concat(F.lit("Core/"), under, parts[1], F.lit("/"), F.substring(parts[2], 1, 2), F.lit(".md"))
+    return table(spark, sf, "pages").select("page_id", path.alias("path"))
+
+
+def spelling_refusals(spark, sf):
+    """Pages as members, a third of them in folders that another index shows without their underscore."""
+    return spelling.spellings(_pages_as_members(spark, sf)).groupBy("refused").agg(F.count("*").alias("spellings"), F.countDistinct("path").alias("members"))
+
+
+def spelled_hits(spark, sf):
+    """Hits of another index, a result list for every host, attributed to the pages that they mean."""
+    members = _pages_as_members(spark, sf)
+    shown = spelling.visible(F.col("path"))
+    raw = F.element_at(F.array(F.concat(F.lit("./"), "path"), F.concat(F.lit("other://notes/"), shown, F.lit("?index=1")), F.col("path"), F.concat(F.lit("other://"), F.lit("none"))), (F.pmod("page_id", F.lit(4)) + 1).cast("int"))
+    hits = members.select(F.split("path", "/")[1].alias("query"), F.col("page_id").alias("rank"), raw.alias("raw"))
+    return spelling.attributed(hits, spelling.spellings(members), "other")
+
+
+def receipt_faults(spark, sf):
+    """Receipts of captures, a group of events each in another way broken."""
+    k = F.col("event_id")
+    mode = F.pmod(k, F.lit(11))
+    path = F.concat(F.lit("Core/_inbox/agent-captures/"), F.date_format("ts", "yyyy-MM-dd"), F.lit("-"), "event_type", F.lit(".md"))
+    lines = F.array_compact(F.array(
+        F.lit("note: done"), F.concat(F.lit("capture_path="), F.when(mode == 1, F.lit("x")).otherwise(path)), F.concat(F.lit("capture_status="), F.when(mode == 2, "planned").otherwise("created")),
+        F.when(mode != 3, "capture_surface=core"), F.concat(F.lit("capture_git_mode="), F.when(mode == 4, "other").otherwise("direct")), F.when(mode == 5, F.lit("capture_note")), F.when(mode == 6, F.lit("capture_colour=red")), F.when(mode == 7, F.lit("capture_surface=core")),
+        F.when(mode.isin(8, 9, 10), F.concat(F.lit("capture_contract="), F.when(mode == 8, "2").otherwise("3"))), F.when(mode.isin(8, 9, 10), F.concat(F.lit("capture_concept_id="), F.substring(path, F.lit(1), F.length(path) - 3))),
+        F.when(mode.isin(8, 9, 10), F.concat(F.lit("capture_id=01890a5d-ac96-"), F.when(mode == 9, "4").otherwise("7"), F.lit("74b-bcce-b302099a8057"))),
+    ))
+    rows = table(spark, sf, "events").select("event_type", receipt.receipt(F.array_join(lines, "\n"), F.col("event_type"), F.lit(False)).alias("r"))
+    return rows.groupBy("event_type", "r.fault", "r.contract").agg(F.count("*").alias("n"), F.count_distinct("r.path").alias("paths"))
+
+
+def index_recovery(spark, sf):
+    """Orders as queue records and the entries that a crash has left of their key index: some torn, some of records that are gone, some missing."""
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    name = lambda c: F.sha2(c.cast("string"), 256)
+    records = o.where("o_orderstatus <> 'P'").select(name(k).alias("name"), F.concat("o_custkey", F.lit("-"), F.substring("o_orderpriority", 1, 1)).alias("key"))
+    entry = F.when(F.pmod(k, F.lit(5)) == 0, F.substring(name(k), 1, 40)).otherwise(name(k))
+    first = o.groupBy(F.concat("o_custkey", F.lit("-"), F.substring("o_orderpriority", 1, 1)).alias("key")).agg(F.max("o_orderkey").alias("o_orderkey"))
+    index = first.where(F.pmod(k, F.lit(7)) != 0).select("key", entry.alias("name"))
+    return outbox.recovered_index(index, records).groupBy("action").agg(F.count("*").alias("n"), F.min("key").alias("first"), F.max("name").alias("last"))
+
+
+def record_order(spark, sf):
+    """Queue records in the order of a scan, each with its place."""
+    rows = table(spark, sf, "orders").select("o_orderkey", F.when(F.pmod("o_orderkey", F.lit(9)) == 0, F.lit("stray")).otherwise(F.sha2(F.col("o_orderkey").cast("string"), 256)).alias("name"))
+    return outbox.scan_order(rows).select("o_orderkey", "place")
+
+
 def outbox_replay(spark, sf):
     """Event types stand for states and refusals; the clock is the end of the tenth day."""
     kind = F.create_map(*(F.lit(x) for x in ("view", "queued", "click", "leased", "signup", "committed", "purchase", "queued", "error", "queued")))
@@ -486,6 +582,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         gate_partition, strictness_histogram, note_classification, catalog_page, catalog_facets, corpus_field_averages, lexical_scores, lexical_topk, lexical_totals, lexical_topk_folded,
         snippet_window, snippet_window_folded, context_pack, bundle_revision, source_revisions, framed_digests, token_cost, text_sizes, hash_embedding_buckets, hash_embedding_rows, vector_topk, rerank_topk,
         domain_scope, grant_resolution, hit_rate_grouping_sets, latency_percentiles, leak_and_false_positive, stale_exclusion, gate_items, gate_verdict, export_diff, zone_eligibility, dedup_first_seen,
-        shadow_report, shadow_summary, gate_from_report, pilot_zones, plain_paths, grant_validation, domain_entries, writer_actors, create_targets, index_differences, outbox_crossing, outbox_enqueue, outbox_replay, metadata_conversion, write_targets, payload_markers, revision_changes,
+        shadow_report, shadow_summary, gate_from_report, pilot_zones, plain_paths, grant_validation, domain_entries, writer_actors, create_targets, index_differences, outbox_crossing, outbox_enqueue, outbox_replay, history_freshness, request_hashes, json_faults, spelling_refusals, spelled_hits, receipt_faults, index_recovery, record_order, metadata_conversion, write_targets, payload_markers, revision_changes,
     )
 }
