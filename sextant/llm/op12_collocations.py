@@ -8,9 +8,10 @@ often enough. Pointers are routed by language and leading words, so a partition
 
 Most pointers are abandoned before they travel: a phrase occurs ``LEAST`` times only if its
 words and its pairs of neighbours do, so words and pairs are counted over all packs first
-(``packs.frequent``), by hash, and a pointer is cut where a pair is not frequent. What is
-left is merged in the pack, summed over packs, and only then routed; a phrase that stands in
-a third of all documents is a row a pack at most, and one row when it is sorted.
+(``packs.frequent_totals``), by hash, and a pointer is cut where a pair is not frequent.
+That counts pairs as well, and one pack gives the text of each; pointers of three words or
+more are merged in the pack, summed over packs, and only then routed and sorted. A phrase
+that stands in a third of all documents is a row a pack at most, and one row when sorted.
 
 Scoring is relational: each candidate is cut at every place, its parts are joined with their
 counts, and candidates within a longer one of nearly their count go, by a maximum over the
@@ -45,7 +46,7 @@ _PAIR = np.uint64(0xA24BAED4963EE407)
 
 
 def _language(lang: str | None) -> np.uint64:
-    return np.uint64(int.from_bytes(hashlib.blake2b((lang or "und").encode(), digest_size=8).digest(), "little"))
+    return np.uint64(int.from_bytes(hashlib.blake2b(("und" if lang is None else lang).encode(), digest_size=8).digest(), "little"))
 
 
 class Pointers:
@@ -74,40 +75,58 @@ class Pointers:
         return np.unique(np.concatenate((self.key, self.pair[self.next])), return_counts=True)
 
 
+def _texts(at: Pointers, first: np.ndarray, length: np.ndarray) -> list[list[str | None]]:
+    """The words of pointers, a list for each of LONGEST places; None beyond a pointer's length."""
+    out = []
+    for d in range(LONGEST):
+        on = np.where(length > d, first + d, 0)
+        out.append([at.bytes[x:y].decode() if ok else None for x, y, ok in zip(at.starts[on].tolist(), at.ends[on].tolist(), (length > d).tolist())] if len(first) else [])
+    return out
+
+
 def _pointer_rows(pack: Pack, marks: list[dict] | None, buckets: int) -> pa.RecordBatch:
-    """Distinct pointers of a pack whose first pair is frequent, as words, with their number; and the number of words by language."""
+    """What a pack tells of its words, in rows of lang, four words, key and n.
+
+    With a key: the text of a frequent word or pair that this pack is to give. Without: a
+    distinct pointer of three words or more whose pairs are all frequent, and its number;
+    or, without words, the number of words of a language.
+    """
     at = Pointers(pack)
     own, _ = at.keys()
-    often = marked(own, marks, buckets)
-    follows = at.next.copy()
-    on = np.flatnonzero(follows)
-    follows[on] = often[np.searchsorted(own, at.pair[on])]
+    often, gives = (marked(own, marks, buckets, plane) for plane in (0, 1))
+    place, pairs = np.searchsorted(own, at.key), np.flatnonzero(at.next)
+    pair_place = np.searchsorted(own, at.pair[pairs])
+    follows = np.zeros(len(at.key), bool)
+    follows[pairs] = often[pair_place]
+    # Words and pairs to give, each at one of its places.
+    where = np.full(len(own), -1)
+    where[place], where[pair_place] = np.arange(len(at.key)), pairs
+    is_pair = np.zeros(len(own), bool)
+    is_pair[pair_place] = True
+    named = np.flatnonzero(gives)
+    # Pointers of three words or more.
     pad = np.concatenate((follows, np.zeros(LONGEST, bool)))
-    length = np.ones(len(follows), np.int64)
-    reach = follows.copy()
+    length, reach = np.ones(len(follows), np.int64), follows.copy()
     for d in range(1, LONGEST):
         length += reach
         reach &= pad[d : d + len(reach)]
-    on = np.flatnonzero(follows)
+    on = np.flatnonzero(length > 2)
     name = at.key[on].copy()
     for d in range(1, LONGEST):
-        longer = length[on] > d
-        name = mix(name * BASE + np.where(longer, at.key[np.minimum(on + d, len(at.key) - 1)], np.uint64(d)))
+        name = mix(name * BASE + np.where(length[on] > d, at.key[np.minimum(on + d, len(at.key) - 1)], np.uint64(d)))
     _, first, n = np.unique(name, return_index=True, return_counts=True)
-    first, columns = on[first], []
-    for d in range(LONGEST):
-        longer = length[first] > d
-        a, b = at.starts[np.where(longer, first + d, 0)].tolist() if len(first) else [], at.ends[np.where(longer, first + d, 0)].tolist() if len(first) else []
-        columns.append([at.bytes[x:y].decode() if ok else None for x, y, ok in zip(a, b, longer.tolist())])
-    langs = [x or "und" for x in pack.langs]
-    words = np.bincount(at.doc, minlength=len(langs))
+    first = on[first]
+    langs = ["und" if x is None else x for x in pack.langs]
     total: dict[str, int] = {}
-    for lang, k in zip(langs, words.tolist()):
+    for lang, k in zip(langs, np.bincount(at.doc, minlength=len(langs)).tolist()):
         total[lang] = total.get(lang, 0) + k
+    start = np.concatenate((where[named], first)).astype(np.int64)
+    words = _texts(at, start, np.concatenate((np.where(is_pair[named], 2, 1), length[first])))
     rest = [None] * len(total)
+    keys = own[named].view(np.int64).tolist() + [None] * len(first) + rest
     return pa.RecordBatch.from_arrays(
-        [pa.array([langs[i] for i in at.doc[first].tolist()] + list(total), pa.string()), *(pa.array(c + rest, pa.string()) for c in columns), pa.array(n.tolist() + list(total.values()), pa.int64())],
-        names=["lang", *(f"w{d}" for d in range(LONGEST)), "n"],
+        [pa.array([langs[i] for i in at.doc[start].tolist()] + list(total), pa.string()), *(pa.array(c + rest, pa.string()) for c in words), pa.array(keys, pa.int64()), pa.array([0] * len(named) + n.tolist() + list(total.values()), pa.int64())],
+        names=["lang", *(f"w{d}" for d in range(LONGEST)), "key", "n"],
     )
 
 
@@ -146,7 +165,7 @@ def quicksorted(symbols: list[np.ndarray], weight: np.ndarray, least: int) -> It
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Phrases of two words or more with their counts; and the keys of their words."""
+    """Phrases of three words or more with their counts, of pointers with their numbers."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
@@ -155,25 +174,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes = pa.concat_arrays(columns).dictionary_encode()
     symbols = np.split(codes.indices.fill_null(-1).to_numpy().astype(np.int64), LONGEST + 1)
     names = codes.dictionary.to_pylist()
-    used: set[tuple[int, int]] = set()
     for depth, row, n in quicksorted(symbols, rows.column("n").to_numpy(), LEAST):
-        if depth > 2:
+        if depth > 3:  # the language and three words
             words = [[names[i] for i in symbols[d][row]] for d in range(1, depth)]
-            for d in range(1, depth):
-                used.update(zip(symbols[0][row].tolist(), symbols[d][row].tolist()))
-            yield _batch([names[i] for i in symbols[0][row]], list(map(list, zip(*words))), [None] * len(row), n.tolist())
-    if used:
-        pairs = sorted(used)
-        text = [names[w].encode() for _, w in pairs]
-        ends = np.cumsum([len(t) for t in text])
-        h = hashes(np.frombuffer(b"".join(text), np.uint8), ends - [len(t) for t in text], ends)
-        language = {a: _language(names[a]) for a, _ in pairs}
-        key = mix(h + np.array([language[a] for a, _ in pairs], np.uint64)).view(np.int64)
-        yield _batch([names[a] for a, _ in pairs], [[names[w]] for _, w in pairs], key.tolist(), [None] * len(pairs))
-
-
-def _batch(lang: list, words: list, key: list, n: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(words, pa.list_(pa.string())), pa.array(key, pa.int64()), pa.array(n, pa.int64())], names=["lang", "words", "key", "f"])
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in symbols[0][row]], pa.string()), pa.array(list(map(list, zip(*words))), pa.list_(pa.string())), pa.array(n, pa.int64())], names=["lang", "words", "f"])
 
 
 def phrase_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -187,13 +191,12 @@ def phrase_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def send(row: dict) -> Iterator[pa.RecordBatch]:
         yield _pointer_rows(Pack(row), row["marks"], buckets)
 
-    rows = both.mapInArrow(each(send), "lang string, " + ", ".join(f"{w} string" for w in words) + ", n long")
-    pointers = stored(rows.groupBy("lang", *words).agg(F.sum("n").alias("n")))
+    rows = both.mapInArrow(each(send), "lang string, " + ", ".join(f"{w} string" for w in words) + ", key long, n long")
+    pointers = stored(rows.groupBy("lang", *words, "key").agg(F.sum("n").alias("n")))
     n = pointers.where("w0 IS NULL").select("lang", "n")
-    routed = pointers.where("w0 IS NOT NULL").repartition(buckets, "lang", "w0", "w1")
-    found = stored(routed.mapInArrow(_counted, "lang string, words array<string>, key long, f long"))
-    single = found.where("key IS NOT NULL").select("lang", "words", "key").distinct().join(totals, "key").select("lang", "words", "f")
-    return stored(found.where("key IS NULL").select("lang", "words", "f").unionByName(single)), n
+    named = pointers.where("key IS NOT NULL").join(totals, "key").select("lang", F.array_compact(F.array("w0", "w1")).alias("words"), "f")
+    routed = pointers.where("key IS NULL AND w0 IS NOT NULL").repartition(buckets, "lang", "w0", "w1")
+    return stored(routed.mapInArrow(_counted, "lang string, words array<string>, f long").unionByName(named)), n
 
 
 def scored(counts: DataFrame, n: DataFrame, top: int = TOP) -> DataFrame:

@@ -112,8 +112,11 @@ def _answers(packs: DataFrame, keys: Callable[[Pack], tuple[np.ndarray, np.ndarr
         head = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
         often, total = np.empty(len(own), bool), np.add.reduceat(n, head, dtype=np.int64)
         often[order] = np.repeat(total >= least, np.diff(np.append(head, len(own))))
+        names = np.zeros(len(own), bool)
+        names[order[head]] = total >= least  # one of the packs that hold a frequent key
         ends = np.cumsum(sizes)
-        bits = pa.array([np.packbits(often[e - k : e]).tobytes() for e, k in zip(ends, sizes)], pa.binary())
+        planes = (often, names) if totals else (often,)
+        bits = pa.array([b"".join(np.packbits(x[e - k : e]).tobytes() for x in planes) for e, k in zip(ends, sizes)], pa.binary())
         whole = pa.Table.from_batches([b.select(["bucket", "pack"]) for b in got]).combine_chunks().to_batches()[0]
         hits = pa.array([int(often[e - k : e].sum()) for e, k in zip(ends, sizes)], pa.int64())
         yield pa.RecordBatch.from_arrays([*whole.columns, bits, hits, pa.nulls(len(sizes), pa.binary())], names=["bucket", "pack", "bits", "n", "totals"])
@@ -138,7 +141,10 @@ def frequent(packs: DataFrame, keys: Callable[[Pack], tuple[np.ndarray, np.ndarr
 
 
 def frequent_totals(packs: DataFrame, keys: Callable[[Pack], tuple[np.ndarray, np.ndarray]], least: int, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """What ``frequent`` gives, and key, f of all frequent keys; both read a stored table."""
+    """What ``frequent`` gives, and key, f of all frequent keys; both read a stored table.
+
+    Of each frequent key one of its packs is told so, that its text can be given once: ``marked`` with ``plane`` 1.
+    """
     answers = stored(_answers(packs, keys, least, buckets, True))
 
     def split(row: dict) -> Iterator[pa.RecordBatch]:
@@ -148,11 +154,11 @@ def frequent_totals(packs: DataFrame, keys: Callable[[Pack], tuple[np.ndarray, n
     return _by_pack(answers.where("pack IS NOT NULL")), answers.where("pack IS NULL").select("totals").mapInArrow(each(split), "key long, f long")
 
 
-def marked(keys: np.ndarray, marks: list[dict] | None, buckets: int) -> np.ndarray:
-    """The bits of a pack's distinct sorted keys."""
+def marked(keys: np.ndarray, marks: list[dict] | None, buckets: int, plane: int = 0) -> np.ndarray:
+    """The bits of a pack's distinct sorted keys: whether each is frequent (plane 0), whether this pack gives its text (1)."""
     order, bounds = by_bucket(keys, buckets)
     out = np.zeros(len(keys), bool)
     for m in marks or ():
         a, b = bounds[m["bucket"]], bounds[m["bucket"] + 1]
-        out[order[a:b]] = np.unpackbits(np.frombuffer(m["bits"], np.uint8), count=b - a).view(bool)
+        out[order[a:b]] = np.unpackbits(np.frombuffer(m["bits"], np.uint8)[plane * -(-(b - a) // 8) :], count=b - a).view(bool)
     return out
