@@ -7,10 +7,15 @@ finds its candidates by a beam search in the graph so far and among the batch it
 node is joined to diverse near ones (a candidate is kept if it is nearer to the node than
 to every kept one); a node that a new edge reaches chooses anew among its old and new
 neighbours. The graph is stored as flat arrays: one neighbour matrix a level, -1 for none.
-Nearness is the largest inner product; one more component gives all vectors the same
-length, so that it orders nodes as distance does. Queries go down the levels and through
-the bottom one with a beam of ``BEAM``, many in step; scores are inner products in double
-precision on the original vectors. Every row is indexed.
+Nearness is the largest inner product. A shard's vectors are split into bands of lengths
+within a factor of two, each with its graph; inside, one more component gives all the same
+length, so that the product orders nodes as distance does, and one very long vector does
+not blur the others. A band of ``EXACT_ROWS`` or fewer is scanned. Queries go down the levels
+and through the bottom one with a beam, many in step. The beam is measured when the graph
+is built: the smallest from ``BEAM`` on that finds ``RECALL`` of the nearest of some of its own
+vectors; a band where even a quarter of its size does not (vectors without any structure)
+is scanned. Scores are inner products in double precision on the original vectors. Every
+row is indexed.
 
 Defined results: vectors null, zero, or with null or non-finite components take no part;
 missing trailing components count as 0; equal rows are one row; rows that share an id
@@ -36,6 +41,8 @@ QUERY_EVERY = 20
 SHARD_ROWS = 16_384
 LINKS, CANDIDATES, BEAM = 16, 48, 160
 BATCH, QUERY_ROWS = 1_024, 256
+#: Vectors of a band that are scanned instead of searched; of those that measure its beam; what the beam must find.
+EXACT_ROWS, SAMPLE, RECALL = 1_024, 64, 0.95
 #: Nodes of the beam that are opened in one step.
 OPENED = 4
 
@@ -132,53 +139,64 @@ def level_graph(vectors: np.ndarray, room: int) -> np.ndarray:
     return near
 
 
-class Graph:
-    """Unique vectors, the ids of each, and per level its nodes and neighbour matrix."""
+def _norms(x: np.ndarray) -> np.ndarray:
+    """Lengths of rows, without overflow on the way (infinite where they are beyond doubles)."""
+    most = np.abs(x).max(axis=1, initial=0)
+    safe = np.where(most > 0, most, 1)
+    return safe * np.sqrt(((x / safe[:, None]) ** 2).sum(axis=1)) * (most > 0)
+
+
+class Band:
+    """Vectors whose lengths are within a factor of two: a graph over them, or none if they are few.
+
+    They are scaled by the longest, and one more component gives all the same length; so
+    single precision tells them apart however long vectors of other bands are.
+    """
 
-    def __init__(self, x, first, ids, levels):
-        self.x, self.first, self.ids, self.levels = x, first, ids, levels
-        square = (x**2).sum(axis=1)
-        extra = np.sqrt(np.maximum(square.max() - square, 0))
-        self.wide = np.concatenate((x, extra[:, None]), axis=1).astype(np.float32)
+    def __init__(self, x: np.ndarray, longest: float, levels: list[tuple[np.ndarray, np.ndarray]], beam: int):
+        self.x, self.longest, self.levels, self.beam = x, longest, levels, beam
+        if levels:
+            unit = x / longest
+            extra = np.sqrt(np.maximum(1 - (unit**2).sum(axis=1), 0))
+            self.wide = np.concatenate((unit, extra[:, None]), axis=1).astype(np.float32)
 
     @classmethod
-    def build(cls, ids: np.ndarray, x: np.ndarray, seed: int) -> Graph:
-        order = np.lexsort((ids, *x.T[::-1]))
-        x, ids = x[order], ids[order]
-        new = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]).any(axis=1))))
-        first, x = np.append(new, len(ids)), x[new]
-        draw = np.random.default_rng(seed)
+    def build(cls, x: np.ndarray, longest: float, draw: np.random.Generator, least_beam: int, k: int) -> Band:
+        if len(x) <= EXACT_ROWS:
+            return cls(x, longest, [], 0)
         level = np.floor(-np.log(1 - draw.random(len(x))) / math.log(LINKS)).astype(int)
-        graph, turn = cls(x, first, ids, []), draw.permutation(len(x))
+        band, turn = cls(x, longest, [(np.zeros(0, np.int32), np.zeros((0, 1), np.int32))], 0), draw.permutation(len(x))
+        band.levels = []
         for at in range(level.max() + 1):
             nodes = turn[level[turn] >= at]
-            near = level_graph(graph.wide[nodes], 2 * LINKS if at == 0 else LINKS)
+            near = level_graph(band.wide[nodes], 2 * LINKS if at == 0 else LINKS)
             near = np.where(near >= 0, nodes[near], -1)
             back = np.argsort(nodes)  # bottom level: rows in order of nodes
-            graph.levels.append((nodes[back].astype(np.int32), near[back].astype(np.int32)))
-        return graph
-
-    def flat(self) -> dict[str, list]:
-        return {
-            "x": [self.x.tobytes()], "first": [self.first.astype(np.int64).tobytes()], "ids": [self.ids.astype(np.int64).tobytes()],
-            "nodes": [[n.tobytes() for n, _ in self.levels]], "near": [[m.tobytes() for _, m in self.levels]],
-        }
-
-    @classmethod
-    def of(cls, row: dict, dim: int) -> Graph:
-        nodes = [np.frombuffer(b, np.int32) for b in row["nodes"]]
-        levels = [(n, np.frombuffer(b, np.int32).reshape(len(n), -1)) for n, b in zip(nodes, row["near"])]
-        return cls(np.frombuffer(row["x"]).reshape(-1, dim), np.frombuffer(row["first"], np.int64), np.frombuffer(row["ids"], np.int64), levels)
-
-    def search(self, q: np.ndarray, beam: int) -> np.ndarray:
-        """Nodes found for every row of q, best first, -1 for none."""
+            band.levels.append((nodes[back].astype(np.int32), near[back].astype(np.int32)))
+        band.beam = band.measured(draw, least_beam, k)
+        return band
+
+    def measured(self, draw: np.random.Generator, beam: int, k: int) -> int:
+        """The smallest beam, doubled from ``beam``, that finds ``RECALL`` of the nearest of some of the band's own vectors; 0 for a scan if none of less than a quarter of the band does."""
+        some = draw.permutation(len(self.x))[:SAMPLE]
+        q = self.x[some] / self.longest
         fast = np.concatenate((q, np.zeros((len(q), 1))), axis=1).astype(np.float32)
-        at = np.full(len(q), self.levels[-1][0][0], np.int64)
+        exact = np.argpartition(-(fast @ self.wide.T), k, axis=1)[:, : k + 1]
+        while beam < len(self.x) // 4:
+            found = self.walk(fast, beam)[:, : k + 1]
+            if np.mean([len(np.intersect1d(a, b)) / (k + 1) for a, b in zip(found, exact)]) >= RECALL:
+                return beam
+            beam *= 2
+        return 0
+
+    def walk(self, fast: np.ndarray, beam: int) -> np.ndarray:
+        """Nodes found for every row of ``fast``, best first, -1 for none."""
+        at = np.full(len(fast), self.levels[-1][0][0], np.int64)
         sim = np.einsum("ij,ij->i", self.wide[at], fast)
         for nodes, near in reversed(self.levels[1:]):
             where = np.full(len(self.x), -1, np.int64)
             where[nodes] = np.arange(len(nodes))
-            moving = np.arange(len(q))
+            moving = np.arange(len(fast))
             while len(moving):
                 cand = near[where[at[moving]]]
                 s = np.where(cand >= 0, _dots(self.wide, cand, fast[moving]), -np.inf)
@@ -188,19 +206,91 @@ class Graph:
                 moving, j, cand, top = moving[better], j[better], cand[better], top[better]
                 at[moving], sim[moving] = cand[np.arange(len(moving)), j], top
         size = max(16, (1 << 25) // len(self.x))
-        return np.concatenate([beam_search(self.wide, self.levels[0][1], fast[i : i + size], at[i : i + size], beam)[0] for i in range(0, len(q), size)]) if len(q) else np.zeros((0, beam), np.int64)
+        return np.concatenate([beam_search(self.wide, self.levels[0][1], fast[i : i + size], at[i : i + size], beam)[0] for i in range(0, len(fast), size)])
+
+    def search(self, unit: np.ndarray, most: int) -> np.ndarray:
+        """``most`` nodes for every row of unit vectors (fewer are filled with -1): those found, or by a scan of all the nearest."""
+        if not self.beam:
+            near = unit @ (self.x / self.longest).T
+            m = min(most, len(self.x))
+            out = np.argpartition(-near, m - 1, axis=1)[:, :m]
+            return np.pad(out, ((0, 0), (0, most - m)), constant_values=-1)
+        found = self.walk(np.concatenate((unit, np.zeros((len(unit), 1))), axis=1).astype(np.float32), max(self.beam, most))[:, :most]
+        found = np.pad(found, ((0, 0), (0, most - found.shape[1])), constant_values=-1)
+        short = np.flatnonzero((found < 0).any(axis=1))
+        if len(short):  # a graph that falls apart
+            near = unit[short] @ (self.x / self.longest).T
+            m = min(most, len(self.x))
+            found[short, :m] = np.argpartition(-near, m - 1, axis=1)[:, :m]
+        return found
+
 
+class Graph:
+    """Unique vectors, the ids of each, and bands of them by length, the longest first."""
 
-FLAT = "x binary, first binary, ids binary, nodes array<binary>, near array<binary>"
+    def __init__(self, x, first, ids, bands: list[tuple[np.ndarray, Band]]):
+        self.x, self.first, self.ids, self.bands = x, first, ids, bands
 
+    @classmethod
+    def build(cls, ids: np.ndarray, x: np.ndarray, seed: int, beam: int = BEAM, k: int = K) -> Graph:
+        order = np.lexsort((ids, *x.T[::-1]))
+        x, ids = x[order], ids[order]
+        new = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]).any(axis=1))))
+        first, x = np.append(new, len(ids)), x[new]
+        draw, length = np.random.default_rng(seed), _norms(x)
+        size = np.frexp(np.where(np.isfinite(length), length, np.finfo(float).max))[1]
+        bands = []
+        for e in np.unique(size)[::-1]:
+            rows = np.flatnonzero(size == e)
+            bands.append((rows.astype(np.int32), Band.build(x[rows], min(float(length[rows].max()), np.finfo(float).max), draw, beam, k)))
+        return cls(x, first, ids, bands)
 
-def index(rows: DataFrame, dim: int, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
+    def flat(self) -> dict[str, list]:
+        return {
+            "x": [self.x.tobytes()], "first": [self.first.astype(np.int64).tobytes()], "ids": [self.ids.astype(np.int64).tobytes()],
+            "bands": [[{"rows": r.tobytes(), "longest": b.longest, "beam": b.beam, "nodes": [n.tobytes() for n, _ in b.levels], "near": [m.tobytes() for _, m in b.levels]} for r, b in self.bands]],
+        }
+
+    @classmethod
+    def of(cls, row: dict, dim: int) -> Graph:
+        x, bands = np.frombuffer(row["x"]).reshape(-1, dim), []
+        for b in row["bands"]:
+            nodes, rows = [np.frombuffer(n, np.int32) for n in b["nodes"]], np.frombuffer(b["rows"], np.int32)
+            bands.append((rows, Band(x[rows], b["longest"], [(n, np.frombuffer(m, np.int32).reshape(len(n), -1)) for n, m in zip(nodes, b["near"])], b["beam"])))
+        return cls(x, np.frombuffer(row["first"], np.int64), np.frombuffer(row["ids"], np.int64), bands)
+
+    def search(self, q: np.ndarray, most: int) -> np.ndarray:
+        """The best ``most`` nodes found for every row of q, -1 for none.
+
+        A band is passed over for queries whose worst node so far no vector of its length can beat.
+        """
+        length = _norms(q)
+        unit = q / np.where(length > 0, length, 1)[:, None]
+        nodes, score = np.full((len(q), most), -1, np.int64), np.full((len(q), most), -np.inf)
+        for rows, band in self.bands:
+            on = np.flatnonzero(score[:, -1] <= band.longest * (1 + 1e-9))
+            if not len(on):
+                continue
+            local = band.search(unit[on], most)
+            found = np.where(local >= 0, rows[local], -1)
+            s = np.where(local >= 0, np.einsum("ijk,ik->ij", self.x[found], unit[on]), -np.inf)
+            s, found = np.concatenate((score[on], s), axis=1), np.concatenate((nodes[on], found), axis=1)
+            top = np.argsort(-s, axis=1, kind="stable")[:, :most]
+            score[on], nodes[on] = np.take_along_axis(s, top, 1), np.take_along_axis(found, top, 1)
+        return nodes
+
+
+BANDS = "array<struct<rows:binary,longest:double,beam:int,nodes:array<binary>,near:array<binary>>>"
+FLAT = f"x binary, first binary, ids binary, bands {BANDS}"
+
+
+def index(rows: DataFrame, dim: int, shard_rows: int = SHARD_ROWS, beam: int = BEAM, k: int = K) -> tuple[DataFrame, int]:
     """The stored index of rows (vec_id, v): a row per shard; and the number of shards."""
     shards = max(1, -(-rows.count() // shard_rows))
 
     def build(key: tuple, part: pa.Table) -> pa.Table:
-        g = Graph.build(part.column("vec_id").to_numpy(), matrix(part.column("v"), dim, np.float64), key[0].as_py())
-        kinds = {"nodes": pa.list_(pa.binary()), "near": pa.list_(pa.binary())}
+        g = Graph.build(part.column("vec_id").to_numpy(), matrix(part.column("v"), dim, np.float64), key[0].as_py(), beam, k)
+        kinds = {"bands": pa.list_(pa.struct([("rows", pa.binary()), ("longest", pa.float64()), ("beam", pa.int32()), ("nodes", pa.list_(pa.binary())), ("near", pa.list_(pa.binary()))]))}
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32())} | {k: pa.array(v, kinds.get(k)) for k, v in g.flat().items()})
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
@@ -210,7 +300,7 @@ def index(rows: DataFrame, dim: int, shard_rows: int = SHARD_ROWS) -> tuple[Data
 def nearest(rows: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score. Both frames hold vec_id and v (array of double)."""
     dim = max(dimension(rows, "v"), 1)
-    graphs, shards = index(rows, dim, shard_rows)
+    graphs, shards = index(rows, dim, shard_rows, beam, k)
     blocks = max(1, -(-queries.count() // QUERY_ROWS))
 
     def pack(key: tuple, part: pa.Table) -> pa.Table:
@@ -226,7 +316,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM, s
             for row in batch.to_pylist():
                 graph, q_ids, q = Graph.of(row, dim), np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q"]).reshape(-1, dim)
                 out = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0),)]
-                for i, nodes in enumerate(graph.search(q, max(beam, k + 1))):
+                for i, nodes in enumerate(graph.search(q, k + 1)):
                     nodes = nodes[nodes >= 0]
                     score = (graph.x[nodes] * q[i]).sum(axis=1)
                     sizes = np.minimum(graph.first[nodes + 1] - graph.first[nodes], k + 1)  # of equal vectors the smallest ids
@@ -239,7 +329,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM, s
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), row["part"], np.int32)), pa.array(a), pa.array(b), pa.array(c), pa.array(d)], names=["part", "query_id", "row", "vec_id", "score"])
 
     pairs = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition("shard")
-    found = pairs.join(graphs.hint("shuffle_merge"), "shard").select("part", "q_ids", "q", "x", "first", "ids", "nodes", "near")
+    found = pairs.join(graphs.hint("shuffle_merge"), "shard").select("part", "q_ids", "q", "x", "first", "ids", "bands")
     found = found.mapInArrow(run, "part int, query_id long, row long, vec_id long, score double")
     order = Window.partitionBy("part", "query_id", "row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from sextant.llm import op3_cover_tree as cover
 from sextant.llm import op10_hnsw as hnsw
@@ -101,3 +102,44 @@ def test_graph_search_small_and_empty_tables(spark):
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in hnsw.nearest(few, few.where("vec_id % 20 = 0")).collect())
     assert got == [(0, 1, 20, 5.0), (0, 2, 3, 0.5), (20, 1, 0, 5.0), (20, 2, 3, 0.5)]
     assert hnsw.nearest(few.limit(0), few.limit(0)).count() == 0
+
+
+def _recall(x: np.ndarray, k: int = 20, queries: int = 60) -> float:
+    built = hnsw.Graph.build(np.arange(len(x)), x, 1)
+    graph = hnsw.Graph.of({name: v[0] for name, v in built.flat().items()}, x.shape[1])
+    found, exact = graph.search(x[:queries], k + 1), np.argsort(-(x[:queries] @ graph.x.T), axis=1, kind="stable")[:, : k + 1]
+    return float(np.mean([len(np.intersect1d(a, b)) / (k + 1) for a, b in zip(found, exact)]))
+
+
+@pytest.mark.parametrize("large", [1e3, 1e6, 1e20, 1e30, 1e150])
+def test_one_long_vector_does_not_blur_the_others(large):
+    x = np.random.default_rng(1).normal(size=(4_000, 64))
+    x[5, 3] = large
+    assert _recall(x) >= 0.9
+
+
+@pytest.mark.parametrize("kind", ["scattered", "varied", "clustered"])
+def test_recall_in_a_full_shard(kind):
+    """Vectors without structure, of very different lengths, and in clusters: a whole shard of each."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(hnsw.SHARD_ROWS, 64))
+    if kind == "varied":
+        x *= np.exp(rng.normal(size=(len(x), 1)))
+    elif kind == "clustered":
+        x = rng.normal(size=(200, 64))[rng.integers(0, 200, len(x))] + 0.3 * x
+    assert _recall(x) >= 0.9
+
+
+def test_large_components_through_spark(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.normal(size=4)]) for i in range(60)] + [(60, [1e30, 0.0, 0.0, 1.0]), (80, [1e200, 1e200, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = hnsw.vectors(df)
+    got = {}
+    for r in hnsw.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=5, shard_rows=30).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    table = dict(rows)
+    with np.errstate(over="ignore"):
+        for q in (0, 20, 40, 60, 80):
+            score = {i: float((np.array(v) * np.array(table[q])).sum()) for i, v in table.items() if i != q}
+            assert got[q] == sorted(score, key=lambda i: (-score[i], i))[:5]
