@@ -6,11 +6,11 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.digest import framed_sha256
-from ..sources.tables import stored
+from ..sources.tables import placed, stored
 from ..sources.versions import Versions
 from .graph import components
 
@@ -171,14 +171,8 @@ def recovered_index(index: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def scan_order(records: DataFrame) -> DataFrame:
-    """Records whose names have the shape of one, in name order with their place; by ranges, not in one task."""
-    named = records.where(F.regexp_like("name", F.lit(RECORD_NAME)))
-    ordered = stored(named.repartitionByRange("name").sortWithinPartitions("name").withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    sizes = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_at").alias("_low"))  # a row a partition
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("_part", "_low", F.coalesce(before, F.lit(0)).alias("_before"))
-    return ordered.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("place", F.col("_at") - F.col("_low") + F.col("_before") + 1).drop("_at", "_part", "_low", "_before")
+    """Records whose names have the shape of one, in name order, with their place."""
+    return placed(records.where(F.regexp_like("name", F.lit(RECORD_NAME))), "name")
 
 
 #: Refusals of the writer that an enqueue may pass on; any other is an internal error.

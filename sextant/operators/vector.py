@@ -184,6 +184,42 @@ class ProviderRegistry:
         return self._held[name]
 
 
+def deterministic_registry(dimension: int, embedding: str, reranker: str) -> ProviderRegistry:
+    """The two offline providers, hashed token counts and the cosine of their vectors, under names of the caller's."""
+    registry = ProviderRegistry()
+    registry.register(embedding, Descriptor("hash-embedding", "1", dimension), embed)
+    registry.register(reranker, Descriptor("cosine-reranker", "1", dimension, kind="reranker"), None)
+    return registry
+
+
+def deterministic_stack(dimension: int, embedding: str, reranker: str) -> Stack:
+    """Both providers as the registry gives them back."""
+    registry = deterministic_registry(dimension, embedding, reranker)
+    (first, column), (second, _) = registry.get(embedding), registry.get(reranker)
+    return Stack(first, column, second)
+
+
+#: What anything that stands for an index must offer.
+INDEX_METHODS = ("rebuild", "search", "snapshot", "restore", "wipe")
+
+
+def require_index(index: object) -> None:
+    """Refuse, before it is used, what is no index."""
+    missing = [name for name in INDEX_METHODS if not callable(getattr(index, name, None))]
+    if missing or not hasattr(index, "revision"):
+        raise TypeError(f"no index: {', '.join(missing or ['revision'])} missing")
+
+
+def point_uuid(point: Column) -> Column:
+    """A point's id as a UUID, for stores that take no other: the first 32 of its hex digits."""
+    return F.regexp_replace(F.lower(F.substring(point, 1, 32)), "\\A(.{8})(.{4})(.{4})(.{4})(.{12})\\z", "$1-$2-$3-$4-$5")
+
+
+def as_float32(v: Column) -> Column:
+    """A vector as a store of single precision gives it back."""
+    return F.transform(v, lambda x: x.cast("float").cast("double"))
+
+
 @F.pandas_udf(BinaryType())
 def _packed(v: pd.Series) -> pd.Series:
     return v.map(lambda x: struct.pack(f">{len(x)}d", *x))

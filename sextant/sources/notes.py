@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import nfc
 from ..schemas import EXPORT, EXPORT_ZONES
+from .tables import placed
 
 
 def read_notes(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
@@ -18,6 +19,30 @@ def read_notes(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
     return rows.where(good).select(path.alias("path"), nfc(path).alias("digest_key"), "content", F.sha2("content", 256).alias("content_sha256"))
 
 
+def member_order(notes: DataFrame) -> DataFrame:
+    """Notes with their place in the order in which a bundle lists its members: by digest key, then path."""
+    return placed(notes, "digest_key", "path")
+
+
+def read_members(spark: SparkSession, root: str, wanted: DataFrame, glob: str = "*.md") -> DataFrame:
+    """wanted (path, and sha256 if it is to be verified) with content, or why it is refused: path, missing or changed.
+
+    A path may be given below ``root`` or in full; one that is neither, or that steps out of
+    the folder, is refused before anything is looked up.
+    """
+    base = root.rstrip("/").split(":", 1)[-1]
+    base = "/" + base.lstrip("/")
+    inner = F.when(F.col("path").startswith(base + "/"), F.substring("path", len(base) + 2, 1 << 30)).otherwise(F.col("path"))
+    unsafe = inner.isNull() | (inner == "") | inner.startswith("/") | F.contains(inner, F.lit("\0")) | F.regexp_like(inner, F.lit(r"(\A|/)\.{0,2}(/|\z)"))
+    rows = wanted.withColumn("_inner", F.when(~unsafe, inner))
+    notes = read_notes(spark, root, glob).select(F.col("path").alias("_inner"), "content", "content_sha256")
+    refusal = F.when(F.col("_inner").isNull(), "path").when(F.col("content").isNull(), "missing")
+    if "sha256" in wanted.columns:
+        refusal = refusal.when(F.col("sha256") != F.col("content_sha256"), "changed")
+    found = rows.join(notes, "_inner", "left").withColumn("refusal", refusal)
+    return found.select(*wanted.columns, F.when(F.col("refusal").isNull(), F.col("content")).alias("content"), "refusal")
+
+
 def probe(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
     """path, length, modified without reading contents: a change of the bundle shows here first."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)

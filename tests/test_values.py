@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+import struct
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +14,8 @@ from pyspark.sql import types as T
 
 from sextant import settings
 from sextant.functions import receipt, values
-from sextant.operators import outbox, spelling, writer
+from sextant.operators import outbox, spelling, vector, writer
+from sextant.sources import notes
 
 NUMBERS = [0.0, -0.0, 1.0, 1.5, -2.25, 1e7, 1.2345e10, 1e15, 123456789012345680.0, 1e16, 1.5e16, 1e22, 1e-3, 1e-4, -1.5e-4, 1e-5, 2.5e-7, 1e100, 1.7976931348623157e308, 12345678.9, 99999999.0]
 
@@ -140,3 +143,30 @@ def test_the_writer_judges_renders_and_publishes(spark, tmp_path):
     assert [(r.operation_id, r.state) for r in queue.records().collect()] == [("op-1", "queued")]
     again = writer.execute(queue, judged.where("operation_id = 'op-1' AND body = 'text'"))
     assert {r.status for r in again.collect()} == {"duplicate"}
+
+
+def test_members_are_read_by_safe_paths_and_verified(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    for name in ("a/x.md", "y.md", "é.md"):
+        (tmp_path / name).write_text(name)
+    digest = hashlib.sha256(b"y.md").hexdigest()
+    root = str(tmp_path)
+    wanted = [("a/x.md", None), (f"{root}/y.md", digest), ("y.md", "0"), ("../y.md", None), ("/etc/hosts", None), ("a/./x.md", None), ("none.md", None), (None, None), (root + "/", None)]
+    got = notes.read_members(spark, root, spark.createDataFrame(wanted, "path string, sha256 string")).collect()
+    assert {(r.path, r.sha256): (r.content and r.content.decode(), r.refusal) for r in got} == {
+        ("a/x.md", None): ("a/x.md", None), (f"{root}/y.md", digest): ("y.md", None), ("y.md", "0"): (None, "changed"), ("../y.md", None): (None, "path"), ("/etc/hosts", None): (None, "path"),
+        ("a/./x.md", None): (None, "path"), ("none.md", None): (None, "missing"), (None, None): (None, "path"), (root + "/", None): (None, "path"),
+    }
+    assert [(r.path, r.place) for r in notes.member_order(notes.read_notes(spark, root)).orderBy("place").collect()] == [("a/x.md", 1), ("y.md", 2), ("é.md", 3)]
+
+
+def test_providers_by_name_and_points_for_other_stores(spark, tmp_path):
+    stack = vector.deterministic_stack(8, "e", "r")
+    assert stack.embedding.dimension == 8 and stack.revision == vector.deterministic_registry(8, "e", "r").get("e")[0].revision()
+    with pytest.raises(ValueError):
+        vector.deterministic_stack(8, "same", "same")
+    vector.require_index(vector.ParquetIndex(spark, str(tmp_path)))
+    with pytest.raises(TypeError):
+        vector.require_index(object())
+    row = spark.range(1).select(vector.point_uuid(F.lit("0123456789abcdef" * 4)).alias("u"), vector.as_float32(F.array(F.lit(0.1), F.lit(1.0))).alias("v")).first()
+    assert row.u == str(uuid.UUID("0123456789abcdef0123456789abcdef")) and row.v == [struct.unpack(">f", struct.pack(">f", 0.1))[0], 1.0]
