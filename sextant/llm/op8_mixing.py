@@ -22,6 +22,10 @@ from .common import WORD, row_hash, scratch, stored, table
 WEIGHTS = (5, 2, 1)
 SLOPES = (-0.5, 0.0, 0.5)
 LIMIT = 3
+#: How often documents past the one at the border are taken as they fit.
+PASSES = 2
+#: How often what is left of a source's target is filled with one more document.
+FILLS = 5
 #: Hex digits of the order key that split a source into ranges: 4096 of them, so that a
 #: source with a third of all documents is summed by many tasks.
 RANGE_DIGITS = 3
@@ -65,13 +69,45 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> Dat
     return stored(level.select("source", "src_no", "source_size", "weight", F.least(F.col("cap").cast("double"), share).alias("target")), keep=True)
 
 
+def _fills(rows: DataFrame) -> DataFrame:
+    """src_no and _at of the documents that fill what the last pass leaves of a remainder: each the largest that fits, the last one that which comes nearest.
+
+    Documents of one source with words in them are told apart by ``_at``. Each choice is a
+    partial aggregate; one that would miss the remainder by more than it is is none.
+    """
+    left = F.max("_rest") - F.coalesce(F.sum(F.when(F.col("_last"), F.col("size"))), F.lit(0))
+    gaps = stored(rows.groupBy("src_no").agg(left.alias("gap")).withColumn("chosen", F.array().cast("array<bigint>")))
+    few, free = gaps.count() <= BROADCAST_SOURCES, rows.where(F.col("_more") & ~F.col("_last")).select("src_no", "size", "_key", "_at")
+    for i in range(1, FILLS + 1):
+        fits = free.join(F.broadcast(gaps) if few else gaps, "src_no").where((F.col("size") <= F.col("gap") if i < FILLS else F.col("size") < 2 * F.col("gap")) & ~F.array_contains("chosen", F.col("_at")))
+        place = F.struct(F.abs(F.col("gap") - F.col("size")).alias("miss"), F.col("_key").alias("key"), F.col("_at").alias("pos"), F.col("size").alias("size"))
+        pick = fits.groupBy("src_no").agg(F.min(place).alias("pick"))
+        found = F.col("pick").isNotNull()
+        gaps = gaps.join(pick, "src_no", "left")
+        gaps = stored(gaps.select("src_no", F.when(found, F.col("gap") - F.col("pick.size")).otherwise(F.col("gap")).alias("gap"), F.when(found, F.array_append("chosen", F.col("pick.pos"))).otherwise(F.col("chosen")).alias("chosen")))
+    return gaps.select("src_no", F.explode("chosen").alias("_at"))
+
+
+def _summed(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the words of their source that come before them in hashed order: the sum over earlier hash ranges and that inside the range."""
+    by_range = Window.partitionBy("src_no").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (
+        rows.groupBy("src_no", "_range").agg(F.sum("size").alias("_in"))
+        .select("src_no", "_range", F.coalesce(F.sum("_in").over(by_range), F.lit(0)).alias("_before"))
+    )
+    inside = Window.partitionBy("src_no", "_range").orderBy("_key", "doc_id", "size", "h").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(ranges, ["src_no", "_range"]).withColumn(name, F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))).drop("_before")
+
+
 def plan(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, limit: int = LIMIT) -> DataFrame:
     """Per row of ``sizes`` (doc_id, source, h, size): copies, taken and positions.
 
     A source is passed over ``floor(target / source_size)`` times in a hashed order; in
-    the last, partial pass a document is taken when more than half of it lies within the
-    remainder. The running sum over a source is two sums: over its hash ranges, then
-    inside each range.
+    the last, partial pass its documents are taken as long as they lie wholly within the
+    remainder, then ``PASSES`` times those behind it that fit. What is then left is filled up
+    to ``FILLS`` times with the largest document not taken that fits, at last with the one that
+    comes nearest, so that a source misses its target by little even where that document is large. The running sum over a source is
+    two sums: over its hash ranges, then inside each range.
     """
     with scratch(sizes.sparkSession):
         sources = source_targets(sizes, weights, limit)
@@ -84,27 +120,25 @@ def plan(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, limit: int = LIMIT) -
         .join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
         .drop("_source")
     )
-    by_range = Window.partitionBy("src_no").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = (
-        rows.groupBy("src_no", "_range").agg(F.sum("size").alias("_in"))
-        .select("src_no", "_range", F.coalesce(F.sum("_in").over(by_range), F.lit(0)).alias("_before"))
-    )
-    inside = Window.partitionBy("src_no", "_range").orderBy("_key", "doc_id", "size", "h").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(ranges, ["src_no", "_range"]).withColumn(
-        "_at", F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    )
+    rows = _summed(rows, "_at")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("target") - F.col("_whole") * F.col("source_size")
-    last = (F.col("_whole") < limit) & (F.col("size") > 0) & (2 * F.col("_at") + F.col("size") <= 2 * rest)
     slope = F.element_at(F.array(*map(F.lit, slopes)), ((F.col("src_no") - 1) % len(slopes) + 1).cast("int"))
-    rows = rows.withColumn("_whole", whole).withColumn(
-        "copies", F.when(F.col("size") > 0, F.col("_whole") + last.cast("long")).otherwise(F.lit(0)).cast("int")
-    )
+    rows = rows.withColumn("_whole", whole).withColumn("_more", (F.col("_whole") < limit) & (F.col("size") > 0))
+    rows = stored(rows.withColumn("_last", F.col("_more") & (F.col("_at") + F.col("size") <= rest)).withColumn("_rest", rest))
+    for _ in range(PASSES):
+        # Past the document at the border, in the same order, what fits.
+        left = rows.groupBy("src_no").agg((F.max("_rest") - F.coalesce(F.sum(F.when(F.col("_last"), F.col("size"))), F.lit(0))).alias("_left"))
+        next_ = _summed(rows.where(F.col("_more") & ~F.col("_last")).join(left, "src_no").where("size <= _left"), "_place").where(F.col("_place") + F.col("size") <= F.col("_left"))
+        rows = stored(rows.join(next_.select("src_no", "_at", F.lit(True).alias("_fits")), ["src_no", "_at"], "left").withColumn("_last", F.col("_last") | (F.coalesce("_fits", F.lit(False)) & F.col("_more"))).drop("_fits"))
+    filled = _fills(rows).withColumn("_filled", F.lit(True))
+    rows = rows.join(filled, ["src_no", "_at"], "left").withColumn("_last", F.col("_last") | (F.coalesce("_filled", F.lit(False)) & F.col("_more")))
+    rows = rows.withColumn("copies", F.when(F.col("size") > 0, F.col("_whole") + F.col("_last").cast("long")).otherwise(F.lit(0)).cast("int"))
     q = lambda n: F.least(F.lit(1.0), (n * F.col("source_size") + F.col("_at")) / F.col("target"))
     at = lambda n: 2 * q(n) / ((1 - slope) + F.sqrt((1 - slope) * (1 - slope) + 4 * slope * q(n)))
     return rows.withColumn("taken", F.col("copies") * F.col("size")).withColumn(
         "positions", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), at))
-    ).drop("_key", "_range", "_before", "_in", "_at", "_whole", "src_no", "weight")
+    ).drop("_key", "_range", "_at", "_whole", "_more", "_last", "_rest", "_filled", "src_no", "weight")
 
 
 def sizes_of(docs: DataFrame, h: Column | None = None) -> DataFrame:
@@ -132,7 +166,27 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).orderBy("first_position", "doc_id")
 
 
-ORACLE = r"""
+_NEXT = "".join(
+    f"""
+), l{i} AS (
+  SELECT src_no, max(rest) - coalesce(sum(size) FILTER (last_pass), 0)::BIGINT AS rest_left FROM base{i - 1 or ''} GROUP BY src_no
+), n{i} AS (
+  SELECT src_no, placed_at, size, rest_left, coalesce(sum(size) OVER (PARTITION BY src_no ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place
+  FROM base{i - 1 or ''} JOIN l{i} USING (src_no) WHERE more AND NOT last_pass AND size <= rest_left
+), base{i} AS (
+  SELECT b.* REPLACE (last_pass OR more AND n.src_no IS NOT NULL AS last_pass) FROM base{i - 1 or ''} b LEFT JOIN (SELECT * FROM n{i} WHERE place + size <= rest_left) n ON n.src_no = b.src_no AND n.placed_at = b.placed_at"""
+    for i in range(1, PASSES + 1)
+)
+_CHAIN = "".join(
+    f"""
+), p{i} AS (
+  SELECT g.src_no, min(struct_pack(miss := abs(gap - size), key := key, pos := placed_at, size := size)) AS pick FROM g{i - 1} g JOIN base{PASSES} b ON b.src_no = g.src_no
+  WHERE more AND NOT last_pass AND {'size <= gap' if i < FILLS else 'size < 2 * gap'} AND NOT list_contains(chosen, placed_at) GROUP BY g.src_no
+), g{i} AS (
+  SELECT src_no, CASE WHEN pick IS NULL THEN gap ELSE gap - (pick).size END AS gap, CASE WHEN pick IS NULL THEN chosen ELSE list_append(chosen, (pick).pos) END AS chosen FROM g{i - 1} LEFT JOIN p{i} USING (src_no)"""
+    for i in range(1, FILLS + 1)
+)
+ORACLE = rf"""
 WITH sizes AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), by_source AS (
@@ -149,13 +203,18 @@ WITH sizes AS (
 ), sources AS (
   SELECT source, src_no, source_size, slope, least((source_size * 3)::DOUBLE, lam * weight) AS target FROM levels, lam
 ), placed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, t.slope,
+  SELECT s.doc_id, s.size, t.src_no, t.source_size, t.target, t.slope, md5(coalesce(s.doc_id::VARCHAR, '')) AS key,
     CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size)::BIGINT ELSE 0 END AS whole,
     coalesce(sum(s.size) OVER (PARTITION BY t.src_no ORDER BY md5(coalesce(s.doc_id::VARCHAR, '')), s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS placed_at
   FROM sizes s JOIN sources t ON s.source IS NOT DISTINCT FROM t.source
+), base AS (
+  SELECT *, whole < 3 AND size > 0 AS more, whole < 3 AND size > 0 AND placed_at + size <= target - whole * source_size AS last_pass, target - whole * source_size AS rest, least(1.0, placed_at / target) AS q FROM placed{_NEXT}
+), g0 AS (
+  SELECT src_no, max(rest) - coalesce(sum(size) FILTER (last_pass), 0)::BIGINT AS gap, []::BIGINT[] AS chosen FROM base{PASSES} GROUP BY src_no{_CHAIN}
+), filled AS (
+  SELECT src_no, unnest(chosen) AS placed_at FROM g{FILLS}
 ), taken AS (
-  SELECT *, CASE WHEN size > 0 THEN whole + (whole < 3 AND 2 * placed_at + size <= 2 * (target - whole * source_size))::BIGINT ELSE 0 END AS n,
-    least(1.0, placed_at / target) AS q FROM placed
+  SELECT b.*, CASE WHEN size > 0 THEN whole + (last_pass OR more AND f.src_no IS NOT NULL)::BIGINT ELSE 0 END AS n FROM base{PASSES} b LEFT JOIN filled f ON f.src_no = b.src_no AND f.placed_at = b.placed_at AND b.more
 )
 SELECT doc_id, size, source_size, target, n * size AS taken, n::INTEGER AS copies,
   CASE WHEN n > 0 THEN round(2 * q / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * q)), 9) END AS first_position

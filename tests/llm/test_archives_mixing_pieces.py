@@ -174,3 +174,21 @@ def test_mixing_without_ids_and_with_many_sources(spark):
     ranks = {r.source: r.src_no for r in mixing.source_targets(mixing.sizes_of(docs)).collect()}
     assert ranks == {s: i + 1 for i, s in enumerate(sorted(targets))}
     assert mixing.mix(docs).count() == sum(r.copies for r in plan)
+
+
+def test_targets_are_met_beside_a_large_document_at_the_border(spark):
+    """A source of one very large document and many small ones: what the large one leaves open is filled."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 40)), f"s{i % 5}") for i in range(500)] + [(1_000 + i, " ".join(["w"] * 1_500), f"s{i}") for i in range(5)]
+    plan = mixing.plan(mixing.sizes_of(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()
+    taken, target, sizes = {}, {}, {}
+    for r in plan:
+        taken[r.source], target[r.source] = taken.get(r.source, 0) + r.taken, r.target
+        sizes.setdefault(r.source, []).append((r.copies, r.size))
+    for source, rows in sizes.items():
+        off, least = target[source] - taken[source], min(c for c, _ in rows)
+        # Near its target, or no document that could still be taken brings it nearer.
+        assert abs(off) <= 0.01 * target[source] or all(abs(off - size) >= abs(off) for c, size in rows if c == least < 3)
+    # One document alone, of which less than the whole is due: nothing smaller can be taken.
+    alone = mixing.plan(mixing.sizes_of(spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a", "y"), (3, "b", "y")], "doc_id long, text string, source string"))).collect()
+    assert len(alone) == 3 and all(r.taken <= 3 * r.size for r in alone)
