@@ -21,8 +21,9 @@ the prefix of its longest l, ``REACH`` of its size.
    shingle first: a node whose shared shingles are fewer than t drops out, one with h heavy
    ones must share t - h light ones with a partner, so that it looks up all but t - h of
    its light ones, lengthened by l for l matches, whichever l costs least. Only nodes whose
-   heavy shingles could suffice (h >= t) meet through heavy ones, the rarest first; among
-   these, pairs of different components are verified one by one.
+   heavy shingles could suffice (h >= t) meet through heavy ones: shingles of the same
+   holders become one weighted atom, and prefixes over atoms are lengthened, match by
+   match, wherever the pairs of a prefix outnumber the longer prefixes (``rich_pairs``).
 
 So no pair of different components that could link stays unverified, and no group is
 listed pair by pair once it hangs together. Verification counts the exact intersection.
@@ -57,7 +58,10 @@ TEXT_BYTES = 2 << 20
 #: Nodes whose keys and components (at most 40 bytes each) may be broadcast; more are joined by shuffle.
 BROADCAST_NODES = 500_000
 ROUNDS = 4
-SHORT = 256  # shingles of a prefix that travels whole
+SHORT = 256  # atoms of a node that travel with each of its states
+PAIRS = 8  # pairs a state up to which no more matches are asked for
+DEEP = 6  # matches asked for at most; what is left is paired
+WIDE = 8  # states one atom longer, a state, up to which groups are asked for one more match
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -298,7 +302,7 @@ def whole_demands(rows: DataFrame) -> DataFrame:
     prefix and the matches in it that a partner must reach. Heavy shingles cannot supply
     the whole overlap unless they are 0.75 of the set, so that ``ceil(0.75 n) - heavy``
     light ones are shared and the prefix may be all but so many of them, plus ``need``.
-    need = 0: a rich node, whose heavy shingles could suffice; its prefix is over all shingles.
+    need = 0: a rich node, whose heavy shingles could suffice.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +318,7 @@ def whole_demands(rows: DataFrame) -> DataFrame:
                 light = int(np.searchsorted(mine, HEAVY, "right"))
                 k = int(least[i]) - (len(mine) - light)
                 if k < 1:
-                    out[:, i] = light, len(mine) - least[i] + 1, 0
+                    out[:, i] = light, 0, 0
                     continue
                 if k > light:  # too few shared shingles for any partner
                     out[:, i] = light, 0, 1
@@ -331,9 +335,94 @@ def whole_demands(rows: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, "s long, n long, c long, toks array<long>, light long, width long, need long")
 
 
+def atoms(rows: DataFrame, rich: DataFrame) -> DataFrame:
+    """Rich nodes as sets of atoms: s, n, c, ids, cum (weights summed, from 0) and left; stored.
+
+    Shingles of the same holders are one atom, whose weight is their number: two nodes
+    share it whole or not at all. What one component alone holds is left out. Atoms are
+    in one order for all nodes, the weightiest first; left is the weight that a node may
+    lack in common with a similar one.
+    """
+    held = rows.join(rich, "s")
+    same = F.xxhash64(F.bit_xor(F.xxhash64("s")), F.bit_xor(F.xxhash64("s", F.lit(1))), F.count("*"))
+    tok = held.groupBy("tok").agg(same.alias("id"), F.count("*").alias("df"), F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("tok", "id", "df")
+    parts = held.join(tok, "tok").groupBy("s", "id").agg(F.count("*").alias("w"), F.first("df").alias("df"), F.first("n").alias("n"), F.first("c").alias("c"))
+    lists = parts.groupBy("s").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("w"), "df", "id"))).alias("held"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("held")
+            cut = np.concatenate(([0], np.cumsum(held.value_lengths().to_numpy())))
+            weight = -held.flatten().field(0).to_numpy()
+            cum = [np.concatenate(([0], np.cumsum(weight[a:b]))) for a, b in zip(cut[:-1], cut[1:])]
+            left = np.array([x[-1] for x in cum], np.int64) + (-batch.column("n").to_numpy() * PERCENT // 100)
+            ids = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), held.flatten().field(2))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("s", "n", "c")), ids, pa.array(cum, pa.list_(pa.int64())), pa.array(left)], names=["s", "n", "c", "ids", "cum", "left"]).filter(pa.array(left >= 0))
+
+    return stored(lists.mapInArrow(run, "s long, n long, c long, ids array<long>, cum array<long>, left long"))
+
+
+def rich_pairs(node: DataFrame) -> DataFrame:
+    """s, v: pairs in different components of the frame ``atoms``, by prefixes lengthened where they cost.
+
+    A state is a node and the first atoms that it may have in common with another, what
+    lies between them being lacked (of weight ``left`` at most). Similar nodes have the
+    state of their first common atoms, at every length. States of one key are paired if
+    their pairs across components are few or no more than the states one atom longer, if
+    these are many a node (light atoms), or after ``DEEP`` atoms; otherwise each asks for
+    one more match. A node
+    whose remaining atoms may all be lacked ends there: of nodes that end alike any two
+    similar ones are similar to the smallest, so that they meet in a star.
+    """
+    none = node.select("s", F.col("s").alias("v")).limit(0)
+    if node.isEmpty():
+        return none
+    at, j, left = F.col("at"), F.col("j"), F.col("left")
+    total = F.size("ids")
+    upto = lambda i: F.element_at("cum", i + 1)
+    reach = lambda start, spare: F.filter(F.sequence(start, total), lambda i: upto(i) <= upto(start) + spare)
+    wide = node.select("s", F.lit(0).cast("long").alias("key"), F.lit(0).alias("at"), "left")
+    pairs, level = [], 0
+    while True:
+        level += 1
+        steps = wide.join(_small(node.drop("left")), "s").withColumn("j", F.explode(reach(at, left)))
+        steps = steps.withColumn("left", left - upto(j) + upto(at)).withColumn("over", j == total)
+        going = ~F.col("over")
+        atom = F.when(going, F.element_at("ids", F.least(j + 1, total)))
+        more = F.when(going, F.size(reach(F.least(j + 1, total), left))).otherwise(0)
+        state = stored(
+            steps.select("s", "n", "c", "over", F.xxhash64("key", atom).alias("key"), (j + 1).alias("at"), "left", atom.alias("last"), more.alias("more"), F.slice("ids", 1, SHORT).alias("head"))
+        )
+        ends = state.where("over").select("key", "s", "n", "c")
+        star = ends.groupBy("key").agg(F.min(F.struct("n", "s", "c")).alias("h"), F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b")
+        star = star.select("key", F.col("h.s").alias("v"), F.col("h.n").alias("m"), F.col("h.c").alias("d"))
+        pairs.append(ends.join(star, "key").where((F.col("c") != F.col("d")) & _comparable("n", "m")).select("s", "v"))
+        one = state.where(going).groupBy("key", "c").agg(F.count("*").alias("g"), F.sum("more").alias("e"))
+        group = one.groupBy("key").agg(F.sum("g").cast("double").alias("g"), F.sum(F.col("g").cast("double") * F.col("g")).alias("q"), F.sum("e").alias("e"), F.count("*").alias("k"))
+        longer = (F.col("g") * F.col("g") - F.col("q") > 2 * F.greatest("e", PAIRS * F.col("g"))) & (F.col("e") <= WIDE * F.col("g")) & F.lit(level < DEEP)
+        group = stored(group.where("k > 1").select("key", longer.alias("longer")))
+        live = stored(state.where(going).join(_small(group), "key"))
+        direct = live.where("not longer").select("key", "s", "n", "c", "last", "head")
+        other = direct.select("key", F.col("s").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("head").alias("head2"))
+        # Components meet before nodes, so that one of very many nodes is not held against itself.
+        held = direct.select("key", "c").distinct()
+        meets = held.join(held.withColumnRenamed("c", "d"), "key").where("c < d")
+        first = F.try_element_at(F.array_intersect("head", "head2"), F.lit(level))  # the pair's last common atom here
+        both = meets.join(direct, ["key", "c"]).join(other, ["key", "d"]).where(_comparable("n", "m") & (first.isNull() | (first == F.col("last"))))
+        pairs.append(both.select("s", "v"))
+        wide = live.where("longer").select("s", "key", "at", "left")
+        if wide.isEmpty():
+            break
+    for more in pairs:
+        none = none.unionByName(more)
+    return none.distinct()
+
+
 def stuck_pairs(demand: DataFrame, comp: DataFrame, full: DataFrame) -> DataFrame:
     """s, v: pairs in different components of nodes whose prefixes are too heavy (step 4)."""
-    stuck = demand.where("l = 0").join(comp.select("s", "n", "c"), "s").select("s", "n", "c")
+    stuck = stored(demand.where("l = 0").join(comp.select("s", "n", "c"), "s").select("s", "n", "c"))
+    if stuck.isEmpty():
+        return stuck.select("s", F.col("s").alias("v"))
     rows = stored(_token_rows(full.join(stuck, "s", "left_semi")))
     # What one node alone holds matches nothing; who lacks too much drops out, and no longer counts.
     shared = rows.join(rows.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1"), "tok")
@@ -355,17 +444,8 @@ def stuck_pairs(demand: DataFrame, comp: DataFrame, full: DataFrame) -> DataFram
     meets = (F.col("c") != F.col("d")) & (~F.col("poor") | (F.col("c") < F.col("d")))
     poor = left.join(other, "tok").where(meets & alike & early)
     poor = poor.groupBy("s", "v").agg(F.count("*").alias("k"), F.first("need").alias("need")).where("k >= need").select("s", "v")
-    # Rich nodes: the rarest common shingle comes early in both. A pair comes from it only,
-    # unless a prefix is too long to travel with each of its shingles.
-    short = F.when(F.col("width") <= SHORT, F.slice("toks", F.lit(1), F.col("width").cast("int"))).otherwise(F.array().cast("array<long>"))
-    dense = node.where("need = 0").select("s", "n", "c", "most", short.alias("toks"), light("width").alias("q", "tok"))
-    mixed = dense.groupBy("tok").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("tok")
-    dense = stored(dense.join(mixed, "tok", "left_semi"))
-    other = dense.select("tok", *second, F.col("q").alias("q2"), F.col("toks").alias("others"))
-    rarest = (F.size("toks") == 0) | (F.size("others") == 0) | (F.element_at(F.array_intersect("toks", "others"), 1) == F.col("tok"))
-    early = (F.col("q") <= F.col("most") - least) & (F.col("q2") <= F.col("most2") - least)
-    rich = dense.join(other, "tok").where((F.col("c") < F.col("d")) & alike & early & rarest).select("s", "v")
-    return poor.unionByName(rich)
+    rich = node.where("need = 0").select("s", "n", "c")
+    return poor.unionByName(rich_pairs(atoms(rows.select("s", "tok"), rich)))
 
 
 def links(docs: DataFrame, node: DataFrame) -> DataFrame:

@@ -179,6 +179,44 @@ def test_documents_around_one_template(spark, monkeypatch):
     assert sum(verified) <= 40 * len(rows)
 
 
+def _of_passages(n: int, seed: int = 11):
+    """Documents of 6 of 14 passages each and a few words of their own; passages are all that two of them share."""
+    rng = random.Random(seed)
+    passages = [[f"p{k}w{i}" for i in range(40)] for k in range(14)]
+    return [(i, " ".join(w for k in sorted(rng.sample(range(14), 6)) for w in [*passages[k], *(f"o{i}x{k}y{j}" for j in range(2))])) for i in range(n)]
+
+
+def test_documents_of_shared_passages(spark, monkeypatch):
+    """What is verified grows with the documents, not with their pairs, though every shingle but a few has many holders."""
+    verified, real = [], jac.verify
+
+    def counted(pairs, full):
+        verified.append(pairs.count())
+        return real(pairs, full)
+
+    monkeypatch.setattr(jac, "verify", counted)
+    for n in (200, 400, 800):
+        rows = _of_passages(n)
+        verified.clear()
+        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jac.classes(_frame(spark, rows)).collect()), key=str)
+        assert got == _brute_components(rows)
+        assert sum(verified) <= 40 * n
+
+
+def test_atoms_of_unlike_weights_and_noise(spark):
+    """Passages of many lengths, some with words changed: the longer prefixes lose no link."""
+    rng = random.Random(12)
+    passages = [[f"p{k}w{i}" for i in range(rng.randint(8, 70))] for k in range(9)]
+    rows = []
+    for i in range(150):
+        words = [w for k in sorted(rng.sample(range(9), rng.randint(3, 6))) for w in passages[k]]
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            words[rng.randrange(len(words))] = f"e{rng.randint(0, 40)}"
+        rows.append((i, " ".join(words)))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jac.classes(_frame(spark, rows)).collect()), key=str)
+    assert got == _brute_components(rows)
+
+
 def test_map_columns_and_one_third_of_all_rows_in_one_component(spark):
     base = " ".join(f"b{i}" for i in range(100))
     docs = _frame(spark, [(i, f"{base} t{i % 3}") for i in range(60)] + [(100 + i, f"text number {i} alone") for i in range(60)])
