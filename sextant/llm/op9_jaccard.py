@@ -37,6 +37,7 @@ their names, are carried through ``deduplicate``.
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,7 +59,8 @@ TEXT_BYTES = 2 << 20
 #: Nodes whose keys and components (at most 40 bytes each) may be broadcast; more are joined by shuffle.
 BROADCAST_NODES = 500_000
 ROUNDS = 4
-SHORT = 256  # atoms of a node that travel with each of its states
+SHORT = 256  # atoms of a node that travel with each of its states, at most
+BAND = 1.06  # rich nodes are met by bands of sizes, each so many times as wide as the one before
 PAIRS = 8  # pairs a state up to which no more matches are asked for
 DEEP = 6  # matches asked for at most; what is left is paired
 WIDE = 8  # states one atom longer, a state, up to which groups are asked for one more match
@@ -365,8 +367,12 @@ def atoms(rows: DataFrame, rich: DataFrame) -> DataFrame:
 def rich_pairs(node: DataFrame) -> DataFrame:
     """s, v: pairs in different components of the frame ``atoms``, by prefixes lengthened where they cost.
 
+    Two nodes of n and m shingles must share (n + m) * 75 / 175 of them, so that a node may
+    lack far less beside one of its own size than beside a smaller one: it starts once for
+    every band of sizes that holds a possible partner, with what it may lack beside the
+    least of the band.
     A state is a node and the first atoms that it may have in common with another, what
-    lies between them being lacked (of weight ``left`` at most). Similar nodes have the
+    lies between them being lacked (``left`` is what may still be). Similar nodes have the
     state of their first common atoms, at every length. States of one key are paired if
     their pairs across components are few or no more than the states one atom longer, if
     these are many a node (light atoms), or after ``DEEP`` atoms; otherwise each asks for
@@ -377,21 +383,34 @@ def rich_pairs(node: DataFrame) -> DataFrame:
     none = node.select("s", F.col("s").alias("v")).limit(0)
     if node.isEmpty():
         return none
-    at, j, left = F.col("at"), F.col("j"), F.col("left")
+    at, j, left, need = (F.col(x) for x in ("at", "j", "left", "need"))
     total = F.size("ids")
     upto = lambda i: F.element_at("cum", i + 1)
     reach = lambda start, spare: F.filter(F.sequence(start, total), lambda i: upto(i) <= upto(start) + spare)
-    wide = node.select("s", F.lit(0).cast("long").alias("key"), F.lit(0).alias("at"), "left")
+    overlap = lambda n, m: F.ceil((F.col(n) + F.col(m)) * PERCENT / (100 + PERCENT))
+    node = node.drop("left").withColumn("band", F.floor(F.log("n") / math.log(BAND)).cast("int"))
+    span = math.ceil(math.log(100 / PERCENT) / math.log(BAND))
+    # Bands are as many as a logarithm of the sizes.
+    bands = node.select(F.col("band").alias("other"), F.floor(F.pow(F.lit(BAND), "band") * (1 - 1e-9)).alias("low")).distinct()
+    wide = node.withColumn("other", F.explode(F.sequence(F.col("band") - span, F.col("band") + span))).join(F.broadcast(bands), "other")
+    wide = wide.withColumn("need", F.greatest(F.ceil(F.col("n") * PERCENT / 100), overlap("n", "low"))).withColumn("left", F.element_at("cum", -1) - need).where("left >= 0")
+    # side: 0 of a band beside itself, otherwise 1 for the lower one of two and 2 for the upper.
+    side = F.when(F.col("band") == F.col("other"), 0).when(F.col("band") < F.col("other"), 1).otherwise(2)
+    wide = wide.select("s", "n", "c", "ids", "cum", F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("key"), side.alias("side"), F.lit(0).alias("at"), "left", "need")
+    node = node.select("s", "n", "c", "ids", "cum")
     pairs, level = [], 0
     while True:
         level += 1
-        steps = wide.join(_small(node.drop("left")), "s").withColumn("j", F.explode(reach(at, left)))
+        steps = wide.withColumn("j", F.explode(reach(at, left)))
         steps = steps.withColumn("left", left - upto(j) + upto(at)).withColumn("over", j == total)
         going = ~F.col("over")
         atom = F.when(going, F.element_at("ids", F.least(j + 1, total)))
         more = F.when(going, F.size(reach(F.least(j + 1, total), left))).otherwise(0)
         state = stored(
-            steps.select("s", "n", "c", "over", F.xxhash64("key", atom).alias("key"), (j + 1).alias("at"), "left", atom.alias("last"), more.alias("more"), F.slice("ids", 1, SHORT).alias("head"))
+            steps.select(
+                "s", "n", "c", "side", "over", F.xxhash64("key", atom).alias("key"), (j + 1).alias("at"), "left", "need", atom.alias("last"), more.alias("more"),
+                F.slice("ids", F.lit(1), F.least(j + 1, F.lit(SHORT))).alias("head"),
+            )
         )
         ends = state.where("over").select("key", "s", "n", "c")
         star = ends.groupBy("key").agg(F.min(F.struct("n", "s", "c")).alias("h"), F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b")
@@ -402,15 +421,17 @@ def rich_pairs(node: DataFrame) -> DataFrame:
         longer = (F.col("g") * F.col("g") - F.col("q") > 2 * F.greatest("e", PAIRS * F.col("g"))) & (F.col("e") <= WIDE * F.col("g")) & F.lit(level < DEEP)
         group = stored(group.where("k > 1").select("key", longer.alias("longer")))
         live = stored(state.where(going).join(_small(group), "key"))
-        direct = live.where("not longer").select("key", "s", "n", "c", "last", "head")
-        other = direct.select("key", F.col("s").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("head").alias("head2"))
+        direct = live.where("not longer").select("key", "s", "n", "c", "side", (left + need).alias("room"), "last", "head")
+        other = direct.select("key", F.col("s").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("side").alias("side2"), F.col("room").alias("room2"), F.col("head").alias("head2"))
         # Components meet before nodes, so that one of very many nodes is not held against itself.
-        held = direct.select("key", "c").distinct()
-        meets = held.join(held.withColumnRenamed("c", "d"), "key").where("c < d")
+        held = direct.select("key", "c", "side").distinct()
+        across = ((F.col("side") == 0) & (F.col("c") < F.col("d"))) | ((F.col("side") == 1) & (F.col("side2") == 2) & (F.col("c") != F.col("d")))
+        meets = held.join(held.select("key", F.col("c").alias("d"), F.col("side").alias("side2")), "key").where(across)
+        early = _comparable("n", "m") & (F.least("room", "room2") >= overlap("n", "m"))
         first = F.try_element_at(F.array_intersect("head", "head2"), F.lit(level))  # the pair's last common atom here
-        both = meets.join(direct, ["key", "c"]).join(other, ["key", "d"]).where(_comparable("n", "m") & (first.isNull() | (first == F.col("last"))))
+        both = meets.join(direct, ["key", "c", "side"]).join(other, ["key", "d", "side2"]).where(early & (first.isNull() | (first == F.col("last"))))
         pairs.append(both.select("s", "v"))
-        wide = live.where("longer").select("s", "key", "at", "left")
+        wide = live.where("longer").select("s", "key", "side", "at", "left", "need").join(node, "s")
         if wide.isEmpty():
             break
     for more in pairs:
