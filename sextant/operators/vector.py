@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 import struct
+import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DoubleType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
 from ..functions.digest import PREFIX, composed_revision, frame, framed_sha256_of, point_id, tree_revision
 from ..sources.tables import stored
@@ -20,6 +24,8 @@ from ..functions.text import nfc
 TOKEN_DOMAIN = "sextant-token-v1"
 REVISION_DOMAIN = "sextant-provider-v1"
 POINT_BLOCK, QUERY_BLOCK = 4_096, 256
+#: Rows whose bucket counts are held at once in a task.
+COUNT_ROWS = 1_024
 #: Characters that are no token of their own: spaces, marks, full-width punctuation, bullets.
 IGNORED = (
     "\u00a0\u2002\u2003\u2009\u200b\u200c\u200d\u3000\ufeff"
@@ -41,10 +47,51 @@ def bucket(token: Column, dimension: int, domain: str = TOKEN_DOMAIN) -> Column:
     return (F.conv(first, 16, 10).cast("decimal(20,0)") % dimension).cast("int")
 
 
-def bucket_counts(docs: DataFrame, key: str, text: str, dimension: int, exact: bool = True) -> DataFrame:
-    """key, bucket, n. Tokens are counted before they are hashed: a token once per document."""
-    rows = docs.select(key, F.explode(tokens(F.col(text), exact)).alias("token")).groupBy(key, "token").agg(F.count("*").alias("c"))
-    return rows.groupBy(key, bucket(F.col("token"), dimension).alias("bucket")).agg(F.sum("c").alias("n"))
+#: Tokens whose buckets a task remembers.
+REMEMBERED = 200_000
+
+
+class _Buckets(dict):
+    """The bucket of each token, hashed once while it is remembered."""
+
+    def __init__(self, dimension: int, domain: str):
+        self.dimension, self.domain = dimension, domain.encode()
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        digest = hashlib.sha256(self.domain + (token.lower() if token.isascii() else token).encode()).digest()
+        found = self[token] = int.from_bytes(digest[:8], "big") % self.dimension
+        return found
+
+
+def _counted(docs: DataFrame, key: str, text: str, dimension: int, exact: bool, domain: str) -> DataFrame:
+    """key, bucket, n of every bucket, 0 as well, of keys with a token: texts are counted where they are read, counts move by key."""
+    kind = docs.select(key).schema[0].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, buckets = re.compile(TOKEN.replace("a-z", "A-Za-z", 1)).findall, _Buckets(dimension, domain)
+        for batch in batches:
+            for at in range(0, batch.num_rows, COUNT_ROWS):
+                part = batch.slice(at, COUNT_ROWS)
+                keys = part.column(0).dictionary_encode(null_encoding="encode")
+                counts = np.zeros((len(keys.dictionary), dimension), np.int64)
+                for i, t in zip(keys.indices.to_pylist(), part.column(1).to_pylist()):
+                    if t:
+                        t = t if not exact or t.isascii() else unicodedata.normalize("NFC", t)
+                        counts[i] += np.bincount(np.array([buckets[x] for x in find(t)], np.int64), minlength=dimension)
+                held = counts.any(axis=1)
+                cut = pa.array(np.arange(held.sum() + 1) * dimension, pa.int32())
+                yield pa.RecordBatch.from_arrays([keys.dictionary.filter(pa.array(held)), pa.ListArray.from_arrays(cut, pa.array(counts[held].ravel()))], names=[key, "c"])
+
+    schema = StructType([StructField(key, kind), StructField("c", ArrayType(LongType()))])
+    rows = docs.select(key, text).mapInArrow(run, schema).repartition(key).select(key, F.posexplode("c").alias("bucket", "c"))
+    return rows.groupBy(key, "bucket").agg(F.sum("c").alias("n"))
+
+
+def bucket_counts(docs: DataFrame, key: str, text: str, dimension: int, exact: bool = True, domain: str = TOKEN_DOMAIN) -> DataFrame:
+    """key, bucket, n of the buckets that a key's tokens fall into."""
+    return _counted(docs, key, text, dimension, exact, domain).where("n > 0")
 
 
 def embed(text: Column, dimension: int) -> Column:
@@ -57,9 +104,9 @@ def embed(text: Column, dimension: int) -> Column:
 
 def embed_rows(docs: DataFrame, key: str, text: str, dimension: int, exact: bool = True) -> DataFrame:
     """key, vector: the same vectors by one pass over bucket counts, for long texts."""
-    counts = bucket_counts(docs, key, text, dimension, exact).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.col("n").cast("double")))).alias("m"))
-    norm = F.sqrt(F.aggregate(F.map_values("m"), F.lit(0.0), lambda s, x: s + x * x))
-    return counts.select(key, F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / norm).alias("vector"))
+    counts = _counted(docs, key, text, dimension, exact, TOKEN_DOMAIN).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("bucket", F.col("n").cast("double").alias("n")))).alias("m"))
+    norm = F.sqrt(F.aggregate("m", F.lit(0.0), lambda s, x: s + x["n"] * x["n"]))
+    return counts.withColumn("_norm", norm).select(key, F.transform("m", lambda x: x["n"] / F.col("_norm")).alias("vector"))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -170,3 +170,18 @@ def test_context_stays_in_its_budget(spark):
     assert struct.calcsize(">d") == 8
     with pytest.raises(ValueError):
         context.pack(results, 0, 10)
+
+
+def test_buckets_are_counted_where_texts_are_read(spark):
+    """Rows of one key (null as well) count together, keys without a token have none, and no token is a row of a shuffle."""
+    texts = [(1, "A b a é É 0x　中文 b"), (1, "a b"), (2, None), (3, ""), (4, "。 - "), (None, "a"), (None, "Z" * 50), (5, "é a"), *((7, "a b") for _ in range(3_000))]
+    docs = spark.createDataFrame(texts, "k long, text string")
+    for exact in (True, False):
+        got = {(r.k, r.bucket): r.n for r in vector.bucket_counts(docs, "k", "text", 16, exact).collect()}
+        tokens = docs.select("k", F.explode(vector.tokens(F.col("text"), exact)).alias("t"))
+        assert got == {(r.k, r.b): r.n for r in tokens.groupBy("k", vector.bucket(F.col("t"), 16).alias("b")).agg(F.count("*").alias("n")).collect()}
+        rows = {r.k: r.vector for r in vector.embed_rows(docs, "k", "text", 16, exact).collect()}
+        norm = {k: math.sqrt(sum(n * n for (j, _), n in got.items() if j == k)) for k in rows}
+        assert rows == {k: [got.get((k, b), 0) / norm[k] for b in range(16)] for k, _ in got}
+    plan = vector.embed_rows(docs, "k", "text", 16)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
