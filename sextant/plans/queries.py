@@ -443,13 +443,16 @@ def history_freshness(spark, sf):
     A user's last view stands for the export of the user's note and of the next user's; the
     last click, named by a prefix, for the note's last change.
     """
-    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.sha1(F.col("event_id").cast("string").cast("binary")).alias("id"))
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    name = lambda c: F.sha1(F.col(c).cast("string").cast("binary"))
     before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
     merged = F.when((F.col("event_type") == "signup") & (F.pmod("event_id", F.lit(3)) == 0) & (F.col("event_id") >= 7), F.col("event_id") - 7)
-    parents = e.select("id", before.alias("before"), merged.alias("merged")).select("id", F.posexplode(F.array("before", F.nullif("merged", "before"))).alias("n", "p"))
-    known = e.select(F.col("event_id").alias("p"), F.col("id").alias("parent"))
-    # A commit without a first parent has one row with none.
-    commits = stored(parents.join(known, "p", "left").where("n = 0 OR parent IS NOT NULL").select("id", "n", "parent"))
+    parents = e.select("event_id", before.alias("before"), merged.alias("merged")).select("event_id", F.posexplode(F.array("before", F.nullif("merged", "before"))).alias("n", "p"))
+    known = e.select(F.col("event_id").alias("p"), F.lit(True).alias("known"))
+    # A commit without a first parent has one row with none. A parent is an earlier event.
+    rows = parents.where("n = 0 OR p IS NOT NULL").join(known, "p", "left").where("n = 0 OR known")
+    commits = stored(rows.select(name("event_id").alias("id"), "n", F.when(F.col("known"), name("p")).alias("parent"), F.col("event_id").alias("serial")))
+    e = e.withColumn("id", name("event_id"))
     last = lambda kind: F.max(F.when(F.col("event_type") == kind, F.struct("event_id", "id")))["id"]
     per = e.groupBy("user_id").agg(last("view").alias("export_commit"), F.substring(last("click"), 1, 12).alias("last_touch"))
     own = per.select(F.concat("user_id", F.lit("-own")).alias("path"), "export_commit", "last_touch")

@@ -143,3 +143,25 @@ def test_the_key_index_is_made_whole_from_records(spark):
     got = sorted((r.key, r.action, r.name and r.name[0]) for r in outbox.recovered_index(index, records).collect())
     assert got == [("k1", "kept", "a"), ("k2", "rebuilt", "b"), ("k2", "torn", "t"), ("k3", "lost", "f"), ("k4", "rebuilt", "d"), ("k5", "torn", "s"), ("k6", "kept", "a"), ("k7", "torn", None)]
     assert [(r.name[0], r.place) for r in outbox.scan_order(records).orderBy("place").collect()] == [("a", 1), ("b", 2), ("c", 3), ("d", 4), ("e", 5)]
+
+
+@pytest.mark.parametrize("few_edges", [history.FEW_EDGES, -1])
+def test_serials_bound_the_walk_and_change_no_answer(spark, monkeypatch, few_edges):
+    """Only what is not older than the ancestor asked for is walked; a serial that falls is not used; ends of the history count as before."""
+    monkeypatch.setattr(history, "FEW_EDGES", few_edges)
+    reached = []
+    reach = history.reach
+    monkeypatch.setattr(history, "reach", lambda *a: reached.append(reach(*a)) or reached[-1])
+    rng = random.Random(8)
+    parents = {i: sorted(rng.sample(range(max(0, i - 6), i), min(i, rng.choice([1, 1, 2]))), reverse=True) for i in range(60)} | {60: [], 61: [60, 999]}
+    order = F.when(F.col("id") == _sha(61), 61)
+    for i in range(61):
+        order = order.when(F.col("id") == _sha(i), i)
+    plain = _commits(spark, parents)
+    pairs = [(a, b) for a in range(40, 60) for b in range(40, 60)] + [(59, 61), (61, 61), (60, 61)]
+    asked = spark.createDataFrame([(_sha(a), _sha(b)) for a, b in pairs], "ancestor string, descendant string")
+    expected = {(_sha(a), _sha(b)): True if a in _ancestors(parents, b) else None if b == 61 else False for a, b in pairs}
+    for commits in (plain, plain.withColumn("serial", order), plain.withColumn("serial", -order)):
+        assert {(r.ancestor, r.descendant): r.is_ancestor for r in history.ancestry(asked, commits).collect()} == expected
+    everything, bounded, falling = (r.count() for r in reached)
+    assert bounded < everything == falling
