@@ -212,3 +212,23 @@ def test_whole_notes_are_converted(spark):
     assert got[2].document == "---\ngenerated:\n  by: a\nlegacy: true\nmetadata_gaps:\n- created_at\n- id\n---\n\n\nkept" and got[2].dropped == ["timestamp"]
     assert {i: got[i].error for i in range(3, 9)} == {3: "no-frontmatter", 4: "unterminated", 5: "not-a-mapping", 6: "not-a-mapping", 7: "conflicting-citations", 8: "no-frontmatter"}
     assert all(got[i].document is None for i in range(3, 9))
+
+
+def test_the_vector_engine_of_the_report_moves_no_tokens(spark, tmp_path, monkeypatch):
+    """What is searched comes by one exchange of counts; that of the gate is the same report."""
+    from sextant.plans import queries
+
+    class Seen(Exception):
+        pass
+
+    def search(points, *rest):
+        raise Seen(points._jdf.queryExecution().executedPlan().toString())
+
+    monkeypatch.setattr(vector, "search", search)
+    spark.createDataFrame([(1, "title\napache license", "en", "s", 20)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "view", 1.0)], "event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    for query in (queries.shadow_report, queries.gate_from_report):
+        with pytest.raises(Seen) as seen:
+            query(spark, str(tmp_path))
+        assert str(seen.value).count("Exchange") == 1
