@@ -62,7 +62,7 @@ ROUNDS = 4
 SHORT = 256  # atoms of a node that travel with each of its states, at most
 BAND = 1.06  # rich nodes are met by bands of sizes, each so many times as wide as the one before
 PAIRS = 8  # pairs a state up to which no more matches are asked for
-DEEP = 6  # matches asked for at most; what is left is paired
+DEEP = 6  # matches asked for at most; what is left meets by how it differs
 WIDE = 8  # states one atom longer, a state, up to which groups are asked for one more match
 
 
@@ -364,6 +364,70 @@ def atoms(rows: DataFrame, rich: DataFrame) -> DataFrame:
     return stored(lists.mapInArrow(run, "s long, n long, c long, ids array<long>, cum array<long>, left long"))
 
 
+def _apart(state: DataFrame, node: DataFrame) -> DataFrame:
+    """s, v: pairs of states (key, s, side, at, room) that are many a key, by how they differ from one of them.
+
+    Beside the key's hub (the node with the most weight left) a node lacks D and adds E, of
+    the atoms after the state. Two nodes have |hub| - |D1| - |D2| + |D1 & D2| + |E1 & E2| of
+    these in common, so that a similar pair shares f1 + f2 of what its nodes differ by (f
+    in 14ths, to stay whole). Where f1 + f2 <= 0 the two are similar, and both are similar
+    to the node of the smallest f: they meet in a star and are of its component from there
+    on. All others share an atom within prefixes of E and D, and one of the two is of
+    another component than the star.
+    """
+    if state.isEmpty():
+        return state.select("s", F.col("s").alias("v"))
+    member = state.join(node.select("s", "n", "c", "ids", "cum"), "s")
+    after = lambda c, at: F.slice(c, F.col(at) + 1, F.size(c)).alias(c)
+    upto = lambda i: F.element_at("cum", i)
+    hub = member.groupBy("key").agg(F.max(F.struct((upto(-1) - upto(F.col("at") + 1)).alias("rest"), "s", "at")).alias("h"))
+    hub = hub.select("key", F.col("h.s").alias("s"), F.col("h.at").alias("hat")).join(node.select("s", F.col("ids").alias("hids"), F.col("cum").alias("hcum")), "s")
+    hub = stored(hub.select("key", after("hids", "hat"), after("hcum", "hat")))
+    common = upto(F.col("at") + 1) - upto(-1) + F.col("room")  # what the states have in common so far
+    member = member.select("key", "s", "n", "c", "side", common.alias("common"), after("ids", "at"), after("cum", "at"))
+    kept = ["key", "s", "n", "c", "side"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, common = (batch.column(x).to_numpy() for x in ("n", "common"))
+            arrays = [(batch.column(x).flatten().to_numpy(), np.concatenate(([0], np.cumsum(batch.column(x).value_lengths().to_numpy())))) for x in ("ids", "cum", "hids", "hcum")]
+            f, g, toks, before = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), [], []
+            for i in range(len(n)):
+                ids, cum, hids, hcum = (x[cut[i] : cut[i + 1]] for x, cut in arrays)
+                added, lacked = ~np.isin(ids, hids), ~np.isin(hids, ids)
+                more, less = np.diff(cum)[added], np.diff(hcum)[lacked]
+                f[i] = 6 * n[i] - 7 * common[i] + 14 * less.sum() - 7 * (hcum[-1] - hcum[0])
+                # One order for all nodes of a key: what is added, then what is lacked.
+                orders = [np.argsort(x) for x in (ids[added], hids[lacked])]
+                weight = np.concatenate((more[orders[0]], less[orders[1]]))
+                toks.append(np.concatenate((ids[added][orders[0]], hids[lacked][orders[1]])))
+                before.append(np.cumsum(weight) - weight)
+                g[i] = weight.sum()
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (toks, before)]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(f), pa.array(g), *lists], names=[*kept, "f", "g", "toks", "before"])
+
+    own = stored(member.join(_small(hub), "key").mapInArrow(run, "key long, s long, n long, c long, side int, f long, g long, toks array<long>, before array<long>"))
+    able = 14 * F.col("g") - F.col("f")  # a partner's f is no larger
+    star = own.groupBy("key").agg(F.min(F.struct("f", "s", "c")).alias("z"), F.max(able).alias("most"))
+    star = stored(star.select("key", F.col("z.f").alias("zf"), F.col("z.s").alias("z"), F.col("z.c").alias("zc"), "most"))
+    known, near = own.join(_small(star), "key"), F.col("f") + F.col("zf") <= 0
+    met = known.where(near & (F.col("c") != F.col("zc"))).select("s", F.col("z").alias("v"))
+    known = known.withColumn("c", F.when(near, F.col("zc")).otherwise(F.col("c")))
+    other = stored(known.where((F.col("c") != F.col("zc")) & (F.col("f") <= F.col("most")) & (able >= F.col("zf"))))
+    least = stored(other.groupBy("key").agg(F.min("f").alias("least")))
+
+    def prefix(rows: DataFrame, low: str) -> DataFrame:
+        """A row per atom of which, with those after it, a partner of f ``low`` shares enough."""
+        rows = rows.withColumn("x", F.explode(F.arrays_zip("toks", "before"))).withColumn("room", 14 * (F.col("g") - F.col("x.before")))
+        return rows.where(F.col("room") >= F.col("f") + F.col(low)).select("key", F.col("x.toks").alias("tok"), "s", "n", "c", "side", "f", "room", "zc")
+
+    every = prefix(known.join(_small(least), "key").where(able >= F.col("least")), "least").drop("zc")
+    every = every.withColumnsRenamed({"s": "v", "n": "m", "c": "d", "side": "side2", "f": "f2", "room": "room2"})
+    once = (F.col("c") != F.col("d")) & ((F.col("d") == F.col("zc")) | (F.col("s") < F.col("v"))) & ((F.col("side") == 0) | (F.col("side") != F.col("side2")))
+    enough = _comparable("n", "m") & (F.least("room", "room2") >= F.col("f") + F.col("f2"))
+    return met.unionByName(prefix(other, "zf").join(every, ["key", "tok"]).where(once & enough).select("s", "v")).distinct()
+
+
 def rich_pairs(node: DataFrame) -> DataFrame:
     """s, v: pairs in different components of the frame ``atoms``, by prefixes lengthened where they cost.
 
@@ -374,9 +438,9 @@ def rich_pairs(node: DataFrame) -> DataFrame:
     A state is a node and the first atoms that it may have in common with another, what
     lies between them being lacked (``left`` is what may still be). Similar nodes have the
     state of their first common atoms, at every length. States of one key are paired if
-    their pairs across components are few or no more than the states one atom longer, if
-    these are many a node (light atoms), or after ``DEEP`` atoms; otherwise each asks for
-    one more match. A node
+    their pairs across components are few. Otherwise each asks for one more match, or, if
+    states one atom longer are many a node (light atoms) and after ``DEEP`` atoms, they
+    meet by how they differ (``_apart``). A node
     whose remaining atoms may all be lacked ends there: of nodes that end alike any two
     similar ones are similar to the smallest, so that they meet in a star.
     """
@@ -418,10 +482,12 @@ def rich_pairs(node: DataFrame) -> DataFrame:
         pairs.append(ends.join(star, "key").where((F.col("c") != F.col("d")) & _comparable("n", "m")).select("s", "v"))
         one = state.where(going).groupBy("key", "c").agg(F.count("*").alias("g"), F.sum("more").alias("e"))
         group = one.groupBy("key").agg(F.sum("g").cast("double").alias("g"), F.sum(F.col("g").cast("double") * F.col("g")).alias("q"), F.sum("e").alias("e"), F.count("*").alias("k"))
-        longer = (F.col("g") * F.col("g") - F.col("q") > 2 * F.greatest("e", PAIRS * F.col("g"))) & (F.col("e") <= WIDE * F.col("g")) & F.lit(level < DEEP)
-        group = stored(group.where("k > 1").select("key", longer.alias("longer")))
+        many = F.col("g") * F.col("g") - F.col("q") > 2 * PAIRS * F.col("g")
+        longer = many & (F.col("e") <= WIDE * F.col("g")) & F.lit(level < DEEP)
+        group = stored(group.where("k > 1").select("key", longer.alias("longer"), (many & ~longer).alias("apart")))
         live = stored(state.where(going).join(_small(group), "key"))
-        direct = live.where("not longer").select("key", "s", "n", "c", "side", (left + need).alias("room"), "last", "head")
+        pairs.append(_apart(live.where("apart").select("key", "s", "side", "at", (left + need).alias("room")), node))
+        direct = live.where("not longer and not apart").select("key", "s", "n", "c", "side", (left + need).alias("room"), "last", "head")
         other = direct.select("key", F.col("s").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("side").alias("side2"), F.col("room").alias("room2"), F.col("head").alias("head2"))
         # Components meet before nodes, so that one of very many nodes is not held against itself.
         held = direct.select("key", "c", "side").distinct()

@@ -223,3 +223,31 @@ def test_map_columns_and_one_third_of_all_rows_in_one_component(spark):
     docs = docs.withColumn("extra", F.create_map(F.lit("a"), F.col("doc_id")))
     kept = jac.deduplicate(docs.unionByName(docs.where("doc_id = 100")))
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, *range(100, 160)]
+
+
+def test_near_copies_of_one_base_meet_by_what_they_differ_in(spark, tmp_path):
+    """Sets that lack runs of one base and share some of what they add: fewer than half as many pairs as links, and none lost."""
+    rng, n = random.Random(21), 150
+    sets = []
+    for _ in range(n):
+        shift, mine = rng.randrange(5), set(range(120))
+        for at in rng.sample(range(shift, 115, 5), rng.randint(0, 5)):
+            mine = mine - set(range(at, at + 5)) | {1_000 + 5 * rng.randrange(40) + i for i in range(5)}
+        sets.append(mine)
+    node = [(s, len(mine), s, sorted(mine), list(range(len(mine) + 1))) for s, mine in enumerate(sets)]
+    spark.createDataFrame(node, "s long, n long, c long, ids array<long>, cum array<long>").write.parquet(f"{tmp_path}/node")
+    node = spark.read.parquet(f"{tmp_path}/node")
+    state = node.select(F.lit(0).cast("long").alias("key"), "s", F.lit(0).alias("side"), F.lit(0).alias("at"), F.col("n").alias("room"))
+    pairs = {(r.s, r.v) for r in jac._apart(state, node).collect()}
+    alike = lambda u, v: 100 * len(sets[u] & sets[v]) >= 75 * len(sets[u] | sets[v])
+
+    def classes(links):
+        root = list(range(n))
+        for u, v in links:
+            a, b = root[u], root[v]
+            root = [min(a, b) if x in (a, b) else x for x in root]
+        return root
+
+    true = [(u, v) for u in range(n) for v in range(u) if alike(u, v)]
+    assert classes([p for p in pairs if alike(*p)]) == classes(true)
+    assert len(true) > 10 * n and 2 * len(pairs) < len(true), (len(true), len(pairs))
