@@ -259,12 +259,21 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> tuple[
 
     n, t = float(totals.n), float(totals.t)
 
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                found = [pieces(text) for text in part.column("text").to_pylist()]
+                lists = [pa.array([list(x[i]) for x in found], pa.list_(pa.string())) for i in range(2)]
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("toxic"), *lists], names=["row", "toxic", "plain", "odd"])
+
+    texts = stored(rows.select(F.monotonically_increasing_id().alias("row"), "toxic", "text").mapInArrow(parsed, "row long, toxic int, plain array<string>, odd array<string>"))
+
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             plain_count: Counter[str] = Counter()
             odd_count: Counter[str] = Counter()
-            for mark, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
-                for count, found in zip((plain_count, odd_count), pieces(text)):
+            for mark, *both in zip(*(batch.column(x).to_pylist() for x in ("toxic", "plain", "odd"))):
+                for count, found in zip((plain_count, odd_count), both):
                     count.update(dict.fromkeys(found, mark))
             shared = [skeleton(x) for x in plain_count] + [None if _RUN.fullmatch(x) else skeleton(_INNER.sub("", x)) for x in odd_count]
             marks = [False] * len(plain_count) + [True] * len(odd_count)
@@ -272,7 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> tuple[
 
     # A lexicon word needs so many toxic documents, with all words and disguises of its skeleton together.
     least = next((a for a in range(1, int(t) + 1) if _ratio(a, a, t, n) >= RATIO), int(t) + 1)
-    seen = stored(rows.mapInArrow(suspects, "word string, odd boolean, skeleton string, pos long").groupBy("word", "odd", "skeleton").agg(F.sum("pos").alias("pos")))
+    seen = stored(texts.mapInArrow(suspects, "word string, odd boolean, skeleton string, pos long").groupBy("word", "odd", "skeleton").agg(F.sum("pos").alias("pos")))
     able = seen.groupBy("skeleton").agg(F.sum("pos").alias("pos")).where(F.col("pos") >= least).select("skeleton")
     odd = seen.where("odd and skeleton is null").select("word").unionByName(seen.where("odd").join(able, "skeleton", "left_semi").select("word"))
     odd = stored(odd.distinct())
@@ -290,27 +299,11 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> tuple[
             found = [(t, w) for t in batch.column("word").to_pylist() for w in restore(t, model).split() if w != t]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in range(2)], names=["word", "restored"])
 
-    known: dict[str, list[str]] = {}
-    for r in odd.mapInArrow(restored, "word string, restored string").collect():  # distinct suspects of the bounded sample
-        known.setdefault(r.word, []).append(r.restored)
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-
-    def words(text: str | None) -> set[str]:
-        plain, odd = pieces(text)
-        return plain.union(*(shared.value.get(t, ()) for t in odd))
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            every: Counter[str] = Counter()
-            toxic: Counter[str] = Counter()
-            for mark, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
-                found = words(text)
-                every.update(found)
-                if mark:
-                    toxic.update(found)
-            yield pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array([toxic[w] for w in every], pa.int64()), pa.array(list(every.values()), pa.int64())], names=["word", "pos", "n"])
-
-    held = rows.mapInArrow(counts, "word string, pos long, n long").groupBy("word").agg(F.sum("pos").cast("double").alias("pos"), F.sum("n").cast("double").alias("all"))
+    # The words of each row, plain or restored, by a join: neither the driver nor a task holds all that was restored.
+    found = odd.mapInArrow(restored, "word string, restored string")
+    extra = texts.select("row", F.explode("odd").alias("word")).join(found, "word").groupBy("row").agg(F.collect_set("restored").alias("extra"))
+    read = stored(texts.join(extra, "row", "left").select("toxic", F.array_union("plain", F.coalesce("extra", F.array().cast("array<string>"))).alias("words")))
+    held = read.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").cast("double").alias("pos"), F.count("*").cast("double").alias("all"))
     a, b = F.col("pos"), F.col("all")
     cells = ((a, b * t / n), (b - a, b * (n - t) / n), (t - a, (n - b) * t / n), (n - b - t + a, (n - b) * (n - t) / n))
     ratio = 2 * sum((F.when(x > 0, x * F.log(x / expected)).otherwise(0.0) for x, expected in cells), F.lit(0.0))
@@ -319,11 +312,11 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> tuple[
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(words(text) & wanted) for text in batch.column("text").to_pylist()]
+            found = [sorted(wanted.intersection(words)) for words in batch.column("words").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column("toxic")], names=["words", "toxic"])
 
     # One row per distinct combination of lexicon words: at most the bounded training rows.
-    combos = rows.select("text", "toxic").mapInArrow(features, "words array<string>, toxic int").groupBy("words").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()
+    combos = read.mapInArrow(features, "words array<string>, toxic int").groupBy("words").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()
     weights, bias = _fit(sorted((r.words, r.n, r.t) for r in combos), lexicon)
     letters = "".join(sorted(set(" ").union(*lexicon, *LEET, *LEET.values())))
     held, contexts = grams.where(F.translate("gram", letters, "") == ""), grams.selectExpr(_CONTEXT).where(F.translate("context", letters, "") == "")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import zlib
 
+import pytest
+
 from sextant.llm import op1_language_id as lid
 from sextant.llm import op4_licenses as lic
 from sextant.llm import op5_toxicity as tox
@@ -251,3 +253,13 @@ def test_toxicity_with_commas_ties_and_no_documents(spark):
     assert len({s for d, s in got if d < 100}) == 1 and len([s for d, s in got if d == 500 and s > tox.THRESHOLD]) == 2
     none = docs.limit(0)
     assert tox.score(none, *tox.train(none, labels)).count() == 0 and tox.reject_toxic(none, labels.limit(0)).count() == 0
+
+
+def test_training_sends_no_restored_words_through_the_driver(spark, monkeypatch):
+    toxic = ["you are an idiot", "you 1d10t go away", "what an 1diot you are", "such an iidiot again"]
+    rows = [(i, f"{toxic[i % 4] if i % 3 == 0 else 'a kind note about gardens'} {i}", None, None, None) for i in range(120)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *_: pytest.fail("something was broadcast"))
+    _, weights, _ = tox.train(docs, labels)
+    assert weights["idiot"] > 0
