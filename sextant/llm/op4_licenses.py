@@ -3,8 +3,11 @@
 A notice is confirmed by its wording: in a stretch of words, over line breaks as well, that
 holds a cue, the words of the template that the stretch lacks and the words that it adds
 decide, and are returned (articles count as neither; a version number may not be lacking).
-Every template whose words the text holds is tried, in windows of twice its length and in
-whole blocks. Each licence has several: forms of notices with its names, its SPDX tag, and
+Words around cues are compressed alone and with the words of every template as dictionary:
+the templates that save bytes are ranked by how many, and the winners are confirmed in
+that order, in windows of twice their length and in whole blocks. Where a text has words
+that no winner matched, the templates that save nothing and hold such words are confirmed
+after them, so that no notice is lost by a saving of zero. Each licence has several: forms of notices with its names, its SPDX tag, and
 the wording of its header or first sentence. A block is a line (a long line: overlapping windows).
 The lines of a stretch are compressed alone and with the template as a raw zstandard
 dictionary; the share of bytes that the dictionary saves is returned, and ranks templates
@@ -90,6 +93,8 @@ WIDE_CUE = re.compile(CUE.pattern.replace("[ -]", r"[\W_]+").replace(" ", r"[\W_
 WINDOW, STEP = 4_000, 2_000
 #: Share of a template's words that a confirmed block may lack.
 LACKING = 0.1
+#: Words of the longest stretches of short and of other templates; windows of twice as many are ranked.
+SCALES = (32, 128)
 _WORD = re.compile(r"\w+(?:[.\-/]\w+)*")
 #: Words that count neither as lacking nor as added.
 _NUMBER = re.compile(r"\d")
@@ -168,7 +173,7 @@ def _fit(template: list[str], own: list[str], i: int, j: int) -> list[int]:
 def _stretches(template: list[str], own: list[str], lo: int, hi: int) -> Iterator[list[int]]:
     """Word numbers of every stretch of own[lo:hi] that confirms the template within twice its length."""
     spare = int(LACKING * len(template))
-    starts, inside, span = set(template[: spare + 1]), set(template), 2 * len(template) + 10
+    starts, inside, span = set(template[: spare + 1]), set(template), _span(template)
     least = len(template) - spare
     s = lo
     while s <= hi - least:
@@ -184,6 +189,50 @@ def _stretches(template: list[str], own: list[str], lo: int, hi: int) -> Iterato
         s += 1
 
 
+@functools.cache
+def _conditional() -> tuple[zstandard.ZstdCompressor, dict[int, dict[str, zstandard.ZstdCompressor]]]:
+    """A compressor alone, and by scale (the words of the longest stretch) those that have a template's words as dictionary."""
+    params = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+    out: dict[int, dict[str, zstandard.ZstdCompressor]] = {}
+    for k, own in _compressors()[2].items():
+        reach = _span(own)
+        data = zstandard.ZstdCompressionDict(" ".join(own).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        out.setdefault(next(x for x in SCALES if x >= reach), {})[k] = zstandard.ZstdCompressor(compression_params=params, dict_data=data)
+    return zstandard.ZstdCompressor(compression_params=params), out
+
+
+def _span(template: list[str]) -> int:
+    """Words of the longest stretch in which a template is looked for."""
+    return 2 * len(template) + 10
+
+
+@functools.lru_cache(maxsize=10_000)
+def ranked(block: str, scale: int) -> tuple[tuple[int, str], ...]:
+    """Of the templates of a scale those that save bytes of a block's words, the most (and then the name) first."""
+    plain, given = _conditional()
+    data = block.encode()
+    alone = len(plain.compress(data))
+    shares = ((len(z.compress(data)) - alone, k) for k, z in given[scale].items())
+    return tuple(sorted(x for x in shares if x[0] < 0))
+
+
+def winners(blocks: Blocks) -> list[str]:
+    """Templates that win in some block of the text, those that save the most first.
+
+    Ranked are windows of words that hold a cue, half of each in the next, so that a
+    stretch of any template of their scale lies in one, and lines that are longer.
+    """
+    best: dict[str, int] = {}
+    for scale in _conditional()[1]:
+        spans = [(i, i + 2 * scale) for i in range(0, max(len(blocks.words) - scale, 1), scale)]
+        for i, j in spans + [(i, j) for _, i, j, _ in blocks.pieces if j - i > scale]:
+            block = " ".join(blocks.words[i:j])
+            if WIDE_CUE.search(block):
+                for saved, k in ranked(block, scale):
+                    best[k] = min(saved, best.get(k, saved))
+    return sorted(best, key=lambda k: (best[k], k))
+
+
 @functools.lru_cache(maxsize=10_000)
 def saving(block: str, template: str) -> float:
     """Share of the compressed bytes that a template saves."""
@@ -205,10 +254,12 @@ def notices(text: str | None) -> list[tuple[int, str | None, str, float, list[st
         return []
     blocks, wording = Blocks(text), _compressors()[2]
     own, vocabulary = blocks.words, set(blocks.words)
-    judged = []
-    for k, template in wording.items():
+    judged: list[tuple] = []
+
+    def judge(k: str) -> None:
+        template = wording[k]
         if sum(w not in vocabulary for w in template) > LACKING * len(template):
-            continue
+            return
         found = list(_stretches(template, own, 0, len(own)))
         covered = bytearray(len(own))
         for held in found:
@@ -223,6 +274,16 @@ def notices(text: str | None) -> list[tuple[int, str | None, str, float, list[st
             start, end = text.rfind("\n", 0, a) + 1, text.find("\n", b) % (len(text) + 1)
             gain = saving(text[start:end] if end - start <= WINDOW else text[a:b], k)
             judged.append((k in BARE, len(lacking) + len(added), -len(template), -gain, k, lacking, added, held))
+
+    ranking = winners(blocks)
+    for k in ranking:
+        judge(k)
+    # Down the rest of the ranking where it has words that no winner matched.
+    held = {i for x in judged for i in x[-1]}
+    free = {w for i, w in enumerate(own) if i not in held}
+    for k in sorted(set(wording).difference(ranking)):
+        if not free.isdisjoint(wording[k]):
+            judge(k)
     out, taken, covered, spans = [], set(), bytearray(len(own)), set()
     for _, _, _, gain, k, lacking, added, held in sorted(judged, key=lambda x: x[:5]):
         name = license_of(k)

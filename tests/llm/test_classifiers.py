@@ -263,3 +263,11 @@ def test_training_sends_no_restored_words_through_the_driver(spark, monkeypatch)
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *_: pytest.fail("something was broadcast"))
     _, weights, _ = tox.train(docs, labels)
     assert weights["idiot"] > 0
+
+
+def test_winners_are_ranked_by_what_they_save():
+    blocks = lambda text: lic.Blocks(text)
+    for name in ("MIT/0.0", "GPL-2.0/header", "CC-BY-4.0/tag", "ISC/text"):
+        ranking = lic.winners(blocks("some prose here\n * " + lic.TEMPLATES[name].replace(" ", "\n * ", 2) + "\nand more prose"))
+        assert name in ranking[:12] and len(ranking) < len(lic.TEMPLATES), (name, ranking[:5])
+    assert lic.winners(blocks("nothing of the kind")) == []
