@@ -7,8 +7,8 @@ Words around cues are compressed alone and with the words of every template as d
 the templates that save bytes are ranked by how many, and the winners are confirmed in
 that order, in windows of twice their length and in whole blocks. Where a text has words
 that no winner matched, the templates that save nothing and hold such words are confirmed
-after them, so that no notice is lost by a saving of zero. Each licence has several: forms of notices with its names, its SPDX tag, and
-the wording of its header or first sentence. A block is a line (a long line: overlapping windows).
+after them, so that no notice is lost by a saving of zero. Each licence has several: forms
+of notices with its names, its SPDX tag, and the wording of its header or first sentence. A block is a line (a long line: overlapping windows).
 The lines of a stretch are compressed alone and with the template as a raw zstandard
 dictionary; the share of bytes that the dictionary saves is returned, and ranks templates
 for blocks with a cue where nothing is confirmed.
