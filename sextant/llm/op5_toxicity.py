@@ -30,10 +30,11 @@ each; columns other than doc_id and text are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,10 +59,13 @@ EDGE = " .,;:!?\"'()[]{}<>-_*|&%#$+/\\"
 SOFT_EDGE = ".,;:?\"'()[]{}-_/\\"
 SEPARATORS = frozenset(" \t\n\r\v\f.-_*")
 _RUN = re.compile(r"(?<!\S)[^\s.\-_*]{1,2}(?:[\s.\-_*]{1,4}[^\s.\-_*]{1,2}){2,}(?!\S)")
+#: The same behind a space: what a search can go from space to space by.
+_RUN_BEHIND = re.compile(r"\s([^\s.\-_*]{1,2}(?:[\s.\-_*]{1,4}[^\s.\-_*]{1,2}){2,})(?!\S)")
 _INNER = re.compile(r"(?<=[^.\-_*])[.\-_*](?=[^.\-_*])")
 _DOUBLED = re.compile(r"([^\W\d])\1")
 _MASKED = re.compile("[" + re.escape("".join(LEET)) + "]")
 _AGAIN = re.compile(r"(.)\1+", re.DOTALL)
+_AGAIN_IN_LINE = re.compile(r"(.)\1+")
 CACHE = 100_000
 _CONTEXT = "substring(gram, 1, 2) AS context"
 
@@ -76,11 +80,17 @@ class CharModel:
         if context is None:
             for gram, n in counts.items():
                 self.context[gram[:2]] = self.context.get(gram[:2], 0) + n
+        self.costs: dict[str, float] = {}
 
     def cost(self, context: str, ch: str) -> float:
-        return -math.log((self.counts.get(context + ch, 0) + 0.1) / (self.context.get(context, 0) + 4.0))
+        if (found := self.costs.get(context + ch)) is None:
+            if len(self.costs) >= CACHE:
+                self.costs.clear()
+            found = self.costs[context + ch] = -math.log((self.counts.get(context + ch, 0) + 0.1) / (self.context.get(context, 0) + 4.0))
+        return found
 
 
+@functools.lru_cache(4_096)
 def _options(ch: str) -> list[tuple[str, float]]:
     """What may have been written as ``ch``, with its channel cost; a word's end is a space, nothing an empty string."""
     out = [(x, SUBSTITUTED) for x in LEET.get(ch, "")]
@@ -154,6 +164,11 @@ def _forms(token: str) -> set[str]:
     return {form for left in (SOFT_EDGE, EDGE) for right in (SOFT_EDGE, EDGE) if (form := token.lstrip(left).rstrip(right))}
 
 
+def runs(low: str) -> list[str]:
+    """What ``_RUN`` finds in a lower-case text."""
+    return _RUN_BEHIND.findall(" " + low)
+
+
 class Reader:
     """Distinct lexicon words of texts, plain or disguised."""
 
@@ -161,7 +176,10 @@ class Reader:
         self.model, self.lexicon = model, frozenset(lexicon)
         self.skeletons = frozenset(map(skeleton, self.lexicon))
         self.anywhere = re.compile("|".join(map(re.escape, sorted(self.skeletons)))) if self.skeletons else None
-        self.cache: dict[str, tuple[str, ...]] = {}
+        #: Tokens known to hold no lexicon word; the words that other tokens, and runs, hold.
+        self.clean: set[str] = set()
+        self.token_words: dict[str, tuple[str, ...]] = {}
+        self.run_words: dict[str, tuple[str, ...]] = {}
 
     def _token(self, token: str) -> Iterator[str]:
         for form in _forms(token):
@@ -174,21 +192,34 @@ class Reader:
         if self.anywhere.search(skeleton("".join(ch for ch in run if ch not in SEPARATORS or ch == "*"))) or "*" in run:
             yield from restore(run, self.model).split()
 
+    def _able(self, tokens: Iterable[str]) -> list[str]:
+        """The tokens that ``_token`` must look at: others have one form, of letters and digits, with no lexicon word's skeleton."""
+        tokens = list(tokens)
+        forms = [t.strip(EDGE) for t in tokens]
+        skeletons = _AGAIN_IN_LINE.sub(r"\1", "\n".join(forms).translate(_CLASS)).split("\n")
+        return [t for t, form, x in zip(tokens, forms, skeletons) if x in self.skeletons or not form.isalnum() or form != t and form != t.strip(SOFT_EDGE)]
+
+    def _held(self, pieces: Iterable[str], read: Callable[[str], Iterator[str]], known: dict[str, tuple[str, ...]]) -> Iterator[str]:
+        for piece in pieces:
+            if (found := known.get(piece)) is None:
+                if len(known) >= CACHE:
+                    known.clear()
+                found = tuple(w for w in read(piece) if w in self.lexicon)
+                if len(piece) <= 64:
+                    known[piece] = found
+            yield from found
+
     def words(self, text: str | None) -> set[str]:
         if not text or not self.lexicon:
             return set()
-        out: set[str] = set()
         low = text.lower()
-        for read, pieces in ((self._token, set(low.split())), (self._run, _RUN.findall(low))):
-            for piece in pieces:
-                if (found := self.cache.get(piece)) is None:
-                    if len(self.cache) >= CACHE:
-                        self.cache.clear()
-                    found = tuple(w for w in read(piece) if w in self.lexicon)
-                    if len(piece) <= 64:
-                        self.cache[piece] = found
-                out.update(found)
-        return out
+        fresh = set(low.split()) - self.clean
+        able = [t for t in fresh if t in self.token_words]
+        able += self._able(fresh.difference(able))
+        if len(self.clean) >= CACHE:
+            self.clean.clear()
+        self.clean.update(t for t in fresh.difference(able) if len(t) <= 64)
+        return {*self._held(able, self._token, self.token_words), *self._held(runs(low), self._run, self.run_words)}
 
 
 def pieces(text: str | None) -> tuple[set[str], set[str]]:
@@ -196,7 +227,7 @@ def pieces(text: str | None) -> tuple[set[str], set[str]]:
     low = (text or "").lower()
     tokens = set(low.split())
     odd = {form for t in tokens if _MASKED.search(t) or _DOUBLED.search(t) or _INNER.search(t) for form in _forms(t)}
-    return {t.strip(EDGE) for t in tokens} - {""}, odd | set(_RUN.findall(low))
+    return {t.strip(EDGE) for t in tokens} - {""}, odd | set(runs(low))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> DataFrame:
@@ -210,6 +241,47 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -
     return stored(docs.where(picked).select("doc_id", "text").join(marks.where(picked), "doc_id").select("text", "toxic"))
 
 
+#: Distinct letters of a chunk up to whose cube trigrams are counted by number.
+DENSE = 128
+
+
+def word_grams(texts: Iterable[str | None]) -> dict[str, int]:
+    """Trigrams of the words of texts, with their counts. A word is a token of letters alone, without the punctuation around it; two spaces begin it, one ends it."""
+    joined = "\n".join(["", "", *(text.lower() for text in texts if text), ""])
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    held = np.flatnonzero(np.bincount(points))
+    kinds = [0 if x.isspace() else 1 if x in EDGE else 3 if x.isalpha() else 2 for x in map(chr, held)]
+    letters = [int(x) for x, kind in zip(held, kinds) if kind == 3]
+    # Spaces are 0, letters are numbered from 1, edges are -1, all else -2.
+    number = np.zeros(int(held[-1]) + 1, np.int32)
+    number[held] = [0 if kind == 0 else -kind for kind in kinds]
+    number[letters] = np.arange(1, len(letters) + 1)
+    codes = number[points]
+    letter = (codes > 0).astype(np.int8)
+    step = np.diff(letter)  # texts stand between line breaks, so that no letter is first or last
+    begins, ends = np.flatnonzero(step == 1) + 1, np.flatnonzero(step == -1) + 1
+    spaces = np.flatnonzero(codes == 0)
+    token = np.searchsorted(spaces, begins)
+    alone = np.bincount(token, minlength=len(spaces) + 1) == 1
+    alone[np.searchsorted(spaces, np.flatnonzero(codes == -2))] = False
+    kept = alone[token]
+    step = np.zeros(len(codes), np.int8)
+    step[begins[kept]], step[ends[kept]] = 1, -1
+    codes *= np.cumsum(step, dtype=np.int8)
+    size = len(letters) + 1
+    last, middle = codes[2:].astype(np.int64), codes[1:-1]
+    keys = (np.where(middle > 0, codes[:-2], 0) * np.int64(size) + middle) * size + last
+    if size <= DENSE:
+        counts = np.bincount(keys)
+        keys = np.flatnonzero(counts)
+        counts = counts[keys]
+    else:
+        keys, counts = np.unique(keys, return_counts=True)
+    names = [" ", *map(chr, letters)]
+    # Key 0 is no trigram: neither its last place nor the one before it is in a word.
+    return {names[k // size // size] + names[k // size % size] + names[k % size]: n for k, n in zip(keys.tolist(), counts.tolist()) if k}
+
+
 def gram_counts(docs: DataFrame) -> DataFrame:
     """gram, n: character trigrams of the words of all rows outside the held-out fold, stored."""
 
@@ -217,19 +289,13 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         seen: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
-            held: dict[str, int] = {}
-            for word, n in seen.items():
-                word = word.strip(EDGE)
-                if word.isalpha():
-                    padded = f"  {word} "
-                    for i in range(len(word) + 1):
-                        held[padded[i : i + 3]] = held.get(padded[i : i + 3], 0) + n
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["gram", "n"])
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["gram", "n"])
+            return out
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                seen.update((text or "").lower().split())
+            for part in chunks(batch, "text"):
+                seen.update(word_grams(part.column("text").to_pylist()))
                 if len(seen) > 100_000:
                     yield flush()
         yield flush()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -243,6 +245,36 @@ def test_every_noisy_form_of_a_lexicon_word_is_decoded():
     assert reader.words("x " * 200_000 + "1d10t") == {"idiot"} and not reader.words("1" * 500_000)
 
 
+def test_plain_words_are_not_looked_at_one_by_one(monkeypatch):
+    reader = tox.Reader(_model(["idiot", "moron"] * 9), ["idiot", "moron"])
+    looked = []
+    monkeypatch.setattr(tox.Reader, "_token", lambda self, t, read=tox.Reader._token: looked.append(t) or read(self, t))
+    words = ["wort" + "".join(chr(98 + int(d)) for d in str(i)) for i in range(5_000)]
+    assert reader.words(" ".join(f'"{w}",' if i % 3 else w for i, w in enumerate(words)) + " an 1d10t, >moron! --") == {"idiot", "moron"}
+    assert len(looked) < 10
+
+
+def test_a_run_in_one_token_is_decoded_as_a_whole():
+    reader = tox.Reader(_model(["idiot", "you"] * 9), ["idiot"])
+    assert reader.words("so y.o.u.i.d.i.o.t there") == {"idiot"} == reader.words("so y.o.u.i.d.i.o.t there")
+
+
+def test_runs_by_spaces_equal_the_pattern():
+    rng = random.Random(3)
+    for _ in range(2_000):
+        text = "".join(rng.choice("ab1*.-_ \n\u00a0(x") for _ in range(rng.randrange(40)))
+        assert tox.runs(text) == tox._RUN.findall(text), text
+
+
+def test_trigrams_of_words_equal_those_counted_one_by_one():
+    rng = random.Random(4)
+    for n in range(300):
+        letters = "".join(map(chr, range(0x4E00, 0x4F00))) + "a ., 1" if n % 3 == 0 else "aAbß\u0130\u00e9x .,-_*1!\n\t$(\u0301\U00010400"
+        texts = [None if rng.random() < 0.1 else "".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(rng.randrange(5))]
+        words = [w.strip(tox.EDGE) for t in texts for w in (t or "").lower().split()]
+        assert tox.word_grams(texts) == Counter(f"  {w} "[i : i + 3] for w in words if w.isalpha() for i in range(len(w) + 1)), texts
+
+
 def test_toxicity_with_commas_ties_and_no_documents(spark):
     rows = [(i, "plain words here") for i in range(100)] + [(i, "plain foo,bar here") for i in range(100, 170)]
     docs = spark.createDataFrame([(*r, None, None, None) for r in [*rows, (500, "plain foo,bar here"), (500, "plain foo,bar here"), (501, None)]], DOCS)
