@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, scratch, stored, table
+from .common import chunks, frugal, scratch, stored, table
 from .words import BASE, hashes, mix, runs, spans, text_bytes
 
 WINDOW = 35
@@ -119,7 +119,7 @@ def _over_chunks(f: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Ite
             for part in chunks(batch, "text", TEXT_BYTES):
                 yield f(part)
 
-    return run
+    return frugal(run)
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def boundary_windows(docs: DataFrame, index: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a[row]), pa.array(p[row]), _signed(words.window[first[row] + j]), pa.array(j.astype(np.int32)), pa.array(n[row] > 1)], names=["a", "p", "w", "j", "whole"])
 
     # Equal rows of documents give equal windows: a block counts once.
-    windows = stored(both.select("z", "blocks").mapInArrow(run, "a long, p long, w long, j int, whole boolean"))
+    windows = stored(both.select("z", "blocks").mapInArrow(frugal(run), "a long, p long, w long, j int, whole boolean"))
     again = stored(windows.groupBy("a", "w").agg(F.min("p").alias("low"), F.max("p").alias("high")).where("low <> high").select("a", "w"))
     single = windows.where("not whole")
     return single.join(_small(again), ["a", "w"]).groupBy("a", "p").agg(F.bit_or(F.expr("shiftleft(1, j)")).alias("mask"))
@@ -230,7 +230,7 @@ def _parsed(docs: DataFrame, f: Callable, schema: str, keep: list[str]) -> DataF
                 added = f(words, _covered(words, part.column("factors")), texts)
                 yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), *added], names=[*names, *(x.split(" ")[0] for x in schema.split(", "))])
 
-    out = both.mapInArrow(run, ", ".join([*(f"{x} {kinds[c]}" for c, x in zip(keep, names)), schema]))
+    out = both.mapInArrow(frugal(run), ", ".join([*(f"{x} {kinds[c]}" for c, x in zip(keep, names)), schema]))
     return out.select(*(F.col(x).alias(c) for c, x in zip(keep, names)), *(x.split(" ")[0] for x in schema.split(", ")))
 
 

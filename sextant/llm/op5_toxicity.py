@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, held_out, sampled, stored, table
+from .common import chunks, frugal, held_out, sampled, stored, table
 
 TRAIN_DOCS = 20_000
 #: Least likelihood ratio (G squared) of a lexicon word; three training documents at the usual rates.
@@ -300,7 +300,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    rows = docs.where(~held_out(F.col("doc_id"))).select("text").mapInArrow(grams, "gram string, n long")
+    rows = docs.where(~held_out(F.col("doc_id"))).select("text").mapInArrow(frugal(grams), "gram string, n long")
     return stored(rows.groupBy("gram").agg(F.sum("n").alias("n")))
 
 
@@ -332,7 +332,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> tuple[
                 lists = [pa.array([list(x[i]) for x in found], pa.list_(pa.string())) for i in range(2)]
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("toxic"), *lists], names=["row", "toxic", "plain", "odd"])
 
-    texts = stored(rows.select(F.monotonically_increasing_id().alias("row"), "toxic", "text").mapInArrow(parsed, "row long, toxic int, plain array<string>, odd array<string>"))
+    texts = stored(rows.select(F.monotonically_increasing_id().alias("row"), "toxic", "text").mapInArrow(frugal(parsed), "row long, toxic int, plain array<string>, odd array<string>"))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,7 +347,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> tuple[
 
     # A lexicon word needs so many toxic documents, with all words and disguises of its skeleton together.
     least = next((a for a in range(1, int(t) + 1) if _ratio(a, a, t, n) >= RATIO), int(t) + 1)
-    seen = stored(texts.mapInArrow(suspects, "word string, odd boolean, skeleton string, pos long").groupBy("word", "odd", "skeleton").agg(F.sum("pos").alias("pos")))
+    seen = stored(texts.mapInArrow(frugal(suspects), "word string, odd boolean, skeleton string, pos long").groupBy("word", "odd", "skeleton").agg(F.sum("pos").alias("pos")))
     able = seen.groupBy("skeleton").agg(F.sum("pos").alias("pos")).where(F.col("pos") >= least).select("skeleton")
     odd = seen.where("odd and skeleton is null").select("word").unionByName(seen.where("odd").join(able, "skeleton", "left_semi").select("word"))
     odd = stored(odd.distinct())
@@ -357,7 +357,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> tuple[
             yield pa.RecordBatch.from_arrays([pa.array(sorted(set().union(*map(lattice_grams, batch.column("word").to_pylist()))), pa.string())], names=["gram"])
 
     # As many as the lattices of the bounded sample ask for.
-    needed = stored(odd.mapInArrow(asked, "gram string").distinct())
+    needed = stored(odd.mapInArrow(frugal(asked), "gram string").distinct())
     model = _model(grams, grams.join(needed, "gram", "left_semi"), needed.selectExpr(_CONTEXT).distinct())
 
     def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,7 +366,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> tuple[
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in range(2)], names=["word", "restored"])
 
     # The words of each row, plain or restored, by a join: neither the driver nor a task holds all that was restored.
-    found = odd.mapInArrow(restored, "word string, restored string")
+    found = odd.mapInArrow(frugal(restored), "word string, restored string")
     extra = texts.select("row", F.explode("odd").alias("word")).join(found, "word").groupBy("row").agg(F.collect_set("restored").alias("extra"))
     read = stored(texts.join(extra, "row", "left").select("toxic", F.array_union("plain", F.coalesce("extra", F.array().cast("array<string>"))).alias("words")))
     held = read.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").cast("double").alias("pos"), F.count("*").cast("double").alias("all"))
@@ -382,7 +382,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> tuple[
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column("toxic")], names=["words", "toxic"])
 
     # One row per distinct combination of lexicon words: at most the bounded training rows.
-    combos = read.mapInArrow(features, "words array<string>, toxic int").groupBy("words").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()
+    combos = read.mapInArrow(frugal(features), "words array<string>, toxic int").groupBy("words").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()
     weights, bias = _fit(sorted((r.words, r.n, r.t) for r in combos), lexicon)
     letters = "".join(sorted(set(" ").union(*lexicon, *LEET, *LEET.values())))
     held, contexts = grams.where(F.translate("gram", letters, "") == ""), grams.selectExpr(_CONTEXT).where(F.translate("context", letters, "") == "")
@@ -422,7 +422,7 @@ def _scored(docs: DataFrame, model: CharModel, weights: dict[str, float], bias:
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), score], names=[*names[: len(keep)], "toxic_score"])
 
     kinds = dict(docs.select(*columns).dtypes)
-    return docs.select(*(F.col(c).alias(x) for c, x in zip(columns, names))).mapInArrow(run, ", ".join([*(f"{x} {kinds[c]}" for c, x in zip(keep, names)), "toxic_score double"]))
+    return docs.select(*(F.col(c).alias(x) for c, x in zip(columns, names))).mapInArrow(frugal(run), ", ".join([*(f"{x} {kinds[c]}" for c, x in zip(keep, names)), "toxic_score double"]))
 
 
 def score(docs: DataFrame, model: CharModel, weights: dict[str, float], bias: float) -> DataFrame:

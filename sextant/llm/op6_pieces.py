@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, table
+from .common import chunks, frugal, table
 from .words import hashes
 
 #: Bytes of text encoded together, and bytes of distinct units indexed together.
@@ -369,7 +369,7 @@ def decode(tokens: DataFrame, model: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, "text"])
 
     out = tokens.select(*(F.col(c).alias(x) for c, x in zip(keep, names)), F.col("tokens").alias("_tokens"))
-    out = out.mapInArrow(run, ", ".join([*(f"{x} {kinds[c]}" for c, x in zip(keep, names)), "text string"]))
+    out = out.mapInArrow(frugal(run), ", ".join([*(f"{x} {kinds[c]}" for c, x in zip(keep, names)), "text string"]))
     return out.select(*(F.col(x).alias(c) for c, x in zip(keep, names)), "text")
 
 
@@ -386,7 +386,7 @@ def _apply(docs: DataFrame, keep: list[str], model: str | None, schema: str, mak
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *make(pieces.encode(texts), texts)], names=[*names, *added])
 
     out = docs.select(*(F.col(c).alias(x) for c, x in zip(keep, names)), F.col("text").alias("_text"))
-    out = out.mapInArrow(run, ", ".join([*(f"{x} {kinds[c]}" for c, x in zip(keep, names)), schema]))
+    out = out.mapInArrow(frugal(run), ", ".join([*(f"{x} {kinds[c]}" for c, x in zip(keep, names)), schema]))
     return out.select(*(F.col(x).alias(c) for c, x in zip(keep, names)), *added)
 
 

@@ -46,7 +46,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, row_hash, scratch, stored, table
+from .common import chunks, frugal, row_hash, scratch, stored, table
 from .graph import components
 from .words import BASE, hashes, mix, runs, spans, text_bytes
 
@@ -124,7 +124,7 @@ def _map(docs: DataFrame, f, schema: str, *columns: str) -> DataFrame:
             for part in chunks(batch, "text", TEXT_BYTES):
                 yield f(part)
 
-    return docs.select(*columns, "text").mapInArrow(run, schema)
+    return docs.select(*columns, "text").mapInArrow(frugal(run), schema)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -183,7 +183,7 @@ def _enough(lists: DataFrame) -> DataFrame:
                 good[i] = (np.searchsorted(ranks[cut[i] : cut[i + 1]], p[i] + steps) >= steps).all()
             yield batch.filter(pa.array(good))
 
-    return lists.mapInArrow(run, "s long, n long, held array<struct<r:int,tok:long>>")
+    return lists.mapInArrow(frugal(run), "s long, n long, held array<struct<r:int,tok:long>>")
 
 
 def remaining(docs: DataFrame) -> DataFrame:
@@ -225,7 +225,7 @@ def demands(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("s"), pa.array(chosen), pa.array(need)], names=["s", "l", "need"])
 
     lists = rows.groupBy("s").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("r", "df"))).alias("held"))
-    return lists.mapInArrow(run, "s long, l long, need long")
+    return lists.mapInArrow(frugal(run), "s long, l long, need long")
 
 
 def texts(docs: DataFrame, node: DataFrame, rows: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def texts(docs: DataFrame, node: DataFrame, rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("s"), pa.array([z.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())], names=["s", "z"])
 
     found = _identified(docs).join(F.broadcast(keys) if few else keys, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")))
-    return stored(found.select("s", "text").mapInArrow(run, "s long, z binary").groupBy("s").agg(F.min("z").alias("z")))
+    return stored(found.select("s", "text").mapInArrow(frugal(run), "s long, z binary").groupBy("s").agg(F.min("z").alias("z")))
 
 
 def verify(pairs: DataFrame, full: DataFrame) -> DataFrame:
@@ -265,7 +265,7 @@ def verify(pairs: DataFrame, full: DataFrame) -> DataFrame:
                 good.append(100 * shared >= PERCENT * (len(a) + len(b) - shared))
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("u", "v", "zu", "zv").mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "zu", "zv").mapInArrow(frugal(run), "u long, v long")
 
 
 def _comparable(a: str, b: str):
@@ -294,7 +294,7 @@ def _token_rows(full: DataFrame) -> DataFrame:
                     keys, texts, size = [], [], 0
             yield rows(keys, texts)
 
-    return full.mapInArrow(run, "s long, tok long")
+    return full.mapInArrow(frugal(run), "s long, tok long")
 
 
 def whole_demands(rows: DataFrame) -> DataFrame:
@@ -334,7 +334,7 @@ def whole_demands(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("s", "n", "c")), toks, *map(pa.array, out)], names=["s", "n", "c", "toks", "light", "width", "need"])
 
     lists = rows.groupBy("s").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("held"))
-    return lists.mapInArrow(run, "s long, n long, c long, toks array<long>, light long, width long, need long")
+    return lists.mapInArrow(frugal(run), "s long, n long, c long, toks array<long>, light long, width long, need long")
 
 
 def atoms(rows: DataFrame, rich: DataFrame) -> DataFrame:
@@ -361,7 +361,7 @@ def atoms(rows: DataFrame, rich: DataFrame) -> DataFrame:
             ids = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), held.flatten().field(2))
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("s", "n", "c")), ids, pa.array(cum, pa.list_(pa.int64())), pa.array(left)], names=["s", "n", "c", "ids", "cum", "left"]).filter(pa.array(left >= 0))
 
-    return stored(lists.mapInArrow(run, "s long, n long, c long, ids array<long>, cum array<long>, left long"))
+    return stored(lists.mapInArrow(frugal(run), "s long, n long, c long, ids array<long>, cum array<long>, left long"))
 
 
 def _apart(state: DataFrame, node: DataFrame) -> DataFrame:
@@ -406,7 +406,7 @@ def _apart(state: DataFrame, node: DataFrame) -> DataFrame:
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (toks, before)]
             yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(f), pa.array(g), *lists], names=[*kept, "f", "g", "toks", "before"])
 
-    own = stored(member.join(_small(hub), "key").mapInArrow(run, "key long, s long, n long, c long, side int, f long, g long, toks array<long>, before array<long>"))
+    own = stored(member.join(_small(hub), "key").mapInArrow(frugal(run), "key long, s long, n long, c long, side int, f long, g long, toks array<long>, before array<long>"))
     able = 14 * F.col("g") - F.col("f")  # a partner's f is no larger
     star = own.groupBy("key").agg(F.min(F.struct("f", "s", "c")).alias("z"), F.max(able).alias("most"))
     star = stored(star.select("key", F.col("z.f").alias("zf"), F.col("z.s").alias("z"), F.col("z.c").alias("zc"), "most"))

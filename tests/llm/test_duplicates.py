@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -251,3 +253,34 @@ def test_near_copies_of_one_base_meet_by_what_they_differ_in(spark, tmp_path):
     true = [(u, v) for u in range(n) for v in range(u) if alike(u, v)]
     assert classes([p for p in pairs if alike(*p)]) == classes(true)
     assert len(true) > 10 * n and 2 * len(pairs) < len(true), (len(true), len(pairs))
+
+
+_REMAINS = '''
+import ctypes, random, re
+import pyarrow as pa
+from sextant.llm import op9_jaccard
+
+class Rows:  # gives the function that a worker would run
+    select = lambda self, *columns: self
+    mapInArrow = lambda self, run, schema: run
+
+op9_jaccard._identified = lambda docs: docs
+task = op9_jaccard.prefixes(Rows())
+rng = random.Random(3)
+words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3_000)]
+texts = [" ".join(rng.choices(words, k=1_000)) for _ in range(600)]
+batches = lambda: (pa.record_batch({"text": texts[i : i + 300]}) for i in (0, 300))
+held = lambda: sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+for _ in task(batches()):
+    pass
+before = held()
+pa.default_memory_pool().release_unused()
+ctypes.CDLL(None).malloc_trim(0)
+print(before - held())
+'''
+
+
+def test_a_worker_keeps_no_memory_of_an_ended_task():
+    """What a worker could still give back after a task over 4 MB of text, in MB: Spark keeps it for later tasks."""
+    out = subprocess.run([sys.executable, "-c", _REMAINS], capture_output=True, text=True, check=True, timeout=120)
+    assert float(out.stdout) < 8, out.stdout
