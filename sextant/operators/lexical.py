@@ -7,12 +7,15 @@ statistics come from admitted entries only.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from ..functions.text import normalise, occurrences, query_tokens
+from ..functions.text import normalise, query_tokens
 from ..sources.tables import stored
 
 #: Fixed values of the scorer: field weights in order, saturation, least coverage, cutoff ratios.
@@ -38,19 +41,48 @@ def averages(scored_fields: DataFrame) -> DataFrame:
     return scored_fields.agg(*(F.coalesce(F.avg(F.length(f)), F.lit(0.0)).alias(f) for f in FIELDS))
 
 
+#: Entries whose counts are held at once in a task.
+COUNT_ROWS = 1_024
+
+
+def _counted(scored_fields: DataFrame, key: str, tokens: list[str]) -> DataFrame:
+    """key, lengths (characters of each field) and counts (of each token, field by field) of entries that hold a token.
+
+    Occurrences do not overlap. Each text is read once, and searched once for a token.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, COUNT_ROWS):
+                part = batch.slice(at, COUNT_ROWS)
+                texts = [[x or "" for x in part.column(f).to_pylist()] for f in FIELDS]
+                lengths = np.array([[len(x) for x in column] for column in texts], np.int32).T
+                counts = np.array([[x.count(token) for x in column] for token in tokens for column in texts], np.int32).T
+                held = counts.any(axis=1)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(held.sum() + 1) * x.shape[1], pa.int32()), pa.array(x[held].ravel())) for x in (lengths, counts)]
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(held)), *lists], names=[key, "lengths", "counts"])
+
+    schema = StructType([StructField(key, scored_fields.schema[key].dataType), *(StructField(x, ArrayType(IntegerType())) for x in ("lengths", "counts"))])
+    return scored_fields.select(key, *FIELDS).mapInArrow(run, schema)
+
+
 def scores(scored_fields: DataFrame, key: str, queries: Iterable[tuple[str, str]], exact: bool = True) -> DataFrame:
     """qid, key, score, coverage of entries above zero that reach the least coverage."""
     mean = averages(scored_fields).first()
     asked = [(qid, query_tokens(q, exact)) for qid, q in queries]
     if any(not tokens for _, tokens in asked):
         raise ValueError("a query is blank")
+    number = {token: i for i, token in enumerate(dict.fromkeys(t for _, tokens in asked for t in tokens))}
 
     def weighted(token: Column) -> Column:
-        parts = [F.when(F.length(f) > 0, w * occurrences(F.col(f), token) * mean[f] / F.length(f)).otherwise(0.0) for f, w in zip(FIELDS, WEIGHTS)]
+        parts = []
+        for i, (f, w) in enumerate(zip(FIELDS, WEIGHTS)):
+            length, n = F.get("lengths", F.lit(i)), F.get("counts", token * len(FIELDS) + i)
+            parts.append(F.when(length > 0, w * n * mean[f] / length).otherwise(0.0))
         return parts[0] + parts[1] + parts[2] + parts[3]
 
-    literal = F.array(*(F.struct(F.lit(qid).alias("qid"), F.array(*map(F.lit, tokens)).alias("tokens")) for qid, tokens in asked))
-    rows = scored_fields.select(key, *FIELDS, F.explode(literal).alias("q"))
+    literal = F.array(*(F.struct(F.lit(qid).alias("qid"), F.array(*(F.lit(number[t]) for t in tokens)).alias("tokens")) for qid, tokens in asked))
+    rows = _counted(scored_fields, key, list(number)).select(key, "lengths", "counts", F.explode(literal).alias("q"))
     rows = rows.select(F.col("q.qid").alias("qid"), key, F.size("q.tokens").alias("n"), F.transform("q.tokens", weighted).alias("tf"))
     found = rows.select(
         "qid", key, "n", F.aggregate("tf", F.lit(0.0), lambda s, x: s + x * (K1 + 1.0) / (x + K1)).alias("score"), F.size(F.filter("tf", lambda x: x > 0)).alias("coverage")

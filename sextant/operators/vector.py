@@ -104,9 +104,9 @@ def embed(text: Column, dimension: int) -> Column:
 
 def embed_rows(docs: DataFrame, key: str, text: str, dimension: int, exact: bool = True) -> DataFrame:
     """key, vector: the same vectors by one pass over bucket counts, for long texts."""
-    counts = _counted(docs, key, text, dimension, exact, TOKEN_DOMAIN).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("bucket", F.col("n").cast("double").alias("n")))).alias("m"))
-    norm = F.sqrt(F.aggregate("m", F.lit(0.0), lambda s, x: s + x["n"] * x["n"]))
-    return counts.withColumn("_norm", norm).select(key, F.transform("m", lambda x: x["n"] / F.col("_norm")).alias("vector"))
+    n = F.col("n").cast("double")
+    counts = _counted(docs, key, text, dimension, exact, TOKEN_DOMAIN).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("bucket", n.alias("n")))).alias("m"), F.sqrt(F.sum(n * n)).alias("_norm"))
+    return counts.select(key, F.transform("m", lambda x: x["n"] / F.col("_norm")).alias("vector"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -119,15 +119,17 @@ def exact_dot(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([math.fsum(x * y for x, y in zip(u, v)) for u, v in zip(a, b)])
 
 
-def search(points: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, top_k: int) -> DataFrame:
+def search(points: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, top_k: int, store: bool = False) -> DataFrame:
     """query_key, rank (from 0), key, score: exact search of a stated query set over all points.
 
     Points and queries are packed in hashed blocks of bounded size. Every query block
     meets every point block (an equi-join on the point block), and only the best
-    ``top_k`` per query and point block are shuffled to the final ranking.
+    ``top_k`` per query and point block are shuffled to the final ranking. ``store``: points
+    that cost more than a table are stored first, as they are counted, then packed.
     """
     if top_k < 1:
         raise ValueError("top_k is at least 1")
+    points = stored(points.select(key, vector)) if store else points
     kinds, asked_kinds = dict(points.dtypes), dict(queries.dtypes)
     schema = f"{query_key} {asked_kinds[query_key]}, {key} {kinds[key]}, score double"
     parts, asked_parts = max(1, -(-points.count() // POINT_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))

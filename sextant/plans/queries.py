@@ -281,7 +281,7 @@ def _shadow(spark, sf):
     lex = lexical.search(fields, "doc_id", requests, 10, exact=False).select("qid", F.lit("lexical").alias("engine"), "doc_id")
     asked = least.select(F.inline(F.array(*(F.struct(F.lit(q).alias("qid"), F.lit(text).alias("text")) for q, text in requests))))
     asked = asked.select("qid", vector.embed(F.col("text"), DIMENSION).alias("q"))
-    vec = vector.search(vector.embed_rows(public, "doc_id", "body", DIMENSION, exact=False), "doc_id", "vector", asked, "qid", "q", 10).select("qid", F.lit("vector").alias("engine"), "doc_id")
+    vec = vector.search(vector.embed_rows(public, "doc_id", "body", DIMENSION, exact=False), "doc_id", "vector", asked, "qid", "q", 10, True).select("qid", F.lit("vector").alias("engine"), "doc_id")
     returned = lex.unionByName(vec).select("qid", "engine", F.col("doc_id").cast("string").alias("concept"), path.alias("path"), F.lit("r1").alias("revision"), F.lit("r1").alias("searched"))
     returned = returned.withColumn("cited", shadow.cited("concept", "path", "revision", "searched"))
     # What is measured of every document, by one scan.

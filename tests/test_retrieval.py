@@ -185,3 +185,22 @@ def test_buckets_are_counted_where_texts_are_read(spark):
         assert rows == {k: [got.get((k, b), 0) / norm[k] for b in range(16)] for k, _ in got}
     plan = vector.embed_rows(docs, "k", "text", 16)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_texts_are_searched_once_a_token(spark):
+    """Counts come from one pass over the texts, which are in no expression of a query; overlaps, nulls and wide characters as before."""
+    rows = [(1, "aaaa ab", "", "é", "aa\U0001F600aaa"), (2, None, "x", None, "ab ab"), (3, "", "", "", ""), (4, "zz", "q", "ab", "nothing")]
+    frame = spark.createDataFrame(rows, "id long, title string, description string, metadata string, body string")
+    requests = [("q1", "aa ab"), ("q2", "ab \U0001F600"), ("q3", "missing")]
+    found = lexical.scores(frame, "id", requests, exact=False)
+    mean = [sum(len(r[i]) for r in rows if r[i] is not None) / sum(r[i] is not None for r in rows) for i in range(1, 5)]
+    expected = {}
+    for qid, words in requests:
+        for key, *texts in rows:
+            tf = [0.0 + sum(w * t.count(word) * m / len(t) for t, w, m in zip(texts, lexical.WEIGHTS, mean) if t) for word in words.split()]
+            coverage, score = sum(x > 0 for x in tf), sum(x * (lexical.K1 + 1.0) / (x + lexical.K1) for x in tf)
+            if score > 0 and coverage >= min(lexical.LEAST_COVERAGE, len(words.split())):
+                expected[qid, key] = (pytest.approx(score, rel=1e-12), coverage)
+    assert {(r.qid, r.id): (r.score, r.coverage) for r in found.collect()} == expected and expected
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "replace(" not in plan

@@ -232,3 +232,15 @@ def test_the_vector_engine_of_the_report_moves_no_tokens(spark, tmp_path, monkey
         with pytest.raises(Seen) as seen:
             query(spark, str(tmp_path))
         assert str(seen.value).count("Exchange") == 1
+
+
+def test_the_vector_engine_of_the_report_embeds_once(spark, tmp_path, monkeypatch):
+    """Vectors are stored before they are counted and packed, so that texts are not embedded anew for each."""
+    from sextant.plans import queries
+
+    spark.createDataFrame([(i, "apache license version", "en", "s", 22) for i in range(1, 5)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(1, 5)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    written, store = [], vector.stored
+    monkeypatch.setattr(vector, "stored", lambda rows: written.append(rows.columns) or store(rows))
+    assert len(queries.shadow_report(spark, str(tmp_path)).collect()) == 10
+    assert written == [["doc_id", "vector"]]
